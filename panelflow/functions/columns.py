@@ -77,29 +77,70 @@ def weekday_label(c: str | Column) -> Column:
     return F.date_format(col(c), "E")
 
 
+def weekday_from_epoch(c: str | Column) -> Column:
+    """Day number (1 = Sunday) of epoch seconds in UTC, independent of the
+    session zone (1970-01-01 was a Thursday, day 5)."""
+    return (F.pmod(F.floor(col(c) / F.lit(86400)) + F.lit(4), F.lit(7)) + F.lit(1)).cast("int")
+
+
+def weekend_flag_epoch(c: str | Column) -> Column:
+    """Weekend flag of epoch seconds; a missing time gives 0."""
+    return F.coalesce(weekday_from_epoch(c).isin(*WEEKEND_DAYS), F.lit(False)).cast("int")
+
+
+# Short English day names, Sunday first.
+DAY_LABELS = ("Sun", "Mon", "Tue", "Wed", "Thu", "Fri", "Sat")
+
+
+def weekday_label_epoch(c: str | Column) -> Column:
+    """Short day name of epoch seconds in UTC."""
+    return F.element_at(F.array(*[F.lit(x) for x in DAY_LABELS]), weekday_from_epoch(c))
+
+
 def weekend_flag(c: str | Column) -> Column:
     """1 on Saturday/Sunday, 0 otherwise *and* for a missing time."""
     return F.coalesce(F.dayofweek(col(c)).isin(*WEEKEND_DAYS), F.lit(False)).cast("int")
 
 
+def _ntz_epoch(c: Column) -> Column:
+    """Seconds since 1970 of a wall-clock (NTZ) timestamp read as UTC.
+
+    Built from the date and clock fields, so no session zone (and no
+    daylight-saving shift) is involved; whole microseconds are summed as
+    integers before the single division, which rounds exactly once.
+    """
+    whole = (F.unix_date(F.to_date(c)).cast("bigint") * F.lit(86400)
+             + F.hour(c).cast("bigint") * F.lit(3600) + F.minute(c).cast("bigint") * F.lit(60))
+    micros = whole * F.lit(1_000_000) + (F.date_part(F.lit("SECOND"), c) * F.lit(1_000_000)).cast("bigint")
+    return micros.cast("double") / F.lit(1e6)
+
+
 def epoch_seconds(df: DataFrame, name: str) -> Column:
     """Timestamp (with or without zone) -> double seconds since 1970 UTC (P10).
 
-    A timestamp without zone is read as a UTC wall clock, independent of the
-    session zone; numbers pass through.
+    A timestamp without zone is read as a UTC wall clock; numbers pass
+    through.
     """
     dtype = df.schema[name].dataType
     c = F.col(name)
     if isinstance(dtype, T.TimestampNTZType):
-        origin = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
-        return F.timestamp_diff("MICROSECOND", origin, c) / F.lit(1e6)
+        return _ntz_epoch(c)
     if isinstance(dtype, T.TimestampType):
         return F.unix_micros(c) / F.lit(1e6)
-    if isinstance(dtype, (T.DateType,)):
+    if isinstance(dtype, T.DateType):
         return F.unix_date(c).cast("double") * F.lit(86400.0)
     return c.cast("double")
 
 
+def epoch_seconds_text(c: str | Column, formats: Sequence[str] = DEFAULT_TIME_FORMATS) -> Column:
+    """Text -> epoch seconds, the text's wall clock read as UTC (P7 + P10).
+
+    NULL when no format fits.  The parsed value is turned back into its
+    wall clock, so the session zone does not matter.
+    """
+    return _ntz_epoch(parse_time(c, formats).cast("timestamp_ntz"))
+
+
 def hours_between(start: str | Column, end: str | Column) -> Column:
     """(end - start) in hours for epoch-second columns."""
     return (col(end) - col(start)) / F.lit(SECONDS_PER_HOUR)

@@ -31,10 +31,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CHUNK = "_c"        # chunk number inside a person (0 for ordinary persons)
-NCHUNKS = "_m"      # number of chunks of a hot person, NULL otherwise
+NCHUNKS = "_m"      # number of chunks of a hot person, 0 otherwise
 DEFAULT_MIN_ROWS = 1_000_000   # never split a person smaller than this
 
 
+def part_keys(key: str) -> list[str]:
+    """The partitioning of every ordered operator: person, chunk count, chunk."""
+    return [key, NCHUNKS, CHUNK]
+
+
 def _partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
@@ -81,22 +86,37 @@ def assign_chunks(df: DataFrame, key: str, time: str, *, parts: int | None = Non
     out = df.join(F.broadcast(hot_df), on=key, how="left")
     t, m, w = F.col(time), F.col(NCHUNKS), F.col("_w")
     pos = F.floor(F.try_divide(t - F.col("_lo"), w))
-    chunk = (F.when(m.isNull(), F.lit(0))
+    chunk = (F.when(m.isNull() | (m <= 0), F.lit(0))
              .when(t.isNull(), m)                         # NULL times sort last
              .when(w.isNull() | (w <= 0), F.lit(0))
              .otherwise(F.least(m - 1, F.greatest(F.lit(0), pos.cast("int")))))
-    return out.withColumn(CHUNK, chunk.cast("int")).drop("_lo", "_w")
+    return out.withColumns({CHUNK: chunk.cast("int"), NCHUNKS: F.coalesce(m, F.lit(0))}).drop("_lo", "_w")
 
 
 def ensure_chunks(df: DataFrame, key: str, time: str, **kw) -> DataFrame:
     return df if CHUNK in df.columns else assign_chunks(df, key, time, **kw)
 
 
+HOT_FREE = "panelflow.no_hot_person"
+
+
 def single_chunk(df: DataFrame) -> DataFrame:
-    """Mark every person as ordinary (plain windows, no carries)."""
+    """Mark every person as ordinary: no person exceeds its share of rows.
+
+    The mark travels as column metadata, so later operators build plain
+    windows over the person (no carry branches at all).
+    """
     if CHUNK in df.columns:
         return df
-    return df.withColumns({NCHUNKS: F.lit(None).cast("int"), CHUNK: F.lit(0)})
+    d = df.withColumns({NCHUNKS: F.lit(0), CHUNK: F.lit(0)})
+    return d.withMetadata(NCHUNKS, {HOT_FREE: True})
+
+
+def hot_free(df: DataFrame) -> bool:
+    """True when the frame is known to hold no hot person."""
+    if NCHUNKS not in df.columns:
+        return False
+    return bool(df.schema[NCHUNKS].metadata.get(HOT_FREE, False))
 
 
 def _w(key: str, time: str, seq: str, reverse: bool) -> Window:
@@ -115,28 +135,33 @@ def add_lags(df: DataFrame, key: str, time: str, seq: str,
     """
     d = ensure_chunks(df, key, time)
     w = _w(key, time, seq, reverse)
+    if hot_free(d):
+        new = {o: F.lag(c, k).over(w) for o, (c, k) in lags.items()}
+        if row_number:
+            new[row_number] = F.row_number().over(w)
+        return d.withColumns(new)
     wall = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     kmax = max([k for _, k in lags.values()] + [1])
     d = d.withColumns({"_r": F.row_number().over(w), "_nr": F.count(F.lit(1)).over(wall)})
     d = d.withColumns({f"_l_{o}": F.lag(c, k).over(w) for o, (c, k) in lags.items()})
 
-    hot = F.col(NCHUNKS).isNotNull()
+    hot = F.col(NCHUNKS) > 0
     # Head and tail rows of every chunk of a hot person.  Ordered by time
     # within the person, the k rows before a head row are all in this set.
     edge = d.where(hot & ((F.col("_r") <= kmax) | (F.col("_r") > F.col("_nr") - kmax)))
     we = Window.partitionBy(key).orderBy(*order_cols(time, seq, reverse))
-    edge = edge.select(key, CHUNK, "_r", "_nr",
+    edge = edge.select(*part_keys(key), "_r", "_nr",
                        *[F.lag(c, k).over(we).alias(f"_e_{o}") for o, (c, k) in lags.items()])
     heads = edge.where(F.col("_r") <= kmax)
     cols = [F.max(F.when(F.col("_r") == r, F.col(f"_e_{o}"))).alias(f"_h{r}_{o}")
             for o, (_, k) in lags.items() for r in range(1, k + 1)]
     cols.append(F.max("_nr").alias("_cn"))
-    carry = heads.groupBy(key, CHUNK).agg(*cols)
+    carry = heads.groupBy(*part_keys(key)).agg(*cols)
     wc = Window.partitionBy(key).orderBy(F.col(CHUNK).desc() if reverse else F.col(CHUNK).asc()) \
         .rowsBetween(Window.unboundedPreceding, -1)
     carry = carry.withColumn("_off", F.coalesce(F.sum("_cn").over(wc), F.lit(0))).drop("_cn")
 
-    d = d.join(carry, on=[key, CHUNK], how="left")
+    d = d.join(carry, on=part_keys(key), how="left")
     new = {}
     for o, (_, k) in lags.items():
         fix = None
@@ -163,6 +188,10 @@ def add_running(df: DataFrame, key: str, time: str, seq: str, *,
     """
     sums, lasts = dict(sums or {}), dict(lasts or {})
     d = ensure_chunks(df, key, time)
+    if hot_free(d):
+        wrun = _w(key, time, seq, reverse).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return d.withColumns({**{o: F.sum(e).over(wrun) for o, e in sums.items()},
+                              **{o: F.last(e, ignorenulls=True).over(wrun) for o, e in lasts.items()}})
     d = d.withColumns({**{f"_se_{o}": e for o, e in sums.items()},
                        **{f"_ve_{o}": e for o, e in lasts.items()}})
     w = _w(key, time, seq, reverse)
@@ -170,19 +199,19 @@ def add_running(df: DataFrame, key: str, time: str, seq: str, *,
     d = d.withColumns({"_r": F.row_number().over(w),
                        **{f"_s_{o}": F.sum(f"_se_{o}").over(wrun) for o in sums},
                        **{f"_v_{o}": F.last(f"_ve_{o}", ignorenulls=True).over(wrun) for o in lasts}})
-    hot = F.col(NCHUNKS).isNotNull()
+    hot = F.col(NCHUNKS) > 0
     agg = [F.sum(f"_se_{o}").alias(f"_ts_{o}") for o in sums] + \
           [F.max_by(f"_ve_{o}", F.when(F.col(f"_ve_{o}").isNotNull(), F.col("_r"))).alias(f"_tv_{o}")
            for o in lasts]
     if not agg:
         return d.drop("_r")
-    tot = d.where(hot).groupBy(key, CHUNK).agg(*agg)
+    tot = d.where(hot).groupBy(*part_keys(key)).agg(*agg)
     wc = Window.partitionBy(key).orderBy(F.col(CHUNK).desc() if reverse else F.col(CHUNK).asc()) \
         .rowsBetween(Window.unboundedPreceding, -1)
-    carry = tot.select(key, CHUNK,
+    carry = tot.select(*part_keys(key),
                        *[F.sum(f"_ts_{o}").over(wc).alias(f"_cs_{o}") for o in sums],
                        *[F.last(f"_tv_{o}", ignorenulls=True).over(wc).alias(f"_cv_{o}") for o in lasts])
-    d = d.join(carry, on=[key, CHUNK], how="left")
+    d = d.join(carry, on=part_keys(key), how="left")
     d = d.withColumns({
         **{o: F.col(f"_s_{o}") + F.coalesce(F.col(f"_cs_{o}"), F.lit(0)) for o in sums},
         **{o: F.coalesce(F.col(f"_v_{o}"), F.col(f"_cv_{o}")) for o in lasts}})
@@ -204,15 +233,24 @@ def add_key_totals(df: DataFrame, key: str, *, counts: Mapping[str, Column] | No
     """
     counts, sums, moments = dict(counts or {}), dict(sums or {}), dict(moments or {})
     d = df if CHUNK in df.columns else single_chunk(df)
+    if hot_free(d):
+        wk = Window.partitionBy(key)
+        new = {o: F.count(e).over(wk) for o, e in counts.items()}
+        new.update({o: F.sum(e).over(wk) for o, e in sums.items()})
+        for o, e in moments.items():
+            x = e.cast("double")
+            new.update({f"{o}_n": F.count(x).over(wk), f"{o}_mean": F.avg(x).over(wk),
+                        f"{o}_var": F.var_samp(x).over(wk)})
+        return d.withColumns(new)
     agg = [F.count(e).alias(f"_kc_{o}") for o, e in counts.items()] + \
           [F.sum(e).alias(f"_ks_{o}") for o, e in sums.items()]
     for o, e in moments.items():
         x = e.cast("double")
         agg += [F.count(x).alias(f"_kn_{o}"), F.avg(x).alias(f"_ka_{o}"),
                 (F.var_pop(x) * F.count(x)).alias(f"_km_{o}")]
-    part = d.groupBy(key, CHUNK).agg(*agg)
+    part = d.groupBy(*part_keys(key)).agg(*agg)
     wk = Window.partitionBy(key)
-    sel = [F.col(key), F.col(CHUNK)]
+    sel = [F.col(c) for c in part_keys(key)]
     sel += [F.sum(f"_kc_{o}").over(wk).alias(o) for o in counts]
     sel += [F.sum(f"_ks_{o}").over(wk).alias(o) for o in sums]
     for o in moments:
@@ -227,4 +265,4 @@ def add_key_totals(df: DataFrame, key: str, *, counts: Mapping[str, Column] | No
         tot = tot.withColumn(f"{o}_var", F.when(F.col(f"{o}_n") >= 2,
                                                 m2 / (F.col(f"{o}_n") - F.lit(1)).cast("double")))
     tot = tot.drop(*[c for o in moments for c in (f"_kn_{o}", f"_ka_{o}", f"_km_{o}")])
-    return d.join(tot, on=[key, CHUNK], how="left")
+    return d.join(tot, on=part_keys(key), how="left")

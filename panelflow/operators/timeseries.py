@@ -14,8 +14,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelflow.functions.columns import SECONDS_PER_HOUR
+from panelflow.session import ensure_checkpoint_dir
 from panelflow.operators.ordered import (CHUNK, NCHUNKS, add_key_totals, add_lags,
-                                         add_running, ensure_chunks, single_chunk)
+                                         add_running, ensure_chunks, hot_free, single_chunk)
 
 
 def obs_counter(df: DataFrame, key: str, time: str, seq: str, out: str = "obs") -> DataFrame:
@@ -45,7 +46,7 @@ def sessionize(df: DataFrame, key: str, time: str, seq: str, gap_hours: float =
                session: str = "session", gap: str = "gap_hours",
                new_session: str = "new_session", elapsed: str = "RawHours",
                within: str = "TimeHours", step: str = "time_interval",
-               obs: str | None = None) -> DataFrame:
+               obs: str | None = None, carry_first: Sequence[str] = ()) -> DataFrame:
     """Gap sessionisation (W4) with the clocks used downstream.
 
     A row opens a new session when it is the person's first row, has no
@@ -57,7 +58,9 @@ def sessionize(df: DataFrame, key: str, time: str, seq: str, gap_hours: float =
     * ``elapsed``: hours since the person's first row,
     * ``within``: hours since the session's first row,
     * ``step``: ``within`` minus its previous value in the session, 0 at the
-      session start (lag with default 0).
+      session start (lag with default 0),
+    * ``{c}_first`` for each ``carry_first`` column: its value on the
+      person's first row (O3 without a join back).
     """
     rn = obs or "_rn"
     d = add_lags(df, key, time, seq, {"_tp": (time, 1)}, row_number=rn)
@@ -67,7 +70,11 @@ def sessionize(df: DataFrame, key: str, time: str, seq: str, gap_hours: float =
     d = add_running(d, key, time, seq,
                     sums={session: F.col(new_session).cast("int")},
                     lasts={"_t0": F.when(F.col(rn) == 1, F.col(time)),
-                           "_ts": F.when(F.col(new_session), F.col(time))})
+                           "_ts": F.when(F.col(new_session), F.col(time)),
+                           **{f"_f_{c}": F.when(F.col(rn) == 1, F.struct(F.col(c).alias("v")))
+                              for c in carry_first}})
+    d = d.withColumns({f"{c}_first": F.col(f"_f_{c}.v") for c in carry_first}) \
+        .drop(*[f"_f_{c}" for c in carry_first])
     hrs = F.lit(SECONDS_PER_HOUR)
     d = d.withColumns({
         session: F.col(session).cast("int"),
@@ -102,8 +109,11 @@ def run_sizes(df: DataFrame, key: str, time: str, seq: str, run: str,
 
     Runs are contiguous in (time, seq) order.  Size = position from the run
     start + position from the run end - 1, both from ordered scans, so a
-    huge session is never gathered into one task.
+    huge session is never gathered into one task.  Without a hot person it
+    is a plain count over (person, run).
     """
+    if hot_free(df):
+        return df.withColumn(out, F.count(F.lit(1)).over(Window.partitionBy(key, run)).cast("long"))
     d = add_lags(df, key, time, seq, {"_pr": (run, 1)}, row_number="_fr")
     d = add_lags(d, key, time, seq, {"_nx": (run, 1)}, reverse=True, row_number="_br")
     d = d.withColumns({
@@ -172,14 +182,27 @@ def step_max_by_run(df: DataFrame, key: str, time: str, seq: str, run: str,
 def sequential_id(df: DataFrame, key: str, out: str = "person_id") -> DataFrame:
     """Dense 1-based number of each distinct key in ascending order.
 
-    Distinct keys are range-sorted and numbered with ``zipWithIndex``
-    (one counting job, no single-partition window), then joined back.
+    Distinct keys are range-partitioned and sorted; each key's number is
+    its position inside its range partition plus the sizes of the earlier
+    partitions (a table of one row per partition, broadcast).  No single
+    task sees all keys and no rows pass through the driver.
     """
-    spark = df.sparkSession
-    ids = df.select(key).where(F.col(key).isNotNull()).distinct().orderBy(key)
-    schema = ids.schema.add(out, "long")
-    numbered = ids.rdd.zipWithIndex().map(lambda p: (*p[0], p[1] + 1))
-    mapping = spark.createDataFrame(numbered, schema)
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ids = (df.select(key).where(F.col(key).isNotNull()).distinct()
+           .repartitionByRange(parts, key).sortWithinPartitions(key)
+           .withColumn("_p", F.spark_partition_id())
+           .withColumn("_i", F.monotonically_increasing_id()))
+    # monotonically_increasing_id = (partition << 33) + position in partition.
+    # The numbered keys are checkpointed (shared checkpoint folder) so both
+    # uses below see one fixed range split, also after a lost executor.
+    ensure_checkpoint_dir(df.sparkSession)
+    ids = ids.withColumn("_pos", F.col("_i") - F.shiftleft(F.col("_p").cast("bigint"), 33)) \
+        .select(key, "_p", "_pos").checkpoint(eager=True)
+    sizes = ids.groupBy("_p").agg(F.max("_pos").alias("_last"))
+    offsets = sizes.select("_p", F.coalesce(F.sum(F.col("_last") + 1).over(
+        Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
+    mapping = ids.join(F.broadcast(offsets), "_p").select(
+        key, (F.col("_off") + F.col("_pos") + 1).cast("long").alias(out))
     return df.join(mapping, on=key, how="left")
 
 
