@@ -94,7 +94,8 @@ DAY_LABELS = ("Sun", "Mon", "Tue", "Wed", "Thu", "Fri", "Sat")
 
 def weekday_label_epoch(c: str | Column) -> Column:
     """Short day name of epoch seconds in UTC."""
-    return F.element_at(F.array(*[F.lit(x) for x in DAY_LABELS]), weekday_from_epoch(c))
+    day = weekday_from_epoch(c)
+    return F.when(day.isNotNull(), F.element_at(F.array(*[F.lit(x) for x in DAY_LABELS]), day))
 
 
 def weekend_flag(c: str | Column) -> Column:

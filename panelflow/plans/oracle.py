@@ -22,7 +22,8 @@ WDAY = "(CAST((floor(t / 86400) + 4) % 7 AS BIGINT) + 1)"
 
 
 def r6(expr: str, alias: str, digits: int = 6) -> str:
-    return f"round({expr}, {digits}) AS {alias}"
+    # "+ 0.0" turns a negative zero into 0.0, as on the Spark side
+    return f"(round({expr}, {digits}) + 0.0) AS {alias}"
 
 
 def with_(*ctes: str) -> str:
