@@ -217,6 +217,22 @@ def q_m2_var_pooled(spark, sf):
     return finish(M.pooled_ols_table(mom, ["Y1_lag", "Y2_lag"], ["Y1", "Y2"]))
 
 
+def q_m3_mixed_var_ar1(spark, sf):
+    """Bivariate multilevel VAR(1) by EM on the AR(2)-compatible rows (no SQL oracle)."""
+    from panelflow.models.mixed import fit_mixed_var
+    mom = M.panel_moments(var2(spark, sf), "ID", AR1_X, ["Y1", "Y2"])
+    fixed = {"Y1": ["one", "Y1_lag", "Y2_lag"], "Y2": ["one", "Y1_lag", "Y2_lag"]}
+    rand = {"Y1": ["one", "Y1_lag", "log_dt"], "Y2": ["one", "Y2_lag", "log_dt"]}
+    fit = fit_mixed_var(mom, ["one"] + AR1_X, ["Y1", "Y2"], fixed, rand, max_iter=100)
+    rows = [("fixed", y, t, float(v)) for y, bs in fit["beta"].items() for t, v in bs.items()]
+    rows += [("sigma", "Y1", "Y2", float(fit["sigma"][0, 1])),
+             ("sigma", "Y1", "Y1", float(fit["sigma"][0, 0])), ("sigma", "Y2", "Y2", float(fit["sigma"][1, 1])),
+             ("loglik", "", "", float(fit["loglik"][-1]))]
+    labels = [f"{y}:{t}" for y in ["Y1", "Y2"] for t in rand[y]]
+    rows += [("psi", labels[i], labels[i], float(fit["psi"][i, i])) for i in range(len(labels))]
+    return finish(spark.createDataFrame(rows, "part string, outcome string, term string, value double"))
+
+
 def q_d10_response_pattern(spark, sf):
     d = D.response_pattern(sparse_wide(spark, sf), SPARSE_CFG, pattern=r"^(.*)_present$",
                            numeric_item=False)
@@ -380,6 +396,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "d9_var_design_ar2": q_d9_var_design_ar2,
     "m1_panel_moments": q_m1_panel_moments,
     "m2_var_pooled": q_m2_var_pooled,
+    "m3_mixed_var_ar1": q_m3_mixed_var_ar1,
     "d10_response_pattern": q_d10_response_pattern,
     "d11_item_variance_bands": q_d11_item_variance_bands,
     "a11_person_summary": q_a11_person_summary,
