@@ -233,6 +233,28 @@ def q_m3_mixed_var_ar1(spark, sf):
     return finish(spark.createDataFrame(rows, "part string, outcome string, term string, value double"))
 
 
+def q_m5_response_mixed(spark, sf):
+    """Linear random-slope model of item presence over time by group (M5, no SQL oracle).
+
+    responded ~ item + hours * group + (1 + hours | person), hours = RawHours / 100.
+    """
+    from panelflow.models.mixed import fit_mixed_var
+    d = D.response_pattern(sparse_wide(spark, sf), SPARSE_CFG, pattern=r"^(.*)_present$",
+                           numeric_item=False)
+    d = d.withColumns({"item_no": C.level_order("item", list(S.SPARSE_SCALE_A + S.SPARSE_SCALE_B)).cast("double"),
+                       "hours": F.col("RawHours") / 100.0, "adhd": C.group_flag("ADHD").cast("double")})
+    d = d.withColumn("hours_x_adhd", F.col("hours") * F.col("adhd"))
+    x = ["item_no", "hours", "adhd", "hours_x_adhd"]
+    mom = M.panel_moments(d, "ID", x, ["responded"])
+    fit = fit_mixed_var(mom, ["one"] + x, ["responded"], {"responded": ["one"] + x},
+                        {"responded": ["one", "hours"]}, max_iter=100)
+    rows = [("fixed", t, float(v)) for t, v in fit["beta"]["responded"].items()]
+    rows += [("sigma", "residual", float(fit["sigma"][0, 0])), ("psi", "one", float(fit["psi"][0, 0])),
+             ("psi", "hours", float(fit["psi"][1, 1])), ("psi", "one:hours", float(fit["psi"][0, 1])),
+             ("loglik", "", float(fit["loglik"][-1]))]
+    return finish(spark.createDataFrame(rows, "part string, term string, value double"))
+
+
 def q_d10_response_pattern(spark, sf):
     d = D.response_pattern(sparse_wide(spark, sf), SPARSE_CFG, pattern=r"^(.*)_present$",
                            numeric_item=False)
@@ -397,6 +419,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "m1_panel_moments": q_m1_panel_moments,
     "m2_var_pooled": q_m2_var_pooled,
     "m3_mixed_var_ar1": q_m3_mixed_var_ar1,
+    "m5_response_mixed": q_m5_response_mixed,
     "d10_response_pattern": q_d10_response_pattern,
     "d11_item_variance_bands": q_d11_item_variance_bands,
     "a11_person_summary": q_a11_person_summary,
