@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from panelflow.llm import chat, mixing, urls, warc
+from panelflow.llm import chat, decontaminate, katz, lines, mixing, quality, simhash, suffix, urls, warc
 
 QUERIES = {
+    "op1_simhash": simhash.op1_simhash,
     "op2_mixing": mixing.op2_mixing,
+    "op3_katz": katz.op3_katz,
+    "op4_suffix": suffix.op4_suffix,
     "op5_chat": chat.op5_chat,
+    "op6_quality": quality.op6_quality,
+    "op7_decontaminate": decontaminate.op7_decontaminate,
     "op8_warc": warc.op8_warc,
+    "op9_lines": lines.op9_lines,
     "op10_urls": urls.op10_urls,
 }
 
