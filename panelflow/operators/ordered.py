@@ -3,20 +3,22 @@
 A window ``partitionBy(id).orderBy(time)`` puts a person's whole record in
 one task.  If one person holds a third of all rows that task never ends.
 Here every ordered operation (row numbers, lags, gaps, running sums) runs
-over ``partitionBy(id, _c)`` where ``_c`` is an order-preserving chunk of
-the person's record:
-
-* ordinary persons (at most a fair share of rows, ``N / partitions``) keep
-  one chunk ``_c = 0``; their results come straight from the window;
-* a *hot* person is cut into ``ceil(n / share)`` equal time ranges; what a
-  chunk needs from the chunks before it (the last rows for a lag, the sum
+over ``partitionBy(_k, _m, _c)`` where ``_c`` is an order-preserving chunk
+of the person's record and ``_k`` the id in a struct, so that rows without
+an id form one person, as they do in a plain window:
+
+* ordinary persons (at most ``rows_per_chunk`` rows, a fixed target that
+  doesn't depend on the session) keep one chunk ``_c = 0``;
+* a *hot* person is cut at borders in (time, seq), found by range
+  partitioning its rows, so tied times and missing times are cut too; what
+  a chunk needs from the chunks before it (the last rows for a lag, the sum
   so far for a running count) is taken from small per-chunk tables and
-  joined back on ``(id, _c)`` -- the key the big side is already
-  partitioned by, so the big side is shuffled once for the whole chain.
+  joined back on ``(_k, _m, _c)``.
 
-The hot-person table is the only broadcast: by construction it has at most
-``partitions`` rows.  The per-chunk tables have one row per chunk of a hot
-person only (rows / share at most).
+With a hot person, each operation writes its windows' result once to the
+shared folder before it derives the per-chunk tables from it, so plans stay
+short however many operations follow each other.  Without one the plan is
+made of plain windows.
 
 Order is ``time ASC NULLS LAST, seq ASC``: rows without a time come last,
 and ``seq`` (a unique input row number) breaks ties, so results never
@@ -30,18 +32,18 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelflow.session import write_through
+
 CHUNK = "_c"        # chunk number inside a person (0 for ordinary persons)
 NCHUNKS = "_m"      # number of chunks of a hot person, 0 otherwise
-DEFAULT_MIN_ROWS = 1_000_000   # never split a person smaller than this
-
-
-def part_keys(key: str) -> list[str]:
-    """The partitioning of every ordered operator: person, chunk count, chunk."""
-    return [key, NCHUNKS, CHUNK]
+PERSON = "_k"       # the id in a struct: equal to itself even where it is NULL
+ROWS_PER_CHUNK = 1_000_000   # a person with more rows is split
+_FINE = 64          # borders are searched in two steps of this many
 
 
-def _partitions(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def part_keys() -> list[str]:
+    """The partitioning of every ordered operator on split persons."""
+    return [PERSON, NCHUNKS, CHUNK]
 
 
 def order_cols(time: str, seq: str, reverse: bool = False) -> list[Column]:
@@ -50,51 +52,47 @@ def order_cols(time: str, seq: str, reverse: bool = False) -> list[Column]:
     return [F.col(time).asc_nulls_last(), F.col(seq).asc()]
 
 
-def assign_chunks(df: DataFrame, key: str, time: str, *, parts: int | None = None,
-                  min_rows: int = DEFAULT_MIN_ROWS,
+def assign_chunks(df: DataFrame, key: str, time: str, seq: str, *,
+                  rows_per_chunk: int = ROWS_PER_CHUNK,
                   stats_from: DataFrame | None = None) -> DataFrame:
-    """Add ``_c``/``_m``: split persons holding more than their share of rows.
+    """Add ``_k``/``_m``/``_c``: split persons of more than ``rows_per_chunk`` rows.
 
     ``time`` must be numeric (epoch seconds).  ``stats_from`` may be any
-    frame with the same key and time (e.g. the raw long table before a
-    pivot): chunking only has to be order-preserving, not exact, so the
-    counts may come from a cheaper upstream scan.  Row counts are a partial
-    (map-side combined) aggregate, so the hot person costs nothing there.
+    frame with the same key, time and seq (e.g. the raw long table before a
+    pivot).  Row counts are a partial (map-side combined) aggregate.  The
+    rows of hot persons, and of no others, are range partitioned on
+    (person, time, seq) into pieces of half the target, as the range
+    partitioner works on a sample; the first row of each piece is a border.
+    Borders are written once, so every later use sees the same ones.
     """
     if CHUNK in df.columns:
         return df
-    parts = parts or _partitions(df)
     src = stats_from if stats_from is not None else df
-    stats = src.groupBy(key).agg(
-        F.count(F.lit(1)).alias("_n"), F.min(time).alias("_lo"), F.max(time).alias("_hi"))
-    total = stats.agg(F.sum("_n").alias("_rows"))          # one row
-    share = F.greatest(F.lit(int(min_rows)), F.ceil(F.col("_rows") / F.lit(parts)))
-    hot = (stats.crossJoin(F.broadcast(total))
-           .where(F.col("_n") > share)                  # at most `parts` keys
-           .select(key,
-                   F.ceil(F.col("_n") / share).cast("int").alias(NCHUNKS),
-                   F.col("_lo"),
-                   F.try_divide(F.col("_hi") - F.col("_lo"),
-                                F.ceil(F.col("_n") / share).cast("double")).alias("_w")))
-    # The hot table is bounded by `parts` rows, so it is fetched once: with no
-    # hot person the chunk columns become literals and every carry branch
-    # below folds away at optimisation time (plain windows, one shuffle).
-    rows = hot.collect()
+    person = F.struct(F.col(key).alias("id"))
+    hot = write_through(src.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+                        .where(F.col("_n") > rows_per_chunk).select(person.alias(PERSON), "_n"))
+    rows = hot.agg(F.sum("_n")).first()[0]
     if not rows:
         return single_chunk(df)
-    hot_df = df.sparkSession.createDataFrame(rows, hot.schema)
-    out = df.join(F.broadcast(hot_df), on=key, how="left")
-    t, m, w = F.col(time), F.col(NCHUNKS), F.col("_w")
-    pos = F.floor(F.try_divide(t - F.col("_lo"), w))
-    chunk = (F.when(m.isNull() | (m <= 0), F.lit(0))
-             .when(t.isNull(), m)                         # NULL times sort last
-             .when(w.isNull() | (w <= 0), F.lit(0))
-             .otherwise(F.least(m - 1, F.greatest(F.lit(0), pos.cast("int")))))
-    return out.withColumns({CHUNK: chunk.cast("int"), NCHUNKS: F.coalesce(m, F.lit(0))}).drop("_lo", "_w")
-
-
-def ensure_chunks(df: DataFrame, key: str, time: str, **kw) -> DataFrame:
-    return df if CHUNK in df.columns else assign_chunks(df, key, time, **kw)
+    place = F.struct(F.col(time).isNull().alias("late"), F.col(time).alias("t"), F.col(seq).alias("s"))
+    pieces = -(-2 * rows // rows_per_chunk)
+    own = src.select(person.alias(PERSON), place.alias("_p")).join(hot.select(PERSON), PERSON, "left_semi")
+    own = own.repartitionByRange(int(pieces), PERSON, "_p").withColumn("_i", F.spark_partition_id())
+    borders = own.groupBy(PERSON, "_i").agg(F.min("_p").alias("_p")).groupBy(PERSON).agg(
+        F.array_sort(F.collect_list("_p")).alias("_b"))
+    borders = write_through(borders.select(
+        PERSON, F.size("_b").alias(NCHUNKS), "_b",
+        F.filter("_b", lambda x, i: i % _FINE == 0).alias("_coarse")))
+    out = df.withColumn(PERSON, person).join(borders, PERSON, "left")
+    passed = lambda c: F.size(F.filter(c, lambda x: x <= place))
+    step = passed(F.col("_coarse"))
+    fine = (step - 1) * _FINE + passed(F.slice("_b", (step - 1) * _FINE + 1, F.lit(_FINE))) - 1
+    chunk = F.when(F.col(NCHUNKS).isNull() | (step == 0), F.lit(0)).otherwise(fine)
+    return out.withColumns({CHUNK: chunk.cast("int"), NCHUNKS: F.coalesce(NCHUNKS, F.lit(0))}).drop("_b", "_coarse")
+
+
+def ensure_chunks(df: DataFrame, key: str, time: str, seq: str, **kw) -> DataFrame:
+    return df if CHUNK in df.columns else assign_chunks(df, key, time, seq, **kw)
 
 
 HOT_FREE = "panelflow.no_hot_person"
@@ -119,10 +117,8 @@ def hot_free(df: DataFrame) -> bool:
     return bool(df.schema[NCHUNKS].metadata.get(HOT_FREE, False))
 
 
-def _w(key: str, time: str, seq: str, reverse: bool) -> Window:
-    # `_m` is constant per person; listing it lets the optimiser push the
-    # "hot persons only" filter of the carry branches below the window.
-    return Window.partitionBy(key, NCHUNKS, CHUNK).orderBy(*order_cols(time, seq, reverse))
+def _w(keys: list[str], time: str, seq: str, reverse: bool) -> Window:
+    return Window.partitionBy(*keys).orderBy(*order_cols(time, seq, reverse))
 
 
 def add_lags(df: DataFrame, key: str, time: str, seq: str,
@@ -133,35 +129,36 @@ def add_lags(df: DataFrame, key: str, time: str, seq: str,
     ``reverse=True`` gives leads.  ``row_number`` also names the global
     1-based position of the row inside the person (W1).
     """
-    d = ensure_chunks(df, key, time)
-    w = _w(key, time, seq, reverse)
+    d = ensure_chunks(df, key, time, seq)
     if hot_free(d):
+        w = _w([key], time, seq, reverse)
         new = {o: F.lag(c, k).over(w) for o, (c, k) in lags.items()}
         if row_number:
             new[row_number] = F.row_number().over(w)
         return d.withColumns(new)
+    w = _w(part_keys(), time, seq, reverse)
     wall = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     kmax = max([k for _, k in lags.values()] + [1])
     d = d.withColumns({"_r": F.row_number().over(w), "_nr": F.count(F.lit(1)).over(wall)})
-    d = d.withColumns({f"_l_{o}": F.lag(c, k).over(w) for o, (c, k) in lags.items()})
+    d = write_through(d.withColumns({f"_l_{o}": F.lag(c, k).over(w) for o, (c, k) in lags.items()}))
 
     hot = F.col(NCHUNKS) > 0
     # Head and tail rows of every chunk of a hot person.  Ordered by time
     # within the person, the k rows before a head row are all in this set.
     edge = d.where(hot & ((F.col("_r") <= kmax) | (F.col("_r") > F.col("_nr") - kmax)))
-    we = Window.partitionBy(key).orderBy(*order_cols(time, seq, reverse))
-    edge = edge.select(*part_keys(key), "_r", "_nr",
+    we = Window.partitionBy(PERSON).orderBy(*order_cols(time, seq, reverse))
+    edge = edge.select(*part_keys(), "_r", "_nr",
                        *[F.lag(c, k).over(we).alias(f"_e_{o}") for o, (c, k) in lags.items()])
     heads = edge.where(F.col("_r") <= kmax)
     cols = [F.max(F.when(F.col("_r") == r, F.col(f"_e_{o}"))).alias(f"_h{r}_{o}")
             for o, (_, k) in lags.items() for r in range(1, k + 1)]
     cols.append(F.max("_nr").alias("_cn"))
-    carry = heads.groupBy(*part_keys(key)).agg(*cols)
-    wc = Window.partitionBy(key).orderBy(F.col(CHUNK).desc() if reverse else F.col(CHUNK).asc()) \
+    carry = heads.groupBy(*part_keys()).agg(*cols)
+    wc = Window.partitionBy(PERSON).orderBy(F.col(CHUNK).desc() if reverse else F.col(CHUNK).asc()) \
         .rowsBetween(Window.unboundedPreceding, -1)
     carry = carry.withColumn("_off", F.coalesce(F.sum("_cn").over(wc), F.lit(0))).drop("_cn")
 
-    d = d.join(carry, on=part_keys(key), how="left")
+    d = d.join(carry, on=part_keys(), how="left")
     new = {}
     for o, (_, k) in lags.items():
         fix = None
@@ -187,31 +184,32 @@ def add_running(df: DataFrame, key: str, time: str, seq: str, *,
     ``lasts[out]``: last non-NULL value so far (current row included).
     """
     sums, lasts = dict(sums or {}), dict(lasts or {})
-    d = ensure_chunks(df, key, time)
+    if not sums and not lasts:
+        return df
+    d = ensure_chunks(df, key, time, seq)
     if hot_free(d):
-        wrun = _w(key, time, seq, reverse).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        wrun = _w([key], time, seq, reverse).rowsBetween(Window.unboundedPreceding, Window.currentRow)
         return d.withColumns({**{o: F.sum(e).over(wrun) for o, e in sums.items()},
                               **{o: F.last(e, ignorenulls=True).over(wrun) for o, e in lasts.items()}})
     d = d.withColumns({**{f"_se_{o}": e for o, e in sums.items()},
                        **{f"_ve_{o}": e for o, e in lasts.items()}})
-    w = _w(key, time, seq, reverse)
+    w = _w(part_keys(), time, seq, reverse)
     wrun = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     d = d.withColumns({"_r": F.row_number().over(w),
                        **{f"_s_{o}": F.sum(f"_se_{o}").over(wrun) for o in sums},
                        **{f"_v_{o}": F.last(f"_ve_{o}", ignorenulls=True).over(wrun) for o in lasts}})
+    d = write_through(d)
     hot = F.col(NCHUNKS) > 0
     agg = [F.sum(f"_se_{o}").alias(f"_ts_{o}") for o in sums] + \
           [F.max_by(f"_ve_{o}", F.when(F.col(f"_ve_{o}").isNotNull(), F.col("_r"))).alias(f"_tv_{o}")
            for o in lasts]
-    if not agg:
-        return d.drop("_r")
-    tot = d.where(hot).groupBy(*part_keys(key)).agg(*agg)
-    wc = Window.partitionBy(key).orderBy(F.col(CHUNK).desc() if reverse else F.col(CHUNK).asc()) \
+    tot = d.where(hot).groupBy(*part_keys()).agg(*agg)
+    wc = Window.partitionBy(PERSON).orderBy(F.col(CHUNK).desc() if reverse else F.col(CHUNK).asc()) \
         .rowsBetween(Window.unboundedPreceding, -1)
-    carry = tot.select(*part_keys(key),
+    carry = tot.select(*part_keys(),
                        *[F.sum(f"_ts_{o}").over(wc).alias(f"_cs_{o}") for o in sums],
                        *[F.last(f"_tv_{o}", ignorenulls=True).over(wc).alias(f"_cv_{o}") for o in lasts])
-    d = d.join(carry, on=part_keys(key), how="left")
+    d = d.join(carry, on=part_keys(), how="left")
     d = d.withColumns({
         **{o: F.col(f"_s_{o}") + F.coalesce(F.col(f"_cs_{o}"), F.lit(0)) for o in sums},
         **{o: F.coalesce(F.col(f"_v_{o}"), F.col(f"_cv_{o}")) for o in lasts}})
@@ -248,9 +246,10 @@ def add_key_totals(df: DataFrame, key: str, *, counts: Mapping[str, Column] | No
         x = e.cast("double")
         agg += [F.count(x).alias(f"_kn_{o}"), F.avg(x).alias(f"_ka_{o}"),
                 (F.var_pop(x) * F.count(x)).alias(f"_km_{o}")]
-    part = d.groupBy(*part_keys(key)).agg(*agg)
-    wk = Window.partitionBy(key)
-    sel = [F.col(c) for c in part_keys(key)]
+    d = write_through(d)
+    part = d.groupBy(*part_keys()).agg(*agg)
+    wk = Window.partitionBy(PERSON)
+    sel = [F.col(c) for c in part_keys()]
     sel += [F.sum(f"_kc_{o}").over(wk).alias(o) for o in counts]
     sel += [F.sum(f"_ks_{o}").over(wk).alias(o) for o in sums]
     for o in moments:
@@ -265,4 +264,4 @@ def add_key_totals(df: DataFrame, key: str, *, counts: Mapping[str, Column] | No
         tot = tot.withColumn(f"{o}_var", F.when(F.col(f"{o}_n") >= 2,
                                                 m2 / (F.col(f"{o}_n") - F.lit(1)).cast("double")))
     tot = tot.drop(*[c for o in moments for c in (f"_kn_{o}", f"_ka_{o}", f"_km_{o}")])
-    return d.join(tot, on=part_keys(key), how="left")
+    return d.join(tot, on=part_keys(), how="left")

@@ -1,7 +1,7 @@
 """Time-series window operators over a person's record.
 
 All of them are built on :mod:`panelflow.operators.ordered`, so every
-window is keyed on ``(id, _c)`` and a hot person is split into chunks.
+window of a split person is keyed on ``(_k, _m, _c)``.
 ``time`` is an epoch-second double column, ``seq`` a unique row number
 used as the last sort key.
 """
@@ -14,9 +14,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelflow.functions.columns import SECONDS_PER_HOUR
-from panelflow.session import ensure_checkpoint_dir
-from panelflow.operators.ordered import (CHUNK, NCHUNKS, add_key_totals, add_lags,
-                                         add_running, ensure_chunks, hot_free, single_chunk)
+from panelflow.session import write_through
+from panelflow.operators.ordered import (CHUNK, NCHUNKS, PERSON, add_key_totals, add_lags, add_running,
+                                         ensure_chunks, hot_free, part_keys, single_chunk)
 
 
 def obs_counter(df: DataFrame, key: str, time: str, seq: str, out: str = "obs") -> DataFrame:
@@ -193,22 +193,25 @@ def sequential_id(df: DataFrame, key: str, out: str = "person_id") -> DataFrame:
            .withColumn("_p", F.spark_partition_id())
            .withColumn("_i", F.monotonically_increasing_id()))
     # monotonically_increasing_id = (partition << 33) + position in partition.
-    # The numbered keys are checkpointed (shared checkpoint folder) so both
-    # uses below see one fixed range split, also after a lost executor.
-    ensure_checkpoint_dir(df.sparkSession)
-    ids = ids.withColumn("_pos", F.col("_i") - F.shiftleft(F.col("_p").cast("bigint"), 33)) \
-        .select(key, "_p", "_pos").checkpoint(eager=True)
+    # The numbered keys are written once (shared folder) so both uses below
+    # see one fixed range split, also after a lost executor.
+    ids = write_through(ids.select(
+        key, "_p", (F.col("_i") - F.shiftleft(F.col("_p").cast("bigint"), 33)).alias("_pos")))
     sizes = ids.groupBy("_p").agg(F.max("_pos").alias("_last"))
     offsets = sizes.select("_p", F.coalesce(F.sum(F.col("_last") + 1).over(
         Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
     mapping = ids.join(F.broadcast(offsets), "_p").select(
         key, (F.col("_off") + F.col("_pos") + 1).cast("long").alias(out))
-    return df.join(mapping, on=key, how="left")
+    if CHUNK not in df.columns or hot_free(df):
+        return df.join(mapping, on=key, how="left")
+    # split persons: the number travels by chunk, so no join gathers a person
+    chunks = df.select(key, *part_keys()).distinct().join(mapping, key, "left").drop(key)
+    return df.join(chunks, on=part_keys(), how="left")
 
 
 def drop_helpers(df: DataFrame) -> DataFrame:
     """Remove the chunk bookkeeping columns before writing a result."""
-    return df.drop(CHUNK, NCHUNKS)
+    return df.drop(CHUNK, NCHUNKS, PERSON)
 
 
 __all__ = [

@@ -11,7 +11,6 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,8 +20,8 @@ from panelflow.operators import filters as K
 from panelflow.operators import joins as J
 from panelflow.operators import reshape as R
 from panelflow.operators import timeseries as W
-from panelflow.operators.ordered import assign_chunks
-from panelflow.session import ensure_checkpoint_dir
+from panelflow.operators.ordered import ROWS_PER_CHUNK, assign_chunks
+from panelflow.session import write_through
 
 
 @dataclass
@@ -45,7 +44,8 @@ class PanelConfig:
     exclude_ids: Sequence = ()
     center_stage: str = "after"     # person-centre before/after the series filter
     series_base: int = 1000
-    materialize: str = "persist"    # none / persist / checkpoint at stage ends
+    materialize: bool = True        # write stage results to the shared folder
+    rows_per_chunk: int = ROWS_PER_CHUNK   # persons with more rows are split
 
     @property
     def items(self) -> list[str]:
@@ -57,16 +57,11 @@ class PanelConfig:
 
 def materialize(df: DataFrame, cfg: PanelConfig) -> DataFrame:
     """Keep a stage result that several branches read (filters, global
-    statistics, joins back) so the upstream runs once.  ``persist`` spills
-    to disk and is recomputed from lineage after a lost executor;
-    ``checkpoint`` writes to the shared checkpoint folder and cuts lineage.
+    statistics, joins back) so the upstream runs once: it is written to the
+    shared folder and read back, which cuts lineage and leaves nothing
+    persisted.
     """
-    if cfg.materialize == "persist":
-        return df.persist(StorageLevel.MEMORY_AND_DISK)
-    if cfg.materialize == "checkpoint":
-        ensure_checkpoint_dir(df.sparkSession)
-        return df.checkpoint(eager=False)
-    return df
+    return write_through(df) if cfg.materialize else df
 
 
 # --- D1 -----------------------------------------------------------------------
@@ -86,7 +81,7 @@ def prepare_panel(long: DataFrame, cfg: PanelConfig, label: str, value: str,
     wide = R.pivot_prompts(d, keys, label, value, labels, seq=cfg.seq, on_duplicate=on_duplicate)
     wide = wide.withColumns({"day_of_week": C.weekday_label_epoch(cfg.time),
                              "weekend": C.weekend_flag_epoch(cfg.time)})
-    wide = assign_chunks(wide, cfg.id, cfg.time, stats_from=d)
+    wide = assign_chunks(wide, cfg.id, cfg.time, cfg.seq, rows_per_chunk=cfg.rows_per_chunk, stats_from=d)
     return W.obs_counter(wide, cfg.id, cfg.time, cfg.seq, "obs")
 
 

@@ -61,7 +61,7 @@ def test_run_sizes_and_min_run(spark):
 
 def _dense_forced(spark):
     ev = events_long(spark, "/root/testdata/sf0.001").select("ID", "t", "seq", "Y1", "Y2")
-    forced = O.assign_chunks(ev, "ID", "t", parts=2000, min_rows=4)
+    forced = O.assign_chunks(ev, "ID", "t", "seq", rows_per_chunk=4)
     return ev, forced
 
 
@@ -86,13 +86,6 @@ def test_chunked_scans_equal_plain_windows(spark):
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
 
 
-def test_hot_table_bounded_by_partitions(spark):
-    ev = events_long(spark, "/root/testdata/sf0.001").select("ID", "t", "seq")
-    out = O.assign_chunks(ev, "ID", "t", parts=4, min_rows=1)
-    n_hot = out.where(F.col(O.NCHUNKS) > 0).select("ID").distinct().count()
-    assert n_hot <= 4
-
-
 def test_sequential_id_dense(spark):
     df = spark.createDataFrame([(k,) for k in [50, 7, 7, 1000, 3, 50]], "ID long")
     out = W.sequential_id(df, "ID")
