@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelflow.llm.packed import falls, pack, rises, unpack
-from panelflow.llm.store import partitions
+from panelflow.llm.store import cut, partitions
 from panelflow.llm.words import Texts, batches, mix, prefix_hash, span_hash
 
 #: Least length of a repeat and length of an anchor, in bytes.
@@ -49,6 +49,7 @@ def anchors(t: Texts) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
+    """(id, th, doc_id, text): a greatest id for null ones, a hash of the text."""
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("id"),
                        F.xxhash64("text").alias("th"), "doc_id", "text")
 
@@ -281,12 +282,23 @@ class _Bucket:
                         yield l, r, mine
 
 
-def _prepared(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    parts = partitions(docs.sparkSession)
-    rows = _keyed(docs)
-    found = _repeated(rows, parts).groupBy("id", "th").agg(F.collect_list("hashes").alias("hashes"))
-    marked = rows.select("id", "th", "text").join(found, ["id", "th"])
-    return rows, _contexts(marked, parts)
+def _prepared(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows, copies, blobs): keyed rows, the (id, th) of later copies of a whole text, repeated anchors.
+
+    The rows are dealt by (id, th) once; every later use of the texts reads
+    that shuffle.  Whole copies are known from their hashes and need no
+    anchors: the text's first document stands for them.
+    """
+    spark = docs.sparkSession
+    parts = max(1, -(-partitions(spark) * 3 // 5))
+    keys = _keyed(docs).select("id", "th")
+    firsts = keys.groupBy("th").agg(F.min("id").alias("first"))
+    copies = cut(keys.join(firsts, "th").where("id > first").select("id", "th").distinct())
+    rows = _keyed(docs).repartition(partitions(spark), "id", "th")
+    texts = rows.join(copies, ["id", "th"], "left_anti")
+    found = _repeated(texts, parts).groupBy("id", "th").agg(F.collect_list("hashes").alias("hashes"))
+    marked = texts.join(found, ["id", "th"]).select("id", "th", "text", "hashes")
+    return rows, copies, _contexts(marked, parts)
 
 
 def repeat_groups(docs: DataFrame) -> DataFrame:
@@ -294,9 +306,10 @@ def repeat_groups(docs: DataFrame) -> DataFrame:
 
     ``repeat`` names the byte string; positions are bytes.  A repeat longer
     than the surroundings of one anchor (80 bytes) is given as overlapping
-    ones, one for each of its anchors.
+    ones, one for each of its anchors; a text that repeats as a whole also
+    as one.
     """
-    _, blobs = _prepared(docs)
+    _, _, blobs = _prepared(docs)
 
     def out(pdf: pd.DataFrame) -> pd.DataFrame:
         b, rows = _Bucket(pdf["blob"]), []
@@ -305,10 +318,17 @@ def repeat_groups(docs: DataFrame) -> DataFrame:
             name = hashlib.sha256(key[1][:l][::-1] + key[2][:r]).hexdigest()
             for c in members:
                 for k in range(b.first[c], b.first[c + 1]):
-                    rows.append((name, l + r, int(b.ids[b.doc[k]]), int(b.pos[k]) - l))
-        return pd.DataFrame(rows, columns=["repeat", "length", "id", "position"])
-
-    got = blobs.groupBy("p").applyInPandas(out, "repeat string, length long, id long, position long").distinct()
+                    rows.append((name, l + r, int(b.ths[b.doc[k]]), int(b.pos[k]) - l))
+        return pd.DataFrame(rows, columns=["repeat", "length", "th", "position"])
+
+    got = blobs.groupBy("p").applyInPandas(out, "repeat string, length long, th long, position long").distinct()
+    keyed = _keyed(docs)
+    owners = keyed.select("id", "th").distinct()
+    whole = keyed.select("id", "th", F.sha2("text", 256).alias("repeat"), F.octet_length("text").cast("long").alias("length"))
+    whole = whole.where(F.col("length") >= LEAST).distinct()
+    again = whole.groupBy("th").agg(F.count("*").alias("n")).where("n > 1").select("th")
+    whole = whole.join(again, "th").select("repeat", "length", "id", F.lit(0).cast("long").alias("position"))
+    got = got.join(owners, "th").select("repeat", "length", "id", "position").unionByName(whole).distinct()
     return got.select("repeat", "length", F.when(F.col("id") < _LAST, F.col("id")).alias("doc_id"), "position")
 
 
@@ -362,7 +382,8 @@ def dedup_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     document of a smaller doc_id, judged on the texts as given; matches lie
     within one text.  ``kept`` holds the other bytes.
 
-    Only anchors are indexed: the least-hashed 20 bytes of every window of
+    Later copies of a whole text go as a whole.  Of the others only anchors
+    are indexed: the least-hashed 20 bytes of every window of
     50.  First their hashes alone are shuffled, to find those that documents
     of more than one id hold; then the surroundings of these (30 bytes
     before, 50 from the anchor on) are, with each distinct surrounding once per task.
@@ -374,18 +395,21 @@ def dedup_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     one doc_id are never each other's original; null doc_id counts as
     greater than all.  Empty table: empty result.  Other columns are ignored.
     """
-    rows, blobs = _prepared(docs)
+    rows, copies, blobs = _prepared(docs)
     spans = _spans(blobs).groupBy("id", "th").agg(F.collect_list("spans").alias("spans"))
-    joined = rows.join(spans, ["id", "th"], "left").select("doc_id", "text", "spans")
+    joined = rows.join(spans, ["id", "th"], "left").join(copies.withColumn("copy", F.lit(True)), ["id", "th"], "left")
+    joined = joined.select("doc_id", "text", "spans", F.coalesce("copy", F.lit(False)).alias("copy"))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def apply(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             out = []
-            for text, spans in zip(pdf["text"], pdf["spans"], strict=True):
+            for text, spans, copy in zip(pdf["text"], pdf["spans"], pdf["copy"], strict=True):
                 raw = (text or "").encode("utf-8", "surrogatepass")
                 kept, gone, runs = raw, 0, 0
-                if spans is not None and len(spans):
+                if copy and len(raw) >= LEAST:
+                    kept, gone, runs = b"", len(raw), 1
+                elif spans is not None and len(spans):
                     got = [unpack(x) for x in spans]
                     start, stop = np.concatenate([x[0] for x in got]), np.concatenate([x[1] for x in got])
                     order = np.argsort(start, kind="stable")
