@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelflow.llm.store import cut
+from panelflow.llm.store import cut, discard
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -29,6 +29,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         taken = labels.join(near, F.col("node") == F.col("u"), "left").select(
             "node", F.col("root").alias("was"), F.least("root", "near").alias("root"))
         hop = labels.select(F.col("node").alias("root"), F.col("root").alias("next"))
-        labels = cut(taken.join(hop, "root", "left").select(
+        before, labels = labels, cut(taken.join(hop, "root", "left").select(
             "node", F.least("root", "next").alias("root"), (F.least("root", "next") < F.col("was")).alias("moved")))
+        discard(before)
+    discard(edges)
     return labels.select("node", "root")

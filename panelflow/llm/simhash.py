@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelflow.llm.graph import components
-from panelflow.llm.store import cut
+from panelflow.llm.store import cut, discard
 
 #: Words of a shingle, most differing bits of a link, hash seed.
 SHINGLE, MAX_BITS, SEED = 3, 3, 42
@@ -137,6 +137,7 @@ def near_dedup(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS
     roots = components(links(groups.select("fp")))
     rooted = cut(groups.join(roots, F.col("fp") == F.col("node"), "left")
                  .select("fp", "least", F.coalesce("root", "fp").alias("root")))
+    discard(groups, roots)
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     return (fps.join(rooted.select("fp", "root"), "fp").join(ids, "root")
             .select("doc_id", "fp", "component_id"))

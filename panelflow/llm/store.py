@@ -38,6 +38,17 @@ def cut(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``cut`` that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        for name in df.inputFiles()[:1]:
+            at = name.rfind("/cut-")
+            path = spark._jvm.org.apache.hadoop.fs.Path(name[:name.index("/", at + 1)])
+            if at > 0:
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut_buckets(df: DataFrame, partition_by: list[str], buckets: int, by: str) -> DataFrame:
     """As ``cut``, with files bucketed by ``by``: grouping or joining on it needs no shuffle."""
     spark, name = df.sparkSession, f"cut_{uuid.uuid4().hex}"
