@@ -19,6 +19,8 @@ LEAST, ANCHOR = 50, 20
 _LAST = (1 << 63) - 1
 #: Characters of text after which a task passes on what it has gathered.
 _GATHER = 16_000_000
+#: Parts in which a task works off a hash bucket, one after the other.
+SLICES = 4
 
 
 def anchors(t: Texts) -> tuple[np.ndarray, np.ndarray]:
@@ -49,9 +51,9 @@ def anchors(t: Texts) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """(id, th, doc_id, text): a greatest id for null ones, a hash of the text."""
+    """(id, th, text): a greatest id for null ones, a hash of the text."""
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("id"),
-                       F.xxhash64("text").alias("th"), "doc_id", "text")
+                       F.xxhash64("text").alias("th"), "text")
 
 
 def _deal(parts: int, h: np.ndarray) -> np.ndarray:
@@ -234,22 +236,24 @@ def _contexts(rows: DataFrame, parts: int) -> DataFrame:
 
 
 class _Bucket:
-    """The repeated anchors of one hash bucket, decoded and grouped."""
+    """One slice of the repeated anchors of a hash bucket, decoded and grouped."""
 
-    def __init__(self, blobs):
+    def __init__(self, blobs, slice_: int):
         self.left, self.right, self.hash = [], [], []
         number: dict[tuple[int, bytes, bytes], int] = {}
         ctx, doc, pos, ids, ths, base = [], [], [], [], [], 0
         for blob in blobs:
             h, ll, rl, text, c, d, p, id_, th = unpack(blob)
-            raw, at, turn = text.tobytes(), 0, np.empty(len(h), np.int64)
-            for i, (x, a, b) in enumerate(zip(h.tolist(), ll.tolist(), rl.tolist(), strict=True)):
-                key = (x, raw[at:at + a], raw[at + a:at + a + b])
-                at += a + b
-                turn[i] = number.setdefault(key, len(number))
-            ctx.append(turn[c])
-            doc.append(d.astype(np.int64) + base)
-            pos.append(p.astype(np.int64))
+            mine = mix(h + np.uint64(1)) % np.uint64(SLICES) == slice_
+            raw, turn = text.tobytes(), np.full(len(h), -1)
+            at = np.cumsum(ll.astype(np.int64) + rl) - ll - rl
+            for i in np.flatnonzero(mine).tolist():
+                a, m, z = int(at[i]), int(at[i]) + int(ll[i]), int(at[i]) + int(ll[i]) + int(rl[i])
+                turn[i] = number.setdefault((int(h[i]), raw[a:m], raw[m:z]), len(number))
+            here = mine[c]
+            ctx.append(turn[c[here]])
+            doc.append(d[here].astype(np.int64) + base)
+            pos.append(p[here].astype(np.int64))
             ids.append(id_)
             ths.append(th)
             base += len(id_)
@@ -293,9 +297,10 @@ def _prepared(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     parts = max(1, -(-partitions(spark) * 3 // 5))
     keys = _keyed(docs).select("id", "th")
     firsts = keys.groupBy("th").agg(F.min("id").alias("first"))
-    copies = cut(keys.join(firsts, "th").where("id > first").select("id", "th").distinct())
+    copies = cut(keys.join(firsts, "th").where("id > first").select("id", "th", F.lit(True).alias("copy")).distinct())
     rows = _keyed(docs).repartition(partitions(spark), "id", "th")
-    texts = rows.join(copies, ["id", "th"], "left_anti")
+    # not an anti join, which would go below the shuffle and give the uses different ones
+    texts = rows.join(copies, ["id", "th"], "left").where("copy IS NULL").drop("copy")
     found = _repeated(texts, parts).groupBy("id", "th").agg(F.collect_list("hashes").alias("hashes"))
     marked = texts.join(found, ["id", "th"]).select("id", "th", "text", "hashes")
     return rows, copies, _contexts(marked, parts)
@@ -312,13 +317,14 @@ def repeat_groups(docs: DataFrame) -> DataFrame:
     _, _, blobs = _prepared(docs)
 
     def out(pdf: pd.DataFrame) -> pd.DataFrame:
-        b, rows = _Bucket(pdf["blob"]), []
-        for l, r, members in b.groups():  # noqa: E741
-            key = b.keys[members[0]]
-            name = hashlib.sha256(key[1][:l][::-1] + key[2][:r]).hexdigest()
-            for c in members:
-                for k in range(b.first[c], b.first[c + 1]):
-                    rows.append((name, l + r, int(b.ths[b.doc[k]]), int(b.pos[k]) - l))
+        rows = []
+        for b in (_Bucket(pdf["blob"], i) for i in range(SLICES)):
+            for l, r, members in b.groups():  # noqa: E741
+                key = b.keys[members[0]]
+                name = hashlib.sha256(key[1][:l][::-1] + key[2][:r]).hexdigest()
+                for c in members:
+                    for k in range(b.first[c], b.first[c + 1]):
+                        rows.append((name, l + r, int(b.ths[b.doc[k]]), int(b.pos[k]) - l))
         return pd.DataFrame(rows, columns=["repeat", "length", "th", "position"])
 
     got = blobs.groupBy("p").applyInPandas(out, "repeat string, length long, th long, position long").distinct()
@@ -336,33 +342,30 @@ def _spans(blobs: DataFrame) -> DataFrame:
     """(id, th, spans): of each repeat's occurrences, those in documents behind its first one."""
 
     def out(pdf: pd.DataFrame) -> pd.DataFrame:
-        b = _Bucket(pdf["blob"])
+        found = [part for i in range(SLICES) for part in parts(_Bucket(pdf["blob"], i))]
+        if not found:
+            return pd.DataFrame({"id": [], "th": [], "spans": []})
+        ids, ths, start, stop = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.lexsort((start, ths, ids))
+        ids, ths, start, stop = ids[order], ths[order], start[order], stop[order]
+        first = np.flatnonzero(np.concatenate(([True], (ids[1:] != ids[:-1]) | (ths[1:] != ths[:-1])))) if len(ids) else np.zeros(0, np.int64)
+        spans = [pack(*_union(start[a:z], stop[a:z])) for a, z in zip(first, np.append(first[1:], len(ids)), strict=True)]
+        return pd.DataFrame({"id": ids[first], "th": ths[first], "spans": spans})
+
+    def parts(b: _Bucket) -> Iterator[tuple]:
         of: dict[int, dict[tuple[int, int], int]] = {}
         for l, r, members in b.groups():  # noqa: E741
             low = min(int(b.low[c]) for c in members)
             for c in members:
                 mine = of.setdefault(c, {})
                 mine[l, r] = min(low, mine.get((l, r), low))
-        doc, start, stop = [], [], []
         for c, reach in of.items():
             d, p = b.doc[b.first[c]:b.first[c + 1]], b.pos[b.first[c]:b.first[c + 1]]
             own = b.ids[d]
             for (l, r), low in reach.items():  # noqa: E741
                 gone = own > low
-                doc.append(d[gone])
-                start.append(p[gone] - l)
-                stop.append(p[gone] + r)
-        if not doc:
-            return pd.DataFrame({"id": [], "th": [], "spans": []})
-        doc, start, stop = map(np.concatenate, (doc, start, stop))
-        order = np.lexsort((start, doc))
-        doc, start, stop = doc[order], start[order], stop[order]
-        first = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1]))) if len(doc) else np.zeros(0, np.int64)
-        spans = []
-        for a, z in zip(first, np.append(first[1:], len(doc)), strict=True):
-            s, e = _union(start[a:z], stop[a:z])
-            spans.append(pack(s, e))
-        return pd.DataFrame({"id": b.ids[doc[first]], "th": b.ths[doc[first]], "spans": spans})
+                if gone.any():
+                    yield own[gone], b.ths[d[gone]], p[gone] - l, p[gone] + r
 
     return blobs.groupBy("p").applyInPandas(out, "id long, th long, spans binary")
 
@@ -397,9 +400,10 @@ def dedup_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """
     rows, copies, blobs = _prepared(docs)
     spans = _spans(blobs).groupBy("id", "th").agg(F.collect_list("spans").alias("spans"))
-    joined = rows.join(spans, ["id", "th"], "left").join(copies.withColumn("copy", F.lit(True)), ["id", "th"], "left")
-    joined = joined.select("doc_id", "text", "spans", F.coalesce("copy", F.lit(False)).alias("copy"))
+    joined = rows.join(spans, ["id", "th"], "left").join(copies, ["id", "th"], "left")
     kind = docs.schema["doc_id"].dataType.simpleString()
+    joined = joined.select(F.when(F.col("id") < _LAST, F.col("id")).cast(kind).alias("doc_id"), "text", "spans",
+                           F.coalesce("copy", F.lit(False)).alias("copy"))
 
     def apply(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
