@@ -142,11 +142,6 @@ def epoch_seconds_text(c: str | Column, formats: Sequence[str] = DEFAULT_TIME_FO
     return _ntz_epoch(parse_time(c, formats).cast("timestamp_ntz"))
 
 
-def hours_between(start: str | Column, end: str | Column) -> Column:
-    """(end - start) in hours for epoch-second columns."""
-    return (col(end) - col(start)) / F.lit(SECONDS_PER_HOUR)
-
-
 # --- P12-P17: row-wise ------------------------------------------------------
 def presence_flags(cols: Iterable[str], suffix: str = "_present") -> dict[str, Column]:
     """``{c+suffix: 1 if c present else 0}``."""
@@ -258,8 +253,8 @@ def series_key_collides(session: str | Column, base: int = 1000) -> Column:
 
 
 def flag_rules(rules: Mapping[str, Column]) -> dict[str, Column]:
-    """Named boolean columns; NULL inputs give NULL flags."""
-    return dict(rules)
+    """Named boolean columns; a rule that can't be decided (NULL) doesn't flag."""
+    return {name: F.coalesce(rule, F.lit(False)) for name, rule in rules.items()}
 
 
 def round_half_even(c: str | Column, digits: int = 1) -> Column:

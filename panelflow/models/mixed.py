@@ -1,9 +1,9 @@
-"""Gaussian multilevel VAR by EM on per-person moments (M3, M5).
+"""Gaussian multilevel VAR by accelerated EM on per-person moments (M3, M4, M5, M8).
 
-Two outcomes ``o``, each with fixed columns ``X_o`` and random columns
-``Z_o`` (subsets of the moment terms), random effects ``b ~ N(0, Psi)``
-stacked over both outcomes (correlated), residuals ``N(0, Sigma)`` across
-outcomes at the same occasion.  Maximum likelihood by EM:
+Outcomes ``o``, each with fixed columns ``X_o`` and random columns ``Z_o``
+(subsets of the moment terms), random effects ``b ~ N(0, Psi)`` stacked
+over the outcomes (correlated), residuals ``N(0, Sigma)`` across outcomes
+at the same occasion.  Maximum likelihood by EM:
 
 * E-step per person (``A = Psi^-1 + [S_oq Z_o'Z_q]``, ``r_o = sum_q S_oq
   (Z_o'Y_q - Z_o'X_q beta_q)``, ``b = A^-1 r``, ``V = A^-1``);
@@ -11,153 +11,344 @@ outcomes at the same occasion.  Maximum likelihood by EM:
   the GLS equations with offset ``Z b``, ``Sigma`` from the expected
   residual cross-products.
 
-Each iteration is one ``mapInPandas`` pass over the persisted moments
-table (one row per person); every batch returns only summed statistics,
-so nothing per person reaches the driver.  The marginal log-likelihood of
-the current parameters comes from the same pass and stops the loop.
+Each pass is one ``mapInPandas`` over the moments table (one row per
+person) with stacked linear algebra per batch; the batches' sums are summed
+by Spark and one vector reaches the driver.  A pass can carry several fits
+at once (``fits``), each leaving out the persons of a fold.
+
+EM steps are extrapolated (squared iterative steps on Cholesky factors).
+A step that lowers the marginal log-likelihood is taken back, so the
+path never falls.  The fit ends when an EM step changes no parameter by
+more than ``tol`` of its size and the log-likelihood by less than ``tol``
+relative; ``converged`` tells whether it did within ``max_iter`` passes,
+and the log-likelihood is that of the parameters returned.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
-from pyspark.sql import types as T
+from pyspark.sql import functions as F
 
-from panelflow.models.moments import ONE, _matrices, pooled_ols
+from panelflow.models.moments import ONE, mname, pooled_ols
+from panelflow.session import write_through
 
 LOG2PI = float(np.log(2 * np.pi))
 
 
-def _idx(terms: list[str], cols: Sequence[str]) -> list[int]:
-    return [terms.index(c) for c in cols]
+@dataclass
+class Shape:
+    """Column numbers of a model's terms, and how its sums lie in one vector."""
+
+    terms: list[str]
+    ys: list[str]
+    fixed: dict[str, list[str]]
+    random: dict[str, list[str]]
+
+    def __post_init__(self):
+        at = self.terms.index
+        self.k = len(self.ys)
+        self.fx = [[at(c) for c in self.fixed[y]] for y in self.ys]
+        self.rz = [[at(c) for c in self.random[y]] for y in self.ys]
+        self.xo = np.concatenate([[0], np.cumsum([len(f) for f in self.fx])]).astype(int)
+        self.zo = np.concatenate([[0], np.cumsum([len(r) for r in self.rz])]).astype(int)
+        self.p, self.q = int(self.xo[-1]), int(self.zo[-1])
+        # columns of the stacked X and Z among (term, outcome) pairs
+        self.xcols, self.zcols = np.concatenate(self.fx), np.concatenate(self.rz)
+        self.xy = np.repeat(np.arange(self.k), np.diff(self.xo))
+        self.zy = np.repeat(np.arange(self.k), np.diff(self.zo))
+        self.sizes = [self.q * self.q, self.k * self.k, self.p * self.k, self.p * self.p, 3]
+        self.width = sum(self.sizes)
+
+    def split(self, v: np.ndarray):
+        """Named blocks of a summed vector."""
+        parts = np.split(v, np.cumsum(self.sizes)[:-1])
+        return (parts[0].reshape(self.q, self.q), parts[1].reshape(self.k, self.k),
+                parts[2].reshape(self.p, self.k), parts[3].reshape(self.p, self.p), parts[4])
+
+
+def stacked(pdf: pd.DataFrame, terms: Sequence[str], ys: Sequence[str]):
+    """(W'W, W'Y, Y'Y) of all persons of a batch, as arrays (persons, ...)."""
+    n, p, k = len(pdf), len(terms), len(ys)
+    ww, wy, yy = np.zeros((n, p, p)), np.zeros((n, p, k)), np.zeros((n, k, k))
+    for i, a in enumerate(terms):
+        for j in range(i, p):
+            ww[:, i, j] = ww[:, j, i] = pdf[mname(a, terms[j])]
+        for j, y in enumerate(ys):
+            wy[:, i, j] = pdf[mname(a, y)]
+    for i, u in enumerate(ys):
+        for j in range(i, k):
+            yy[:, i, j] = yy[:, j, i] = pdf[mname(u, ys[j])]
+    return ww, wy, yy
+
+
+def e_step(s: Shape, ww, wy, yy, n, beta, sigma, psi) -> np.ndarray:
+    """Expected sums of each person (persons, width); the last three are log-likelihood, rows and 1."""
+    s_inv, psi_inv = np.linalg.inv(sigma), np.linalg.inv(psi)
+    sz, sx = s_inv[np.ix_(s.zy, s.zy)], s_inv[np.ix_(s.zy, s.xy)]
+    zz, zx = ww[:, s.zcols][:, :, s.zcols], ww[:, s.zcols][:, :, s.xcols]
+    xx = ww[:, s.xcols][:, :, s.xcols]
+    zy, xy = wy[:, s.zcols], wy[:, s.xcols]          # (persons, columns, outcomes)
+    a = psi_inv + sz * zz
+    r = np.einsum("nzk,zk->nz", zy, s_inv[s.zy]) - np.einsum("nzx,x->nz", sx * zx, beta)
+    v = np.linalg.inv(a)
+    b = np.einsum("nij,nj->ni", v, r)
+    logdet = np.linalg.slogdet(a)[1] + np.linalg.slogdet(psi)[1] + n * np.linalg.slogdet(sigma)[1]
+    pick_x = np.zeros((s.p, s.k))
+    pick_x[np.arange(s.p), s.xy] = 1.0
+    pick_z = np.zeros((s.q, s.k))
+    pick_z[np.arange(s.q), s.zy] = 1.0
+    bx = pick_x * beta[:, None]                       # (x columns, outcome)
+    yxb = np.einsum("nxk,xo->nok", xy, bx)            # beta_o' X_o'Y_k
+    eps = yy - yxb - np.swapaxes(yxb, 1, 2) + np.einsum("xo,nxw,wk->nok", bx, xx, bx)
+    quad = np.einsum("ok,nok->n", s_inv, eps)
+    ll = -0.5 * (s.k * n * LOG2PI + logdet + quad - np.einsum("ni,ni->n", r, b))
+    vbb = v + b[:, :, None] * b[:, None, :]
+    zb = pick_z * b[:, :, None]                       # (persons, z columns, outcome)
+    yzb = np.einsum("nzk,nzo->nok", zy, zb)
+    czz = np.einsum("zo,nzw,wk->nok", pick_z, zz * vbb, pick_z)
+    c = yy - yzb - np.swapaxes(yzb, 1, 2) + czz       # residual cross-products before the fixed part
+    g = xy - np.einsum("nxz,nzk->nxk", np.swapaxes(zx, 1, 2), zb)
+    flat = [x.reshape(len(n), -1) for x in (vbb, c, g, xx)]
+    return np.concatenate([*flat, np.stack([ll, n, np.ones(len(n))], 1)], axis=1)
+
+
+def m_step(s: Shape, total: np.ndarray, sigma: np.ndarray, floor: float):
+    """(beta, Sigma, Psi, X'S^-1X) from the summed expectations."""
+    vbb, c, g, h, (_, n, persons) = s.split(total)
+    s_inv = np.linalg.inv(sigma)
+    lhs = s_inv[np.ix_(s.xy, s.xy)] * h
+    rhs = np.einsum("xk,xk->x", g, s_inv[s.xy])
+    beta = np.linalg.solve(lhs, rhs)
+    pick = np.zeros((s.p, s.k))
+    pick[np.arange(s.p), s.xy] = 1.0
+    bx = pick * beta[:, None]
+    bg = bx.T @ g
+    new = (c - bg - bg.T + bx.T @ h @ bx) / n
+    psi = vbb / persons
+    return beta, _safe(new, floor), _safe(psi, floor)
+
+
+def _safe(a: np.ndarray, floor: float) -> np.ndarray:
+    """Symmetric with eigenvalues of at least ``floor``."""
+    w, q = np.linalg.eigh((a + a.T) / 2)
+    return (q * np.maximum(w, floor)) @ q.T
+
+
+def _pack(beta, sigma, psi) -> np.ndarray:
+    out = [beta]
+    for m in (sigma, psi):
+        low = np.linalg.cholesky(m)
+        low[np.diag_indices_from(low)] = np.log(np.diag(low))
+        out.append(low[np.tril_indices_from(low)])
+    return np.concatenate(out)
+
+
+def _unpack(s: Shape, v: np.ndarray):
+    beta, at, mats = v[:s.p], s.p, []
+    for size in (s.k, s.q):
+        low = np.zeros((size, size))
+        m = size * (size + 1) // 2
+        low[np.tril_indices(size)] = v[at:at + m]
+        low[np.diag_indices(size)] = np.exp(np.clip(np.diag(low), -30, 30))
+        mats.append(low @ low.T)
+        at += m
+    return beta, mats[0], mats[1]
+
+
+def person_sums(s: Shape, moments: DataFrame, params: list, fold: str | None = None,
+                inside: bool = False) -> list[np.ndarray]:
+    """Summed expectations for each parameter set in one pass.
+
+    With ``fold`` (a column of the moments), set number j leaves out the
+    persons of fold j, or takes only those (``inside``).
+    """
+    def run(batches):
+        for pdf in batches:
+            arrays, n = stacked(pdf, s.terms, s.ys), pdf["n"].to_numpy(float)
+            out = []
+            for j, (beta, sigma, psi) in enumerate(params):
+                rows = np.ones(len(pdf), bool) if fold is None else (pdf[fold].to_numpy() == j) == inside
+                got = e_step(s, *[a[rows] for a in arrays], n[rows], beta, sigma, psi)
+                out.append(got.sum(axis=0))
+            flat = np.concatenate(out)
+            yield pd.DataFrame({"i": np.arange(len(flat)), "x": flat})
+
+    sums = moments.mapInPandas(run, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).collect()
+    flat = np.zeros(s.width * len(params))
+    for r in sums:
+        flat[r.i] = r.x
+    return np.split(flat, len(params))
+
+
+class _Fit:
+    """One fit's place in its extrapolation cycle: it is shown sums and names the parameters to try next."""
+
+    def __init__(self, s: Shape, start, tol: float, floor: float):
+        self.s, self.tol, self.floor = s, tol, floor
+        self.ask, self.best = start, None
+        self.ll, self.path, self.done, self.points, self.back = -np.inf, [], False, [], None
+
+    def show(self, total: np.ndarray) -> None:
+        ll = float(self.s.split(total)[4][0])
+        if self.back is not None and not ll >= self.ll - 1e-9 * abs(self.ll):
+            self.ask, self.back, self.points = self.back, None, []   # the leap went too far
+            return
+        self.back = None
+        step = m_step(self.s, total, self.ask[1], self.floor)
+        here, there = _pack(*self.ask), _pack(*step)
+        change = max(float(np.max(np.abs(b - a) / (1 + np.abs(a)))) for a, b in zip(self.ask, step, strict=True))
+        settled = abs(ll - self.ll) <= self.tol * (1 + abs(ll))
+        self.best, self.total, self.ll = self.ask, total, ll
+        self.path.append(ll)
+        if change <= self.tol and settled:
+            self.done = True
+            return
+        self.points.append(here)
+        self.ask = step
+        if len(self.points) == 2:
+            r = self.points[1] - self.points[0]
+            v = there - self.points[1] - r
+            size = np.linalg.norm(v)
+            if size > 1e-14:
+                leap = max(1.0, np.linalg.norm(r) / size)
+                self.back = step
+                self.ask = _unpack(self.s, self.points[0] + 2 * leap * r + leap * leap * v)
+            self.points = []
+
+
+def fit_many(moments: DataFrame, s: Shape, *, fits: int = 1, fold: str | None = None,
+             max_iter: int = 1000, tol: float = 1e-6) -> list[dict]:
+    """Fit ``fits`` copies of a model, copy j without the persons of fold j, in the same passes."""
+    beta, resid = [], np.zeros((s.k, s.k))
+    for o, y in enumerate(s.ys):
+        ols = pooled_ols(moments, [c for c in s.fixed[y] if c != ONE], [y], intercept=ONE in s.fixed[y])
+        place = {t: i for i, t in enumerate(ols["terms"])}
+        beta += [float(ols["B"][place[c], 0]) for c in s.fixed[y]]
+        resid[o, o] = max(float(ols["resid_cov"][0, 0]), 1e-6)
+    floor = 1e-9 * float(np.mean(np.diag(resid)))
+    start = (np.array(beta), resid, np.eye(s.q) * 0.1 * float(np.mean(np.diag(resid))))
+    all_ = [_Fit(s, start, tol, floor) for _ in range(fits)]
+    passes = 0
+    while passes < max_iter and not all(f.done for f in all_):
+        passes += 1
+        for f, total in zip(all_, person_sums(s, moments, [f.ask for f in all_], fold), strict=True):
+            if not f.done:
+                f.show(total)
+    return [_result(s, f, passes) for f in all_]
+
+
+def _result(s: Shape, f: _Fit, passes: int) -> dict:
+    beta, sigma, psi = f.best
+    h, (ll, n, persons) = s.split(f.total)[3], s.split(f.total)[4]
+    by = {y: dict(zip(s.fixed[y], map(float, beta[s.xo[o]:s.xo[o + 1]]), strict=True)) for o, y in enumerate(s.ys)}
+    return {"beta": by, "sigma": sigma, "psi": psi, "loglik": f.ll, "path": f.path, "passes": passes,
+            "converged": f.done, "n": int(n), "persons": int(persons), "params": (beta, sigma, psi), "shape": s, "xx": h}
+
+
+def fixed_covariance(moments: DataFrame, fit: dict) -> np.ndarray:
+    """Covariance of the fixed effects: inverse of the marginal information, summed over persons in one pass."""
+    s, (_, sigma, psi) = fit["shape"], fit["params"]
+
+    def run(batches):
+        s_inv, psi_inv = np.linalg.inv(sigma), np.linalg.inv(psi)
+        for pdf in batches:
+            ww, _, _ = stacked(pdf, s.terms, s.ys)
+            zz, zx = ww[:, s.zcols][:, :, s.zcols], ww[:, s.zcols][:, :, s.xcols]
+            a = psi_inv + s_inv[np.ix_(s.zy, s.zy)] * zz
+            b = s_inv[np.ix_(s.zy, s.xy)] * zx
+            info = s_inv[np.ix_(s.xy, s.xy)] * ww[:, s.xcols][:, :, s.xcols] - np.swapaxes(b, 1, 2) @ np.linalg.solve(a, b)
+            flat = info.sum(axis=0).ravel()
+            yield pd.DataFrame({"i": np.arange(len(flat)), "x": flat})
+
+    info = np.zeros(s.p * s.p)
+    for r in moments.mapInPandas(run, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).collect():
+        info[r.i] = r.x
+    return np.linalg.inv(info.reshape(s.p, s.p))
+
+
+def shape(terms: Sequence[str], outcomes: Sequence[str], fixed: Mapping[str, Sequence[str]],
+          random: Mapping[str, Sequence[str]]) -> Shape:
+    return Shape([ONE] + [t for t in terms if t != ONE], list(outcomes),
+                 {y: list(fixed[y]) for y in outcomes}, {y: list(random[y]) for y in outcomes})
 
 
 def fit_mixed_var(moments: DataFrame, terms: Sequence[str], outcomes: Sequence[str],
                   fixed: Mapping[str, Sequence[str]], random: Mapping[str, Sequence[str]], *,
-                  max_iter: int = 200, tol: float = 1e-6, ridge: float = 1e-8) -> dict:
-    """Fit by EM.  ``terms`` lists the moment terms (``"one"`` first);
-    ``fixed[y]`` / ``random[y]`` list the columns of each outcome.
+                  max_iter: int = 1000, tol: float = 1e-6) -> dict:
+    """Fit one model.  ``terms`` lists the moment terms; ``fixed[y]`` /
+    ``random[y]`` the columns of each outcome.
+
+    Returns beta and its covariance, Sigma, Psi, the log-likelihood of these
+    parameters and its path, passes, and whether the fit converged.
+    """
+    mom = write_through(moments)   # read in every pass
+    s = shape(terms, outcomes, fixed, random)
+    fit = fit_many(mom, s, max_iter=max_iter, tol=tol)[0]
+    fit["cov"] = fixed_covariance(mom, fit)
+    return fit
+
+
+def result_table(spark, fit: dict) -> DataFrame:
+    """(part, outcome, term, value, std_error): the fit as rows; std_error of fixed effects only."""
+    s, se = fit["shape"], np.sqrt(np.maximum(np.diag(fit["cov"]), 0.0))
+    rows, at = [], 0
+    for y in s.ys:
+        for t in s.fixed[y]:
+            rows.append(("fixed", y, t, fit["beta"][y][t], float(se[at])))
+            at += 1
+    for i, u in enumerate(s.ys):
+        rows += [("sigma", u, v, float(fit["sigma"][i, j]), None) for j, v in enumerate(s.ys) if j >= i]
+    names = [(y, t) for y in s.ys for t in s.random[y]]
+    rows += [("psi", f"{u}:{a}", f"{v}:{b}", float(fit["psi"][i, j]), None)
+             for i, (u, a) in enumerate(names) for j, (v, b) in enumerate(names) if j >= i]
+    rows += [("fit", "", name, float(fit[name]), None) for name in ("loglik", "converged", "n", "persons")]
+    return spark.createDataFrame(rows, "part string, outcome string, term string, value double, std_error double")
+
+
+def person_loglik(s: Shape, moments: DataFrame, key: str, params: list, fold: str) -> DataFrame:
+    """(key, loglik): each person's marginal log-likelihood under the fit that left its fold out."""
+    kind = moments.schema[key].dataType.simpleString()
+
+    def run(batches):
+        for pdf in batches:
+            arrays, n = stacked(pdf, s.terms, s.ys), pdf["n"].to_numpy(float)
+            out = np.zeros(len(pdf))
+            for j, (beta, sigma, psi) in enumerate(params):
+                rows = pdf[fold].to_numpy() == j
+                if rows.any():
+                    out[rows] = e_step(s, *[a[rows] for a in arrays], n[rows], beta, sigma, psi)[:, -3]
+            yield pd.DataFrame({key: pdf[key], "loglik": out})
+
+    return moments.mapInPandas(run, f"{key} {kind}, loglik double")
+
+
+def compare_models(moments: DataFrame, key: str, models: Mapping[str, Shape], *, folds: int = 5,
+                   max_iter: int = 1000, tol: float = 1e-5) -> DataFrame:
+    """Leave-persons-out comparison (M4), best first.
 
-    Returns beta per outcome, Sigma, Psi, log-likelihood path, iterations.
+    Every model is fitted ``folds`` times on the same moments, each time
+    without the persons of one fold (a hash of the id), all in the same
+    passes.  elpd is the sum of the left-out persons' log-likelihoods;
+    elpd_diff and its standard error are to the best model, over persons.
     """
-    terms = [ONE] + [t for t in terms if t != ONE]
-    ys = list(outcomes)
-    k = len(ys)
-    fx = [_idx(terms, fixed[y]) for y in ys]
-    rz = [_idx(terms, random[y]) for y in ys]
-    pz = [len(r) for r in rz]
-    zoff = np.concatenate([[0], np.cumsum(pz)]).astype(int)
-    px = [len(f) for f in fx]
-    xoff = np.concatenate([[0], np.cumsum(px)]).astype(int)
-    qt, pt = int(zoff[-1]), int(xoff[-1])
-    mom = moments.persist(StorageLevel.MEMORY_AND_DISK)
-
-    # start: pooled least squares per outcome on its fixed columns
-    beta = []
-    resid = np.zeros((k, k))
-    for o, y in enumerate(ys):
-        fit = pooled_ols(mom, [c for c in fixed[y] if c != ONE], [y], intercept=ONE in fixed[y])
-        beta.append(fit["B"][:, 0])
-        resid[o, o] = fit["resid_cov"][0, 0]
-    sigma = np.diag(np.maximum(np.diag(resid), 1e-6))
-    psi = np.eye(qt) * 0.1 * float(np.mean(np.diag(sigma)))
-
-    width = qt * qt + k * k + sum(px[o] for o in range(k)) * k + pt * pt + 3
-    schema = T.StructType([T.StructField("v", T.ArrayType(T.DoubleType()))])
-
-    def estep_factory(beta, sigma, psi):
-        s_inv = np.linalg.inv(sigma)
-        psi_inv = np.linalg.inv(psi + ridge * np.eye(qt))
-        _, logdet_psi = np.linalg.slogdet(psi)
-        _, logdet_sig = np.linalg.slogdet(sigma)
-
-        def run(batches):
-            for pdf in batches:
-                acc = np.zeros(width)
-                for _, row in pdf.iterrows():
-                    ww, wy, yy = _matrices(row, terms, ys)
-                    n = float(row["n"])
-                    a = psi_inv.copy()
-                    r = np.zeros(qt)
-                    for o in range(k):
-                        for q in range(k):
-                            a[zoff[o]:zoff[o + 1], zoff[q]:zoff[q + 1]] += s_inv[o, q] * ww[np.ix_(rz[o], rz[q])]
-                            r[zoff[o]:zoff[o + 1]] += s_inv[o, q] * (
-                                wy[rz[o], q] - ww[np.ix_(rz[o], fx[q])] @ beta[q])
-                    v = np.linalg.inv(a)
-                    b = v @ r
-                    _, logdet_a = np.linalg.slogdet(a)
-                    # marginal quadratic form with eps = Y - X beta
-                    quad = 0.0
-                    for o in range(k):
-                        for q in range(k):
-                            e = (yy[o, q] - beta[o] @ wy[fx[o], q] - beta[q] @ wy[fx[q], o]
-                                 + beta[o] @ ww[np.ix_(fx[o], fx[q])] @ beta[q])
-                            quad += s_inv[o, q] * e
-                    ll = -0.5 * (k * n * LOG2PI + n * logdet_sig + logdet_psi + logdet_a + quad - r @ b)
-                    parts = [(v + np.outer(b, b)).ravel()]
-                    c = np.zeros((k, k))
-                    g = []
-                    h = np.zeros((pt, pt))
-                    for o in range(k):
-                        bo = b[zoff[o]:zoff[o + 1]]
-                        for q in range(k):
-                            bq = b[zoff[q]:zoff[q + 1]]
-                            zz = ww[np.ix_(rz[o], rz[q])]
-                            c[o, q] = (yy[o, q] - bo @ wy[rz[o], q] - bq @ wy[rz[q], o] + bo @ zz @ bq
-                                       + np.trace(zz @ v[zoff[q]:zoff[q + 1], zoff[o]:zoff[o + 1]]))
-                            h[xoff[o]:xoff[o + 1], xoff[q]:xoff[q + 1]] = ww[np.ix_(fx[o], fx[q])]
-                            g.append(wy[fx[o], q] - ww[np.ix_(fx[o], rz[q])] @ bq)
-                    parts += [c.ravel(), np.concatenate(g), h.ravel(), np.array([ll, n, 1.0])]
-                    acc += np.concatenate(parts)
-                yield pd.DataFrame({"v": [acc.tolist()]})
-        return run
-
-    path = []
-    it = 0
-    for it in range(1, max_iter + 1):
-        rows = mom.mapInPandas(estep_factory(beta, sigma, psi), schema).collect()
-        tot = np.sum([np.array(r["v"]) for r in rows], axis=0)
-        pos = 0
-        spsi = tot[pos:pos + qt * qt].reshape(qt, qt); pos += qt * qt
-        c = tot[pos:pos + k * k].reshape(k, k); pos += k * k
-        glen = sum(px[o] for o in range(k)) * k
-        gflat = tot[pos:pos + glen]; pos += glen
-        h = tot[pos:pos + pt * pt].reshape(pt, pt); pos += pt * pt
-        ll, n_obs, n_persons = tot[pos:pos + 3]
-        path.append(float(ll))
-        # unpack G[o][q] (vector of length px[o]) in the order written above
-        g = {}
-        gp = 0
-        for o in range(k):
-            for q in range(k):
-                g[(o, q)] = gflat[gp:gp + px[o]]
-                gp += px[o]
-        s_inv = np.linalg.inv(sigma)
-        lhs = np.zeros((pt, pt))
-        rhs = np.zeros(pt)
-        for o in range(k):
-            for q in range(k):
-                lhs[xoff[o]:xoff[o + 1], xoff[q]:xoff[q + 1]] = s_inv[o, q] * h[xoff[o]:xoff[o + 1], xoff[q]:xoff[q + 1]]
-                rhs[xoff[o]:xoff[o + 1]] += s_inv[o, q] * g[(o, q)]
-        bvec = np.linalg.solve(lhs, rhs)
-        beta = [bvec[xoff[o]:xoff[o + 1]] for o in range(k)]
-        new_sigma = np.zeros((k, k))
-        for o in range(k):
-            for q in range(k):
-                hoq = h[xoff[o]:xoff[o + 1], xoff[q]:xoff[q + 1]]
-                new_sigma[o, q] = (c[o, q] - beta[o] @ g[(o, q)] - beta[q] @ g[(q, o)]
-                                   + beta[o] @ hoq @ beta[q]) / n_obs
-        sigma = (new_sigma + new_sigma.T) / 2
-        psi = spsi / n_persons
-        psi = (psi + psi.T) / 2 + ridge * np.eye(qt)
-        if len(path) > 1 and abs(path[-1] - path[-2]) <= tol * abs(path[-2]):
-            break
-    mom.unpersist()
-    return {"beta": {y: dict(zip(fixed[y], map(float, beta[o]))) for o, y in enumerate(ys)},
-            "sigma": sigma, "psi": psi, "loglik": path, "iterations": it,
-            "random": {y: list(random[y]) for y in ys}}
+    mom = write_through(moments.withColumn("_fold", F.pmod(F.xxhash64(key), F.lit(folds)).cast("int")))
+    every = None
+    for name, s in models.items():
+        fits = fit_many(mom, s, fits=folds, fold="_fold", max_iter=max_iter, tol=tol)
+        ll = person_loglik(s, mom, key, [f["params"] for f in fits], "_fold").select(
+            key, F.lit(name).alias("model"), "loglik", F.lit(all(f["converged"] for f in fits)).alias("converged"))
+        every = ll if every is None else every.unionByName(ll)
+    every = write_through(every)
+    total = every.groupBy("model").agg(F.sum("loglik").alias("elpd"), F.first("converged").alias("converged"))
+    top = total.agg(F.max_by("model", "elpd").alias("_best"))
+    best = every.join(F.broadcast(top), F.col("model") == F.col("_best")).select(key, F.col("loglik").alias("_top"))
+    diff = every.join(best, key).withColumn("_d", F.col("loglik") - F.col("_top"))
+    diff = diff.groupBy("model").agg(F.sum("_d").alias("elpd_diff"), F.count("*").alias("persons"),
+                                     (F.stddev_samp("_d") * F.sqrt(F.count("*"))).alias("se_diff"))
+    return total.join(diff, "model").select("model", "elpd", "elpd_diff", "se_diff", "persons", "converged").orderBy(
+        F.desc("elpd"), "model")

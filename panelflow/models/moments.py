@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from panelflow.session import write_through
+
 ONE = "one"
 
 
@@ -73,6 +75,7 @@ def pooled_ols(moments: DataFrame, x: Sequence[str], y: Sequence[str],
     moments (one row) and the clustered meat (one row) reach the driver.
     """
     terms = _terms(x, intercept)
+    moments = write_through(moments)   # two passes: totals, then the clustered sums that need them
     cols = [c for c in moments.columns if c.startswith("s__")] + ["n"]
     tot = moments.agg(*[F.sum(c).alias(c) for c in cols], F.count(F.lit(1)).alias("_persons")).first()
     row = tot.asDict()
@@ -114,7 +117,11 @@ def pooled_ols(moments: DataFrame, x: Sequence[str], y: Sequence[str],
 
 def pooled_ols_table(moments: DataFrame, x: Sequence[str], y: Sequence[str],
                      intercept: bool = True, with_se: bool = False) -> DataFrame:
-    """Coefficient table of :func:`pooled_ols` as a small DataFrame."""
+    """Coefficient table of :func:`pooled_ols` as a small DataFrame.
+
+    ``with_se``: person-clustered standard errors, and a row per pair of
+    outcomes with their residual covariance (term ``cov:<outcome>``).
+    """
     fit = pooled_ols(moments, x, y, intercept)
     rows = []
     for qi, v in enumerate(fit["outcomes"]):
@@ -123,9 +130,13 @@ def pooled_ols_table(moments: DataFrame, x: Sequence[str], y: Sequence[str],
             if with_se:
                 r["se_cluster"] = float(np.sqrt(max(fit["cluster_cov"][qi][i, i], 0.0)))
             rows.append(r)
+    if with_se:
+        rows += [{"outcome": u, "term": f"cov:{v}", "estimate": float(fit["resid_cov"][i, j]), "n": fit["n"], "se_cluster": None}
+                 for i, u in enumerate(fit["outcomes"]) for j, v in enumerate(fit["outcomes"]) if j >= i]
     schema = "outcome string, term string, estimate double, n bigint" + \
         (", se_cluster double" if with_se else "")
-    return moments.sparkSession.createDataFrame(pd.DataFrame(rows), schema)
+    names = [c.split()[0] for c in schema.split(", ")]
+    return moments.sparkSession.createDataFrame([tuple(r[c] for c in names) for r in rows], schema)
 
 
 def fit_by_person(moments: DataFrame, key: str, x: Sequence[str], y: Sequence[str],
@@ -143,21 +154,21 @@ def fit_by_person(moments: DataFrame, key: str, x: Sequence[str], y: Sequence[st
 
     def solve(batches):
         for pdf in batches:
-            out = {key: pdf[key].to_numpy(), "n": pdf["n"].to_numpy()}
-            res = {f"b_{v}_{t}": np.full(len(pdf), np.nan) for v in y for t in terms}
-            for r in range(len(pdf)):
-                row = pdf.iloc[r].to_dict()
-                xx, xy, _ = _matrices(row, terms, y)
-                xx = xx + ridge * np.eye(len(terms))
-                try:
-                    b = np.linalg.solve(xx, xy)
-                except np.linalg.LinAlgError:
-                    continue
-                for qi, v in enumerate(y):
-                    for i, t in enumerate(terms):
-                        res[f"b_{v}_{t}"][r] = b[i, qi]
-            out.update(res)
+            p = len(terms)
+            xx, xy = np.zeros((len(pdf), p, p)), np.zeros((len(pdf), p, len(y)))
+            for i, a in enumerate(terms):
+                for j in range(i, p):
+                    xx[:, i, j] = xx[:, j, i] = pdf[mname(a, terms[j])]
+                for j, v in enumerate(y):
+                    xy[:, i, j] = pdf[mname(a, v)]
+            xx += ridge * np.eye(p)
+            b = np.full(xy.shape, np.nan)
+            fine = np.linalg.matrix_rank(xx, hermitian=True) == p
+            if fine.any():
+                b[fine] = np.linalg.solve(xx[fine], xy[fine])
+            out = {key: pdf[key], "n": pdf["n"]}
+            out.update({f"b_{v}_{t}": b[:, i, j] for j, v in enumerate(y) for i, t in enumerate(terms)})
             frame = pd.DataFrame(out)
-            yield frame.astype({c: "float64" for c in res}).where(pd.notna(frame), None)
+            yield frame.astype(object).where(frame.notna(), None)
 
     return moments.mapInPandas(solve, schema)

@@ -9,33 +9,37 @@ k+1 equations are then solved on the driver (a (k+1) x (k+1) system).
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelflow.session import write_through
+
 
 def quadratic_forms(long: DataFrame, y: str, factors: Sequence[str]) -> DataFrame:
-    """One row: N, T0, Tmu and per factor T_f, S_f = sum n_l^2, and per
-    ordered pair C_f_g = sum_{levels of f} (sum_{levels of g} n_fg^2) / n_f."""
+    """One row: N, T0, Tmu and per factor T_f, S_f = sum n_l^2, L_f levels, and per
+    ordered pair C_f_g = sum_{levels of f} (sum_{levels of g} n_fg^2) / n_f.
+
+    The rows are summed up once per cell of all factors and written; every
+    form follows from these cells.
+    """
+    v = F.col("_y")
     d = long.where(F.col(y).isNotNull()).select(*factors, F.col(y).cast("double").alias("_y"))
-    out = d.agg(F.count(F.lit(1)).alias("N"), F.sum(F.col("_y") ** 2).alias("T0"),
-                (F.sum("_y") ** 2 / F.count(F.lit(1))).alias("Tmu"))
+    cells = write_through(d.groupBy(*factors).agg(F.count(F.lit(1)).alias("_n"), F.sum(v).alias("_s"), F.sum(v * v).alias("_q")))
+    out = cells.agg(F.sum("_n").alias("N"), F.sum("_q").alias("T0"), (F.sum("_s") ** 2 / F.sum("_n")).alias("Tmu"))
     for f in factors:
-        lv = d.groupBy(f).agg(F.count(F.lit(1)).alias("_n"), F.sum("_y").alias("_s"))
+        lv = cells.groupBy(f).agg(F.sum("_n").alias("_n"), F.sum("_s").alias("_s"))
         part = lv.agg(F.sum(F.col("_s") ** 2 / F.col("_n")).alias(f"T_{f}"),
-                      F.sum(F.col("_n").cast("double") ** 2).alias(f"S_{f}"))
+                      F.sum(F.col("_n").cast("double") ** 2).alias(f"S_{f}"), F.count("*").alias(f"L_{f}"))
         out = out.crossJoin(F.broadcast(part))
-    for f in factors:
-        for g in factors:
-            if f == g:
-                continue
-            cell = d.groupBy(f, g).agg(F.count(F.lit(1)).alias("_nfg"))
-            per_f = cell.groupBy(f).agg(F.sum(F.col("_nfg").cast("double") ** 2).alias("_q"),
-                                        F.sum("_nfg").alias("_nf"))
-            part = per_f.agg(F.sum(F.col("_q") / F.col("_nf")).alias(f"C_{f}_{g}"))
-            out = out.crossJoin(F.broadcast(part))
+    for i, f in enumerate(factors):
+        for g in factors[i + 1:]:
+            cell = cells.groupBy(f, g).agg(F.sum("_n").cast("double").alias("_m"))
+            for a, b in ((f, g), (g, f)):
+                per = cell.groupBy(a).agg((F.sum(F.col("_m") ** 2) / F.sum("_m")).alias("_c"))
+                out = out.crossJoin(F.broadcast(per.agg(F.sum("_c").alias(f"C_{a}_{b}"))))
     return out
 
 
@@ -66,11 +70,18 @@ def variance_components(forms: dict, factors: Sequence[str]) -> dict:
 
 def fit_variance_components(long: DataFrame, y: str, factors: Sequence[str]) -> dict:
     """Quadratic forms on Spark, then the small solve (M7)."""
-    forms = quadratic_forms(long, y, factors)
-    levels = long.where(F.col(y).isNotNull()).agg(
-        *[F.count_distinct(f).alias(f"L_{f}") for f in factors])
-    row = forms.crossJoin(levels).first().asDict()
-    return variance_components(row, factors)
+    return variance_components(quadratic_forms(long, y, factors).first().asDict(), factors)
+
+
+def reliability_table(long: DataFrame, y: str, factors: Sequence[str], occasion: str, item: str,
+                      sets: Mapping[str, Sequence[str]]) -> DataFrame:
+    """(items, part, value): components and occasion reliability for each set of items."""
+    rows = []
+    for name, members in sets.items():
+        vc = fit_variance_components(long.where(F.col(item).isin(list(members))), y, factors)
+        rows += [(name, part, float(v)) for part, v in vc.items()]
+        rows.append((name, "reliability", reliability(vc, occasion, item, len(members))))
+    return long.sparkSession.createDataFrame(rows, "items string, part string, value double")
 
 
 def reliability(vc: dict, occasion: str, item: str, n_items: int) -> float:

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelflow.functions.columns import round_half_even
+from panelflow.session import write_through
 
 # Fixed values of the descriptive table and the interval band.
 MAD_CONSTANT = 1.4826       # scale of the median absolute deviation
@@ -35,18 +36,41 @@ def distinct_count(c: str | Sequence[str], approx: bool = False, rsd: float = 0.
     return F.count_distinct(*[F.col(x) for x in cols])
 
 
-def gap_summary(df: DataFrame, gap: str = "gap_hours", limit: float = 30.0,
-                approx: bool = False) -> DataFrame:
-    """Mean, median, max and count above ``limit`` of the gaps (A3).
+def ranked(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
+    """(by, ``x``, ``rank``, ``n``): every present value with its 1-based rank in its group.
 
-    Exact ``median`` interpolates like R; ``approx=True`` uses
-    ``percentile_approx`` for very large inputs.
+    Values are range partitioned and sorted once, written, and numbered by
+    their place in the partition plus the sizes of the group's earlier
+    partitions.  The only window runs over one row per (group, partition).
     """
-    g = F.col(gap)
-    med = F.percentile_approx(g, 0.5, 10000) if approx else F.median(g)
-    return df.where(g.isNotNull()).agg(
-        F.avg(g).alias("mean_gap"), med.cast("double").alias("median_gap"),
-        F.max(g).alias("max_gap"), F.count_if(g > F.lit(limit)).alias("n_large"))
+    by = list(by)
+    d = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("x"))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    d = d.repartitionByRange(parts, *by, "x").sortWithinPartitions(*by, "x")
+    d = write_through(d.withColumns({"_p": F.spark_partition_id(), "_i": F.monotonically_increasing_id()}))
+    size = d.groupBy(*by, "_p").agg(F.min("_i").alias("_lo"), F.count("*").alias("_n"))
+    w = Window.partitionBy(*by)
+    size = size.withColumns({
+        "_before": F.coalesce(F.sum("_n").over(w.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
+        "n": F.sum("_n").over(w)}).drop("_n")
+    on = F.col("_p") == F.col("_q")
+    for c in by:
+        on = on & F.col(c).eqNullSafe(F.col(f"_g_{c}"))
+    size = size.select(F.col("_p").alias("_q"), *[F.col(c).alias(f"_g_{c}") for c in by], "_lo", "_before", "n")
+    return d.join(size, on).select(*by, "x", (F.col("_before") + F.col("_i") - F.col("_lo") + 1).alias("rank"), "n")
+
+
+def median_of_ranks() -> Column:
+    """Median aggregate over the rows of ``ranked``: the mean of the middle value or two."""
+    middle = F.col("rank").between(F.floor((F.col("n") + 1) / 2), F.ceil((F.col("n") + 1) / 2))
+    return F.avg(F.when(middle, F.col("x")))
+
+
+def gap_summary(df: DataFrame, gap: str = "gap_hours", limit: float = 30.0) -> DataFrame:
+    """Mean, median, max and count above ``limit`` of the gaps (A3); the median is exact."""
+    r = ranked(df, gap)
+    return r.agg(F.avg("x").alias("mean_gap"), median_of_ranks().alias("median_gap"),
+                 F.max("x").alias("max_gap"), F.count_if(F.col("x") > F.lit(limit)).alias("n_large"))
 
 
 def quality_report(df: DataFrame, checks: Mapping[str, Column],
@@ -70,18 +94,31 @@ def pooled_stats(df: DataFrame, keys: Sequence[str], scales: Mapping[str, Sequen
                  stats: Sequence[str] = ("var", "sd", "mean")) -> DataFrame:
     """Statistics of all values of several columns pooled per group (A5).
 
-    The scale's columns are stacked (``unpivot``) and aggregated once per
-    group; the partial aggregate runs right after the stacking.
+    One aggregate gives each column's count, mean and squared deviations;
+    a scale's pooled moments follow from those of its columns.
     """
     cols = sorted({c for cs in scales.values() for c in cs})
-    long = df.select(*keys, *[F.col(c).cast("double").alias(c) for c in cols]) \
-        .unpivot(list(keys), cols, "_item", "_v")
-    fn = {"var": F.var_samp, "sd": F.stddev_samp, "mean": F.avg, "n": F.count}
-    aggs = []
-    for s, cs in scales.items():
-        x = F.when(F.col("_item").isin(list(cs)), F.col("_v"))
-        aggs += [fn[st](x).alias(f"{st}_{s}") for st in stats]
-    return long.groupBy(*keys).agg(*aggs)
+    d = df.groupBy(*keys).agg(*_moments(cols))
+    return d.select(*keys, *[_pooled(cs)[st].alias(f"{st}_{s}") for s, cs in scales.items() for st in stats])
+
+
+def _moments(cols: Sequence[str]) -> list[Column]:
+    out = []
+    for c in cols:
+        x = F.col(c).cast("double")
+        out += [F.count(x).alias(f"_n_{c}"), F.avg(x).alias(f"_a_{c}"), F.var_samp(x).alias(f"_v_{c}")]
+    return out
+
+
+def _pooled(cols: Sequence[str]) -> dict[str, Column]:
+    """Pooled n, mean, var and sd from the columns of ``_moments``."""
+    total = lambda f: sum((F.coalesce(f(c), F.lit(0.0)) for c in cols), F.lit(0.0))
+    n = sum((F.col(f"_n_{c}") for c in cols), F.lit(0))
+    mean = F.try_divide(total(lambda c: F.col(f"_n_{c}") * F.col(f"_a_{c}")), n.cast("double"))
+    dev = sum((F.coalesce(F.col(f"_v_{c}") * (F.col(f"_n_{c}") - 1), F.lit(0.0))
+               + F.coalesce(F.col(f"_n_{c}") * (F.col(f"_a_{c}") - mean) ** 2, F.lit(0.0)) for c in cols), F.lit(0.0))
+    var = F.when(n >= 2, dev / (n - 1).cast("double"))
+    return {"n": n, "mean": mean, "var": var, "sd": F.sqrt(var)}
 
 
 def item_stats(df: DataFrame, keys: Sequence[str], cols: Sequence[str],
@@ -96,11 +133,18 @@ def item_stats(df: DataFrame, keys: Sequence[str], cols: Sequence[str],
 def item_variability(df: DataFrame, keys: Sequence[str], items: Sequence[str],
                      scales: Mapping[str, Sequence[str]], *, low_var: float = 0.1,
                      low_sd: float = 0.3, many_low: int = 3, overall_low_sd: float = 0.5,
-                     group: str | None = None, positive=1) -> DataFrame:
-    """Item statistics + pooled statistics + row counts + flags."""
-    per_item = item_stats(df, keys, items)
-    pooled = pooled_stats(df, keys, {"overall": items, **scales}, ("var", "sd", "mean"))
-    out = per_item.join(pooled, on=list(keys), how="inner")
+                     group: str | None = None, positive=1,
+                     labels: tuple[str, str] = ("ADHD", "Control")) -> DataFrame:
+    """Item statistics + pooled statistics + row counts + flags (A7), from one aggregate.
+
+    ``labels``: of the positive group and of the others.
+    """
+    fn = {"var": F.var_samp, "sd": F.stddev_samp, "mean": F.avg}
+    out = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_obs"), *_moments(items),
+                                *[fn[s](F.col(c)).alias(f"{s}_{c}") for s in fn for c in items])
+    pooled = {"overall": items, **scales}
+    out = out.withColumns({f"{st}_{s}": _pooled(cs)[st] for s, cs in pooled.items() for st in fn})
+    out = out.drop(*[f"_{k}_{c}" for k in "nav" for c in items])
     vars_ = [f"var_{c}" for c in items]
     sds = [f"sd_{c}" for c in items]
 
@@ -119,18 +163,25 @@ def item_variability(df: DataFrame, keys: Sequence[str], items: Sequence[str],
         "overall_low_var": F.col("sd_overall") < F.lit(overall_low_sd),
     })
     if group:
-        out = out.withColumn("group_label", F.when(F.col(group) == F.lit(positive), F.lit("ADHD"))
-                             .otherwise(F.lit("Control")))
+        out = out.withColumn("group_label", F.when(F.col(group) == F.lit(positive), F.lit(labels[0]))
+                             .otherwise(F.lit(labels[1])))
     return out
 
 
-def freq_table(df: DataFrame, cols: Sequence[str], digits: int = 1) -> DataFrame:
-    """Counts of each combination with percent of all rows, half-even."""
+def freq_table(df: DataFrame, cols: Sequence[str], digits: int = 1, ordered: bool = False) -> DataFrame:
+    """Counts of each combination with percent of all rows, half-even.
+
+    ``ordered``: most frequent first, ties by value, with its place as ``rank`` (O2).
+    """
     counts = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("n"))
     total = counts.agg(F.sum("n").alias("_total"))
-    return (counts.crossJoin(F.broadcast(total))
-            .withColumn("pct", round_half_even(F.lit(100.0) * F.col("n") / F.col("_total"), digits))
-            .drop("_total"))
+    out = (counts.crossJoin(F.broadcast(total))
+           .withColumn("pct", round_half_even(F.lit(100.0) * F.col("n") / F.col("_total"), digits))
+           .drop("_total"))
+    if not ordered:
+        return out
+    first = [F.desc("n"), *[F.asc(c) for c in cols]]   # one row per combination
+    return out.withColumn("rank", F.row_number().over(Window.orderBy(*first))).orderBy(*first)
 
 
 def describe_groups(df: DataFrame, by: Sequence[str], cols: Sequence[str],
@@ -149,7 +200,8 @@ def within_sd(df: DataFrame, key: str, cols: Sequence[str]) -> DataFrame:
 
 def person_summary(df: DataFrame, key: str, time: str, seq: str, *, session: str = "session",
                    elapsed: str = "RawHours", group: str = "ADHD_numeric",
-                   scores: Mapping[str, str] | None = None, positive=1) -> DataFrame:
+                   scores: Mapping[str, str] | None = None, positive=1,
+                   labels: tuple[str, str] = ("ADHD", "Control")) -> DataFrame:
     """One row per person: rows, sessions, span, first group value, score
     means/SDs/ranges (A11)."""
     scores = dict(scores or {"anti": "Y1", "pro": "Y2"})
@@ -162,8 +214,8 @@ def person_summary(df: DataFrame, key: str, time: str, seq: str, *, session: str
         aggs += [F.avg(c).alias(f"{name}_mean"), F.stddev_samp(c).alias(f"{name}_sd"),
                  (F.max(c) - F.min(c)).alias(f"{name}_range")]
     out = df.groupBy(key).agg(*aggs)
-    return out.withColumn("Group", F.when(F.col(group) == F.lit(positive), F.lit("ADHD"))
-                          .otherwise(F.lit("Control")))
+    return out.withColumn("Group", F.when(F.col(group) == F.lit(positive), F.lit(labels[0]))
+                          .otherwise(F.lit(labels[1])))
 
 
 def mean_ci(df: DataFrame, by: Sequence[str], value: str, z: float = Z95,
@@ -195,24 +247,24 @@ def describe_numeric(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     skew and kurtosis (sample-size corrected type-3 forms:
     ``g1 * ((n-1)/n)^1.5`` and ``(g2+3) * (1-1/n)^2 - 3``), se.
 
-    Meant for person-level tables (one row per person): the trimmed mean
-    ranks each column's values in one window per column.
+    Ranks come from ``ranked``, so no column's values meet in one task.
     """
     long = df.select(*[F.col(c).cast("double").alias(c) for c in cols]) \
         .unpivot([], list(cols), "vars", "x").where(F.col("x").isNotNull())
-    first = long.groupBy("vars").agg(
+    r = write_through(ranked(long, "x", ["vars"]))
+    first = r.groupBy("vars").agg(
         F.count(F.lit(1)).alias("n"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("sd"),
-        F.median("x").alias("median"), F.min("x").alias("min"), F.max("x").alias("max"))
-    d = long.join(first.select("vars", "n", "mean", "median"), on="vars")
+        median_of_ranks().alias("median"), F.min("x").alias("min"), F.max("x").alias("max"))
+    d = r.join(first.select("vars", "mean", "median"), on="vars")
     k = F.floor(F.col("n") * F.lit(TRIM))
-    rn = F.row_number().over(Window.partitionBy("vars").orderBy("x"))
-    d = d.withColumn("_keep", (rn > k) & (rn <= F.col("n") - k))
+    d = d.withColumn("_keep", (F.col("rank") > k) & (F.col("rank") <= F.col("n") - k))
     second = d.groupBy("vars").agg(
         F.avg(F.when(F.col("_keep"), F.col("x"))).alias("trimmed"),
-        F.median(F.abs(F.col("x") - F.col("median"))).alias("_mad"),
         F.avg((F.col("x") - F.col("mean")) ** 2).alias("_m2"),
         F.avg((F.col("x") - F.col("mean")) ** 3).alias("_m3"),
         F.avg((F.col("x") - F.col("mean")) ** 4).alias("_m4"))
+    away = ranked(d.select("vars", F.abs(F.col("x") - F.col("median")).alias("_away")), "_away", ["vars"])
+    second = second.join(away.groupBy("vars").agg(median_of_ranks().alias("_mad")), "vars")
     out = first.join(second, on="vars")
     n = F.col("n").cast("double")
     g1 = F.try_divide(F.col("_m3"), F.pow(F.col("_m2"), 1.5))
@@ -252,7 +304,7 @@ def histogram(df: DataFrame, value: str, bins: int = 30, by: Sequence[str] = ())
     rng = rng.withColumn("_w", F.when(F.col("_hi") > F.col("_lo"),
                                       (F.col("_hi") - F.col("_lo")) / F.lit(bins - 1))
                          .otherwise(F.lit(0.1)))
-    j = d.join(F.broadcast(rng), on=by, how="inner") if by else d.crossJoin(F.broadcast(rng))
+    j = d.join(rng, on=by, how="inner") if by else d.crossJoin(F.broadcast(rng))
     start = F.col("_lo") - F.col("_w") / 2
     b = F.greatest(F.lit(1), F.ceil((v - start) / F.col("_w"))).cast("int")
     counts = j.groupBy(*by, b.alias("bin")).agg(F.count(F.lit(1)).alias("count"))

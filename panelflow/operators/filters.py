@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from panelflow.functions.columns import all_present, any_present
-from panelflow.operators.ordered import add_key_totals
-
-# Lists longer than this are matched by an anti join instead of IN (...).
-MAX_IN_LIST = 1000
+from panelflow.operators.aggregates import pooled_stats
+from panelflow.operators.joins import attach
+from panelflow.operators.ordered import PERSON, part_keys
 
 
 def require(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -20,14 +20,11 @@ def require(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def exclude_ids(df: DataFrame, key: str, ids: Iterable) -> DataFrame:
-    """Drop listed ids; a NULL id is kept (K2).  Long lists -> anti join."""
+    """Drop listed ids; a NULL id is kept (K2).  One anti join for a list of any length."""
     ids = list(ids)
     if not ids:
         return df
-    if len(ids) <= MAX_IN_LIST:
-        return df.where(~F.coalesce(F.col(key).isin(ids), F.lit(False)))
-    spark = df.sparkSession
-    drop = spark.createDataFrame([(i,) for i in ids], [key])
+    drop = df.sparkSession.createDataFrame([(i,) for i in ids], T.StructType([df.schema[key]]))
     return df.join(drop, on=key, how="left_anti")
 
 
@@ -47,32 +44,24 @@ def pooled_variance_flags(df: DataFrame, key: str, scales: Mapping[str, Sequence
     variance (fewer than two values), or one at/below ``threshold``.
 
     The pooled variance of a scale is the sample variance of all its item
-    values of all the person's rows; it is merged from per-chunk moments
-    (no window over the person).
+    values of all the person's rows.  One aggregate per person (map-side
+    combined) gives one flag row per person, which is joined back; rows
+    without an id are one person.
     """
-    parts = {}
-    for s, cols in scales.items():
-        # one moment stream per item, merged below into the scale's moments
-        for c in cols:
-            parts[f"_pv_{s}_{c}"] = F.col(c)
-    d = add_key_totals(df, key, moments=parts)
+    stats = pooled_stats(df, [key], scales, ("var",))
     flag = F.lit(False)
-    for s, cols in scales.items():
-        n = sum((F.coalesce(F.col(f"_pv_{s}_{c}_n"), F.lit(0)) for c in cols), F.lit(0))
-        tot = sum((F.coalesce(F.col(f"_pv_{s}_{c}_n") * F.col(f"_pv_{s}_{c}_mean"), F.lit(0.0))
-                   for c in cols), F.lit(0.0))
-        mean = F.try_divide(tot, n.cast("double"))
-        m2 = sum((F.coalesce(F.col(f"_pv_{s}_{c}_var") * (F.col(f"_pv_{s}_{c}_n") - 1), F.lit(0.0)) +
-                  F.coalesce(F.col(f"_pv_{s}_{c}_n") * (F.col(f"_pv_{s}_{c}_mean") - mean) ** 2, F.lit(0.0))
-                  for c in cols), F.lit(0.0))
-        var = F.when(n >= 2, m2 / (n - 1).cast("double"))
-        d = d.withColumn(f"var_{s}", var)
+    for s in scales:
         bad = F.col(f"var_{s}").isNull()
         if threshold is not None:
             bad = bad | (F.col(f"var_{s}") <= F.lit(threshold))
         flag = flag | bad
-    d = d.withColumn("flag_any", flag)
-    return d.drop(*[f"{p}_{x}" for p in parts for x in ("n", "mean", "var")])
+    flags = stats.withColumn("flag_any", flag)
+    keys = [key]
+    if PERSON in df.columns:   # split persons: the flags travel by chunk
+        chunks = df.select(key, *part_keys()).distinct()
+        flags, keys = attach(chunks, flags, key, null_safe=True).drop(key), part_keys()
+        return df.join(flags, on=keys, how="inner")
+    return attach(df, flags, key, null_safe=True)
 
 
 def variance_filter(df: DataFrame, key: str, scales: Mapping[str, Sequence[str]],
@@ -91,6 +80,3 @@ def where_in(df: DataFrame, c: str, values: Iterable) -> DataFrame:
     """Membership filter."""
     return df.where(F.col(c).isin(list(values)))
 
-
-def flag_count(df: DataFrame, cond: Column) -> Column:
-    return F.count_if(cond)

@@ -7,6 +7,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from panelflow.functions.columns import number_in_name
 
 ON_DUPLICATE = ("error", "first", "last", "max", "mean")
 
@@ -43,9 +46,13 @@ def pivot_prompts(df: DataFrame, keys: Sequence[str], label: str, value: str,
     explicit list prunes the pivot to one aggregate with no distinct-values
     job.  ``seq`` keeps the prompt's first input row number.  Repeated
     cells: ``error`` (default) raises, else first/last (by ``seq``)/max/mean.
+    max and mean need a numeric value: the greatest text isn't the greatest
+    number.
     """
     if on_duplicate not in ON_DUPLICATE:
         raise ValueError(f"on_duplicate must be one of {ON_DUPLICATE}")
+    if on_duplicate in ("max", "mean") and isinstance(df.schema[value].dataType, T.StringType):
+        raise ValueError(f"on_duplicate={on_duplicate!r} needs a numeric value; cast {value!r} first")
     names = dict(labels) if isinstance(labels, Mapping) else {v: v for v in labels}
     if on_duplicate == "error":
         bad = duplicate_cells(df, keys, label, list(names)).limit(1).collect()
@@ -66,6 +73,8 @@ def unpivot_items(df: DataFrame, ids: Sequence[str], cols: Sequence[str], *,
     values are kept, as in a plain melt."""
     vals = [F.col(c).cast("double").alias(c) for c in cols]
     d = df.select(*ids, *vals).unpivot(list(ids), list(cols), name, value)
+    if pattern and numeric_name:
+        return d.withColumn(name, number_in_name(name, pattern))
     if pattern:
         d = d.withColumn(name, F.regexp_extract(F.col(name), pattern, 1))
     if numeric_name:

@@ -42,7 +42,9 @@ class PanelConfig:
     min_series_obs: int = 3
     row_rule: str = "any"           # keep a prompt with any / all scale items
     exclude_ids: Sequence = ()
-    center_stage: str = "after"     # person-centre before/after the series filter
+    center_stage: str = "before"    # person means from the rows before / after the series filter
+    group_labels: tuple[str, str] = ("ADHD", "Control")   # of the positive group, of the others
+    scale_labels: Mapping[str, str] = field(default_factory=lambda: {"anti": "Hostile", "pro": "Prosocial"})
     series_base: int = 1000
     materialize: bool = True        # write stage results to the shared folder
     rows_per_chunk: int = ROWS_PER_CHUNK   # persons with more rows are split
@@ -65,6 +67,42 @@ def materialize(df: DataFrame, cfg: PanelConfig) -> DataFrame:
 
 
 # --- D1 -----------------------------------------------------------------------
+def read_raw(raw: DataFrame, cfg: PanelConfig, *, id: str = "participant_id",
+             time: str = "notification_time", session_no: str = "session_instance_no",
+             group: str = "adhd", label: str = "prompt_label", value: str = "response",
+             seq: str = "seq", sentinel: str = C.SKIPPED_SENTINEL) -> DataFrame:
+    """Raw response rows (text values and times) -> what ``prepare_panel`` takes.
+
+    The sentinel of a skipped answer becomes NULL; the value stays text, as
+    an answer that is no number still is an answer (it becomes NULL when
+    items are made numeric).  The time is parsed to epoch seconds; its text
+    stays as ``time_text``, so prompts whose times can't be parsed stay
+    apart.  ``bad_time`` and ``bad_value`` mark what couldn't be parsed.
+    """
+    answer = C.null_if(F.col(value), sentinel)
+    return raw.select(
+        F.col(id).alias(cfg.id), F.col(time).alias("time_text"), C.epoch_seconds_text(time).alias(cfg.time),
+        F.col(session_no).alias("SessionNumb"), F.col(group).alias(cfg.group), F.col(label).alias("label"),
+        answer.alias("value"), F.col(seq).alias(cfg.seq),
+        (F.col(time).isNotNull() & C.epoch_seconds_text(time).isNull()).alias("bad_time"),
+        (answer.isNotNull() & C.to_number(answer).isNull()).alias("bad_value"),
+        F.coalesce(F.col(value) == sentinel, F.lit(False)).alias("skipped"))
+
+
+def parse_report(responses: DataFrame) -> DataFrame:
+    """One row: rows, skipped answers, and times and values that couldn't be parsed."""
+    return A.quality_report(responses, C.flag_rules({
+        "n_skipped": F.col("skipped"), "n_bad_time": F.col("bad_time"), "n_bad_value": F.col("bad_value"),
+        "n_no_session": F.col("SessionNumb").isNull()}))
+
+
+def prepare_raw_panel(raw: DataFrame, cfg: PanelConfig, labels: Sequence[str] | Mapping[str, str], *,
+                      on_duplicate: str = "error", **columns) -> DataFrame:
+    """Raw response rows -> wide panel: sentinel, times, prompts, weekday and obs in one flow."""
+    return prepare_panel(read_raw(raw, cfg, **columns), cfg, "label", "value", labels,
+                         on_duplicate=on_duplicate, session_no="SessionNumb", extra_keys=["time_text"])
+
+
 def prepare_panel(long: DataFrame, cfg: PanelConfig, label: str, value: str,
                   labels: Sequence[str] | Mapping[str, str], *, on_duplicate: str = "error",
                   session_no: str | None = None, extra_keys: Sequence[str] = ()) -> DataFrame:
@@ -216,36 +254,53 @@ def response_pattern(wide: DataFrame, cfg: PanelConfig, items: Sequence[str] | N
 
 
 # --- D11 ------------------------------------------------------------------------
-def item_group_tables(ema: DataFrame, cfg: PanelConfig, stat: str = "var",
-                      subscales: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
-    """Person x item points and group mean bands for a statistic."""
+def item_group_tables(ema: DataFrame, cfg: PanelConfig, stat: str = "var") -> DataFrame:
+    """Group bands of a per-person item statistic, ``var`` or ``mean``."""
     items = cfg.items
     per = A.item_stats(ema, [cfg.id, cfg.group], items, (stat,))
     long = R.unpivot_items(per, [cfg.id, cfg.group], [f"{stat}_{c}" for c in items],
                            name="variable", value="value")
-    subscales = subscales or {"Hostile": cfg.scales[list(cfg.scales)[0]],
-                              "Prosocial": cfg.scales[list(cfg.scales)[1]]}
-    sub = None
-    for name, cs in subscales.items():
-        cond = F.col("variable").isin([f"{stat}_{c}" for c in cs])
-        sub = F.when(cond, F.lit(name)) if sub is None else sub.when(cond, F.lit(name))
+    scale_of = {f"{stat}_{c}": cfg.scale_labels.get(s, s) for s, cs in cfg.scales.items() for c in cs}
     long = long.withColumns({
-        "group_label": F.when(F.col(cfg.group) == F.lit(cfg.positive), F.lit("ADHD")).otherwise(F.lit("Control")),
+        "group_label": F.when(F.col(cfg.group) == F.lit(cfg.positive), F.lit(cfg.group_labels[0]))
+        .otherwise(F.lit(cfg.group_labels[1])),
         "item_order": C.level_order("variable", [f"{stat}_{c}" for c in items]),
-        "subscale": sub})
+        "subscale": C.recode("variable", scale_of)})
     return A.mean_ci(long, ["group_label", "variable", "item_order", "subscale"], "value")
 
 
 # --- D12 ------------------------------------------------------------------------
-def distribution_long(ema: DataFrame, pairs: Mapping[str, Mapping[str, str]]) -> DataFrame:
-    """Stack score columns under two centrings (D12 part): ``pairs`` maps a
-    centring label to ``{column: variable label}``."""
-    frames = []
-    for centring, cols in pairs.items():
-        part = R.unpivot_items(ema, [], list(cols), name="Variable", value="Value")
-        part = part.withColumns({"Variable": C.recode("Variable", cols), "Centering": F.lit(centring)})
-        frames.append(part)
-    return R.union_all(frames)
+GRAND, WITHIN = "Grand-mean centred", "Within-person centred"
+
+
+def centred_series(features: DataFrame, cfg: PanelConfig) -> DataFrame:
+    """Series with within-person deviations ``_wpc`` of the scores.
+
+    ``center_stage="before"``: the person means are those of all scored
+    rows, taken before short series go; ``"after"``: of the rows that stay.
+    """
+    y = list(cfg.scores.values())
+    if cfg.center_stage == "before":
+        return build_series(W.center_within(features, cfg.id, y, dev_suffix="_wpc"), cfg, dedupe=False)
+    return W.center_within(build_series(features, cfg, dedupe=False), cfg.id, y, dev_suffix="_wpc")
+
+
+def centred_long(series: DataFrame, cfg: PanelConfig, ids: Sequence[str] = ()) -> DataFrame:
+    """(ids, Centering, Variable, Value): scores under both centrings (D12), one scan."""
+    names = {}
+    for s, y in cfg.scores.items():
+        label = cfg.scale_labels.get(s, s)
+        names[y], names[f"{y}_wpc"] = f"{GRAND}|{label}", f"{WITHIN}|{label}"
+    long = R.unpivot_items(series, list(ids), list(names), name="_c", value="Value")
+    both = F.split(C.recode("_c", names), r"\|")
+    return long.select(*ids, both[0].alias("Centering"), both[1].alias("Variable"), "Value")
+
+
+def trajectories(series: DataFrame, cfg: PanelConfig) -> DataFrame:
+    """The table behind person trajectories: one row per prompt, score and centring."""
+    label = F.when(F.col(cfg.group_flag) == 1, F.lit(cfg.group_labels[0])).otherwise(F.lit(cfg.group_labels[1]))
+    ids = [cfg.id, "Group", "session", "ctsem_id", "ctsem_time", cfg.seq]
+    return centred_long(series.withColumn("Group", label), cfg, ids)
 
 
 # --- D13 ------------------------------------------------------------------------

@@ -155,6 +155,139 @@ def histogram_sql(src: str, value: str, bins: int, by: list[str]) -> str:
     FROM hg LEFT JOIN hc USING ({sel_by}bin)"""
 
 
+DENSE_VAR = DENSE_SESS + [
+    """dz AS (SELECT ID, ADHD, t, seq, session, (Y1 - avg(Y1) OVER ()) / stddev_samp(Y1) OVER () AS Y1,
+               (Y2 - avg(Y2) OVER ()) / stddev_samp(Y2) OVER () AS Y2 FROM ds)""",
+    f"""dv0 AS (SELECT *, lag(Y1) OVER w AS Y1_lag, lag(Y1, 2) OVER w AS Y1_lag2, lag(Y2) OVER w AS Y2_lag,
+                lag(Y2, 2) OVER w AS Y2_lag2, (t - lag(t) OVER w) / 3600.0 AS dt FROM dz {SW})""",
+    """dv AS (SELECT *, ln(dt) AS log_dt FROM dv0 WHERE Y1 IS NOT NULL AND Y2 IS NOT NULL AND Y1_lag IS NOT NULL
+              AND Y1_lag2 IS NOT NULL AND Y2_lag IS NOT NULL AND Y2_lag2 IS NOT NULL AND dt > 0)""",
+]
+RAW = f"""raw AS (
+  SELECT user_id AS ID, {GROUP} AS ADHD, event_id AS seq,
+    CASE WHEN event_id % 101 = 0 THEN 'late ' || strftime(ts, '%d.%m.') ELSE strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') END AS time_text,
+    CASE WHEN event_id % 101 <> 0 THEN CAST(epoch_us(date_trunc('day', ts)) / 1e6 AS DOUBLE) END AS t,
+    CASE WHEN event_id % 53 <> 0 THEN 1 END AS SessionNumb,
+    event_type || '_' || CAST({KVAL} % 2 AS VARCHAR) AS label,
+    CASE WHEN event_id % 7 = 0 THEN '#skipped#' WHEN event_id % 29 = 0 THEN 'often' ELSE CAST(CAST(floor(value) AS BIGINT) AS VARCHAR) END AS response
+  FROM events)"""
+
+
+def raw_wide(names: dict[str, str]) -> str:
+    cells = ", ".join(f"(arg_max({{'v': NULLIF(response, '#skipped#')}}, seq) FILTER (WHERE label = '{v}')).v AS {n}"
+                      for v, n in names.items())
+    return f"""rw AS (SELECT ID, t, ADHD, SessionNumb, time_text, min(seq) AS seq, {cells}
+               FROM raw WHERE SessionNumb IS NOT NULL GROUP BY ID, t, ADHD, SessionNumb, time_text)"""
+
+
+def bands(src: str, stat: str, scales: dict[str, list[str]]) -> str:
+    """Group bands of a per-person item statistic of ``src``."""
+    items = [c for cs in scales.values() for c in cs]
+    fn = {"var": "var_samp", "mean": "avg"}[stat]
+    per = "bi AS (SELECT ID, ADHD, " + ", ".join(f"{fn}({c}) AS {stat}_{c}" for c in items) + f" FROM {src} GROUP BY ID, ADHD)"
+    long = "bl AS (" + " UNION ALL ".join(f"SELECT ID, ADHD, '{stat}_{c}' AS variable, {i + 1} AS item_order, '{s}' AS subscale, "
+                                          f"{stat}_{c} AS value FROM bi" for s, cs in scales.items() for i, c in
+                                          [(items.index(c), c) for c in cs]) + ")"
+    return f"""{per}, {long}, bg AS (SELECT CASE WHEN ADHD = 'Y' THEN 'ADHD' ELSE 'Control' END AS group_label, variable, item_order, subscale,
+        avg(value) AS m, stddev_samp(value) / sqrt(CAST(count(*) AS DOUBLE)) AS s FROM bl GROUP BY ALL)
+        SELECT group_label, variable, CAST(item_order AS BIGINT) AS item_order, subscale, {r6('m', 'mean_val')}, {r6('s', 'se_val')},
+        {r6('m - 1.96 * s', 'lo')}, {r6('m + 1.96 * s', 'hi')} FROM bg"""
+
+
+def _more() -> dict[str, str]:
+    q: dict[str, str] = {}
+    q["d1_raw_panel"] = with_(RAW, raw_wide({x: x for x in SPARSE_LABELS})) + f"""SELECT ID, {r6('t', 't')}, ADHD,
+        CAST(SessionNumb AS BIGINT) AS SessionNumb, time_text, seq, {', '.join(SPARSE_LABELS)},
+        CASE WHEN t IS NOT NULL THEN {DAYS}[{WDAY}] END AS day_of_week,
+        CAST(CASE WHEN t IS NOT NULL AND {WDAY} IN (1, 7) THEN 1 ELSE 0 END AS BIGINT) AS weekend,
+        row_number() OVER (PARTITION BY ID {ORDER}) AS obs FROM rw"""
+    q["d1_parse_report"] = with_(RAW) + """SELECT count(*) AS n_rows, count(*) FILTER (response = '#skipped#') AS n_skipped,
+        count(*) FILTER (t IS NULL) AS n_bad_time, count(*) FILTER (response = 'often') AS n_bad_value,
+        count(*) FILTER (SessionNumb IS NULL) AS n_no_session FROM raw"""
+    names = {v: f"item{i + 1}" for i, v in enumerate(ITEMS)}
+    some = " OR ".join(f"{n} IS NOT NULL" for n in names.values())
+    shown = " UNION ALL ".join(f"SELECT ID, seq, ADHD, RawHours, session, {i + 1}.0 AS item, CAST(CAST({n} IS NOT NULL AS INTEGER) AS DOUBLE) AS responded FROM rs"
+                               for i, n in enumerate(names.values()))
+    q["d10_raw_pattern"] = with_(RAW, raw_wide(names), f"rk AS (SELECT * FROM rw WHERE {some})", *sessions("rk", "rs"), f"ra AS ({shown})") + \
+        f"""SELECT ID, seq, ADHD, {r6('RawHours', 'RawHours')}, CAST(session AS BIGINT) AS session, {r6('CAST(item AS DOUBLE)', 'item')},
+        {r6('responded', 'responded')} FROM ra"""
+    q["d11_mean_bands"] = with_(*SPARSE_BASE)[:-1] + ", " + bands("d2", "mean", {"Hostile": A_ITEMS, "Prosocial": B_ITEMS})
+    three = ["click_0", "view_0", "purchase_0"]
+    whole = "wc AS (SELECT * FROM d1 WHERE " + " AND ".join(f"{c} IS NOT NULL" for c in three) + ")"
+    q["d11_complete_bands"] = with_(SPARSE_LONG, SPARSE_WIDE, D1, whole)[:-1] + ", " + \
+        bands("wc", "var", {"Hostile": ["click_0", "view_0"], "Prosocial": ["purchase_0"]})
+    q["d13_complete"] = with_(SPARSE_LONG, SPARSE_WIDE, D1, whole,
+                              f"wo AS (SELECT *, row_number() OVER (PARTITION BY ID {ORDER}) AS occasion FROM wc)",
+                              "wl AS (" + " UNION ALL ".join(f"SELECT ID, occasion, '{c}' AS item, {c} AS value FROM wo" for c in three) + ")") + \
+        f"SELECT ID, occasion, item, {r6('value', 'value')} FROM wl"
+    q["k6_min_obs"] = with_(*SPARSE_BASE, "kn AS (SELECT *, count(*) OVER (PARTITION BY ID) AS n_obs FROM d2)") + \
+        "SELECT ID, seq, n_obs FROM kn WHERE n_obs >= 25"
+    q["k9_zero_repeats"] = with_(
+        "zd AS (SELECT user_id AS ID, CAST(floor(epoch_us(ts) / 1e6 / 43200) * 43200 AS DOUBLE) AS t, event_id AS seq, floor(value / 100) * 100 AS Y1 FROM events)",
+        *sessions("zd", "zs"), f"zl AS (SELECT *, lag(t) OVER w AS _lt, lag(Y1) OVER w AS _l1 FROM zs {SW})") + \
+        f"""SELECT ID, seq, CAST(session AS BIGINT) AS session, {r6('Y1', 'Y1')} FROM zl
+        WHERE NOT (_lt IS NOT NULL AND t = _lt AND Y1 IS NOT DISTINCT FROM _l1)"""
+    q["o2_context_order"] = with_(*SPARSE_BASE, *FEATURES, "fc AS (SELECT error_0, error_1, count(*) AS n FROM d6 GROUP BY ALL)") + \
+        f"""SELECT CAST(error_0 AS BIGINT) AS error_0, CAST(error_1 AS BIGINT) AS error_1, n,
+        {r6('round_even(100.0 * n / (SELECT sum(n) FROM fc), 1)', 'pct')}, row_number() OVER (ORDER BY n DESC, error_0, error_1) AS rank FROM fc"""
+    q["s_names"] = """SELECT CAST(n_nationkey AS BIGINT) AS key, n_name AS "X2nd_name", CAST(n_regionkey AS BIGINT) AS region,
+        CAST(0 AS BIGINT) AS flag FROM nation"""
+    q["j_null_safe"] = """WITH a AS (SELECT NULLIF(user_id % 10, 0) AS key FROM events),
+        b AS (SELECT NULLIF(n_nationkey, 0) AS key, n_name FROM nation WHERE n_nationkey < 10)
+        SELECT a.key, n_name, count(*) AS n FROM a JOIN b ON a.key IS NOT DISTINCT FROM b.key GROUP BY ALL"""
+    ols = ["""o1 AS (SELECT ID, count(*) AS n, sum(Y1_lag) AS sx, sum(Y1_lag * Y1_lag) AS sxx, sum(Y1) AS sy, sum(Y1_lag * Y1) AS sxy,
+                 sum(Y1 * Y1) AS syy FROM dv GROUP BY ID)""",
+           """o2 AS (SELECT sum(n) AS n, sum(sx) AS sx, sum(sxx) AS sxx, sum(sy) AS sy, sum(sxy) AS sxy, sum(syy) AS syy FROM o1)""",
+           """o3 AS (SELECT *, n * sxx - sx * sx AS det, (n * sxy - sx * sy) / (n * sxx - sx * sx) AS b1,
+                 (sxx * sy - sx * sxy) / (n * sxx - sx * sx) AS b0 FROM o2)""",
+           """o4 AS (SELECT sum(e0 * e0) AS m00, sum(e0 * e1) AS m01, sum(e1 * e1) AS m11 FROM (
+                 SELECT o1.sy - o1.n * b0 - o1.sx * b1 AS e0, o1.sxy - o1.sx * b0 - o1.sxx * b1 AS e1 FROM o1, o3))"""]
+    q["m2_var1_se"] = with_(*DENSE_VAR, *ols) + f"""SELECT 'Y1' AS outcome, 'one' AS term, {r6('b0', 'estimate')}, CAST(n AS BIGINT) AS n,
+          {r6('sqrt(sxx * sxx * m00 - 2 * sxx * sx * m01 + sx * sx * m11) / det', 'se_cluster')} FROM o3, o4
+        UNION ALL SELECT 'Y1', 'Y1_lag', {r6('b1', 'estimate')}, CAST(n AS BIGINT),
+          {r6('sqrt(sx * sx * m00 - 2 * sx * n * m01 + n * n * m11) / det', 'se_cluster')} FROM o3, o4
+        UNION ALL SELECT 'Y1', 'cov:Y1', {r6('(syy - b0 * sy - b1 * sxy) / (n - 2)', 'estimate')}, CAST(n AS BIGINT), NULL FROM o3"""
+    # one EM step of Y1 ~ 1 + x + (1 + x | person) at b = (0.1, 0.2), s = 0.9, Psi = (0.3, 0.05; 0.05, 0.2)
+    em = ["e0 AS (SELECT 0.1::DOUBLE AS b0, 0.2::DOUBLE AS b1, 0.9::DOUBLE AS s, 0.3::DOUBLE AS p11, 0.05::DOUBLE AS p12, 0.2::DOUBLE AS p22)",
+          """e1 AS (SELECT o1.*, e0.*, p11 * p22 - p12 * p12 AS dp, sy - n * b0 - sx * b1 AS z0, sxy - sx * b0 - sxx * b1 AS z1,
+                 syy - 2 * (b0 * sy + b1 * sxy) + b0 * b0 * n + 2 * b0 * b1 * sx + b1 * b1 * sxx AS ee FROM o1, e0)""",
+          "e2 AS (SELECT *, p22 / dp + n / s AS a11, -p12 / dp + sx / s AS a12, p11 / dp + sxx / s AS a22, z0 / s AS r0, z1 / s AS r1 FROM e1)",
+          "e3 AS (SELECT *, a11 * a22 - a12 * a12 AS da FROM e2)",
+          "e4 AS (SELECT *, a22 / da AS v11, -a12 / da AS v12, a11 / da AS v22, (a22 * r0 - a12 * r1) / da AS u0, (a11 * r1 - a12 * r0) / da AS u1 FROM e3)",
+          """e5 AS (SELECT sum(-0.5 * (n * ln(2 * pi()) + n * ln(s) + ln(dp) + ln(da) + ee / s - r0 * u0 - r1 * u1)) AS loglik,
+                 sum(v11 + u0 * u0) AS q11, sum(v12 + u0 * u1) AS q12, sum(v22 + u1 * u1) AS q22, count(*) AS persons, sum(n) AS n,
+                 sum(sx) AS sx, sum(sxx) AS sxx, sum(sy - n * u0 - sx * u1) AS g0, sum(sxy - sx * u0 - sxx * u1) AS g1,
+                 sum(syy - 2 * (u0 * sy + u1 * sxy) + n * (v11 + u0 * u0) + 2 * sx * (v12 + u0 * u1) + sxx * (v22 + u1 * u1)) AS c FROM e4)""",
+          "e6 AS (SELECT *, (sxx * g0 - sx * g1) / (n * sxx - sx * sx) AS b0, (n * g1 - sx * g0) / (n * sxx - sx * sx) AS b1 FROM e5)"]
+    q["m3_em_step"] = with_(*DENSE_VAR, ols[0], *em) + f"""SELECT {r6('loglik', 'loglik')}, {r6('b0', 'b0')}, {r6('b1', 'b1')},
+        {r6('(c - 2 * (b0 * g0 + b1 * g1) + b0 * b0 * n + 2 * b0 * b1 * sx + b1 * b1 * sxx) / n', 'sigma')},
+        {r6('q11 / persons', 'psi11')}, {r6('q12 / persons', 'psi12')}, {r6('q22 / persons', 'psi22')} FROM e6"""
+    x = ["one", "item_no", "hours", "adhd", "hours_x_adhd"]
+    val = {"one": "1.0", "responded": "responded", **{c: c for c in x[1:]}}
+    pairs = [(a, b) for i, a in enumerate(x) for b in x[i:]] + [(a, "responded") for a in x] + [("responded", "responded")]
+    pres = " UNION ALL ".join(f"SELECT ID, ADHD AS grp, RawHours, {i + 1}.0::DOUBLE AS item_no, CAST(CAST({c} IS NOT NULL AS INTEGER) AS DOUBLE) AS responded FROM d2"
+                              for i, c in enumerate(ITEMS))
+    q["m5_response_moments"] = with_(*SPARSE_BASE, f"rp AS ({pres})",
+                                     "rq AS (SELECT *, RawHours / 1000.0 AS hours, CAST(grp = 'Y' AS INTEGER)::DOUBLE AS adhd FROM rp WHERE RawHours IS NOT NULL)",
+                                     "rr AS (SELECT *, hours * adhd AS hours_x_adhd FROM rq)") + \
+        "SELECT count(*) AS n, " + ", ".join(r6(f"sum({val[a]} * {val[b]})", f"s__{a}__{b}", 3) for a, b in pairs) + " FROM rr"
+    # three-way design: group, number of rows, item (the first is the base)
+    levels = ITEMS[1:]
+    main = {"adhd": {"adhd": "g"}, "n_obs": {"n_obs": "n"}, "item": {f"item{i + 2}": f"CAST(item = '{c}' AS INTEGER)" for i, c in enumerate(levels)}}
+    cols: dict[str, str] = {"one": "1.0"}
+    for names_ in (["adhd"], ["n_obs"], ["item"], ["adhd", "n_obs"], ["adhd", "item"], ["n_obs", "item"], ["adhd", "n_obs", "item"]):
+        part = {"": "1.0"}
+        for m in names_:
+            part = {f"{a}_x_{b}" if a else b: f"{ea} * {eb}" for a, ea in part.items() for b, eb in main[m].items()}
+        cols.update({f"d_{k}": e for k, e in part.items()})
+    iv = "iv AS (SELECT ID, ADHD, CAST(ADHD = 'Y' AS INTEGER)::DOUBLE AS g, count(*)::DOUBLE AS n, " + ", ".join(
+        f"var_samp({c}) / 1000.0 AS v_{c}" for c in ITEMS) + " FROM d2 GROUP BY ID, ADHD)"
+    il = "il AS (" + " UNION ALL ".join(f"SELECT g, n, '{c}' AS item, v_{c} AS v FROM iv WHERE v_{c} IS NOT NULL" for c in ITEMS) + ")"
+    q["m8_design_moments"] = with_(*SPARSE_BASE, iv, il) + "SELECT count(*) AS n, " + ", ".join(
+        [r6(f"sum(({e}) * ({e}))", f"xx_{c}", 3) for c, e in cols.items()] + [r6(f"sum(({e}) * v)", f"xy_{c}", 3) for c, e in cols.items()]) + " FROM il"
+    return q
+
+
 def _sql() -> dict[str, str]:
     q: dict[str, str] = {}
     q["w4_sessionize"] = with_(*DENSE_SESS) + f"""SELECT ID, seq, CAST(obs AS BIGINT) AS obs, CAST(session AS BIGINT) AS session,
@@ -288,13 +421,19 @@ def _sql() -> dict[str, str]:
         {r6('avg(Y1)', 'anti_mean')}, {r6('stddev_samp(Y1)', 'anti_sd')}, {r6('max(Y1) - min(Y1)', 'anti_range')},
         {r6('avg(Y2)', 'pro_mean')}, {r6('stddev_samp(Y2)', 'pro_sd')}, {r6('max(Y2) - min(Y2)', 'pro_range')},
         CASE WHEN min(ADHD_numeric) = 1 THEN 'ADHD' ELSE 'Control' END AS "Group" FROM s7 GROUP BY ID"""
-    dist = """dl AS (SELECT 'Grand-mean centred' AS Centering, 'Hostile' AS Variable, Y1 AS Value FROM wp
-              UNION ALL SELECT 'Grand-mean centred', 'Prosocial', Y2 FROM wp
-              UNION ALL SELECT 'Within-person centred', 'Hostile', Y1_wpc FROM wp
-              UNION ALL SELECT 'Within-person centred', 'Prosocial', Y2_wpc FROM wp)"""
-    wp = "wp AS (SELECT *, Y1 - avg(Y1) OVER (PARTITION BY ID) AS Y1_wpc, Y2 - avg(Y2) OVER (PARTITION BY ID) AS Y2_wpc FROM s7)"
+    # person means are taken from all scored rows, before short series go (centring stage "before")
+    wp = ["w0 AS (SELECT *, Y1 - avg(Y1) OVER (PARTITION BY ID) AS Y1_wpc, Y2 - avg(Y2) OVER (PARTITION BY ID) AS Y2_wpc FROM d6)",
+          "w1 AS (SELECT *, dense_rank() OVER (ORDER BY ID) AS person_id, count(*) OVER (PARTITION BY ID, session) AS _sn FROM w0)",
+          "wp AS (SELECT *, person_id * 1000 + session AS ctsem_id FROM w1 WHERE _sn >= 3)"]
+    ids = "ID, CASE WHEN ADHD_numeric = 1 THEN 'ADHD' ELSE 'Control' END AS \"Group\", session, ctsem_id, TimeHours AS ctsem_time, seq"
+    dist = "dl AS (" + " UNION ALL ".join(
+        f"SELECT {ids}, '{c}' AS Centering, '{v}' AS Variable, {col} AS Value FROM wp" for c, v, col in [
+            ("Grand-mean centred", "Hostile", "Y1"), ("Grand-mean centred", "Prosocial", "Y2"),
+            ("Within-person centred", "Hostile", "Y1_wpc"), ("Within-person centred", "Prosocial", "Y2_wpc")]) + ")"
     hist = histogram_sql("dl", "Value", 30, ["Centering", "Variable"])
-    q["d12_distribution_hist"] = with_(*SPARSE_BASE, *SERIES, wp, dist)[:-1] + ",\n" + hist[len("WITH "):]
+    q["d12_distribution_hist"] = with_(*SPARSE_BASE, *FEATURES, *wp, dist)[:-1] + ",\n" + hist[len("WITH "):]
+    q["d12_trajectories"] = with_(*SPARSE_BASE, *FEATURES, *wp, dist) + f"""SELECT ID, "Group", CAST(session AS BIGINT) AS session,
+        CAST(ctsem_id AS BIGINT) AS ctsem_id, {r6('ctsem_time', 'ctsem_time')}, seq, Centering, Variable, {r6('Value', 'Value')} FROM dl"""
     hist2 = histogram_sql("dts", "dt", 50, [])
     q["a16_interval_hist"] = with_(*SPARSE_BASE, *SERIES, DT_SERIES)[:-1] + ",\n" + hist2[len("WITH "):]
     rl = "rl AS (" + " UNION ALL ".join(
@@ -310,6 +449,7 @@ def _sql() -> dict[str, str]:
         vc.append(f"lv_{f} AS (SELECT {f}, count(*) AS n, sum(value) AS s FROM rv GROUP BY {f})")
         sel.append(r6(f"(SELECT sum(s * s / n) FROM lv_{f})", f"T_{f}", 2))
         sel.append(r6(f"(SELECT sum(CAST(n AS DOUBLE) * n) FROM lv_{f})", f"S_{f}", 2))
+        sel.append(f"(SELECT count(*) FROM lv_{f}) AS L_{f}")
     for f in facs:
         for g in facs:
             if f == g:
@@ -393,6 +533,7 @@ def _sql() -> dict[str, str]:
         count(*) FILTER (WHERE gap_hours > 30) AS n_large_gap, count(*) FILTER (WHERE click_0 IS NULL) AS n_no_click,
         count(*) FILTER (WHERE weekend = 1) AS n_weekend, count(DISTINCT ID) AS n_persons,
         (SELECT max(c) FROM (SELECT count(*) AS c FROM d2 GROUP BY ID)) AS max_rows_per_person FROM d2"""
+    q.update(_more())
     return q
 
 

@@ -217,42 +217,256 @@ def q_m2_var_pooled(spark, sf):
     return finish(M.pooled_ols_table(mom, ["Y1_lag", "Y2_lag"], ["Y1", "Y2"]))
 
 
+# --- models on the dense panel, where each person has some 60 rows -----------------
+def dense_var(spark, sf):
+    """Standardised scores with lags 1 and 2 inside sessions, complete rows (D9 on the dense panel)."""
+    d = D.standardize(dense_sessions(spark, sf), {"Y1": "Z1", "Y2": "Z2"})
+    d = d.drop("Y1", "Y2").withColumnsRenamed({"Z1": "Y1", "Z2": "Y2"})
+    lags = {f"{y}_lag{'' if k == 1 else k}": (y, k) for y in ("Y1", "Y2") for k in (1, 2)}
+    d = W.series_lags(d, "ID", "t", "seq", "session", {**lags, "_tp": ("t", 1)})
+    d = d.withColumn("dt", (F.col("t") - F.col("_tp")) / F.lit(C.SECONDS_PER_HOUR))
+    d = K.require_lags(d, ["Y1", "Y2", *lags], "dt")
+    return d.withColumns({"log_dt": F.ln("dt"), "adhd": C.group_flag("ADHD").cast("double"),
+                          "weekend": C.weekend_flag_epoch("t").cast("double")})
+
+
+LAGS1, LAGS2 = ["Y1_lag", "Y2_lag"], ["Y1_lag", "Y1_lag2", "Y2_lag", "Y2_lag2"]
+ONE = M.ONE
+
+
+def ar_shapes():
+    from panelflow.models.mixed import shape
+    terms = [ONE, *LAGS2, "log_dt"]
+    ar1 = shape(terms, ["Y1", "Y2"], {y: [ONE, *LAGS1] for y in ("Y1", "Y2")},
+                {y: [ONE, f"{y}_lag", "log_dt"] for y in ("Y1", "Y2")})
+    ar2 = shape(terms, ["Y1", "Y2"], {y: [ONE, *LAGS2] for y in ("Y1", "Y2")},
+                {y: [ONE, *LAGS2, "log_dt"] for y in ("Y1", "Y2")})
+    return {"AR(1)": ar1, "AR(2)": ar2}
+
+
+def ar_moments(spark, sf):
+    return M.panel_moments(dense_var(spark, sf), "ID", [*LAGS2, "log_dt"], ["Y1", "Y2"])
+
+
+def fitted(spark, moments, s):
+    from panelflow.models import mixed
+    return finish(mixed.result_table(spark, mixed.fit_mixed_var(moments, s.terms, s.ys, s.fixed, s.random)), digits=4)
+
+
 def q_m3_mixed_var_ar1(spark, sf):
-    """Bivariate multilevel VAR(1) by EM on the AR(2)-compatible rows (no SQL oracle)."""
-    from panelflow.models.mixed import fit_mixed_var
-    mom = M.panel_moments(var2(spark, sf), "ID", AR1_X, ["Y1", "Y2"])
-    fixed = {"Y1": ["one", "Y1_lag", "Y2_lag"], "Y2": ["one", "Y1_lag", "Y2_lag"]}
-    rand = {"Y1": ["one", "Y1_lag", "log_dt"], "Y2": ["one", "Y2_lag", "log_dt"]}
-    fit = fit_mixed_var(mom, ["one"] + AR1_X, ["Y1", "Y2"], fixed, rand, max_iter=100)
-    rows = [("fixed", y, t, float(v)) for y, bs in fit["beta"].items() for t, v in bs.items()]
-    rows += [("sigma", "Y1", "Y2", float(fit["sigma"][0, 1])),
-             ("sigma", "Y1", "Y1", float(fit["sigma"][0, 0])), ("sigma", "Y2", "Y2", float(fit["sigma"][1, 1])),
-             ("loglik", "", "", float(fit["loglik"][-1]))]
-    labels = [f"{y}:{t}" for y in ["Y1", "Y2"] for t in rand[y]]
-    rows += [("psi", labels[i], labels[i], float(fit["psi"][i, i])) for i in range(len(labels))]
-    return finish(spark.createDataFrame(rows, "part string, outcome string, term string, value double"))
+    """Bivariate multilevel VAR(1): correlated random intercepts, own lag and spacing effects."""
+    return fitted(spark, ar_moments(spark, sf), ar_shapes()["AR(1)"])
+
+
+def q_m3_mixed_var_ar2(spark, sf):
+    """The same with two lags, all of them random."""
+    return fitted(spark, ar_moments(spark, sf), ar_shapes()["AR(2)"])
+
+
+def q_m3_mixed_var_full(spark, sf):
+    """The full fixed part: group, its products with the lags and the spacing, weekend, a covariate."""
+    from panelflow.models.mixed import shape
+    cust = S.driver_table(spark, sf, "customer").select(
+        F.col("c_custkey").alias("ID"), (F.col("c_acctbal") / 10000).alias("covariate"))
+    d = J.attach_person(dense_var(spark, sf), cust, "ID", ["covariate"])
+    d = d.withColumns(C.interactions("adhd", ["Y1_lag", "Y2_lag", "log_dt"]))
+    x = [*LAGS1, "adhd", "adhd_x_Y1_lag", "adhd_x_Y2_lag", "weekend", "covariate", "log_dt", "adhd_x_log_dt"]
+    s = shape([ONE, *x], ["Y1", "Y2"], {y: [ONE, *x] for y in ("Y1", "Y2")},
+              {y: [ONE, "Y2_lag", "Y1_lag", "log_dt"] for y in ("Y1", "Y2")})
+    return fitted(spark, M.panel_moments(d, "ID", x, ["Y1", "Y2"]), s)
+
+
+# Literal parameters at which one EM step is compared with SQL.
+STEP_BETA, STEP_SIGMA, STEP_PSI = (0.1, 0.2), 0.9, ((0.3, 0.05), (0.05, 0.2))
+
+
+def q_m3_em_step(spark, sf):
+    """Log-likelihood of Y1 ~ 1 + Y1_lag + (1 + Y1_lag | person) at literal parameters, and one EM step from them."""
+    import numpy as np
+
+    from panelflow.models import mixed
+    s = mixed.shape([ONE, "Y1_lag"], ["Y1"], {"Y1": [ONE, "Y1_lag"]}, {"Y1": [ONE, "Y1_lag"]})
+    params = (np.array(STEP_BETA), np.array([[STEP_SIGMA]]), np.array(STEP_PSI))
+    total = mixed.person_sums(s, M.panel_moments(dense_var(spark, sf), "ID", ["Y1_lag"], ["Y1"]), [params])[0]
+    beta, sigma, psi = mixed.m_step(s, total, params[1], 0.0)
+    row = (float(s.split(total)[4][0]), *map(float, beta), float(sigma[0, 0]), float(psi[0, 0]), float(psi[0, 1]), float(psi[1, 1]))
+    return finish(spark.createDataFrame([row], "loglik double, b0 double, b1 double, sigma double, psi11 double, psi12 double, psi22 double"))
+
+
+def q_m4_compare_orders(spark, sf):
+    """Leave-persons-out comparison of both orders on the same rows, best first."""
+    from panelflow.models.mixed import compare_models
+    return finish(compare_models(ar_moments(spark, sf), "ID", ar_shapes()), digits=3)
+
+
+def response_rows(spark, sf):
+    d = D.response_pattern(sparse_wide(spark, sf), SPARSE_CFG, pattern=r"^(.*)_present$", numeric_item=False)
+    d = d.withColumns({"item_no": C.level_order("item", list(S.SPARSE_SCALE_A + S.SPARSE_SCALE_B)).cast("double"),
+                       "hours": F.col("RawHours") / 1000.0, "adhd": C.group_flag("ADHD").cast("double")})
+    return d.withColumn("hours_x_adhd", F.col("hours") * F.col("adhd"))
+
+
+RESPONSE_X = ["item_no", "hours", "adhd", "hours_x_adhd"]
+
+
+def q_m5_response_moments(spark, sf):
+    """Moment sums of all rows of the response model."""
+    mom = M.panel_moments(response_rows(spark, sf), "ID", RESPONSE_X, ["responded"])
+    sums = [c for c in mom.columns if c not in ("ID", "n")]
+    return finish(mom.agg(F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in sums]), digits=3)
 
 
 def q_m5_response_mixed(spark, sf):
-    """Linear random-slope model of item presence over time by group (M5, no SQL oracle).
+    """Linear random-slope model of item presence over time by group (M5).
 
-    responded ~ item + hours * group + (1 + hours | person), hours = RawHours / 100.
+    responded ~ item + hours * group + (1 + hours | person), hours in thousands.
     """
-    from panelflow.models.mixed import fit_mixed_var
-    d = D.response_pattern(sparse_wide(spark, sf), SPARSE_CFG, pattern=r"^(.*)_present$",
-                           numeric_item=False)
-    d = d.withColumns({"item_no": C.level_order("item", list(S.SPARSE_SCALE_A + S.SPARSE_SCALE_B)).cast("double"),
-                       "hours": F.col("RawHours") / 100.0, "adhd": C.group_flag("ADHD").cast("double")})
-    d = d.withColumn("hours_x_adhd", F.col("hours") * F.col("adhd"))
-    x = ["item_no", "hours", "adhd", "hours_x_adhd"]
-    mom = M.panel_moments(d, "ID", x, ["responded"])
-    fit = fit_mixed_var(mom, ["one"] + x, ["responded"], {"responded": ["one"] + x},
-                        {"responded": ["one", "hours"]}, max_iter=100)
-    rows = [("fixed", t, float(v)) for t, v in fit["beta"]["responded"].items()]
-    rows += [("sigma", "residual", float(fit["sigma"][0, 0])), ("psi", "one", float(fit["psi"][0, 0])),
-             ("psi", "hours", float(fit["psi"][1, 1])), ("psi", "one:hours", float(fit["psi"][0, 1])),
-             ("loglik", "", float(fit["loglik"][-1]))]
-    return finish(spark.createDataFrame(rows, "part string, term string, value double"))
+    from panelflow.models.mixed import shape
+    mom = M.panel_moments(response_rows(spark, sf), "ID", RESPONSE_X, ["responded"])
+    s = shape([ONE, *RESPONSE_X], ["responded"], {"responded": [ONE, *RESPONSE_X]}, {"responded": [ONE, "hours"]})
+    return fitted(spark, mom, s)
+
+
+def q_m6_response_curve(spark, sf):
+    """Logistic spline curve of item presence over time, by group, with person-clustered errors (M6)."""
+    from panelflow.models.curves import fit_response_curve
+    d = response_rows(spark, sf)
+    return finish(fit_response_curve(d, "hours", "responded", "adhd", cluster="ID"), digits=3)
+
+
+# --- item design (M8) ----------------------------------------------------------------
+def item_design(spark, sf):
+    from panelflow.models import items as I
+    items = list(SPARSE_CFG.items)
+    per = A.item_stats(sparse_sessions(spark, sf), ["ID", "ADHD"], items, ("var",))
+    long = R.unpivot_items(per, ["ID", "ADHD", "n_obs"], [f"var_{c}" for c in items], name="item", value="value")
+    long = long.withColumns({"adhd": C.group_flag("ADHD"), "value": F.col("value") / 1000.0})
+    levels = [f"var_{c}" for c in items]
+    d, terms = I.design(long, "adhd", "n_obs", "item", levels)
+    x = [c for cols in terms.values() for c in cols]
+    return M.panel_moments(d, "ID", x, ["value"]), terms, levels
+
+
+def q_m8_design_moments(spark, sf):
+    """X'y and the diagonal of X'X of the 32-column three-way design."""
+    mom, terms, _ = item_design(spark, sf)
+    x = [ONE, *[c for cols in terms.values() for c in cols]]
+    return finish(mom.agg(F.sum("n").alias("n"), *[F.sum(M.mname(c, c)).alias(f"xx_{c}") for c in x],
+                          *[F.sum(M.mname(c, "value")).alias(f"xy_{c}") for c in x]), digits=3)
+
+
+def q_m8_item_terms(spark, sf):
+    """Wald test of each term of value ~ (group + n_obs + item)^3 + (1 | person)."""
+    from panelflow.models import items as I
+    mom, terms, _ = item_design(spark, sf)
+    return finish(I.wald_terms(spark, I.fit_items(mom, terms, "value"), terms, "value"), digits=3)
+
+
+def q_m8_item_grid(spark, sf):
+    """Marginal means by group and item at the mean number of rows."""
+    from panelflow.models import items as I
+    mom, terms, levels = item_design(spark, sf)
+    at = mom.agg((F.sum(M.mname(ONE, "d_n_obs")) / F.sum("n"))).first()[0]
+    fit = I.fit_items(mom, terms, "value")
+    return finish(I.prediction_grid(spark, fit, terms, "value", "adhd", "n_obs", "item", levels, at), digits=3)
+
+
+# --- other configurations -----------------------------------------------------------
+COMPLETE_CFG = D.PanelConfig(scales={"anti": ["click_0", "view_0"], "pro": ["purchase_0"]},
+                             context_cols=list(S.SPARSE_CONTEXTS), row_rule="all")
+MIN_OBS = 25
+
+
+def q_d13_complete(spark, sf):
+    """Occasions of complete rows only, numbered after the others are dropped."""
+    return finish(D.reliability_long(D.sessionize_panel(sparse_wide(spark, sf), COMPLETE_CFG), COMPLETE_CFG))
+
+
+def q_d11_mean_bands(spark, sf):
+    return finish(D.item_group_tables(sparse_sessions(spark, sf), SPARSE_CFG, "mean"))
+
+
+def q_d11_complete_bands(spark, sf):
+    return finish(D.item_group_tables(D.sessionize_panel(sparse_wide(spark, sf), COMPLETE_CFG), COMPLETE_CFG, "var"))
+
+
+def q_k6_min_obs(spark, sf):
+    d = W.min_group_size(sparse_sessions(spark, sf), "ID", MIN_OBS, "n_obs")
+    return finish(d.select("ID", "seq", "n_obs"))
+
+
+def raw_cfg():
+    return SPARSE_CFG
+
+
+def raw_panel(spark, sf):
+    return D.prepare_raw_panel(S.raw_responses(spark, sf), raw_cfg(), list(S.SPARSE_LABELS), on_duplicate="last")
+
+
+def q_d1_raw_panel(spark, sf):
+    """Raw text responses -> wide panel: sentinel, unparsable times, missing session numbers."""
+    return finish(raw_panel(spark, sf))
+
+
+def q_d1_parse_report(spark, sf):
+    return finish(D.parse_report(D.read_raw(S.raw_responses(spark, sf), raw_cfg())))
+
+
+def q_d10_raw_pattern(spark, sf):
+    """Item presence from raw responses: a skipped answer isn't one; the item is its number."""
+    names = {v: f"item{i + 1}" for i, v in enumerate(S.SPARSE_SCALE_A + S.SPARSE_SCALE_B)}
+    wide = D.prepare_raw_panel(S.raw_responses(spark, sf), raw_cfg(), names, on_duplicate="last")
+    return finish(D.response_pattern(wide, raw_cfg(), list(names.values()), pattern=r"item(\d+)_present"))
+
+
+def q_k9_zero_repeats(spark, sf):
+    """Exact repeats at the same time, with times floored to 12 hours and values to hundreds so that there are some."""
+    d = S.events_long(spark, sf).select("ID", (F.floor(F.col("t") / 43200) * 43200).cast("double").alias("t"), "seq",
+                                        (F.floor(F.col("Y1") / 100) * 100).cast("double").alias("Y1"))
+    d = W.sessionize(d, "ID", "t", "seq", 30.0)
+    return finish(W.drop_zero_dt_duplicates(d, "ID", "t", "seq", "session", ["Y1"]).select("ID", "seq", "session", "Y1"))
+
+
+def q_o2_context_order(spark, sf):
+    return finish(A.freq_table(sparse_features(spark, sf), list(S.SPARSE_CONTEXTS), ordered=True))
+
+
+def q_s_names(spark, sf):
+    """Repaired, renamed and added column names."""
+    d = S.driver_table(spark, sf, "nation").select(
+        F.col("n_nationkey").alias("nation key"), F.col("n_name").alias("2nd name"), F.col("n_regionkey").alias("if"))
+    d = S.rename_regex(S.make_names(d), r"\.", "_")
+    d = S.rename_columns(S.rename_positional(d, ["key"]), {"if_": "region", "absent": "x"})
+    d = S.ensure_columns(S.drop_if_present(d, "absent"), {"region": -1, "flag": 0})
+    return finish(d)
+
+
+def q_j_null_safe(spark, sf):
+    """J2 null-safe: rows whose key is missing meet the table's row without a key."""
+    d = dense(spark, sf).select(F.when(F.col("ID") % 10 != 0, F.col("ID") % 10).alias("key"))
+    names = S.driver_table(spark, sf, "nation").where("n_nationkey < 10").select(
+        F.when(F.col("n_nationkey") > 0, F.col("n_nationkey").cast("bigint")).alias("key"), "n_name")
+    return finish(A.count_by(J.attach(d, names, "key", null_safe=True), ["key", "n_name"], "n"))
+
+
+def q_m2_var_full(spark, sf):
+    """Pooled VAR(2) with person-clustered errors."""
+    mom = M.panel_moments(var2(spark, sf), "ID", LAGS2, ["Y1", "Y2"])
+    return finish(M.pooled_ols_table(mom, LAGS2, ["Y1", "Y2"], with_se=True))
+
+
+def q_m2_var1_se(spark, sf):
+    """Pooled VAR(1) of one outcome with its person-clustered errors and residual variance."""
+    mom = M.panel_moments(dense_var(spark, sf), "ID", ["Y1_lag"], ["Y1"])
+    return finish(M.pooled_ols_table(mom, ["Y1_lag"], ["Y1"], with_se=True))
+
+
+def q_m7_components(spark, sf):
+    """Variance components and occasion reliability of all items and of each scale."""
+    from panelflow.models import varcomp
+    long = D.reliability_long(sparse_sessions(spark, sf), SPARSE_CFG)
+    return finish(varcomp.reliability_table(long, "value", ["ID", "occasion", "item"], "occasion", "item", {
+        "all": SPARSE_CFG.items, **SPARSE_CFG.scales}), digits=2)
 
 
 def q_d10_response_pattern(spark, sf):
@@ -270,12 +484,16 @@ def q_a11_person_summary(spark, sf):
     return finish(d)
 
 
+def centred(spark, sf):
+    return D.centred_series(sparse_features(spark, sf), SPARSE_CFG)
+
+
 def q_d12_distribution_hist(spark, sf):
-    d = sparse_series(spark, sf)
-    d = W.center_within(d, "ID", ["Y1", "Y2"], dev_suffix="_wpc")
-    long = D.distribution_long(d, {"Grand-mean centred": {"Y1": "Hostile", "Y2": "Prosocial"},
-                                   "Within-person centred": {"Y1_wpc": "Hostile", "Y2_wpc": "Prosocial"}})
-    return finish(A.histogram(long, "Value", 30, ["Centering", "Variable"]))
+    return finish(A.histogram(D.centred_long(centred(spark, sf), SPARSE_CFG), "Value", 30, ["Centering", "Variable"]))
+
+
+def q_d12_trajectories(spark, sf):
+    return finish(D.trajectories(centred(spark, sf), SPARSE_CFG))
 
 
 def q_a16_interval_hist(spark, sf):
@@ -438,4 +656,28 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "j_joins": q_j_joins,
     "u_union_distinct": q_u_union_distinct,
     "a4_quality_report": q_a4_quality_report,
+    "d1_raw_panel": q_d1_raw_panel,
+    "d1_parse_report": q_d1_parse_report,
+    "d10_raw_pattern": q_d10_raw_pattern,
+    "d11_mean_bands": q_d11_mean_bands,
+    "d11_complete_bands": q_d11_complete_bands,
+    "d12_trajectories": q_d12_trajectories,
+    "d13_complete": q_d13_complete,
+    "k6_min_obs": q_k6_min_obs,
+    "k9_zero_repeats": q_k9_zero_repeats,
+    "o2_context_order": q_o2_context_order,
+    "s_names": q_s_names,
+    "j_null_safe": q_j_null_safe,
+    "m2_var_full": q_m2_var_full,
+    "m2_var1_se": q_m2_var1_se,
+    "m3_em_step": q_m3_em_step,
+    "m3_mixed_var_ar2": q_m3_mixed_var_ar2,
+    "m3_mixed_var_full": q_m3_mixed_var_full,
+    "m4_compare_orders": q_m4_compare_orders,
+    "m5_response_moments": q_m5_response_moments,
+    "m6_response_curve": q_m6_response_curve,
+    "m7_components": q_m7_components,
+    "m8_design_moments": q_m8_design_moments,
+    "m8_item_terms": q_m8_item_terms,
+    "m8_item_grid": q_m8_item_grid,
 }

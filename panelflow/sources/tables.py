@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelflow.functions.columns import epoch_seconds
+from panelflow.functions.columns import SKIPPED_SENTINEL, epoch_seconds
 
 # Fixed values of the sparse panel mapping (FIXTURES.md §2).
 SPARSE_SCALE_A = ("click_0", "click_1", "view_0", "view_1")
@@ -155,3 +155,25 @@ def sparse_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.col("event_type"), F.lit("_"), F.pmod(k, F.lit(2)).cast("string")).alias("label"),
         F.col("value").alias("value"),
     )
+
+
+def raw_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as raw response rows of ``RESPONSE_SCHEMA``: text answers and times, with what goes wrong in them.
+
+    Every 7th event is skipped, every 29th has an answer that is no number,
+    every 101st a time that can't be parsed, every 53rd no session number.
+    """
+    ev = driver_table(spark, sf_dir, "events")
+    k = F.get_json_object("props", "$.k").try_cast("bigint")
+    n = F.col("event_id")
+    day = F.date_trunc("day", "ts")
+    return ev.select(
+        F.col("user_id").alias("participant_id"),
+        F.when(n % 101 == 0, F.concat(F.lit("late "), F.date_format(day, "dd.MM.")))
+        .otherwise(F.date_format(day, "yyyy-MM-dd HH:mm:ss")).alias("notification_time"),
+        F.when(n % 53 != 0, F.lit(1)).alias("session_instance_no"),
+        F.when(F.pmod(F.col("user_id"), F.lit(2)) == 1, F.lit("Y")).otherwise(F.lit("N")).alias("adhd"),
+        F.concat(F.col("event_type"), F.lit("_"), F.pmod(k, F.lit(2)).cast("string")).alias("prompt_label"),
+        F.when(n % 7 == 0, F.lit(SKIPPED_SENTINEL)).when(n % 29 == 0, F.lit("often"))
+        .otherwise(F.floor("value").cast("bigint").cast("string")).alias("response"),
+        n.alias("seq"))

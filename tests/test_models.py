@@ -66,7 +66,19 @@ def test_response_curve_runs(spark):
     p = 1 / (1 + np.exp(-(1 - 0.02 * x + 0.5 * g)))
     df = spark.createDataFrame(pd.DataFrame({"x": x, "g": g, "y": (rng.random(2000) < p).astype(int)}))
     tab = fit_response_curve(df, "x", "y", "g").toPandas()
-    assert "(Intercept)" in set(tab["term"]) and tab["estimate"].notna().all()
+    est = tab.set_index("term")["estimate"]
+    assert est["converged"] == 1 and tab["estimate"].notna().all()
+    # the fitted curve is near the true one
+    from panelflow.models.curves import exact_knots, spline_columns
+    knots = exact_knots(df, "x", 3)
+    lo, hi = x.min(), x.max()
+    z = (np.array([20.0, 50.0, 80.0]) - lo) / (hi - lo)
+    basis = {"s1": z, "s2": z ** 2, "s3": z ** 3, **{f"sk{i + 1}": np.maximum(z - (k - lo) / (hi - lo), 0) ** 3 for i, k in enumerate(knots)}}
+    assert set(spline_columns("x", knots)) == set(basis)
+    for grp in (0, 1):
+        eta = est["(Intercept)"] + sum(est[b] * v for b, v in basis.items()) + grp * (
+            est["g"] + sum(est[f"{b}_x_g"] * v for b, v in basis.items()))
+        assert np.allclose(eta, 1 - 0.02 * np.array([20.0, 50.0, 80.0]) + 0.5 * grp, atol=0.5)
 
 
 def test_mixed_var_em_recovers_simulation(spark):
@@ -87,10 +99,54 @@ def test_mixed_var_em_recovers_simulation(spark):
     mom = M.panel_moments(df, "ID", ["Y1_lag", "Y2_lag"], ["Y1", "Y2"])
     fit = fit_mixed_var(mom, ["one", "Y1_lag", "Y2_lag"], ["Y1", "Y2"],
                         fixed={"Y1": ["one", "Y1_lag", "Y2_lag"], "Y2": ["one", "Y1_lag", "Y2_lag"]},
-                        random={"Y1": ["one", "Y1_lag"], "Y2": ["one", "Y2_lag"]}, max_iter=60)
-    ll = fit["loglik"]
-    assert all(b >= a - 1e-6 * abs(a) for a, b in zip(ll, ll[1:]))
-    assert abs(fit["beta"]["Y1"]["Y1_lag"] - 0.3) < 0.06
-    assert abs(fit["beta"]["Y2"]["Y2_lag"] - 0.25) < 0.06
+                        random={"Y1": ["one", "Y1_lag"], "Y2": ["one", "Y2_lag"]})
+    path = fit["path"]
+    assert fit["converged"] and path[-1] == fit["loglik"]
+    assert all(b >= a - 1e-6 * abs(a) for a, b in zip(path, path[1:]))
+    se = dict(zip(["a1", "Y1_lag", "x", "a2", "y", "Y2_lag"], np.sqrt(np.diag(fit["cov"]))))
+    assert abs(fit["beta"]["Y1"]["Y1_lag"] - 0.3) < 3 * se["Y1_lag"]
+    assert abs(fit["beta"]["Y2"]["Y2_lag"] - 0.25) < 3 * se["Y2_lag"]
     assert abs(fit["sigma"][0, 1] - 0.3) < 0.08
     assert abs(fit["psi"][0, 0] - 0.25) < 0.1
+
+
+def test_item_model_recovers_effects(spark):
+    from panelflow.models import items as I
+    rng = np.random.default_rng(3)
+    levels = ["a", "b", "c"]
+    rows = []
+    for p in range(400):
+        g, n, u = p % 2, float(rng.integers(10, 40)), rng.normal(0, 0.5)
+        for i, v in enumerate(levels):
+            rows.append((p, g, n, v, 1 + 0.5 * g + 0.02 * n + 0.3 * i + (0.8 if g and v == "c" else 0) + u + rng.normal(0, 0.4)))
+    df = spark.createDataFrame(rows, "ID long, adhd int, n_obs double, item string, value double")
+    d, terms = I.design(df, "adhd", "n_obs", "item", levels)
+    assert {t: len(c) for t, c in terms.items()} == {"adhd": 1, "n_obs": 1, "item": 2, "adhd:n_obs": 1, "adhd:item": 2,
+                                                     "n_obs:item": 2, "adhd:n_obs:item": 2}
+    mom = M.panel_moments(d, "ID", [c for cols in terms.values() for c in cols], ["value"])
+    fit = I.fit_items(mom, terms, "value")
+    assert fit["converged"] and abs(fit["sigma"][0, 0] - 0.16) < 0.03 and abs(fit["psi"][0, 0] - 0.25) < 0.06
+    grid = {(r.adhd, r.item): r for r in I.prediction_grid(spark, fit, terms, "value", "adhd", "n_obs", "item", levels, 25.0).collect()}
+    for (g, v), r in grid.items():
+        truth = 1 + 0.5 * g + 0.5 + 0.3 * levels.index(v) + (0.8 if g and v == "c" else 0)
+        assert abs(r.estimate - truth) < 3.5 * r.se
+    wald = {r.term: r for r in I.wald_terms(spark, fit, terms, "value").collect()}
+    assert wald["adhd:n_obs:item"].chisq < 15 and wald["adhd:n_obs:item"].df == 2
+
+
+def test_pooled_table_and_reliability(spark):
+    pdf, _ = _sim_var(30, 12)
+    mom = M.panel_moments(spark.createDataFrame(pdf), "ID", ["Y1_lag", "Y2_lag"], ["Y1", "Y2"])
+    tab = {(r.outcome, r.term): r for r in M.pooled_ols_table(mom, ["Y1_lag", "Y2_lag"], ["Y1", "Y2"], with_se=True).collect()}
+    x = np.column_stack([np.ones(len(pdf)), pdf["Y1_lag"], pdf["Y2_lag"]])
+    y = pdf[["Y1", "Y2"]].to_numpy()
+    b = np.linalg.solve(x.T @ x, x.T @ y)
+    e = y - x @ b
+    cov = e.T @ e / (len(pdf) - 3)
+    inv = np.linalg.inv(x.T @ x)
+    for j, out in enumerate(["Y1", "Y2"]):
+        meat = sum(np.outer(s, s) for s in (x[pdf["ID"] == p].T @ e[pdf["ID"] == p, j] for p in range(30)))
+        se = np.sqrt(np.diag(inv @ meat @ inv))
+        for i, t in enumerate(["one", "Y1_lag", "Y2_lag"]):
+            assert abs(tab[out, t].estimate - b[i, j]) < 1e-8 and abs(tab[out, t].se_cluster - se[i]) < 1e-8
+    assert abs(tab["Y1", "cov:Y2"].estimate - cov[0, 1]) < 1e-8
