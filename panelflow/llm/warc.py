@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelflow.llm.prefix import prefix_sums
-from panelflow.llm.store import cut
+from panelflow.llm.store import cut, discard
 
 #: Records of consecutive page_ids in one WARC file, bytes of a leaf's offset range, children of a node.
 FILE_IDS, LEAF_BYTES, FANOUT, TIES = 256, 32768, 4, 64
@@ -93,13 +93,14 @@ def audit(left: DataFrame, right: DataFrame, leaf_bytes: int = LEAF_BYTES, fanou
     longest = end.agg(F.max("m")).first()[0] or 0
     levels, top = [[cut(leaves(x, leaf_bytes)) for x in both]], longest // leaf_bytes
     while top > 0:
-        levels.append([parents(x, fanout) for x in levels[-1]])
+        levels.append([cut(parents(x, fanout)) for x in levels[-1]])
         top //= fanout
-    marked = _differing(*levels[-1], ["file", "node"])
+    marked = cut(_differing(*levels[-1], ["file", "node"]))
     for below in reversed(levels[:-1]):
         up = F.floor(F.col("node") / fanout)
-        marked = _differing(*[_within(x, marked, up) for x in below], ["file", "node"])
-    marked = cut(marked)
+        above, marked = marked, cut(_differing(*[_within(x, marked, up) for x in below], ["file", "node"]))
+        discard(above)
+    discard(*[x for level in levels for x in level])
     sides = []
     for x, name in zip(both, ("l", "r"), strict=True):
         bad = _within(x, marked, F.floor(F.col("record_offset") / leaf_bytes))
