@@ -12,6 +12,7 @@ from panelflow.functions.columns import all_present, any_present
 from panelflow.operators.aggregates import pooled_stats
 from panelflow.operators.joins import attach
 from panelflow.operators.ordered import PERSON, part_keys
+from panelflow.session import write_through
 
 
 def require(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -48,6 +49,8 @@ def pooled_variance_flags(df: DataFrame, key: str, scales: Mapping[str, Sequence
     combined) gives one flag row per person, which is joined back; rows
     without an id are one person.
     """
+    if PERSON in df.columns:
+        df = write_through(df)   # read for the moments, for the chunks and for the rows
     stats = pooled_stats(df, [key], scales, ("var",))
     flag = F.lit(False)
     for s in scales:
@@ -60,7 +63,7 @@ def pooled_variance_flags(df: DataFrame, key: str, scales: Mapping[str, Sequence
     if PERSON in df.columns:   # split persons: the flags travel by chunk
         chunks = df.select(key, *part_keys()).distinct()
         flags, keys = attach(chunks, flags, key, null_safe=True).drop(key), part_keys()
-        return df.join(flags, on=keys, how="inner")
+        return df.join(write_through(flags), on=keys, how="inner")
     return attach(df, flags, key, null_safe=True)
 
 
