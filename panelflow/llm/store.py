@@ -49,14 +49,6 @@ def discard(*tables: DataFrame) -> None:
                 path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def cut_buckets(df: DataFrame, partition_by: list[str], buckets: int, by: str) -> DataFrame:
-    """As ``cut``, with files bucketed by ``by``: grouping or joining on it needs no shuffle."""
-    spark, name = df.sparkSession, f"cut_{uuid.uuid4().hex}"
-    (df.write.format("parquet").option("compression", "zstd").option("path", f"{shared_dir(spark)}/{name}")
-     .partitionBy(*partition_by).bucketBy(buckets, by).saveAsTable(name))
-    return spark.table(name)
-
-
 def partitions(spark: SparkSession) -> int:
     """Shuffle partitions of the session: the number of hash buckets operators deal into."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
