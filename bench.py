@@ -31,6 +31,9 @@ HEADLINE = [
     "d12_distribution_hist",
     "a7_item_variability",  # lineitem item statistics
     "a15_correlations",
+    "m3_em_step",           # one EM pass with its moments
+    "m5_response_mixed",    # a whole fit
+    "m7_components",
 ]
 
 
