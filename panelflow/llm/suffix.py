@@ -17,10 +17,10 @@ from panelflow.llm.words import Texts, batches, mix, prefix_hash, span_hash
 #: Least length of a repeat and length of an anchor, in bytes.
 LEAST, ANCHOR = 50, 20
 _LAST = (1 << 63) - 1
-#: Characters of text after which a task passes on what it has gathered.
-_GATHER = 16_000_000
+#: Characters of text after which a task passes on the anchors, or the surroundings, that it has gathered.
+_GATHER, _GATHER_CONTEXTS = 16_000_000, 5_000_000
 #: Parts in which a task works off a hash bucket, one after the other.
-SLICES = 4
+SLICES = 8
 
 
 def anchors(t: Texts) -> tuple[np.ndarray, np.ndarray]:
@@ -198,7 +198,7 @@ def _contexts(rows: DataFrame, parts: int) -> DataFrame:
             held, part = [], []
             for q in np.unique(p).tolist():
                 mine = [keys[i] for i in np.flatnonzero(p == q)]
-                occ = [seen[k] for k in mine]
+                occ = [seen.pop(k) for k in mine]
                 ctx = np.repeat(np.arange(len(mine)), [len(o) // 2 for o in occ]).astype(np.uint32)
                 flat = np.array([x for o in occ for x in o], np.int64)
                 own, local = np.unique(flat[0::2], return_inverse=True)
@@ -225,7 +225,7 @@ def _contexts(rows: DataFrame, parts: int) -> DataFrame:
             ids.append(pdf["id"].to_numpy(np.int64))
             ths.append(pdf["th"].to_numpy(np.int64))
             size += len(raw)
-            if size > _GATHER:
+            if size > _GATHER_CONTEXTS:
                 yield from flush()
                 seen.clear()
                 ids, ths, size = [], [], 0

@@ -99,7 +99,7 @@ class Texts:
         return self.buf[self.begin[i]:self.end[i]].tobytes().split()
 
 
-def batches(frames: Iterable, column: str = "text", chars: int = 2_000_000) -> Iterable:
+def batches(frames: Iterable, column: str = "text", chars: int = 1_000_000) -> Iterable:
     """Join and cut pandas batches to about ``chars`` characters of text each.
 
     A single longer text is a batch of its own: texts are never cut.
