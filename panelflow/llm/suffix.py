@@ -342,7 +342,7 @@ def _spans(blobs: DataFrame) -> DataFrame:
     """(id, th, spans): of each repeat's occurrences, those in documents behind its first one."""
 
     def out(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = [part for i in range(SLICES) for part in parts(_Bucket(pdf["blob"], i))]
+        found = [part for part in (spread(_Bucket(pdf["blob"], i)) for i in range(SLICES)) if part]
         if not found:
             return pd.DataFrame({"id": [], "th": [], "spans": []})
         ids, ths, start, stop = (np.concatenate(x) for x in zip(*found, strict=True))
@@ -352,20 +352,22 @@ def _spans(blobs: DataFrame) -> DataFrame:
         spans = [pack(*_union(start[a:z], stop[a:z])) for a, z in zip(first, np.append(first[1:], len(ids)), strict=True)]
         return pd.DataFrame({"id": ids[first], "th": ths[first], "spans": spans})
 
-    def parts(b: _Bucket) -> Iterator[tuple]:
+    def spread(b: _Bucket) -> tuple | None:
         of: dict[int, dict[tuple[int, int], int]] = {}
         for l, r, members in b.groups():  # noqa: E741
             low = min(int(b.low[c]) for c in members)
             for c in members:
                 mine = of.setdefault(c, {})
                 mine[l, r] = min(low, mine.get((l, r), low))
-        for c, reach in of.items():
-            d, p = b.doc[b.first[c]:b.first[c + 1]], b.pos[b.first[c]:b.first[c + 1]]
-            own = b.ids[d]
-            for (l, r), low in reach.items():  # noqa: E741
-                gone = own > low
-                if gone.any():
-                    yield own[gone], b.ths[d[gone]], p[gone] - l, p[gone] + r
+        # one row per (surrounding, reach), then one per occurrence of it
+        rows = np.array([(c, l, r, low) for c, reach in of.items() for (l, r), low in reach.items()], np.int64).reshape(-1, 4)
+        size = b.first[rows[:, 0] + 1] - b.first[rows[:, 0]]
+        row = np.repeat(np.arange(len(rows)), size)
+        occ = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(b.first[rows[:, 0]], size)
+        doc, own = b.doc[occ], b.ids[b.doc[occ]]
+        gone = own > rows[row, 3]
+        doc, occ, row = doc[gone], occ[gone], row[gone]
+        return (own[gone], b.ths[doc], b.pos[occ] - rows[row, 1], b.pos[occ] + rows[row, 2]) if len(doc) else None
 
     return blobs.groupBy("p").applyInPandas(out, "id long, th long, spans binary")
 
