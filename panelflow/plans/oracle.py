@@ -339,7 +339,7 @@ def _sql() -> dict[str, str]:
         {r6('((m4 / (m2 * m2) - 3.0) + 3.0) * power(1.0 - 1.0 / n, 2) - 3.0', 'kurtosis')},
         {r6('sd / sqrt(n)', 'se')} FROM f JOIN s USING (vars)"""
     q["k8_variance_flags"] = with_(*SPARSE_BASE, *PV_CTES) + \
-        f"SELECT ID, {r6('var_anti', 'var_anti')}, {r6('var_pro', 'var_pro')}, flag_any FROM vf2"
+        f"SELECT ID, {r6('var_anti', 'var_anti', 4)}, {r6('var_pro', 'var_pro', 4)}, flag_any FROM vf2"
     q["d5_score_scales"] = with_(*SPARSE_BASE, *SCORED) + \
         f"SELECT ID, seq, {r6('anti_mean', 'anti_mean')}, {r6('pro_mean', 'pro_mean')}, {r6('Y1', 'Y1')}, {r6('Y2', 'Y2')} FROM d5"
     q["a8_context_freq"] = with_(*SPARSE_BASE, *FEATURES, "fc AS (SELECT error_0, error_1, count(*) AS n FROM d6 GROUP BY ALL)") + \
