@@ -116,6 +116,20 @@ def test_leaks_against_all_items(spark):
     assert D.leaks(df, bench.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("n", [15, 300])
+def test_widely_quoted_item_is_found_everywhere(spark, n):
+    """An item in a third of the documents, below and above 20 documents."""
+    docs = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").limit(n).collect()]
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet")
+    item = bench.where("item_id = 0").first().text
+    rows = [(d, f"{t} {item}" if d % 3 == 0 else t, "en", "s", 0) for d, t in enumerate(docs)]
+    df = spark.createDataFrame(rows, DOCS)
+    count, total = D.document_frequency(df)
+    assert D.term_weights(count, total).min() > 0
+    got = {r.doc_id for r in D.leaks(df, bench).where("item_id = 0").collect()}
+    assert {d for d in range(n) if d % 3 == 0} <= got
+
+
 def test_retrieval_recall(spark):
     """Latent candidates against exact cosine over all windows of the query documents (doc_id divisible by 50)."""
     docs, bench = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "benchmark"))
