@@ -130,6 +130,39 @@ def test_widely_quoted_item_is_found_everywhere(spark, n):
     assert {d for d in range(n) if d % 3 == 0} <= got
 
 
+def test_reworded_copies_against_the_rule(spark):
+    """All that the LCS and answer rule accepts by brute force over windows is found, and nothing else."""
+    rnd = random.Random(9)
+    items = [tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    hosts = [r.text.split() for r in spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").limit(80).collect()]
+    common = [w for h in hosts[:20] for w in h]
+    rows = []
+    for k, host in enumerate(hosts):
+        words = items[k % len(items)][1].split()
+        at, last = rnd.randrange(len(host) + 1), len(words) - 5
+        if k % 4 == 0:  # a rare word after each
+            words = [x for j, w in enumerate(words) for x in (w, f"foreign{k}x{j}")]
+        else:
+            words = [(f"other{k}x{j}" if k % 4 < 3 else rnd.choice(common)) if j < last and rnd.random() < 0.33 else w for j, w in enumerate(words)]
+        rows.append((k, " ".join(host[:at] + words + host[at:]), "en", "s", 0))
+    t, b = D.Terms([r[1] for r in rows]), D.Terms([x for _, x in items])
+    want = set()
+    for i in range(b.n):
+        item = b.hash[b.first[i]:b.first[i + 1]].tolist()
+        for d in range(t.n):
+            first, end = t.first[d], t.first[d + 1]
+            if len(set(item) & set(t.hash[first:end].tolist())) < 0.5 * len(set(item)):
+                continue
+            for a in range(first, end, D.STEP):
+                around = t.hash[max(first, a - len(item)):min(end, min(a + D.WINDOW, end) + len(item))].tolist()
+                share = D.common_subsequence(item, around) / len(item)
+                if share >= 0.8 or share >= 0.6 and D.common_subsequence(item[-5:], around) >= 4:
+                    want.add((d, items[i][0]))
+                    break
+    got = {(r.doc_id, r.item_id) for r in D.leaks(spark.createDataFrame(rows, DOCS), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert len(want) >= 60 and got == want
+
+
 def test_retrieval_recall(spark):
     """Latent candidates against exact cosine over all windows of the query documents (doc_id divisible by 50)."""
     docs, bench = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "benchmark"))
