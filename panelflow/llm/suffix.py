@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelflow.llm.packed import falls, pack, rises, unpack
-from panelflow.llm.store import cut, partitions
+from panelflow.llm.store import cut, discard, partitions
 from panelflow.llm.words import Texts, batches, mix, prefix_hash, span_hash
 
 #: Least length of a repeat and length of an anchor, in bytes.
@@ -60,8 +60,11 @@ def _deal(parts: int, h: np.ndarray) -> np.ndarray:
     return (mix(h) % np.uint64(parts)).astype(np.int64)
 
 
-def _repeated(rows: DataFrame, parts: int) -> DataFrame:
-    """(id, th, hashes): per document the anchors that a document of another id holds too."""
+def _repeated(rows: DataFrame, parts: int, within: bool = False) -> DataFrame:
+    """(id, th, hashes): per document the anchors that a document of another id holds too.
+
+    ``within``: also those that stand twice in one document.
+    """
 
     def gather(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes, owners, ids, ths, base, size = [], [], [], [], 0, 0
@@ -72,7 +75,7 @@ def _repeated(rows: DataFrame, parts: int) -> DataFrame:
             p = _deal(parts, h)
             order = np.lexsort((d, h, p))
             h, d, p = h[order], d[order], p[order]
-            new = np.concatenate(([True], (h[1:] != h[:-1]) | (d[1:] != d[:-1]))) if len(h) else np.zeros(0, bool)
+            new = np.concatenate(([True], (h[1:] != h[:-1]) | (d[1:] != d[:-1]) | within)) if len(h) else np.zeros(0, bool)
             h, d, p = h[new], d[new], p[new]
             edge = np.flatnonzero(np.concatenate(([True], p[1:] != p[:-1], [True]))) if len(p) else []
             for a, z in zip(edge[:-1], edge[1:], strict=True):
@@ -113,8 +116,9 @@ def _repeated(rows: DataFrame, parts: int) -> DataFrame:
         h, d = h[order], d[order]
         first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
         own = ids[d]
-        shared = np.minimum.reduceat(own, first) != np.maximum.reduceat(own, first)
-        take = np.repeat(shared, np.diff(np.append(first, len(h))))
+        size = np.diff(np.append(first, len(h)))
+        shared = size > 1 if within else np.minimum.reduceat(own, first) != np.maximum.reduceat(own, first)
+        take = np.repeat(shared, size)
         h, d = h[take], d[take]
         order = np.argsort(d, kind="stable")
         h, d = h[order], d[order]
@@ -183,8 +187,12 @@ def maximal_repeats(left: list[bytes], right: list[bytes], least: int = LEAST) -
                 yield l, r, members
 
 
-def _contexts(rows: DataFrame, parts: int) -> DataFrame:
-    """(p, blob): for each repeated anchor its surroundings, and where they occur."""
+def _contexts(rows: DataFrame, parts: int, reach: int = LEAST) -> DataFrame:
+    """(p, blob): for each repeated anchor its surroundings, and where they occur.
+
+    They end ``reach`` bytes behind the anchor's start and before its end.
+    """
+    length = np.uint8 if reach < 256 else np.uint32
 
     def gather(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: dict[tuple[int, bytes, bytes], list[int]] = {}
@@ -203,8 +211,8 @@ def _contexts(rows: DataFrame, parts: int) -> DataFrame:
                 flat = np.array([x for o in occ for x in o], np.int64)
                 own, local = np.unique(flat[0::2], return_inverse=True)
                 text = np.frombuffer(b"".join(k[1] + k[2] for k in mine), np.uint8)
-                part.append((q, pack(np.array([k[0] for k in mine], np.uint64), np.array([len(k[1]) for k in mine], np.uint8),
-                                      np.array([len(k[2]) for k in mine], np.uint8), text, ctx,
+                part.append((q, pack(np.array([k[0] for k in mine], np.uint64), np.array([len(k[1]) for k in mine], length),
+                                      np.array([len(k[2]) for k in mine], length), text, ctx,
                                       local.astype(np.uint32), flat[1::2].astype(np.uint32), id_[own], th[own])))
             for lo in range(0, len(part), 64):
                 yield pd.DataFrame(part[lo:lo + 64], columns=["p", "blob"])
@@ -220,8 +228,9 @@ def _contexts(rows: DataFrame, parts: int) -> DataFrame:
             raw, base = t.buf.tobytes(), sum(map(len, ids))
             begin, end = t.begin[doc].tolist(), t.end[doc].tolist()
             for a, x, d, lo, hi in zip(at, h, doc.tolist(), begin, end, strict=True):
-                key = (x, raw[max(lo, a - LEAST + ANCHOR):a][::-1], raw[a:min(hi, a + LEAST)])
+                key = (x, raw[max(lo, a - reach + ANCHOR):a][::-1], raw[a:min(hi, a + reach)])
                 seen.setdefault(key, []).extend((base + d, a - lo))
+                size += len(key[1]) + len(key[2]) if reach > LEAST else 0
             ids.append(pdf["id"].to_numpy(np.int64))
             ths.append(pdf["th"].to_numpy(np.int64))
             size += len(raw)
@@ -238,7 +247,8 @@ def _contexts(rows: DataFrame, parts: int) -> DataFrame:
 class _Bucket:
     """One slice of the repeated anchors of a hash bucket, decoded and grouped."""
 
-    def __init__(self, blobs, slice_: int):
+    def __init__(self, blobs, slice_: int, within: bool = False):
+        self.within = within
         self.left, self.right, self.hash = [], [], []
         number: dict[tuple[int, bytes, bytes], int] = {}
         ctx, doc, pos, ids, ths, base = [], [], [], [], [], 0
@@ -258,6 +268,9 @@ class _Bucket:
             ths.append(th)
             base += len(id_)
         self.ctx, self.doc, self.pos, self.ids, self.ths = map(np.concatenate, (ctx, doc, pos, ids, ths))
+        if within:  # repeated rows are one document
+            once = np.unique(np.stack([self.ths[self.doc], self.pos, self.ctx]), axis=1, return_index=True)[1]
+            self.ctx, self.doc, self.pos = self.ctx[once], self.doc[once], self.pos[once]
         self.keys = list(number)
         own = self.ids[self.doc]
         order = np.argsort(self.ctx, kind="stable")
@@ -268,7 +281,10 @@ class _Bucket:
         self.high = np.maximum.reduceat(own, self.first[:-1]) if len(own) else own
 
     def groups(self) -> Iterator[tuple[int, int, list[int]]]:
-        """(l, r, contexts) of the maximal repeats that lie in documents of more than one id."""
+        """(l, r, contexts) of the maximal repeats in documents of more than one id, or ``within`` one too.
+
+        A repeat that goes on beyond the surroundings is given as far as they go.
+        """
         by: dict[int, list[int]] = {}
         for i, k in enumerate(self.keys):
             by.setdefault(k[0], []).append(i)
@@ -277,17 +293,19 @@ class _Bucket:
             left, right = [self.keys[i][1] for i in same], [self.keys[i][2] for i in same]
             # what lies behind one context: the whole of it repeats
             for i, a, b in zip(same, left, right, strict=True):
-                if low[i] != high[i] and len(a) + len(b) >= LEAST:
+                again = self.first[i + 1] - self.first[i] > 1 if self.within else low[i] != high[i]
+                if again and len(a) + len(b) >= LEAST:
                     yield len(a), len(b), [i]
             if len(same) > 1:
                 for l, r, members in maximal_repeats(left, right):  # noqa: E741
                     mine = [same[m] for m in members]
-                    if min(low[i] for i in mine) != max(high[i] for i in mine):
+                    if self.within or min(low[i] for i in mine) != max(high[i] for i in mine):
                         yield l, r, mine
 
 
-def _prepared(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(rows, copies, blobs): keyed rows, the (id, th) of later copies of a whole text, repeated anchors.
+def _prepared(docs: DataFrame, within: bool = False) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+    """(rows, copies, marked, parts): keyed rows, the (id, th) of later copies of a whole text, texts with their
+    repeated anchors, hash buckets.
 
     The rows are dealt by (id, th) once; every later use of the texts reads
     that shuffle.  Whole copies are known from their hashes and need no
@@ -301,33 +319,61 @@ def _prepared(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     rows = _keyed(docs).repartition(partitions(spark), "id", "th")
     # not an anti join, which would go below the shuffle and give the uses different ones
     texts = rows.join(copies, ["id", "th"], "left").where("copy IS NULL").drop("copy")
-    found = _repeated(texts, parts).groupBy("id", "th").agg(F.collect_list("hashes").alias("hashes"))
+    found = _repeated(texts, parts, within).groupBy("id", "th").agg(F.collect_list("hashes").alias("hashes"))
     marked = texts.join(found, ["id", "th"]).select("id", "th", "text", "hashes")
-    return rows, copies, _contexts(marked, parts)
+    return rows, copies, marked, parts
 
 
 def repeat_groups(docs: DataFrame) -> DataFrame:
-    """(repeat, length, doc_id, position): maximal repeats across documents with all their occurrences.
+    """(repeat, length, doc_id, position): maximal repeats of any length with all their occurrences.
 
-    ``repeat`` names the byte string; positions are bytes.  A repeat longer
-    than the surroundings of one anchor (80 bytes) is given as overlapping
-    ones, one for each of its anchors; a text that repeats as a whole also
-    as one.
+    ``repeat`` names the byte string; positions are bytes.  Occurrences may
+    lie in one document.  Rounds with surroundings of twice the length go on
+    for the anchors of which a repeat reaches the surroundings' end, until
+    every repeat ends within them: a repeat that is diverse on both sides
+    there is maximal, and all its occurrences hold the same anchor.
     """
-    _, _, blobs = _prepared(docs)
-
-    def out(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        for b in (_Bucket(pdf["blob"], i) for i in range(SLICES)):
-            for l, r, members in b.groups():  # noqa: E741
-                key = b.keys[members[0]]
-                name = hashlib.sha256(key[1][:l][::-1] + key[2][:r]).hexdigest()
-                for c in members:
-                    for k in range(b.first[c], b.first[c + 1]):
-                        rows.append((name, l + r, int(b.ths[b.doc[k]]), int(b.pos[k]) - l))
-        return pd.DataFrame(rows, columns=["repeat", "length", "th", "position"])
-
-    got = blobs.groupBy("p").applyInPandas(out, "repeat string, length long, th long, position long").distinct()
+    _, _, marked, parts = _prepared(docs, within=True)
+    marked, reach, got = cut(marked), LEAST, None
+    columns = ["repeat", "length", "id", "th", "position", "hashes"]
+
+    def finder(reach: int):
+        def out(pdf: pd.DataFrame) -> pd.DataFrame:
+            rows: list[tuple] = []
+            for b in (_Bucket(pdf["blob"], i, within=True) for i in range(SLICES)):
+                going_on: set[int] = set()
+                for l, r, members in b.groups():  # noqa: E741
+                    key = b.keys[members[0]]
+                    if l >= reach - ANCHOR or r >= reach:
+                        going_on.add(key[0])
+                        continue
+                    name = hashlib.sha256(key[1][:l][::-1] + key[2][:r]).hexdigest()
+                    for c in members:
+                        for k in range(b.first[c], b.first[c + 1]):
+                            rows.append((name, l + r, None, int(b.ths[b.doc[k]]), int(b.pos[k]) - l, None))
+                wider: dict[tuple[int, int], set[int]] = {}
+                for c, key in enumerate(b.keys):
+                    if key[0] in going_on:
+                        for k in range(b.first[c], b.first[c + 1]):
+                            wider.setdefault((int(b.ids[b.doc[k]]), int(b.ths[b.doc[k]])), set()).add(key[0])
+                rows.extend((None, None, i, th, None, np.array(sorted(h), np.uint64).tobytes()) for (i, th), h in wider.items())
+            return pd.DataFrame(rows, columns=columns).astype({"length": "Int64", "id": "Int64", "th": "Int64", "position": "Int64"})
+
+        return out
+
+    while True:
+        found = cut(_contexts(marked, parts, reach).groupBy("p").applyInPandas(
+            finder(reach), "repeat string, length long, id long, th long, position long, hashes binary"))
+        ended = found.where("repeat IS NOT NULL").select("repeat", "length", "th", "position")
+        got = ended if got is None else got.unionByName(ended)
+        wider = found.where("repeat IS NULL").groupBy("id", "th").agg(F.collect_list("hashes").alias("hashes"))
+        if wider.isEmpty():
+            break
+        before, reach = marked, 2 * reach
+        marked = cut(marked.drop("hashes").distinct().join(wider, ["id", "th"]))
+        discard(before)
+    discard(marked)
+    got = got.distinct()
     keyed = _keyed(docs)
     owners = keyed.select("id", "th").distinct()
     whole = keyed.select("id", "th", F.sha2("text", 256).alias("repeat"), F.octet_length("text").cast("long").alias("length"))
@@ -400,8 +446,8 @@ def dedup_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     one doc_id are never each other's original; null doc_id counts as
     greater than all.  Empty table: empty result.  Other columns are ignored.
     """
-    rows, copies, blobs = _prepared(docs)
-    spans = _spans(blobs).groupBy("id", "th").agg(F.collect_list("spans").alias("spans"))
+    rows, copies, marked, parts = _prepared(docs)
+    spans = _spans(_contexts(marked, parts)).groupBy("id", "th").agg(F.collect_list("spans").alias("spans"))
     joined = rows.join(spans, ["id", "th"], "left").join(copies, ["id", "th"], "left")
     kind = docs.schema["doc_id"].dataType.simpleString()
     joined = joined.select(F.when(F.col("id") < _LAST, F.col("id")).cast(kind).alias("doc_id"), "text", "spans",

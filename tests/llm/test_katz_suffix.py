@@ -157,6 +157,22 @@ def test_repeat_groups_are_maximal_and_complete(spark):
     assert (1, 4) in set().union(*groups.values()) or any(i <= 4 for occ in groups.values() for d, i in occ if d == 1)
 
 
+def test_long_and_inner_repeats_are_whole(spark):
+    """Repeats of 300 and 5,000 bytes, a part of one that stands elsewhere too, and one within one document."""
+    rnd = random.Random(6)
+    fresh = lambda n: "".join(rnd.choice("abcdefgh ") for _ in range(n))
+    p, q, r, s = fresh(300), fresh(5000), fresh(90), fresh(75)
+    docs = [(1, "A" + p + "B" + fresh(200)), (2, fresh(90) + "C" + p + "D"), (3, "E" + p), (4, "F" + p[40:200] + "G" + fresh(60)),
+            (5, "H" + q + "I"), (6, fresh(70) + "J" + q), (7, "K" + r + "L" + r + "M"), (8, s + "N"), (9, s + "O"), (9, s + "O")]
+    want = {}
+    for x in (p, p[40:200], q, r, s):
+        want[hashlib.sha256(x.encode()).hexdigest(), len(x)] = {(d, i) for d, t in docs for i in range(len(t)) if t.startswith(x, i)}
+    got = defaultdict(set)
+    for row in X.repeat_groups(spark.createDataFrame(docs, DOCS)).collect():
+        got[row.repeat, row.length].add((row.doc_id, row.position))
+    assert got == want
+
+
 def test_stack_scan_finds_every_maximal_repeat():
     rnd = random.Random(4)
     for _ in range(60):
