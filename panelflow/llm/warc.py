@@ -22,14 +22,17 @@ def warc_record(url: Column, body: Column) -> Column:
     return F.concat(head, body, F.lit("\r\n\r\n")).cast("binary")
 
 
-def archive(pages: DataFrame, file_ids: int = FILE_IDS) -> DataFrame:
+def archive(pages: DataFrame, file_ids: int = FILE_IDS, rotten: Column | None = None) -> DataFrame:
     """(file, page_id, record_offset, length, digest): the pages as records of WARC files.
 
     A file holds the records of ``file_ids`` consecutive page_ids in order
     (ties by digest); a record's offset is the prefix sum of the lengths
-    before it.  Null page_id: a file of its own, named by null.
+    before it.  Null page_id: a file of its own, named by null.  Where
+    ``rotten`` holds, a bit of the record's bytes is flipped.
     """
     rec = warc_record(F.col("url"), F.col("html"))
+    if rotten is not None:  # the version's 1, which every record has
+        rec = F.when(rotten, F.overlay(rec, F.lit("0").cast("binary"), F.lit(6))).otherwise(rec)
     rows = pages.select(F.floor(F.col("page_id") / file_ids).alias("file"), "page_id",
                         F.octet_length(rec).cast("long").alias("length"), F.sha2(rec, 256).alias("digest"))
     rows = rows.withColumn("_tie", F.conv(F.substring("digest", 1, 8), 16, 10).cast("long") % TIES)
@@ -117,18 +120,19 @@ def audit(left: DataFrame, right: DataFrame, leaf_bytes: int = LEAF_BYTES, fanou
                     .otherwise("changed").alias("problem"))
 
 
-def damaged(records: DataFrame) -> DataFrame:
-    """A replica as bit rot leaves it: every 97th page_id has other bytes, every 193rd is gone."""
-    rotten = F.col("page_id") % 97 == 5
-    return (records.where(F.coalesce(F.col("page_id") % 193 != 7, F.lit(True)))
-            .withColumn("digest", F.when(rotten, F.sha2(F.concat("digest", F.lit("rot")), 256))
-                        .otherwise(F.col("digest"))))
+def damaged(pages: DataFrame) -> DataFrame:
+    """A replica as bit rot leaves it, hashed from its own bytes: every 97th page_id has other ones, every 193rd is gone.
+
+    A lost record leaves its place: those behind it keep their offsets.
+    """
+    records = archive(pages, rotten=F.col("page_id") % 97 == 5)
+    return records.where(F.coalesce(F.col("page_id") % 193 != 7, F.lit(True)))
 
 
 def op8_warc(spark, sf_dir: str) -> DataFrame:
     """The records in which a damaged replica of all pages' WARC files differs from them."""
-    records = cut(archive(spark.read.parquet(f"{sf_dir}/pages.parquet")))
-    return audit(records, damaged(records))
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return audit(archive(pages), damaged(pages))
 
 
 SQL = r"""

@@ -160,3 +160,19 @@ def test_fixity_audit(spark, monkeypatch):
     one_leaf = {r.page_id for r in R.audit(a, worse, leaf_bytes=1 << 40).collect()}
     assert one_leaf == set(bad)
     assert R.audit(a.where("false"), a.where("false")).count() == 0
+
+
+def test_second_replica_is_hashed_from_its_bytes(spark):
+    pages = spark.createDataFrame([(i, f"u{i}", "é" * i) for i in range(210)] + [(None, None, None)], "page_id long, url string, html string")
+    left, right = ({r.page_id: r for r in x.collect()} for x in (R.archive(pages), R.damaged(pages)))
+    assert set(left) - set(right) == {7, 200}
+    for i, r in right.items():
+        url, body = (f"u{i}", "é" * i) if i is not None else ("", "")
+        size = len(body.encode())
+        raw = f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Target-URI: {url}\r\nContent-Length: {size}\r\n\r\n{body}\r\n\r\n".encode()
+        if i in (5, 102, 199):
+            raw = raw[:5] + bytes([raw[5] ^ 1]) + raw[6:]
+        assert r.digest == hashlib.sha256(raw).hexdigest()
+        assert (r.record_offset, r.length) == (left[i].record_offset, len(raw))
+    got = {r.page_id: r.problem for r in R.audit(R.archive(pages), R.damaged(pages)).collect()}
+    assert got == {7: "missing", 200: "missing", 5: "changed", 102: "changed", 199: "changed"}
