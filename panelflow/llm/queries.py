@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from panelflow.llm import chat, decontaminate, katz, lines, mixing, quality, simhash, suffix, urls, warc
+from panelflow.llm import chat, decontaminate, katz, lines, mixing, quality, simhash, suffix, urls, warc, whitening
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_warc": warc.op8_warc,
     "op9_lines": lines.op9_lines,
     "op10_urls": urls.op10_urls,
+    "op11_whitening": whitening.op11_whitening,
 }
 
 ORACLE_SQL = {
