@@ -2,7 +2,20 @@
 
 from __future__ import annotations
 
-from panelflow.llm import chat, decontaminate, katz, lines, mixing, quality, simhash, suffix, urls, warc, whitening
+from panelflow.llm import (
+    alignment,
+    chat,
+    decontaminate,
+    katz,
+    lines,
+    mixing,
+    quality,
+    simhash,
+    suffix,
+    urls,
+    warc,
+    whitening,
+)
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -16,6 +29,7 @@ QUERIES = {
     "op9_lines": lines.op9_lines,
     "op10_urls": urls.op10_urls,
     "op11_whitening": whitening.op11_whitening,
+    "op13_alignment": alignment.op13_alignment,
 }
 
 ORACLE_SQL = {
