@@ -239,7 +239,7 @@ def _gathered(folder: str):
     return run
 
 
-def _scored(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+def _scored(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
     """Each document's sums over its links, from its batch's row and the counts of the batch's pairs."""
     row = left.iloc[0]
     first, index, times = unpack(row["held"])

@@ -12,6 +12,7 @@ from panelflow.llm import (
     quality,
     simhash,
     suffix,
+    templates,
     urls,
     warc,
     whitening,
@@ -29,6 +30,7 @@ QUERIES = {
     "op9_lines": lines.op9_lines,
     "op10_urls": urls.op10_urls,
     "op11_whitening": whitening.op11_whitening,
+    "op12_templates": templates.op12_templates,
     "op13_alignment": alignment.op13_alignment,
 }
 
