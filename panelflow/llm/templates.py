@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelflow.llm.markup import ARTICLE, KEEP, LIKELY, MAIN, NEVER, PERHAPS, Page, parse, role
-from panelflow.llm.store import cut
+from panelflow.llm.store import cut, discard
 from panelflow.llm.urls import host_path
 from panelflow.llm.words import batches
 
@@ -245,8 +245,11 @@ def templates(pages: DataFrame) -> DataFrame:
     once, as it has the root (never where that is more than TEXT_SHARE of
     the main text: copies of one article aren't a template).
     """
-    return valid_tokens(tokens(pages)).groupBy("host").applyInPandas(
-        _template, "host string, main array<long>, spared array<long>, constant array<long>")
+    found = cut(tokens(pages))     # read twice: all tokens, and each host's root
+    out = cut(valid_tokens(found).groupBy("host").applyInPandas(
+        _template, "host string, main array<long>, spared array<long>, constant array<long>"))
+    discard(found)
+    return out
 
 
 # --- what is left in the slots -----------------------------------------------------------
@@ -304,7 +307,7 @@ def main_texts(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url"), url
     src = pages.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)],
                        host_path(F.col(f"`{url}`"))[0].alias("host"), F.col(f"`{html}`").alias("html"))
     src = src.withColumn("host", F.coalesce("host", F.lit("")))
-    known = cut(templates(src)).withColumnRenamed("host", "_h")
+    known = templates(src).withColumnRenamed("host", "_h")
     j = src.join(known, F.col("host") == F.col("_h"), "left").drop("host", "_h")
     fields = [f"k{i} {src.schema[f'k{i}'].dataType.simpleString()}" for i in range(len(keep))]
     out = j.mapInPandas(_extract, ", ".join([*fields, "text string"]))
