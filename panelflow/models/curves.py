@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelflow.operators.aggregates import ranked
+from panelflow.operators.ranks import holds_rank, ranked
 from panelflow.session import write_through
 
 
@@ -33,7 +33,7 @@ def exact_knots(df: DataFrame, x: str, n_knots: int) -> list[float]:
         return []
     r = ranked(df, x)
     place = [F.greatest(F.lit(1), F.ceil(F.col("n") * ((i + 1) / (n_knots + 1)))) for i in range(n_knots)]
-    row = r.agg(*[F.max(F.when(F.col("rank") == p, F.col("x"))) for p in place]).first()
+    row = r.agg(*[F.max(F.when(holds_rank(p), F.col("x"))) for p in place]).first()
     return sorted({v for v in row if v is not None})
 
 

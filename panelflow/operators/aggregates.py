@@ -10,10 +10,20 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelflow.functions.columns import round_half_even
+from panelflow.operators.ranks import (
+    kept_between,
+    median_of_ranks,
+    null_safe,
+    numbered,
+    ranked,
+    running_counts,
+    value_counts,
+    weighted_mean,
+)
 from panelflow.session import write_through
 
 # Fixed values of the descriptive table and the interval band.
@@ -36,41 +46,11 @@ def distinct_count(c: str | Sequence[str], approx: bool = False, rsd: float = 0.
     return F.count_distinct(*[F.col(x) for x in cols])
 
 
-def ranked(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
-    """(by, ``x``, ``rank``, ``n``): every present value with its 1-based rank in its group.
-
-    Values are range partitioned and sorted once, written, and numbered by
-    their place in the partition plus the sizes of the group's earlier
-    partitions.  The only window runs over one row per (group, partition).
-    """
-    by = list(by)
-    d = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("x"))
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    d = d.repartitionByRange(parts, *by, "x").sortWithinPartitions(*by, "x")
-    d = write_through(d.withColumns({"_p": F.spark_partition_id(), "_i": F.monotonically_increasing_id()}))
-    size = d.groupBy(*by, "_p").agg(F.min("_i").alias("_lo"), F.count("*").alias("_n"))
-    w = Window.partitionBy(*by)
-    size = size.withColumns({
-        "_before": F.coalesce(F.sum("_n").over(w.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
-        "n": F.sum("_n").over(w)}).drop("_n")
-    on = F.col("_p") == F.col("_q")
-    for c in by:
-        on = on & F.col(c).eqNullSafe(F.col(f"_g_{c}"))
-    size = size.select(F.col("_p").alias("_q"), *[F.col(c).alias(f"_g_{c}") for c in by], "_lo", "_before", "n")
-    return d.join(size, on).select(*by, "x", (F.col("_before") + F.col("_i") - F.col("_lo") + 1).alias("rank"), "n")
-
-
-def median_of_ranks() -> Column:
-    """Median aggregate over the rows of ``ranked``: the mean of the middle value or two."""
-    middle = F.col("rank").between(F.floor((F.col("n") + 1) / 2), F.ceil((F.col("n") + 1) / 2))
-    return F.avg(F.when(middle, F.col("x")))
-
-
 def gap_summary(df: DataFrame, gap: str = "gap_hours", limit: float = 30.0) -> DataFrame:
     """Mean, median, max and count above ``limit`` of the gaps (A3); the median is exact."""
-    r = ranked(df, gap)
-    return r.agg(F.avg("x").alias("mean_gap"), median_of_ranks().alias("median_gap"),
-                 F.max("x").alias("max_gap"), F.count_if(F.col("x") > F.lit(limit)).alias("n_large"))
+    large = F.when(F.col("x") > F.lit(limit), F.col("count"))
+    return ranked(df, gap).agg(weighted_mean(F.col("x")).alias("mean_gap"), median_of_ranks().alias("median_gap"),
+                               F.max("x").alias("max_gap"), F.coalesce(F.sum(large), F.lit(0)).alias("n_large"))
 
 
 def quality_report(df: DataFrame, checks: Mapping[str, Column],
@@ -181,7 +161,7 @@ def freq_table(df: DataFrame, cols: Sequence[str], digits: int = 1, ordered: boo
     if not ordered:
         return out
     first = [F.desc("n"), *[F.asc(c) for c in cols]]   # one row per combination
-    return out.withColumn("rank", F.row_number().over(Window.orderBy(*first))).orderBy(*first)
+    return numbered(out, first).orderBy("rank")
 
 
 def describe_groups(df: DataFrame, by: Sequence[str], cols: Sequence[str],
@@ -247,26 +227,27 @@ def describe_numeric(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     skew and kurtosis (sample-size corrected type-3 forms:
     ``g1 * ((n-1)/n)^1.5`` and ``(g2+3) * (1-1/n)^2 - 3``), se.
 
-    Ranks come from ``ranked``, so no column's values meet in one task.
+    Everything is computed from distinct values and their counts, so equal
+    values never meet in one task.
     """
     long = df.select(*[F.col(c).cast("double").alias(c) for c in cols]) \
         .unpivot([], list(cols), "vars", "x").where(F.col("x").isNotNull())
     r = write_through(ranked(long, "x", ["vars"]))
+    x = F.col("x")
     first = r.groupBy("vars").agg(
-        F.count(F.lit(1)).alias("n"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("sd"),
-        median_of_ranks().alias("median"), F.min("x").alias("min"), F.max("x").alias("max"))
+        F.first("n").alias("n"), weighted_mean(x).alias("mean"), median_of_ranks().alias("median"),
+        F.min("x").alias("min"), F.max("x").alias("max"))
     d = r.join(first.select("vars", "mean", "median"), on="vars")
     k = F.floor(F.col("n") * F.lit(TRIM))
-    d = d.withColumn("_keep", (F.col("rank") > k) & (F.col("rank") <= F.col("n") - k))
+    kept, away = kept_between(k + 1, F.col("n") - k), x - F.col("mean")
     second = d.groupBy("vars").agg(
-        F.avg(F.when(F.col("_keep"), F.col("x"))).alias("trimmed"),
-        F.avg((F.col("x") - F.col("mean")) ** 2).alias("_m2"),
-        F.avg((F.col("x") - F.col("mean")) ** 3).alias("_m3"),
-        F.avg((F.col("x") - F.col("mean")) ** 4).alias("_m4"))
-    away = ranked(d.select("vars", F.abs(F.col("x") - F.col("median")).alias("_away")), "_away", ["vars"])
-    second = second.join(away.groupBy("vars").agg(median_of_ranks().alias("_mad")), "vars")
+        F.try_divide(F.sum(x * kept), F.sum(kept).cast("double")).alias("trimmed"),
+        *[weighted_mean(F.pow(away, F.lit(float(j)))).alias(f"_m{j}") for j in (2, 3, 4)])
+    far = value_counts(d.withColumn("_away", F.abs(x - F.col("median"))), "_away", ["vars"], F.col("count"))
+    second = second.join(running_counts(far, ["vars"]).groupBy("vars").agg(median_of_ranks().alias("_mad")), "vars")
     out = first.join(second, on="vars")
     n = F.col("n").cast("double")
+    out = out.withColumn("sd", F.sqrt(F.try_divide(F.col("_m2") * n, n - 1)))
     g1 = F.try_divide(F.col("_m3"), F.pow(F.col("_m2"), 1.5))
     g2 = F.try_divide(F.col("_m4"), F.col("_m2") * F.col("_m2")) - F.lit(3.0)
     return out.select(
@@ -295,7 +276,8 @@ def histogram(df: DataFrame, value: str, bins: int = 30, by: Sequence[str] = ())
     """Equal-width histogram per panel, empty bins as 0.
 
     Width = range / (bins - 1); the first bin is centred on the minimum and
-    bins are closed on the right.  Each panel uses its own range.
+    bins are closed on the right.  Each panel uses its own range; rows whose
+    panel is null are a panel.
     """
     by = list(by)
     v = F.col(value)
@@ -304,12 +286,13 @@ def histogram(df: DataFrame, value: str, bins: int = 30, by: Sequence[str] = ())
     rng = rng.withColumn("_w", F.when(F.col("_hi") > F.col("_lo"),
                                       (F.col("_hi") - F.col("_lo")) / F.lit(bins - 1))
                          .otherwise(F.lit(0.1)))
-    j = d.join(rng, on=by, how="inner") if by else d.crossJoin(F.broadcast(rng))
+    rng = write_through(rng)     # one row per panel; Spark broadcasts it where it is small
+    j = null_safe(d, rng, by) if by else d.crossJoin(F.broadcast(rng))
     start = F.col("_lo") - F.col("_w") / 2
     b = F.greatest(F.lit(1), F.ceil((v - start) / F.col("_w"))).cast("int")
     counts = j.groupBy(*by, b.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
     grid = rng.select(*by, "_lo", "_w", F.explode(F.sequence(F.lit(1), F.lit(bins))).alias("bin"))
-    out = grid.join(counts, on=by + ["bin"], how="left")
+    out = null_safe(grid, counts, [*by, "bin"], "left")
     return out.select(*by, "bin",
                       (F.col("_lo") + (F.col("bin") - 1) * F.col("_w")).alias("x"),
                       (F.col("_lo") + (F.col("bin") - F.lit(1.5)) * F.col("_w")).alias("xmin"),

@@ -287,13 +287,12 @@ def centred_series(features: DataFrame, cfg: PanelConfig) -> DataFrame:
 
 def centred_long(series: DataFrame, cfg: PanelConfig, ids: Sequence[str] = ()) -> DataFrame:
     """(ids, Centering, Variable, Value): scores under both centrings (D12), one scan."""
-    names = {}
+    centring, scale = {}, {}
     for s, y in cfg.scores.items():
-        label = cfg.scale_labels.get(s, s)
-        names[y], names[f"{y}_wpc"] = f"{GRAND}|{label}", f"{WITHIN}|{label}"
-    long = R.unpivot_items(series, list(ids), list(names), name="_c", value="Value")
-    both = F.split(C.recode("_c", names), r"\|")
-    return long.select(*ids, both[0].alias("Centering"), both[1].alias("Variable"), "Value")
+        centring[y], centring[f"{y}_wpc"] = GRAND, WITHIN
+        scale[y] = scale[f"{y}_wpc"] = cfg.scale_labels.get(s, s)
+    long = R.unpivot_items(series, list(ids), list(centring), name="_c", value="Value")
+    return long.select(*ids, C.recode("_c", centring).alias("Centering"), C.recode("_c", scale).alias("Variable"), "Value")
 
 
 def trajectories(series: DataFrame, cfg: PanelConfig) -> DataFrame:

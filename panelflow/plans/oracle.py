@@ -139,20 +139,19 @@ LSCALES = {"size": ["l_quantity", "price_k"], "rate": ["l_discount", "l_tax"]}
 
 
 def histogram_sql(src: str, value: str, bins: int, by: list[str]) -> str:
-    byc = ", ".join(by)
-    sel_by = (byc + ", ") if by else ""
-    join_on = (" USING (" + byc + ")") if by else " ON TRUE"
-    grp = ("GROUP BY " + byc) if by else ""
+    sel_by = "".join(f"{c}, " for c in by)
+    same = lambda a, b: " AND ".join(["TRUE", *[f"{a}.{c} IS NOT DISTINCT FROM {b}.{c}" for c in by]])
+    grp = ("GROUP BY " + ", ".join(by)) if by else ""
     return with_(
         f"hv AS (SELECT {sel_by}{value} AS v FROM {src} WHERE {value} IS NOT NULL)",
         f"""hr AS (SELECT {sel_by}min(v) AS _lo, max(v) AS _hi FROM hv {grp})""",
         f"hr2 AS (SELECT *, CASE WHEN _hi > _lo THEN (_hi - _lo) / {bins - 1} ELSE 0.1 END AS _w FROM hr)",
-        f"""hc AS (SELECT {sel_by}CAST(greatest(1, ceil((v - (_lo - _w / 2)) / _w)) AS BIGINT) AS bin, count(*) AS cnt
-                   FROM hv JOIN hr2{join_on} GROUP BY ALL)""",
+        f"""hc AS (SELECT {"".join(f"hv.{c}, " for c in by)}CAST(greatest(1, ceil((v - (_lo - _w / 2)) / _w)) AS BIGINT) AS bin, count(*) AS cnt
+                   FROM hv JOIN hr2 ON {same("hv", "hr2")} GROUP BY ALL)""",
         f"hg AS (SELECT {sel_by}_lo, _w, CAST(unnest(range(1, {bins + 1})) AS BIGINT) AS bin FROM hr2)",
-    ) + f"""SELECT {sel_by}hg.bin, {r6('_lo + (hg.bin - 1) * _w', 'x')}, {r6('_lo + (hg.bin - 1.5) * _w', 'xmin')},
+    ) + f"""SELECT {"".join(f"hg.{c}, " for c in by)}hg.bin, {r6('_lo + (hg.bin - 1) * _w', 'x')}, {r6('_lo + (hg.bin - 1.5) * _w', 'xmin')},
            {r6('_lo + (hg.bin - 0.5) * _w', 'xmax')}, CAST(coalesce(cnt, 0) AS BIGINT) AS count
-    FROM hg LEFT JOIN hc USING ({sel_by}bin)"""
+    FROM hg LEFT JOIN hc ON hg.bin = hc.bin AND {same("hg", "hc")}"""
 
 
 DENSE_VAR = DENSE_SESS + [
@@ -436,6 +435,8 @@ def _sql() -> dict[str, str]:
         CAST(ctsem_id AS BIGINT) AS ctsem_id, {r6('ctsem_time', 'ctsem_time')}, seq, Centering, Variable, {r6('Value', 'Value')} FROM dl"""
     hist2 = histogram_sql("dts", "dt", 50, [])
     q["a16_interval_hist"] = with_(*SPARSE_BASE, *SERIES, DT_SERIES)[:-1] + ",\n" + hist2[len("WITH "):]
+    hist3 = histogram_sql("hn", "Y1", 20, ["panel"])
+    q["a16_null_panel"] = with_(DENSE, "hn AS (SELECT CASE WHEN seq % 3 <> 0 THEN ADHD END AS panel, Y1 FROM dense)")[:-1] + ",\n" + hist3[len("WITH "):]
     rl = "rl AS (" + " UNION ALL ".join(
         f"SELECT ID, occasion, '{c}' AS item, CAST({c} AS DOUBLE) AS value FROM oc" for c in ITEMS) + ")"
     occ = f"oc AS (SELECT *, row_number() OVER (PARTITION BY ID {ORDER}) AS occasion FROM d2)"

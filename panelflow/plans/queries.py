@@ -502,6 +502,12 @@ def q_a16_interval_hist(spark, sf):
     return finish(A.histogram(d, "dt", 50))
 
 
+def q_a16_null_panel(spark, sf):
+    """Histogram by a panel that a third of the rows lack."""
+    d = dense(spark, sf).select(F.when(F.col("seq") % 3 != 0, F.col("ADHD")).alias("panel"), "Y1")
+    return finish(A.histogram(d, "Y1", 20, ["panel"]))
+
+
 def q_d13_reliability_long(spark, sf):
     return finish(D.reliability_long(sparse_sessions(spark, sf), SPARSE_CFG))
 
@@ -644,6 +650,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "a11_person_summary": q_a11_person_summary,
     "d12_distribution_hist": q_d12_distribution_hist,
     "a16_interval_hist": q_a16_interval_hist,
+    "a16_null_panel": q_a16_null_panel,
     "d13_reliability_long": q_d13_reliability_long,
     "m7_vc_quadratic_forms": q_m7_vc_forms,
     "a5_pooled_stats": q_a5_pooled_stats,
