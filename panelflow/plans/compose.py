@@ -302,6 +302,12 @@ def trajectories(series: DataFrame, cfg: PanelConfig) -> DataFrame:
     return centred_long(series.withColumn("Group", label), cfg, ids)
 
 
+def trajectory_smooth(series: DataFrame, cfg: PanelConfig, **options) -> DataFrame:
+    """Local regression with band of the trajectories by centring, score and group."""
+    from panelflow.models.local import local_regression
+    return local_regression(trajectories(series, cfg), "ctsem_time", "Value", ["Centering", "Variable", "Group"], **options)
+
+
 # --- D13 ------------------------------------------------------------------------
 def reliability_long(ema: DataFrame, cfg: PanelConfig, items: Sequence[str] | None = None) -> DataFrame:
     """ID, occasion (row number in the person), item, value."""

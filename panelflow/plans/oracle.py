@@ -154,6 +154,37 @@ def histogram_sql(src: str, value: str, bins: int, by: list[str]) -> str:
     FROM hg LEFT JOIN hc ON hg.bin = hc.bin AND {same("hg", "hc")}"""
 
 
+def local_regression_sql(src: str, x: str, y: str, by: list[str], grid: int = 80, span: float = 0.75, digits: int = 4) -> str:
+    """Local quadratic fits by direct sums over all rows and grid points (a small table)."""
+    k = ", ".join(by)
+    det = "(s0 * (s2 * s4 - s3 * s3) - s1 * (s1 * s4 - s2 * s3) + s2 * (s1 * s3 - s2 * s2))"
+    return with_(
+        f"lr AS (SELECT {k}, {x} AS x, {y} AS y FROM {src} WHERE {x} IS NOT NULL AND {y} IS NOT NULL)",
+        f"lq AS (SELECT {k}, min(x) AS x0, max(x) AS x1, count(*) AS n FROM lr GROUP BY {k})",
+        f"lg AS (SELECT *, unnest(range(0, {grid})) AS i, (x1 - x0) / {grid - 1} AS step FROM lq)",
+        "lh AS (SELECT *, x0 + i * step AS g FROM lg)",
+        f"ld AS (SELECT lh.*, lr.x, lr.y, abs(lr.x - g) AS d, row_number() OVER (PARTITION BY {', '.join('lh.' + c for c in by)}, i ORDER BY abs(lr.x - g)) AS rk "
+        f"FROM lh JOIN lr USING ({k}))",
+        f"lw AS (SELECT {k}, i, any_value(g) AS g, any_value(n) AS n, any_value(x0) AS x0, any_value(step) AS step, max(d) AS h FROM ld "
+        f"WHERE rk <= floor(n * {span} + 1e-5) GROUP BY {k}, i)",
+        f"le AS (SELECT lw.*, (ld.x - lw.g) / h AS u, power(1 - power(ld.d / h, 3), 3) AS w, ld.y FROM lw JOIN ld USING ({k}, i) WHERE ld.d < h)",
+        f"lf AS (SELECT {k}, i, any_value(g) AS g, any_value(h) AS h, any_value(n) AS n, any_value(x0) AS x0, any_value(step) AS step, "
+        + ", ".join([f"sum(w * power(u, {j})) AS s{j}, sum(w * w * power(u, {j})) AS b{j}" for j in range(5)]
+                    + [f"sum(w * y * power(u, {j})) AS t{j}" for j in range(3)]) + f" FROM le GROUP BY {k}, i)",
+        f"li AS (SELECT *, (s2 * s4 - s3 * s3) / {det} AS c00, (s2 * s3 - s1 * s4) / {det} AS c01, (s1 * s3 - s2 * s2) / {det} AS c02, "
+        f"(s0 * s4 - s2 * s2) / {det} AS c11, (s1 * s2 - s0 * s3) / {det} AS c12 FROM lf)",
+        f"lj AS (SELECT {k}, i, g, h, n, x0, step, c00 * t0 + c01 * t1 + c02 * t2 AS fit, (c01 * t0 + c11 * t1 + c12 * t2) / h AS slope, c00 AS lever, "
+        "c00 * c00 * b0 + 2 * c00 * c01 * b1 + (2 * c00 * c02 + c01 * c01) * b2 + 2 * c01 * c02 * b3 + c02 * c02 * b4 AS spread FROM li)",
+        f"lk AS (SELECT lr.*, a.fit AS fa, b.fit AS fb, a.slope AS sa, b.slope AS sb, 2 * a.lever - a.spread AS la, 2 * b.lever - b.spread AS lb, a.n, a.step, "
+        f"(lr.x - a.g) / a.step AS u FROM lr JOIN lj a USING ({k}) JOIN lj b USING ({k}) "
+        f"WHERE a.i = CAST(greatest(0, least(floor((lr.x - a.x0) / a.step), {grid - 2})) AS BIGINT) AND b.i = a.i + 1)",
+        f"lv AS (SELECT {k}, sum(power(y - ((1 - u) * (1 - u) * (1 + 2 * u) * fa + u * u * (3 - 2 * u) * fb + u * (1 - u) * (1 - u) * step * sa "
+        f"- u * u * (1 - u) * step * sb), 2)) / (any_value(n) - sum((1 - u) * la + u * lb)) AS variance FROM lk GROUP BY {k})",
+        f"lz AS (SELECT lj.*, sqrt(variance * spread) AS se FROM lj JOIN lv USING ({k}))",
+    ) + f"""SELECT {k}, {r6('g', 'x', digits)}, {r6('fit', 'estimate', digits)}, {r6('se', 'se', digits)}, {r6('fit - 1.96 * se', 'lo', digits)},
+        {r6('fit + 1.96 * se', 'hi', digits)}, {r6('h', 'bandwidth', digits)}, n FROM lz"""
+
+
 DENSE_VAR = DENSE_SESS + [
     """dz AS (SELECT ID, ADHD, t, seq, session, (Y1 - avg(Y1) OVER ()) / stddev_samp(Y1) OVER () AS Y1,
                (Y2 - avg(Y2) OVER ()) / stddev_samp(Y2) OVER () AS Y2 FROM ds)""",
@@ -435,6 +466,8 @@ def _sql() -> dict[str, str]:
         CAST(ctsem_id AS BIGINT) AS ctsem_id, {r6('ctsem_time', 'ctsem_time')}, seq, Centering, Variable, {r6('Value', 'Value')} FROM dl"""
     hist2 = histogram_sql("dts", "dt", 50, [])
     q["a16_interval_hist"] = with_(*SPARSE_BASE, *SERIES, DT_SERIES)[:-1] + ",\n" + hist2[len("WITH "):]
+    smooth = local_regression_sql("dl", "ctsem_time", "Value", ["Centering", "Variable", '"Group"'])
+    q["m9_trajectory_smooth"] = with_(*SPARSE_BASE, *FEATURES, *wp, dist)[:-1] + ",\n" + smooth[len("WITH "):]
     hist3 = histogram_sql("hn", "Y1", 20, ["panel"])
     q["a16_null_panel"] = with_(DENSE, "hn AS (SELECT CASE WHEN seq % 3 <> 0 THEN ADHD END AS panel, Y1 FROM dense)")[:-1] + ",\n" + hist3[len("WITH "):]
     rl = "rl AS (" + " UNION ALL ".join(

@@ -497,6 +497,12 @@ def q_d12_trajectories(spark, sf):
     return finish(D.trajectories(centred(spark, sf), SPARSE_CFG))
 
 
+def q_m9_trajectory_smooth(spark, sf):
+    """Local smooth with band of the scores over the session clock, by centring, score and group."""
+    d = D.trajectory_smooth(centred(spark, sf), SPARSE_CFG)
+    return finish(d, digits=4)
+
+
 def q_a16_interval_hist(spark, sf):
     d = W.step_max_by_run(sparse_series(spark, sf), "ID", "t", "seq", "session", "dt")
     return finish(A.histogram(d, "dt", 50))
@@ -649,6 +655,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "d11_item_variance_bands": q_d11_item_variance_bands,
     "a11_person_summary": q_a11_person_summary,
     "d12_distribution_hist": q_d12_distribution_hist,
+    "m9_trajectory_smooth": q_m9_trajectory_smooth,
     "a16_interval_hist": q_a16_interval_hist,
     "a16_null_panel": q_a16_null_panel,
     "d13_reliability_long": q_d13_reliability_long,

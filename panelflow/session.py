@@ -74,3 +74,14 @@ def write_through(df: DataFrame) -> DataFrame:
     path = f"{ensure_checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``write_through`` that nothing reads any more; other frames are left alone."""
+    for df in tables:
+        spark = df.sparkSession
+        for name in df.inputFiles()[:1]:
+            at = name.rfind("/table-")
+            if at > 0:
+                path = spark._jvm.org.apache.hadoop.fs.Path(name[:name.index("/", at + 1)])
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
