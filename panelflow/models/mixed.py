@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelflow.models.moments import ONE, mname, pooled_ols
+from panelflow.models.moments import ONE, as_arrays, pooled_ols, stacked
 from panelflow.session import write_through
 
 LOG2PI = float(np.log(2 * np.pi))
@@ -71,21 +71,6 @@ class Shape:
                 parts[2].reshape(self.p, self.k), parts[3].reshape(self.p, self.p), parts[4])
 
 
-def stacked(pdf: pd.DataFrame, terms: Sequence[str], ys: Sequence[str]):
-    """(W'W, W'Y, Y'Y) of all persons of a batch, as arrays (persons, ...)."""
-    n, p, k = len(pdf), len(terms), len(ys)
-    ww, wy, yy = np.zeros((n, p, p)), np.zeros((n, p, k)), np.zeros((n, k, k))
-    for i, a in enumerate(terms):
-        for j in range(i, p):
-            ww[:, i, j] = ww[:, j, i] = pdf[mname(a, terms[j])]
-        for j, y in enumerate(ys):
-            wy[:, i, j] = pdf[mname(a, y)]
-    for i, u in enumerate(ys):
-        for j in range(i, k):
-            yy[:, i, j] = yy[:, j, i] = pdf[mname(u, ys[j])]
-    return ww, wy, yy
-
-
 def e_step(s: Shape, ww, wy, yy, n, beta, sigma, psi) -> np.ndarray:
     """Expected sums of each person (persons, width); the last three are log-likelihood, rows and 1."""
     s_inv, psi_inv = np.linalg.inv(sigma), np.linalg.inv(psi)
@@ -167,9 +152,11 @@ def person_sums(s: Shape, moments: DataFrame, params: list, fold: str | None = N
     With ``fold`` (a column of the moments), set number j leaves out the
     persons of fold j, or takes only those (``inside``).
     """
+    moments, names = as_arrays(moments)
+
     def run(batches):
         for pdf in batches:
-            arrays, n = stacked(pdf, s.terms, s.ys), pdf["n"].to_numpy(float)
+            arrays, n = stacked(pdf, names, s.terms, s.ys), pdf["n"].to_numpy(float)
             out = []
             for j, (beta, sigma, psi) in enumerate(params):
                 rows = np.ones(len(pdf), bool) if fold is None else (pdf[fold].to_numpy() == j) == inside
@@ -226,7 +213,7 @@ def fit_many(moments: DataFrame, s: Shape, *, fits: int = 1, fold: str | None =
     """Fit ``fits`` copies of a model, copy j without the persons of fold j, in the same passes."""
     beta, resid = [], np.zeros((s.k, s.k))
     for o, y in enumerate(s.ys):
-        ols = pooled_ols(moments, [c for c in s.fixed[y] if c != ONE], [y], intercept=ONE in s.fixed[y])
+        ols = pooled_ols(moments, [c for c in s.fixed[y] if c != ONE], [y], intercept=ONE in s.fixed[y], with_se=False)
         place = {t: i for i, t in enumerate(ols["terms"])}
         beta += [float(ols["B"][place[c], 0]) for c in s.fixed[y]]
         resid[o, o] = max(float(ols["resid_cov"][0, 0]), 1e-6)
@@ -253,11 +240,12 @@ def _result(s: Shape, f: _Fit, passes: int) -> dict:
 def fixed_covariance(moments: DataFrame, fit: dict) -> np.ndarray:
     """Covariance of the fixed effects: inverse of the marginal information, summed over persons in one pass."""
     s, (_, sigma, psi) = fit["shape"], fit["params"]
+    moments, names = as_arrays(moments)
 
     def run(batches):
         s_inv, psi_inv = np.linalg.inv(sigma), np.linalg.inv(psi)
         for pdf in batches:
-            ww, _, _ = stacked(pdf, s.terms, s.ys)
+            ww, _, _ = stacked(pdf, names, s.terms, s.ys)
             zz, zx = ww[:, s.zcols][:, :, s.zcols], ww[:, s.zcols][:, :, s.xcols]
             a = psi_inv + s_inv[np.ix_(s.zy, s.zy)] * zz
             b = s_inv[np.ix_(s.zy, s.xy)] * zx
@@ -313,10 +301,11 @@ def result_table(spark, fit: dict) -> DataFrame:
 def person_loglik(s: Shape, moments: DataFrame, key: str, params: list, fold: str) -> DataFrame:
     """(key, loglik): each person's marginal log-likelihood under the fit that left its fold out."""
     kind = moments.schema[key].dataType.simpleString()
+    moments, names = as_arrays(moments)
 
     def run(batches):
         for pdf in batches:
-            arrays, n = stacked(pdf, s.terms, s.ys), pdf["n"].to_numpy(float)
+            arrays, n = stacked(pdf, names, s.terms, s.ys), pdf["n"].to_numpy(float)
             out = np.zeros(len(pdf))
             for j, (beta, sigma, psi) in enumerate(params):
                 rows = pdf[fold].to_numpy() == j

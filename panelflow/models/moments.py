@@ -1,7 +1,7 @@
 """Per-person moment sums (M1) and least-squares VAR fits on them (M2).
 
-Rows go through Spark once: ``panel_moments`` is a grouped sum (partial
-aggregation, so a hot person is summed piecewise on the map side).  The
+Rows go through Spark once: ``panel_moments`` and ``gram_moments`` are
+grouped sums (a hot person is summed piecewise on the map side).  The
 fits then work on one small row per person: pooled sums come back as one
 row (p x p numbers), person-level fits run batched in ``mapInPandas``.
 """
@@ -16,9 +16,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelflow.session import write_through
+from panelflow.operators.gram import gram_by_key
+from panelflow.session import discard, write_through
 
 ONE = "one"
+SQL_SUMS = 100          # sums of one aggregate up to which Spark compiles it as one piece
+MOMENTS = "panelflow.moments"
 
 
 def _terms(x: Sequence[str], intercept: bool) -> list[str]:
@@ -33,86 +36,115 @@ def mname(a: str, b: str) -> str:
     return f"s__{a}__{b}"
 
 
+def moment_names(terms: Sequence[str], y: Sequence[str]) -> list[str]:
+    """Names of the sums of products of ``terms`` and ``y``, the upper triangle row by row."""
+    names = [*terms, *y]
+    return [mname(a, b) for i, a in enumerate(names) for b in names[i:]]
+
+
 def panel_moments(df: DataFrame, key: str, x: Sequence[str], y: Sequence[str],
                   intercept: bool = True) -> DataFrame:
-    """n, X'X (upper triangle), X'Y and Y'Y per person, complete rows only (M1)."""
-    terms = _terms(x, intercept)
-    need = list(x) + list(y)
-    d = df.dropna(how="any", subset=need)
-    aggs = [F.count(F.lit(1)).alias("n")]
-    for i, a in enumerate(terms):
-        for b in terms[i:]:
-            aggs.append(F.sum(_xcol(a) * _xcol(b)).alias(mname(a, b)))
-    for a in terms:
-        for v in y:
-            aggs.append(F.sum(_xcol(a) * F.col(v)).alias(mname(a, v)))
-    for i, u in enumerate(y):
-        for v in y[i:]:
-            aggs.append(F.sum(F.col(u) * F.col(v)).alias(mname(u, v)))
-    return d.groupBy(key).agg(*aggs)
-
-
-def _matrices(row: dict, terms: list[str], y: Sequence[str]):
-    p, q = len(terms), len(y)
-    xx = np.zeros((p, p))
-    for i, a in enumerate(terms):
-        for j in range(i, p):
-            xx[i, j] = xx[j, i] = row[mname(a, terms[j])]
-    xy = np.array([[row[mname(a, v)] for v in y] for a in terms]).reshape(p, q)
-    yy = np.zeros((q, q))
-    for i, u in enumerate(y):
-        for j in range(i, q):
-            yy[i, j] = yy[j, i] = row[mname(u, y[j])]
-    return xx, xy, yy
+    """n, X'X (upper triangle), X'Y and Y'Y per person, complete rows only (M1).
+
+    One column for each sum.  Up to ``SQL_SUMS`` they are SQL aggregates;
+    more are taken from the sums of ``gram_moments``.
+    """
+    terms, names = _terms(x, intercept), [*_terms(x, intercept), *y]
+    order = [mname(a, b) for i, a in enumerate(terms) for b in terms[i:]] + [mname(a, v) for a in terms for v in y] + \
+        [mname(u, v) for i, u in enumerate(y) for v in y[i:]]
+    if len(order) > SQL_SUMS:
+        at = {n: i for i, n in enumerate(moment_names(terms, y))}
+        wide = gram_moments(df, key, x, y, intercept)
+        return wide.select(key, "n", *[F.get("g", F.lit(at[n])).alias(n) for n in order])
+    d = df.dropna(how="any", subset=[*x, *y])
+    product = {mname(a, b): _xcol(a) * _xcol(b) for i, a in enumerate(names) for b in names[i:]}
+    return d.groupBy(key).agg(F.count(F.lit(1)).alias("n"), *[F.sum(product[n]).alias(n) for n in order])
+
+
+def gram_moments(df: DataFrame, key: str, x: Sequence[str], y: Sequence[str], intercept: bool = True) -> DataFrame:
+    """(key, n, g): the sums of ``panel_moments`` as one array per person, for any number of columns (M1).
+
+    The order of ``g`` is that of ``moment_names``; its metadata names them.
+    """
+    d = df.dropna(how="any", subset=[*x, *y])
+    out = gram_by_key(d, key, [*x, *y], one=intercept)
+    return out.withMetadata("g", {MOMENTS: moment_names(_terms(x, intercept), y)})
+
+
+def as_arrays(moments: DataFrame) -> tuple[DataFrame, list[str]]:
+    """Moments as one array column ``g`` beside the others, and the names of its entries."""
+    if "g" in moments.columns and MOMENTS in moments.schema["g"].metadata:
+        return moments, list(moments.schema["g"].metadata[MOMENTS])
+    names = [c for c in moments.columns if c.startswith("s__")]
+    rest = [c for c in moments.columns if c not in names]
+    return moments.select(*rest, F.array(*[F.col(f"`{c}`") for c in names]).alias("g")), names
+
+
+def stacked(pdf: pd.DataFrame, names: Sequence[str], terms: Sequence[str], ys: Sequence[str]):
+    """(W'W, W'Y, Y'Y) of all persons of a batch of ``as_arrays``, as arrays (persons, ...)."""
+    at = {n: i for i, n in enumerate(names)}
+    g = np.stack(pdf["g"].to_list()) if len(pdf) else np.zeros((0, len(names)))
+    place = lambda a, b: at[mname(a, b)] if mname(a, b) in at else at[mname(b, a)]
+    pick = lambda us, vs: g[:, np.array([[place(u, v) for v in vs] for u in us], int).reshape(len(us), len(vs))]
+    return pick(terms, terms), pick(terms, ys), pick(ys, ys)
+
+
+def _summed(rows: DataFrame, size: int) -> np.ndarray:
+    """The vector whose entries are the sums of ``x`` by place ``i``; ``size`` numbers reach the driver."""
+    out = np.zeros(size)
+    for r in rows.groupBy("i").agg(F.sum("x").alias("x")).collect():
+        out[r.i] = r.x
+    return out
+
+
+def total_moments(moments: DataFrame) -> dict[str, float]:
+    """Each sum over all persons by name, with ``n`` (rows) and ``persons``."""
+    arrays, names = as_arrays(moments)
+
+    def run(batches):
+        for pdf in batches:
+            if len(pdf):
+                flat = np.concatenate((np.stack(pdf["g"].to_list()).sum(axis=0), [pdf["n"].sum(), len(pdf)]))
+                yield pd.DataFrame({"i": np.arange(len(flat)), "x": flat})
+
+    flat = _summed(arrays.select("n", "g").mapInPandas(run, "i int, x double"), len(names) + 2)
+    return dict(zip([*names, "n", "persons"], map(float, flat), strict=True))
 
 
 def pooled_ols(moments: DataFrame, x: Sequence[str], y: Sequence[str],
-               intercept: bool = True, key: str | None = None) -> dict:
+               intercept: bool = True, key: str | None = None, with_se: bool = True) -> dict:
     """Pooled least squares of every outcome on the same terms (M2).
 
-    Returns coefficients ``B`` (p x q), residual covariance, person-clustered
-    covariance of each outcome's coefficients, n and persons.  Only summed
-    moments (one row) and the clustered meat (one row) reach the driver.
+    Returns coefficients ``B`` (p x q), residual covariance, n and persons,
+    and with ``with_se`` the person-clustered covariance of each outcome's
+    coefficients, which takes a second pass over the persons' sums (write
+    them through before, if they are costly).  Only summed matrices reach
+    the driver.
     """
-    terms = _terms(x, intercept)
-    moments = write_through(moments)   # two passes: totals, then the clustered sums that need them
-    cols = [c for c in moments.columns if c.startswith("s__")] + ["n"]
-    tot = moments.agg(*[F.sum(c).alias(c) for c in cols], F.count(F.lit(1)).alias("_persons")).first()
-    row = tot.asDict()
-    xx, xy, yy = _matrices(row, terms, y)
+    terms, y = _terms(x, intercept), list(y)
+    total = total_moments(moments)
+    one = pd.DataFrame({"g": [[v for k, v in total.items() if k not in ("n", "persons")]]})
+    names = [k for k in total if k not in ("n", "persons")]
+    xx, xy, yy = (a[0] for a in stacked(one, names, terms, y))
     b = np.linalg.solve(xx, xy)
-    n = int(row["n"])
-    p = len(terms)
-    resid = (yy - xy.T @ b) / max(n - p, 1)
-    # person-clustered sandwich: s_j = X_j'Y_j - X_j'X_j B, per outcome
-    meat_cols = []
-    score = {}
-    for qi, v in enumerate(y):
-        for i, a in enumerate(terms):
-            e = F.col(mname(a, v))
-            for j, c in enumerate(terms):
-                k = mname(a, c) if i <= j else mname(c, a)
-                e = e - F.col(k) * F.lit(float(b[j, qi]))
-            score[(qi, i)] = e
-    for qi in range(len(y)):
-        for i in range(p):
-            for j in range(i, p):
-                meat_cols.append((score[(qi, i)] * score[(qi, j)]).alias(f"m_{qi}_{i}_{j}"))
-    meat_row = moments.agg(*[F.sum(c) for c in meat_cols]).first()
+    n, p, q = int(total["n"]), len(terms), len(y)
+    out = {"terms": terms, "outcomes": y, "B": b, "resid_cov": (yy - xy.T @ b) / max(n - p, 1), "n": n, "persons": int(total["persons"])}
+    if not with_se:
+        return out
+    arrays, names = as_arrays(moments)
+
+    def meat(batches):
+        # person-clustered sandwich: s_j = X_j'Y_j - X_j'X_j B, per outcome
+        for pdf in batches:
+            if len(pdf):
+                wxx, wxy, _ = stacked(pdf, names, terms, y)
+                s = wxy - wxx @ b
+                flat = np.einsum("nik,njk->kij", s, s).ravel()
+                yield pd.DataFrame({"i": np.arange(len(flat)), "x": flat})
+
     inv = np.linalg.inv(xx)
-    cov = []
-    for qi in range(len(y)):
-        m = np.zeros((p, p))
-        vals = list(meat_row)
-        base = qi * (p * (p + 1) // 2)
-        idx = base
-        for i in range(p):
-            for j in range(i, p):
-                m[i, j] = m[j, i] = vals[idx]
-                idx += 1
-        cov.append(inv @ m @ inv)
-    return {"terms": terms, "outcomes": list(y), "B": b, "resid_cov": resid, "cluster_cov": cov,
-            "n": n, "persons": int(row["_persons"])}
+    meats = _summed(arrays.select("g").mapInPandas(meat, "i int, x double"), q * p * p).reshape(q, p, p)
+    return {**out, "cluster_cov": [inv @ m @ inv for m in meats]}
 
 
 def pooled_ols_table(moments: DataFrame, x: Sequence[str], y: Sequence[str],
@@ -122,7 +154,11 @@ def pooled_ols_table(moments: DataFrame, x: Sequence[str], y: Sequence[str],
     ``with_se``: person-clustered standard errors, and a row per pair of
     outcomes with their residual covariance (term ``cov:<outcome>``).
     """
-    fit = pooled_ols(moments, x, y, intercept)
+    if with_se:
+        moments = write_through(moments)    # two passes: totals, then the clustered sums that need them
+    fit = pooled_ols(moments, x, y, intercept, with_se=with_se)
+    if with_se:
+        discard(moments)
     rows = []
     for qi, v in enumerate(fit["outcomes"]):
         for i, t in enumerate(fit["terms"]):
@@ -152,16 +188,13 @@ def fit_by_person(moments: DataFrame, key: str, x: Sequence[str], y: Sequence[st
     fields += [T.StructField(f"b_{v}_{t}", T.DoubleType()) for v in y for t in terms]
     schema = T.StructType(fields)
 
+    arrays, names = as_arrays(moments)
+
     def solve(batches):
         for pdf in batches:
             p = len(terms)
-            xx, xy = np.zeros((len(pdf), p, p)), np.zeros((len(pdf), p, len(y)))
-            for i, a in enumerate(terms):
-                for j in range(i, p):
-                    xx[:, i, j] = xx[:, j, i] = pdf[mname(a, terms[j])]
-                for j, v in enumerate(y):
-                    xy[:, i, j] = pdf[mname(a, v)]
-            xx += ridge * np.eye(p)
+            xx, xy, _ = stacked(pdf, names, terms, y)
+            xx = xx + ridge * np.eye(p)
             b = np.full(xy.shape, np.nan)
             fine = np.linalg.matrix_rank(xx, hermitian=True) == p
             if fine.any():
@@ -171,4 +204,4 @@ def fit_by_person(moments: DataFrame, key: str, x: Sequence[str], y: Sequence[st
             frame = pd.DataFrame(out)
             yield frame.astype(object).where(frame.notna(), None)
 
-    return moments.mapInPandas(solve, schema)
+    return arrays.mapInPandas(solve, schema)

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelflow.functions.columns import round_half_even
+from panelflow.operators.gram import pairwise_correlations
 from panelflow.operators.ranks import (
     kept_between,
     median_of_ranks,
@@ -30,6 +31,7 @@ from panelflow.session import write_through
 MAD_CONSTANT = 1.4826       # scale of the median absolute deviation
 TRIM = 0.1                  # share dropped at each end for the trimmed mean
 Z95 = 1.96                  # normal quantile of the 95% band
+SQL_PAIRS = 50              # correlations of one aggregate up to which Spark compiles it as one piece
 
 
 def count_by(df: DataFrame, keys: Sequence[str], out: str = "n") -> DataFrame:
@@ -260,7 +262,13 @@ def describe_numeric(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def correlation_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Pairwise-complete Pearson correlations, long form."""
+    """Pairwise-complete Pearson correlations, long form.
+
+    A few columns are SQL aggregates; from ``SQL_PAIRS`` pairs on batches of
+    rows are multiplied as matrices.
+    """
+    if len(cols) * (len(cols) - 1) // 2 > SQL_PAIRS:
+        return pairwise_correlations(df, cols)
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
     row = df.agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"{a}|{b}")
                    for a, b in pairs],

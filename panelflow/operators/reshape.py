@@ -71,8 +71,10 @@ def unpivot_items(df: DataFrame, ids: Sequence[str], cols: Sequence[str], *,
     """Wide -> long (R2-R4).  ``pattern`` keeps only the first capture group
     of the column name; ``numeric_name`` turns it into a number.  NULL
     values are kept, as in a plain melt."""
-    vals = [F.col(c).cast("double").alias(c) for c in cols]
-    d = df.select(*ids, *vals).unpivot(list(ids), list(cols), name, value)
+    # not ``unpivot``: code generated for its Expand node fails to compile where later
+    # expressions share a part that reads the name, and Spark falls back to interpreting
+    cells = [F.struct(F.lit(c).alias(name), F.col(c).cast("double").alias(value)) for c in cols]
+    d = df.select(*ids, F.inline(F.array(*cells)))
     if pattern and numeric_name:
         return d.withColumn(name, number_in_name(name, pattern))
     if pattern:

@@ -22,6 +22,7 @@ from panelflow.operators import joins as J
 from panelflow.operators import reshape as R
 from panelflow.operators import timeseries as W
 from panelflow.plans import compose as D
+from panelflow.session import write_through
 from panelflow.sources import tables as S
 
 DIGITS = 6
@@ -246,7 +247,7 @@ def ar_shapes():
 
 
 def ar_moments(spark, sf):
-    return M.panel_moments(dense_var(spark, sf), "ID", [*LAGS2, "log_dt"], ["Y1", "Y2"])
+    return M.gram_moments(dense_var(spark, sf), "ID", [*LAGS2, "log_dt"], ["Y1", "Y2"])
 
 
 def fitted(spark, moments, s):
@@ -274,7 +275,7 @@ def q_m3_mixed_var_full(spark, sf):
     x = [*LAGS1, "adhd", "adhd_x_Y1_lag", "adhd_x_Y2_lag", "weekend", "covariate", "log_dt", "adhd_x_log_dt"]
     s = shape([ONE, *x], ["Y1", "Y2"], {y: [ONE, *x] for y in ("Y1", "Y2")},
               {y: [ONE, "Y2_lag", "Y1_lag", "log_dt"] for y in ("Y1", "Y2")})
-    return fitted(spark, M.panel_moments(d, "ID", x, ["Y1", "Y2"]), s)
+    return fitted(spark, M.gram_moments(d, "ID", x, ["Y1", "Y2"]), s)
 
 
 # Literal parameters at which one EM step is compared with SQL.
@@ -323,7 +324,7 @@ def q_m5_response_mixed(spark, sf):
     responded ~ item + hours * group + (1 + hours | person), hours in thousands.
     """
     from panelflow.models.mixed import shape
-    mom = M.panel_moments(response_rows(spark, sf), "ID", RESPONSE_X, ["responded"])
+    mom = M.gram_moments(response_rows(spark, sf), "ID", RESPONSE_X, ["responded"])
     s = shape([ONE, *RESPONSE_X], ["responded"], {"responded": [ONE, *RESPONSE_X]}, {"responded": [ONE, "hours"]})
     return fitted(spark, mom, s)
 
@@ -345,15 +346,17 @@ def item_design(spark, sf):
     levels = [f"var_{c}" for c in items]
     d, terms = I.design(long, "adhd", "n_obs", "item", levels)
     x = [c for cols in terms.values() for c in cols]
-    return M.panel_moments(d, "ID", x, ["value"]), terms, levels
+    return M.gram_moments(d, "ID", x, ["value"]), terms, levels
 
 
 def q_m8_design_moments(spark, sf):
     """X'y and the diagonal of X'X of the 32-column three-way design."""
     mom, terms, _ = item_design(spark, sf)
     x = [ONE, *[c for cols in terms.values() for c in cols]]
-    return finish(mom.agg(F.sum("n").alias("n"), *[F.sum(M.mname(c, c)).alias(f"xx_{c}") for c in x],
-                          *[F.sum(M.mname(c, "value")).alias(f"xy_{c}") for c in x]), digits=3)
+    at = {name: i for i, name in enumerate(M.as_arrays(mom)[1])}
+    total = lambda a, b: F.sum(F.get("g", F.lit(at[M.mname(a, b)])))
+    return finish(mom.agg(F.sum("n").alias("n"), *[total(c, c).alias(f"xx_{c}") for c in x],
+                          *[total(c, "value").alias(f"xy_{c}") for c in x]), digits=3)
 
 
 def q_m8_item_terms(spark, sf):
@@ -367,7 +370,9 @@ def q_m8_item_grid(spark, sf):
     """Marginal means by group and item at the mean number of rows."""
     from panelflow.models import items as I
     mom, terms, levels = item_design(spark, sf)
-    at = mom.agg((F.sum(M.mname(ONE, "d_n_obs")) / F.sum("n"))).first()[0]
+    mom = write_through(mom)
+    total = M.total_moments(mom)
+    at = total[M.mname(ONE, "d_n_obs")] / total["n"]
     fit = I.fit_items(mom, terms, "value")
     return finish(I.prediction_grid(spark, fit, terms, "value", "adhd", "n_obs", "item", levels, at), digits=3)
 
