@@ -9,11 +9,11 @@ an id form one person, as they do in a plain window:
 
 * ordinary persons (at most ``rows_per_chunk`` rows, a fixed target that
   doesn't depend on the session) keep one chunk ``_c = 0``;
-* a *hot* person is cut at borders in (time, seq), found by range
-  partitioning its rows, so tied times and missing times are cut too; what
-  a chunk needs from the chunks before it (the last rows for a lag, the sum
-  so far for a running count) is taken from small per-chunk tables and
-  joined back on ``(_k, _m, _c)``.
+* a *hot* person's rows carry the number of the piece into which range
+  partitioning on (time, seq) puts them, so tied times and missing times are
+  cut too; what a chunk needs from the chunks before it (the last rows for a
+  lag, the sum so far for a running count) is a prefix scan over small
+  per-chunk tables, joined back on ``(_k, _m, _c)``.
 
 With a hot person, each operation writes its windows' result once to the
 shared folder before it derives the per-chunk tables from it, so plans stay
@@ -32,13 +32,12 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelflow.session import write_through
+from panelflow.session import discard, write_through
 
 CHUNK = "_c"        # chunk number inside a person (0 for ordinary persons)
-NCHUNKS = "_m"      # number of chunks of a hot person, 0 otherwise
+NCHUNKS = "_m"      # number of pieces of all hot persons on their rows, 0 on others
 PERSON = "_k"       # the id in a struct: equal to itself even where it is NULL
 ROWS_PER_CHUNK = 1_000_000   # a person with more rows is split
-_FINE = 64          # borders are searched in two steps of this many
 
 
 def part_keys() -> list[str]:
@@ -62,8 +61,9 @@ def assign_chunks(df: DataFrame, key: str, time: str, seq: str, *,
     pivot).  Row counts are a partial (map-side combined) aggregate.  The
     rows of hot persons, and of no others, are range partitioned on
     (person, time, seq) into pieces of half the target, as the range
-    partitioner works on a sample; the first row of each piece is a border.
-    Borders are written once, so every later use sees the same ones.
+    partitioner works on a sample; the piece a row falls into is its chunk.
+    No borders are gathered or compared with: a hot row costs one shuffle.
+    The pieces are written, so every later use sees the same ones.
     """
     if CHUNK in df.columns:
         return df
@@ -73,22 +73,15 @@ def assign_chunks(df: DataFrame, key: str, time: str, seq: str, *,
                         .where(F.col("_n") > rows_per_chunk).select(person.alias(PERSON), "_n"))
     rows = hot.agg(F.sum("_n")).first()[0]
     if not rows:
+        discard(hot)
         return single_chunk(df)
-    place = F.struct(F.col(time).isNull().alias("late"), F.col(time).alias("t"), F.col(seq).alias("s"))
     pieces = -(-2 * rows // rows_per_chunk)
-    own = src.select(person.alias(PERSON), place.alias("_p")).join(hot.select(PERSON), PERSON, "left_semi")
-    own = own.repartitionByRange(int(pieces), PERSON, "_p").withColumn("_i", F.spark_partition_id())
-    borders = own.groupBy(PERSON, "_i").agg(F.min("_p").alias("_p")).groupBy(PERSON).agg(
-        F.array_sort(F.collect_list("_p")).alias("_b"))
-    borders = write_through(borders.select(
-        PERSON, F.size("_b").alias(NCHUNKS), "_b",
-        F.filter("_b", lambda x, i: i % _FINE == 0).alias("_coarse")))
-    out = df.withColumn(PERSON, person).join(borders, PERSON, "left")
-    passed = lambda c: F.size(F.filter(c, lambda x: x <= place))
-    step = passed(F.col("_coarse"))
-    fine = (step - 1) * _FINE + passed(F.slice("_b", (step - 1) * _FINE + 1, F.lit(_FINE))) - 1
-    chunk = F.when(F.col(NCHUNKS).isNull() | (step == 0), F.lit(0)).otherwise(fine)
-    return out.withColumns({CHUNK: chunk.cast("int"), NCHUNKS: F.coalesce(NCHUNKS, F.lit(0))}).drop("_b", "_coarse")
+    both = write_through(df.withColumn(PERSON, person))     # read for the hot persons and for the others
+    place = [F.col(PERSON), *order_cols(time, seq)]
+    own = both.join(hot, PERSON, "left_semi").repartitionByRange(int(pieces), *place)
+    own = write_through(own.withColumns({NCHUNKS: F.lit(int(pieces)), CHUNK: F.spark_partition_id()}))
+    rest = both.join(hot, PERSON, "left_anti").withColumns({NCHUNKS: F.lit(0), CHUNK: F.lit(0)})
+    return own.unionByName(rest)
 
 
 def ensure_chunks(df: DataFrame, key: str, time: str, seq: str, **kw) -> DataFrame:
