@@ -292,6 +292,25 @@ def _more() -> dict[str, str]:
     q["m3_em_step"] = with_(*DENSE_VAR, ols[0], *em) + f"""SELECT {r6('loglik', 'loglik')}, {r6('b0', 'b0')}, {r6('b1', 'b1')},
         {r6('(c - 2 * (b0 * g0 + b1 * g1) + b0 * b0 * n + 2 * b0 * b1 * sx + b1 * b1 * sxx) / n', 'sigma')},
         {r6('q11 / persons', 'psi11')}, {r6('q12 / persons', 'psi12')}, {r6('q22 / persons', 'psi22')} FROM e6"""
+    # the same with a normal prior of the fixed effects and an inverse-Wishart prior of Psi
+    q["m3_map_step"] = with_(
+        *DENSE_VAR, ols[0], *em[:-1],
+        "pr AS (SELECT 0.05::DOUBLE AS m0, 0.3::DOUBLE AS m1, 4.0::DOUBLE AS l0, 25.0::DOUBLE AS l1, 5.0::DOUBLE AS df, 0.4::DOUBLE AS sc)",
+        "f6 AS (SELECT e5.*, pr.*, n / 0.9 + l0 AS h00, sx / 0.9 AS h01, sxx / 0.9 + l1 AS h11, g0 / 0.9 + l0 * m0 AS k0, g1 / 0.9 + l1 * m1 AS k1 FROM e5, pr)",
+        "f7 AS (SELECT *, (h11 * k0 - h01 * k1) / (h00 * h11 - h01 * h01) AS b0, (h00 * k1 - h01 * k0) / (h00 * h11 - h01 * h01) AS b1 FROM f6)",
+    ) + f"""SELECT {r6("""loglik - 0.5 * (l0 * power(0.1 - m0, 2) + l1 * power(0.2 - m1, 2)) - 0.5 * (df + 3) * ln(0.3 * 0.2 - 0.05 * 0.05)
+        - 0.5 * sc * (0.3 + 0.2) / (0.3 * 0.2 - 0.05 * 0.05)""", 'logpost')}, {r6('b0', 'b0')}, {r6('b1', 'b1')},
+        {r6('(c - 2 * (b0 * g0 + b1 * g1) + b0 * b0 * n + 2 * b0 * b1 * sx + b1 * b1 * sxx) / n', 'sigma')},
+        {r6('(q11 + sc) / (persons + df + 3)', 'psi11')}, {r6('q12 / (persons + df + 3)', 'psi12')}, {r6('(q22 + sc) / (persons + df + 3)', 'psi22')} FROM f7"""
+    # each row against the posterior of its person's other rows, their sums taken without it
+    q["m4_row_densities"] = with_(
+        *DENSE_VAR, ols[0], *em[:3],
+        """h1 AS (SELECT dv.ID, dv.seq, Y1_lag AS x, Y1 AS y, e2.b0, e2.b1, s, a11 - 1 / s AS a11, a12 - Y1_lag / s AS a12, a22 - Y1_lag * Y1_lag / s AS a22,
+               r0 - (Y1 - b0 - b1 * Y1_lag) / s AS r0, r1 - Y1_lag * (Y1 - b0 - b1 * Y1_lag) / s AS r1 FROM dv JOIN e2 USING (ID))""",
+        "h2 AS (SELECT *, a11 * a22 - a12 * a12 AS da FROM h1)",
+        """h3 AS (SELECT *, b0 + b1 * x + (a22 * r0 - a12 * r1) / da + x * (a11 * r1 - a12 * r0) / da AS mean,
+               s + (a22 - 2 * x * a12 + x * x * a11) / da AS var FROM h2)""",
+    ) + f"SELECT ID, seq, {r6('-0.5 * (ln(2 * pi()) + ln(var) + power(y - mean, 2) / var)', 'log_density')} FROM h3"
     x = ["one", "item_no", "hours", "adhd", "hours_x_adhd"]
     val = {"one": "1.0", "responded": "responded", **{c: c for c in x[1:]}}
     pairs = [(a, b) for i, a in enumerate(x) for b in x[i:]] + [(a, "responded") for a in x] + [("responded", "responded")]

@@ -250,9 +250,9 @@ def ar_moments(spark, sf):
     return M.gram_moments(dense_var(spark, sf), "ID", [*LAGS2, "log_dt"], ["Y1", "Y2"])
 
 
-def fitted(spark, moments, s):
+def fitted(spark, moments, s, prior=None):
     from panelflow.models import mixed
-    return finish(mixed.result_table(spark, mixed.fit_mixed_var(moments, s.terms, s.ys, s.fixed, s.random)), digits=4)
+    return finish(mixed.result_table(spark, mixed.fit_mixed_var(moments, s.terms, s.ys, s.fixed, s.random, prior=prior)), digits=4)
 
 
 def q_m3_mixed_var_ar1(spark, sf):
@@ -265,17 +265,37 @@ def q_m3_mixed_var_ar2(spark, sf):
     return fitted(spark, ar_moments(spark, sf), ar_shapes()["AR(2)"])
 
 
-def q_m3_mixed_var_full(spark, sf):
-    """The full fixed part: group, its products with the lags and the spacing, weekend, a covariate."""
+CONTEXTS = ("click", "view", "purchase")
+
+
+def full_design(spark, sf):
+    """Moments and shape of the full model: group, lags, three contexts, their products with the group, three covariates, spacing."""
     from panelflow.models.mixed import shape
     cust = S.driver_table(spark, sf, "customer").select(
-        F.col("c_custkey").alias("ID"), (F.col("c_acctbal") / 10000).alias("covariate"))
-    d = J.attach_person(dense_var(spark, sf), cust, "ID", ["covariate"])
-    d = d.withColumns(C.interactions("adhd", ["Y1_lag", "Y2_lag", "log_dt"]))
-    x = [*LAGS1, "adhd", "adhd_x_Y1_lag", "adhd_x_Y2_lag", "weekend", "covariate", "log_dt", "adhd_x_log_dt"]
+        F.col("c_custkey").alias("ID"), (F.col("c_acctbal") / 10000).alias("cov_balance"),
+        (F.col("c_nationkey") / 25).alias("cov_nation"), (F.col("c_mktsegment") == "BUILDING").cast("double").alias("cov_segment"))
+    kinds = S.driver_table(spark, sf, "events").select(
+        F.col("event_id").alias("seq"), *[(F.col("event_type") == c).cast("double").alias(c) for c in CONTEXTS])
+    covariates = ["cov_balance", "cov_nation", "cov_segment"]
+    d = J.attach_person(dense_var(spark, sf), cust, "ID", covariates).join(kinds, "seq")
+    d = d.withColumns(C.interactions("adhd", ["Y1_lag", "Y2_lag", "log_dt", *CONTEXTS]))
+    x = [*LAGS1, "adhd", "adhd_x_Y1_lag", "adhd_x_Y2_lag", *CONTEXTS, *[f"adhd_x_{c}" for c in CONTEXTS], "weekend",
+         *covariates, "log_dt", "adhd_x_log_dt"]
     s = shape([ONE, *x], ["Y1", "Y2"], {y: [ONE, *x] for y in ("Y1", "Y2")},
               {y: [ONE, "Y2_lag", "Y1_lag", "log_dt"] for y in ("Y1", "Y2")})
-    return fitted(spark, M.gram_moments(d, "ID", x, ["Y1", "Y2"]), s)
+    return M.gram_moments(d, "ID", x, ["Y1", "Y2"]), s
+
+
+def q_m3_mixed_var_full(spark, sf):
+    """The full fixed part by maximum likelihood."""
+    return fitted(spark, *full_design(spark, sf))
+
+
+def q_m3_mixed_var_map(spark, sf):
+    """The full fixed part with priors on the fixed effects and on the random effects' covariance."""
+    from panelflow.models import mixed
+    mom, s = full_design(spark, sf)
+    return fitted(spark, mom, s, prior=mixed.prior(s))
 
 
 # Literal parameters at which one EM step is compared with SQL.
@@ -295,6 +315,42 @@ def q_m3_em_step(spark, sf):
     return finish(spark.createDataFrame([row], "loglik double, b0 double, b1 double, sigma double, psi11 double, psi12 double, psi22 double"))
 
 
+STEP_MEAN, STEP_PRECISION, STEP_DF, STEP_SCALE = (0.05, 0.3), (4.0, 25.0), 5.0, 0.4
+
+
+def q_m3_map_step(spark, sf):
+    """The same model and parameters with a prior: log-posterior, and one step to the greatest posterior density."""
+    import numpy as np
+
+    from panelflow.models import mixed
+    s = mixed.shape([ONE, "Y1_lag"], ["Y1"], {"Y1": [ONE, "Y1_lag"]}, {"Y1": [ONE, "Y1_lag"]})
+    params = (np.array(STEP_BETA), np.array([[STEP_SIGMA]]), np.array(STEP_PSI))
+    known = mixed.Prior(np.array(STEP_MEAN), np.array(STEP_PRECISION), STEP_DF, np.eye(2) * STEP_SCALE)
+    total = mixed.person_sums(s, M.gram_moments(dense_var(spark, sf), "ID", ["Y1_lag"], ["Y1"]), [params])[0]
+    beta, sigma, psi = mixed.m_step(s, total, params[1], 0.0, known)
+    row = (float(s.split(total)[4][0]) + known.log(params[0], params[2]), *map(float, beta), float(sigma[0, 0]),
+           float(psi[0, 0]), float(psi[0, 1]), float(psi[1, 1]))
+    return finish(spark.createDataFrame([row], "logpost double, b0 double, b1 double, sigma double, psi11 double, psi12 double, psi22 double"))
+
+
+def q_m4_row_densities(spark, sf):
+    """Y1 ~ 1 + Y1_lag + (1 + Y1_lag | person) at literal parameters: each row's log density given its person's other rows."""
+    import numpy as np
+
+    from panelflow.models import mixed
+    s = mixed.shape([ONE, "Y1_lag"], ["Y1"], {"Y1": [ONE, "Y1_lag"]}, {"Y1": [ONE, "Y1_lag"]})
+    fit = {"shape": s, "params": (np.array(STEP_BETA), np.array([[STEP_SIGMA]]), np.array(STEP_PSI))}
+    rows = dense_var(spark, sf)
+    return finish(mixed.leave_row_out(rows, M.gram_moments(rows, "ID", ["Y1_lag"], ["Y1"]), "ID", "seq", {"log_density": fit}))
+
+
+def q_m4_compare_rows(spark, sf):
+    """Leave-observation-out comparison of both orders on the same rows, best first."""
+    from panelflow.models.mixed import compare_rows
+    rows = write_through(dense_var(spark, sf).select("ID", "seq", *LAGS2, "log_dt", "Y1", "Y2"))
+    return finish(compare_rows(rows, M.gram_moments(rows, "ID", [*LAGS2, "log_dt"], ["Y1", "Y2"]), "ID", "seq", ar_shapes()), digits=3)
+
+
 def q_m4_compare_orders(spark, sf):
     """Leave-persons-out comparison of both orders on the same rows, best first."""
     from panelflow.models.mixed import compare_models
@@ -693,6 +749,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "m3_em_step": q_m3_em_step,
     "m3_mixed_var_ar2": q_m3_mixed_var_ar2,
     "m3_mixed_var_full": q_m3_mixed_var_full,
+    "m3_mixed_var_map": q_m3_mixed_var_map,
+    "m3_map_step": q_m3_map_step,
+    "m4_row_densities": q_m4_row_densities,
+    "m4_compare_rows": q_m4_compare_rows,
     "m4_compare_orders": q_m4_compare_orders,
     "m5_response_moments": q_m5_response_moments,
     "m6_response_curve": q_m6_response_curve,
