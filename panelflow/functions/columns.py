@@ -11,10 +11,12 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from panelflow.operators.observed import observed
+
 # Fixed values the results depend on.
 SKIPPED_SENTINEL = "#skipped#"          # response text that means "no answer"
 WEEKEND_DAYS = (1, 7)                   # dayofweek numbers of Sunday and Saturday
@@ -51,8 +53,16 @@ def cast_failed(c: str | Column, dtype: str = "double") -> Column:
     return (col(c).isNotNull() & col(c).try_cast(dtype).isNull()).cast("int")
 
 
-def to_numeric(df: DataFrame, cols: Iterable[str], dtype: str = "double") -> DataFrame:
-    """Cast many columns with ``try_cast``."""
+def to_numeric(df: DataFrame, cols: Iterable[str], dtype: str = "double",
+               counts: Observation | None = None) -> DataFrame:
+    """Cast many columns with ``try_cast``.
+
+    ``counts`` gets ``n_rows`` and ``bad_<column>``, present values that are
+    no numbers, in the pass that casts (see ``operators.observed``).
+    """
+    cols = list(cols)
+    if counts is not None:
+        df = observed(df, counts, {f"bad_{c}": cast_failed(c, dtype) == 1 for c in cols})
     return df.withColumns({c: col(c).try_cast(dtype) for c in cols})
 
 
@@ -198,6 +208,17 @@ def binarize(c: str | Column) -> Column:
     return (F.coalesce(col(c).cast("double"), F.lit(0.0)) != F.lit(0.0)).cast("int")
 
 
+def binarize_columns(df: DataFrame, cols: Iterable[str], counts: Observation | None = None) -> DataFrame:
+    """``binarize`` several columns in place.
+
+    ``counts`` gets ``n_rows`` and ``filled_<column>``, nulls that became 0.
+    """
+    cols = list(cols)
+    if counts is not None:
+        df = observed(df, counts, {f"filled_{c}": col(c).cast("double").isNull() for c in cols})
+    return df.withColumns({c: binarize(c) for c in cols})
+
+
 def interactions(by: str, cols: Sequence[str], prefix: str | None = None,
                  as_int: bool = True) -> dict[str, Column]:
     """Product columns ``{prefix+c: by*c}``; NULL stays NULL.

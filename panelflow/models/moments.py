@@ -12,10 +12,11 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from panelflow.operators.filters import complete_cases
 from panelflow.operators.gram import gram_by_key
 from panelflow.session import discard, write_through
 
@@ -61,12 +62,14 @@ def panel_moments(df: DataFrame, key: str, x: Sequence[str], y: Sequence[str],
     return d.groupBy(key).agg(F.count(F.lit(1)).alias("n"), *[F.sum(product[n]).alias(n) for n in order])
 
 
-def gram_moments(df: DataFrame, key: str, x: Sequence[str], y: Sequence[str], intercept: bool = True) -> DataFrame:
+def gram_moments(df: DataFrame, key: str, x: Sequence[str], y: Sequence[str], intercept: bool = True,
+                 counts: Observation | None = None) -> DataFrame:
     """(key, n, g): the sums of ``panel_moments`` as one array per person, for any number of columns (M1).
 
     The order of ``g`` is that of ``moment_names``; its metadata names them.
+    ``counts`` gets the rows dropped as incomplete (K12).
     """
-    d = df.dropna(how="any", subset=[*x, *y])
+    d = complete_cases(df, [*x, *y], counts)
     out = gram_by_key(d, key, [*x, *y], one=intercept)
     return out.withMetadata("g", {MOMENTS: moment_names(_terms(x, intercept), y)})
 

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelflow.functions.columns import all_present, any_present
 from panelflow.operators.aggregates import pooled_stats
 from panelflow.operators.joins import attach
+from panelflow.operators.observed import observed
 from panelflow.operators.ordered import PERSON, part_keys
 from panelflow.session import write_through
 
@@ -34,8 +35,14 @@ def keep_any(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.where(any_present(cols))
 
 
-def complete_cases(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Keep rows with all of ``cols`` present."""
+def complete_cases(df: DataFrame, cols: Sequence[str], counts: Observation | None = None) -> DataFrame:
+    """Keep rows with all of ``cols`` present.
+
+    ``counts`` gets ``n_rows``, ``n_dropped`` and ``missing_<column>``, the
+    rows that lack each column.
+    """
+    if counts is not None:
+        df = observed(df, counts, {"n_dropped": ~all_present(cols), **{f"missing_{c}": F.col(c).isNull() for c in cols}})
     return df.dropna(how="any", subset=list(cols))
 
 

@@ -10,10 +10,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from panelflow.functions.columns import SECONDS_PER_HOUR
+from panelflow.operators.observed import observed
 from panelflow.session import write_through
 from panelflow.operators.ordered import (CHUNK, NCHUNKS, PERSON, add_key_totals, add_lags, add_running,
                                          ensure_chunks, hot_free, part_keys, single_chunk)
@@ -143,13 +144,15 @@ def min_run_size(df: DataFrame, key: str, time: str, seq: str, run: str, n: int,
 
 
 def drop_zero_dt_duplicates(df: DataFrame, key: str, time: str, seq: str, session: str,
-                            cols: Sequence[str], flag: str | None = None) -> DataFrame:
+                            cols: Sequence[str], flag: str | None = None,
+                            counts: Observation | None = None) -> DataFrame:
     """Drop a row that repeats the previous row of its series at zero interval.
 
     A row is an exact repeat when its time equals the previous row's time
     in the same series and every column in ``cols`` equals the previous
     value, NULL matching NULL.  All rows are compared with their previous
     row *before* anything is removed, so in A,A,A both later rows go.
+    ``counts`` gets ``n_rows`` and ``n_repeats``, the rows removed.
     """
     lags = {f"_dl_{c}": (c, 1) for c in cols}
     lags["_dl_t"] = (time, 1)
@@ -159,6 +162,8 @@ def drop_zero_dt_duplicates(df: DataFrame, key: str, time: str, seq: str, sessio
     for c in cols:
         dup = dup & F.col(c).eqNullSafe(F.col(f"_dl_{c}"))
     d = d.withColumn(flag or "_dup", dup)
+    if counts is not None:
+        d = observed(d, counts, {"n_repeats": F.col(flag or "_dup")})
     d = d.where(~F.col(flag or "_dup")).drop(*lags.keys())
     return d if flag else d.drop("_dup")
 

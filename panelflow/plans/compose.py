@@ -176,7 +176,7 @@ def standardize(df: DataFrame, cols: Mapping[str, str]) -> DataFrame:
 def context_features(ema: DataFrame, cfg: PanelConfig) -> DataFrame:
     """Contexts NULL->0 and binarised, group flag, group x context/weekend."""
     ctx = [c for c in cfg.context_cols if c in ema.columns]
-    d = ema.withColumns({c: C.binarize(c) for c in ctx})
+    d = C.binarize_columns(ema, ctx)
     if cfg.group_flag not in d.columns:
         d = d.withColumn(cfg.group_flag, C.group_flag(f"{cfg.group}_first", cfg.positive))
     d = d.withColumns(C.interactions(cfg.group_flag, ctx, prefix=f"{cfg.group}_x_"))
@@ -254,19 +254,25 @@ def response_pattern(wide: DataFrame, cfg: PanelConfig, items: Sequence[str] | N
 
 
 # --- D11 ------------------------------------------------------------------------
-def item_group_tables(ema: DataFrame, cfg: PanelConfig, stat: str = "var") -> DataFrame:
-    """Group bands of a per-person item statistic, ``var`` or ``mean``."""
+def item_point_table(ema: DataFrame, cfg: PanelConfig, stat: str = "var") -> DataFrame:
+    """One row per person and item: its statistic, ``var`` or ``mean``, with the labels of group, item and scale."""
     items = cfg.items
     per = A.item_stats(ema, [cfg.id, cfg.group], items, (stat,))
     long = R.unpivot_items(per, [cfg.id, cfg.group], [f"{stat}_{c}" for c in items],
                            name="variable", value="value")
+    names = [f"{stat}_{c}" for c in items]
     scale_of = {f"{stat}_{c}": cfg.scale_labels.get(s, s) for s, cs in cfg.scales.items() for c in cs}
-    long = long.withColumns({
+    return long.withColumns({
         "group_label": F.when(F.col(cfg.group) == F.lit(cfg.positive), F.lit(cfg.group_labels[0]))
         .otherwise(F.lit(cfg.group_labels[1])),
-        "item_order": C.level_order("variable", [f"{stat}_{c}" for c in items]),
+        "item_order": C.level_order("variable", names),
+        "item_label": C.recode("variable", {n: f"Item {i + 1}" for i, n in enumerate(names)}),
         "subscale": C.recode("variable", scale_of)})
-    return A.mean_ci(long, ["group_label", "variable", "item_order", "subscale"], "value")
+
+
+def item_group_tables(ema: DataFrame, cfg: PanelConfig, stat: str = "var") -> DataFrame:
+    """Group bands of a per-person item statistic, ``var`` or ``mean``."""
+    return A.mean_ci(item_point_table(ema, cfg, stat), ["group_label", "variable", "item_order", "subscale"], "value")
 
 
 # --- D12 ------------------------------------------------------------------------

@@ -242,7 +242,34 @@ def _more() -> dict[str, str]:
         f"""SELECT ID, seq, ADHD, {r6('RawHours', 'RawHours')}, CAST(session AS BIGINT) AS session, {r6('CAST(item AS DOUBLE)', 'item')},
         {r6('responded', 'responded')} FROM ra"""
     q["d11_mean_bands"] = with_(*SPARSE_BASE)[:-1] + ", " + bands("d2", "mean", {"Hostile": A_ITEMS, "Prosocial": B_ITEMS})
+    points = []
+    for stat, fn in (("var", "var_samp"), ("mean", "avg")):
+        for i, c in enumerate(ITEMS):
+            points.append(f"""SELECT ID, '{stat}_{c}' AS variable, {r6(f'{fn}({c}) + 1e-9', 'value')}, CASE WHEN ADHD = 'Y' THEN 'ADHD' ELSE 'Control' END AS group_label,
+                CAST({i + 1} AS BIGINT) AS item_order, 'Item {i + 1}' AS item_label, '{'Hostile' if c in A_ITEMS else 'Prosocial'}' AS subscale FROM d2 GROUP BY ID, ADHD""")
+    q["d11_points"] = with_(*SPARSE_BASE) + " UNION ALL ".join(points)
     three = ["click_0", "view_0", "purchase_0"]
+    one = lambda step, name, expr, src: f"SELECT '{step}' AS step, '{name}' AS name, CAST({expr} AS BIGINT) AS n FROM {src}"
+    lost = " OR ".join(f"{c} IS NULL" for c in three)
+    steps = [one("numbers", "n_rows", "count(*)", "rw"), one("filled", "n_rows", "count(*)", "rw"), one("complete", "n_rows", "count(*)", "rn"),
+             *[one("numbers", f"bad_{c}", f"count(*) FILTER ({c} IS NOT NULL AND TRY_CAST({c} AS DOUBLE) IS NULL)", "rw") for c in SPARSE_LABELS],
+             *[one("filled", f"filled_{c}", f"count(*) FILTER (TRY_CAST({c} AS DOUBLE) IS NULL)", "rw") for c in CTX],
+             one("complete", "n_dropped", f"count(*) FILTER ({lost})", "rn"),
+             *[one("complete", f"missing_{c}", f"count(*) FILTER ({c} IS NULL)", "rn") for c in three],
+             one("repeats", "n_rows", "count(*)", "zr"), one("repeats", "n_repeats", "count(*) FILTER (same)", "zr")]
+    q["counts_observed"] = with_(
+        RAW, raw_wide({x: x for x in SPARSE_LABELS}), "rn AS (SELECT " + ", ".join(f"TRY_CAST({c} AS DOUBLE) AS {c}" for c in three) + " FROM rw)",
+        "zd AS (SELECT user_id AS ID, CAST(floor(epoch_us(ts) / 1e6 / 43200) * 43200 AS DOUBLE) AS t, event_id AS seq, floor(value / 100) * 100 AS Y1 FROM events)",
+        *sessions("zd", "zs"),
+        f"zr AS (SELECT coalesce(t = lag(t) OVER w, false) AND Y1 IS NOT DISTINCT FROM lag(Y1) OVER w AS same FROM zs {SW})",
+    ) + " UNION ALL ".join(steps)
+    q["s_formats"] = " UNION ALL ".join(f"""SELECT '{fmt}' AS fmt, event_type || '_' || CAST({KVAL} % 2 AS VARCHAR) AS prompt_label, count(*) AS n_rows,
+        count(*) AS n_answers, CAST(sum(event_id) AS BIGINT) AS seq_sum, count(*) FILTER (event_id % 53 <> 0) AS n_session,
+        max(CASE WHEN event_id % 101 = 0 THEN 'late ' || strftime(ts, '%d.%m.') ELSE strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') END) AS last_time
+        FROM events GROUP BY ALL""" for fmt in ("csv", "json", "parquet"))
+    # closed: the watermark, a gap behind the newest row, has passed the session's last row and its gap
+    q["str_sessions"] = with_(DENSE, *sessions("dense", "ss"), "sg AS (SELECT ID, session, count(*) AS n, min(t) AS t0, max(t) AS t1 FROM ss GROUP BY ID, session)") + \
+        f"SELECT ID AS user_id, n AS n_obs, {r6('t0', 'first_t')}, {r6('t1', 'last_t')} FROM sg WHERE t1 + 2 * 30 * 3600 <= (SELECT max(t) FROM dense)"
     whole = "wc AS (SELECT * FROM d1 WHERE " + " AND ".join(f"{c} IS NOT NULL" for c in three) + ")"
     q["d11_complete_bands"] = with_(SPARSE_LONG, SPARSE_WIDE, D1, whole)[:-1] + ", " + \
         bands("wc", "var", {"Hostile": ["click_0", "view_0"], "Prosocial": ["purchase_0"]})
@@ -342,6 +369,7 @@ def _sql() -> dict[str, str]:
     q["w4_sessionize"] = with_(*DENSE_SESS) + f"""SELECT ID, seq, CAST(obs AS BIGINT) AS obs, CAST(session AS BIGINT) AS session,
         new_session, {r6('gap_hours', 'gap_hours')}, {r6('RawHours', 'RawHours')}, {r6('TimeHours', 'TimeHours')},
         {r6('time_interval', 'time_interval')} FROM ds"""
+    q["s5_person_table"] = q["w4_sessionize"]
     q["a1_session_sizes"] = with_(*DENSE_SESS) + \
         "SELECT ID, CAST(session AS BIGINT) AS session, count(*) AS n_obs FROM ds GROUP BY ID, session"
     q["a3_gap_summary"] = with_(*DENSE_SESS) + f"""SELECT {r6('avg(gap_hours)', 'mean_gap')},

@@ -8,6 +8,7 @@ be compared with the DuckDB oracle in :mod:`panelflow.plans.oracle`.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,7 +23,7 @@ from panelflow.operators import joins as J
 from panelflow.operators import reshape as R
 from panelflow.operators import timeseries as W
 from panelflow.plans import compose as D
-from panelflow.session import write_through
+from panelflow.session import discard, ensure_checkpoint_dir, write_through
 from panelflow.sources import tables as S
 
 DIGITS = 6
@@ -448,6 +449,73 @@ def q_d11_mean_bands(spark, sf):
     return finish(D.item_group_tables(sparse_sessions(spark, sf), SPARSE_CFG, "mean"))
 
 
+def q_d11_points(spark, sf):
+    """Person x item points behind the bands, for variance and mean."""
+    ema = sparse_sessions(spark, sf)
+    both = R.union_all([D.item_point_table(ema, SPARSE_CFG, stat) for stat in ("var", "mean")])
+    # values of few decimals stand on halves; a nudge keeps the rounding from following the last bit
+    return finish(both.select("ID", "variable", (F.col("value") + 1e-9).alias("value"), "group_label", "item_order", "item_label", "subscale"))
+
+
+def q_counts_observed(spark, sf):
+    """Counts of what each step made null, filled or dropped, taken in the passes themselves."""
+    from pyspark.sql import Observation
+
+    from panelflow.operators.observed import taken
+    bad, filled, dropped, repeats = (Observation(n) for n in ("bad", "filled", "dropped", "repeats"))
+    d = C.to_numeric(raw_panel(spark, sf), list(S.SPARSE_LABELS), counts=bad)
+    d = C.binarize_columns(d, list(S.SPARSE_CONTEXTS), counts=filled)
+    discard(write_through(K.complete_cases(d, ["click_0", "view_0", "purchase_0"], counts=dropped)))
+    z = S.events_long(spark, sf).select("ID", (F.floor(F.col("t") / 43200) * 43200).cast("double").alias("t"), "seq",
+                                        (F.floor(F.col("Y1") / 100) * 100).cast("double").alias("Y1"))
+    z = W.sessionize(z, "ID", "t", "seq", 30.0)
+    discard(write_through(W.drop_zero_dt_duplicates(z, "ID", "t", "seq", "session", ["Y1"], counts=repeats)))
+    rows = [(step, name, n) for step, c in (("numbers", bad), ("filled", filled), ("complete", dropped), ("repeats", repeats))
+            for name, n in taken(c).items()]
+    return finish(spark.createDataFrame(rows, "step string, name string, n long"))
+
+
+def q_s5_person_table(spark, sf):
+    """Sessions of a panel saved bucketed by person and read back without a shuffle."""
+    name = f"panelflow_{uuid.uuid4().hex}"
+    table = S.write_person_table(dense(spark, sf), name, "ID", ["t", "seq"], buckets=8)
+    out = write_through(W.sessionize(table, "ID", "t", "seq", 30.0, obs="obs"))
+    S.drop_person_table(spark, name)
+    return finish(out.select("ID", "seq", "obs", "session", "new_session", "gap_hours", "RawHours", "TimeHours", "time_interval"))
+
+
+def shared_folder(spark, what):
+    return f"{ensure_checkpoint_dir(spark)}/{what}-{uuid.uuid4().hex}"
+
+
+def q_s_formats(spark, sf):
+    """Raw responses written as csv, json and parquet, partitioned by label, and read with the declared schema."""
+    raw = S.raw_responses(spark, sf)
+    out = []
+    for fmt in ("csv", "json", "parquet"):
+        path = shared_folder(spark, fmt)
+        S.write_table(raw.withColumn("label", F.col("prompt_label")), path, fmt, partition_by=["label"],
+                      **({"header": True} if fmt == "csv" else {}))
+        back = S.read_responses(spark, path, fmt)
+        out.append(back.groupBy(F.lit(fmt).alias("fmt"), "prompt_label").agg(
+            F.count("*").alias("n_rows"), F.count("response").alias("n_answers"), F.sum("seq").alias("seq_sum"),
+            F.count("session_instance_no").alias("n_session"), F.max("notification_time").alias("last_time")))
+    return finish(R.union_all(out))
+
+
+def q_str_sessions(spark, sf):
+    """Sessions that a file stream of the events has closed when all files are read (Str)."""
+    from panelflow.streaming.sessions import start_sessions_query
+    events = S.driver_table(spark, sf, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
+    source, sink, state = (shared_folder(spark, f"stream-{x}") for x in ("in", "out", "state"))
+    S.write_table(events, source)
+    stream = spark.readStream.schema(events.schema).parquet(source)
+    start_sessions_query(stream, "user_id", "ts", 30.0, sink="parquet", path=sink, checkpoint=state, available_now=True).awaitTermination()
+    schema = "user_id long, session_window struct<start: timestamp, end: timestamp>, n_obs long, start timestamp, end timestamp"
+    out = spark.read.schema(schema).parquet(sink)
+    return finish(out.select("user_id", "n_obs", (F.unix_micros("start") / 1e6).alias("first_t"), (F.unix_micros("end") / 1e6).alias("last_t")))
+
+
 def q_d11_complete_bands(spark, sf):
     return finish(D.item_group_tables(D.sessionize_panel(sparse_wide(spark, sf), COMPLETE_CFG), COMPLETE_CFG, "var"))
 
@@ -737,6 +805,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "d10_raw_pattern": q_d10_raw_pattern,
     "d11_mean_bands": q_d11_mean_bands,
     "d11_complete_bands": q_d11_complete_bands,
+    "d11_points": q_d11_points,
+    "counts_observed": q_counts_observed,
+    "s5_person_table": q_s5_person_table,
+    "s_formats": q_s_formats,
+    "str_sessions": q_str_sessions,
     "d12_trajectories": q_d12_trajectories,
     "d13_complete": q_d13_complete,
     "k6_min_obs": q_k6_min_obs,

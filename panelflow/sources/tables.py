@@ -114,13 +114,36 @@ def ensure_columns(df: DataFrame, defaults: Mapping[str, object]) -> DataFrame:
 
 # --- S5 ---------------------------------------------------------------------
 def write_table(df: DataFrame, path: str, fmt: str = "parquet",
-                partition_by: Sequence[str] | None = None, mode: str = "overwrite") -> None:
-    w = df.write.mode(mode).format(fmt)
+                partition_by: Sequence[str] | None = None, mode: str = "overwrite", **options) -> None:
+    """Write ``df`` to a folder, in subfolders by ``partition_by``."""
+    w = df.write.mode(mode).format(fmt).options(**options)
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.save(path)
 
 
+def write_person_table(df: DataFrame, name: str, key: str, order: Sequence[str] = (), *, buckets: int = 200,
+                       mode: str = "overwrite") -> DataFrame:
+    """Save ``df`` as table ``name`` in the warehouse, bucketed by person and sorted in each bucket; returns the table.
+
+    A person's rows lie in one bucket, so whatever groups or orders by the
+    person afterwards (sessions, lags, counts, moments) reads the table
+    without a shuffle, in every later session.  Rows are dealt to the buckets
+    before they are written: one file per bucket, ordered by (key, order), and
+    scans may use that order.  ``buckets`` should give files of some 100 MB.
+    """
+    spark = df.sparkSession
+    sort = [key, *order]
+    (df.repartition(buckets, key).sortWithinPartitions(*sort).write.mode(mode).format("parquet")
+     .bucketBy(buckets, key).sortBy(*sort).saveAsTable(name))
+    return spark.table(name)
+
+
+def drop_person_table(spark: SparkSession, name: str) -> None:
+    """Delete a table of ``write_person_table``."""
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
 # --- driver-table panels ----------------------------------------------------
 def events_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events with the panel columns: ID, t (epoch s), seq, group, Y1, Y2."""
