@@ -18,28 +18,29 @@ from pyspark.sql import functions as F
 from panelflow.session import write_through
 
 
-def quadratic_forms(long: DataFrame, y: str, factors: Sequence[str]) -> DataFrame:
-    """One row: N, T0, Tmu and per factor T_f, S_f = sum n_l^2, L_f levels, and per
+def quadratic_forms(long: DataFrame, y: str, factors: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """One row (one per ``by``): N, T0, Tmu and per factor T_f, S_f = sum n_l^2, L_f levels, and per
     ordered pair C_f_g = sum_{levels of f} (sum_{levels of g} n_fg^2) / n_f.
 
     The rows are summed up once per cell of all factors and written; every
     form follows from these cells.
     """
-    v = F.col("_y")
-    d = long.where(F.col(y).isNotNull()).select(*factors, F.col(y).cast("double").alias("_y"))
-    cells = write_through(d.groupBy(*factors).agg(F.count(F.lit(1)).alias("_n"), F.sum(v).alias("_s"), F.sum(v * v).alias("_q")))
-    out = cells.agg(F.sum("_n").alias("N"), F.sum("_q").alias("T0"), (F.sum("_s") ** 2 / F.sum("_n")).alias("Tmu"))
+    v, by = F.col("_y"), list(by)
+    d = long.where(F.col(y).isNotNull()).select(*by, *factors, F.col(y).cast("double").alias("_y"))
+    cells = write_through(d.groupBy(*by, *factors).agg(F.count(F.lit(1)).alias("_n"), F.sum(v).alias("_s"), F.sum(v * v).alias("_q")))
+    beside = lambda a, b: a.join(b, by) if by else a.crossJoin(F.broadcast(b))
+    out = cells.groupBy(*by).agg(F.sum("_n").alias("N"), F.sum("_q").alias("T0"), (F.sum("_s") ** 2 / F.sum("_n")).alias("Tmu"))
     for f in factors:
-        lv = cells.groupBy(f).agg(F.sum("_n").alias("_n"), F.sum("_s").alias("_s"))
-        part = lv.agg(F.sum(F.col("_s") ** 2 / F.col("_n")).alias(f"T_{f}"),
-                      F.sum(F.col("_n").cast("double") ** 2).alias(f"S_{f}"), F.count("*").alias(f"L_{f}"))
-        out = out.crossJoin(F.broadcast(part))
+        lv = cells.groupBy(*by, f).agg(F.sum("_n").alias("_n"), F.sum("_s").alias("_s"))
+        out = beside(out, lv.groupBy(*by).agg(
+            F.sum(F.col("_s") ** 2 / F.col("_n")).alias(f"T_{f}"),
+            F.sum(F.col("_n").cast("double") ** 2).alias(f"S_{f}"), F.count("*").alias(f"L_{f}")))
     for i, f in enumerate(factors):
         for g in factors[i + 1:]:
-            cell = cells.groupBy(f, g).agg(F.sum("_n").cast("double").alias("_m"))
+            cell = cells.groupBy(*by, f, g).agg(F.sum("_n").cast("double").alias("_m"))
             for a, b in ((f, g), (g, f)):
-                per = cell.groupBy(a).agg((F.sum(F.col("_m") ** 2) / F.sum("_m")).alias("_c"))
-                out = out.crossJoin(F.broadcast(per.agg(F.sum("_c").alias(f"C_{a}_{b}"))))
+                per = cell.groupBy(*by, a).agg((F.sum(F.col("_m") ** 2) / F.sum("_m")).alias("_c"))
+                out = beside(out, per.groupBy(*by).agg(F.sum("_c").alias(f"C_{a}_{b}")))
     return out
 
 
@@ -75,12 +76,18 @@ def fit_variance_components(long: DataFrame, y: str, factors: Sequence[str]) ->
 
 def reliability_table(long: DataFrame, y: str, factors: Sequence[str], occasion: str, item: str,
                       sets: Mapping[str, Sequence[str]]) -> DataFrame:
-    """(items, part, value): components and occasion reliability for each set of items."""
+    """(items, part, value): components and occasion reliability for each set of items.
+
+    Each row is given the sets that its item belongs to, so all sets come
+    from one pass; one row of forms per set reaches the driver.
+    """
+    of = F.array_compact(F.array(*[F.when(F.col(item).isin(list(m)), F.lit(name)) for name, m in sets.items()]))
+    forms = quadratic_forms(long.withColumn("_set", F.explode(of)), y, factors, ["_set"])
     rows = []
-    for name, members in sets.items():
-        vc = fit_variance_components(long.where(F.col(item).isin(list(members))), y, factors)
-        rows += [(name, part, float(v)) for part, v in vc.items()]
-        rows.append((name, "reliability", reliability(vc, occasion, item, len(members))))
+    for r in forms.collect():
+        vc = variance_components(r.asDict(), factors)
+        rows += [(r["_set"], part, float(v)) for part, v in vc.items()]
+        rows.append((r["_set"], "reliability", reliability(vc, occasion, item, len(sets[r["_set"]]))))
     return long.sparkSession.createDataFrame(rows, "items string, part string, value double")
 
 

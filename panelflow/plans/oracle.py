@@ -154,6 +154,86 @@ def histogram_sql(src: str, value: str, bins: int, by: list[str]) -> str:
     FROM hg LEFT JOIN hc ON hg.bin = hc.bin AND {same("hg", "hc")}"""
 
 
+def solved(src: str, name: str, n: int, rhs: list[str], keep: list[str]) -> list[str]:
+    """CTEs that solve an n x n system by elimination: columns a{i}{j} and right sides {r}{i} of ``src`` become solutions {r}{i} in ``name``."""
+    cells = [[f"a{i}{j}" for j in range(n)] + [f"{r}{i}" for r in rhs] for i in range(n)]
+    out, last = [], src
+    for k in range(n):
+        pivot = f"a{k}{k}"
+        cols = []
+        for i in range(n):
+            for c, top in zip(cells[i], cells[k], strict=True):
+                cols.append(f"{top} / {pivot} AS {c}" if i == k else f"{c} - a{i}{k} * {top} / {pivot} AS {c}")
+        step = name if k == n - 1 else f"{name}_{k}"
+        out.append(f"{step} AS (SELECT {', '.join([*keep, *cols])} FROM {last})")
+        last = step
+    return out
+
+
+def pooled_var_sql(src: str, x: list[str], ys: list[str], key: str) -> tuple[list[str], str]:
+    """CTEs and SELECT of a pooled fit with an intercept: estimates, person-clustered errors, residual covariances."""
+    t = ["1.0", *x]
+    p = len(t)
+    one = [f"sum({t[i]} * {t[j]}) AS a{i}{j}" for i in range(p) for j in range(p)]
+    one += [f"sum({t[i]} * {y}) AS b{q}_{i}" for q, y in enumerate(ys) for i in range(p)]
+    both = [f"sum({u} * {v}) AS c{q}{r}" for q, u in enumerate(ys) for r, v in enumerate(ys) if r >= q]
+    unit = [f"{1.0 if i == j else 0.0}::DOUBLE AS e{j}_{i}" for j in range(p) for i in range(p)]
+    keep = ["n", *[f"c{q}{r}" for q in range(len(ys)) for r in range(q, len(ys))], *[f"k{q}_{i}" for q in range(len(ys)) for i in range(p)]]
+    ctes = [f"vm AS (SELECT {key}, count(*) AS n, {', '.join(one + both)} FROM {src} GROUP BY {key})",
+            "vt AS (SELECT CAST(sum(n) AS BIGINT) AS n, " + ", ".join(f"sum({c}) AS {c}" for c in
+                [f"a{i}{j}" for i in range(p) for j in range(p)] + [f"b{q}_{i}" for q in range(len(ys)) for i in range(p)]
+                + [f"c{q}{r}" for q in range(len(ys)) for r in range(q, len(ys))]) + " FROM vm)",
+            "vu AS (SELECT *, " + ", ".join([f"b{q}_{i} AS k{q}_{i}" for q in range(len(ys)) for i in range(p)] + unit) + " FROM vt)",
+            *solved("vu", "vs", p, [f"b{q}_" for q in range(len(ys))] + [f"e{j}_" for j in range(p)], keep)]
+    # scores of each person at the solution
+    scores = [f"vm.b{q}_{i} - (" + " + ".join(f"vm.a{i}{j} * vs.b{q}_{j}" for j in range(p)) + f") AS s{q}_{i}" for q in range(len(ys)) for i in range(p)]
+    meat = [f"sum(s{q}_{i} * s{q}_{j}) AS m{q}_{i}{j}" for q in range(len(ys)) for i in range(p) for j in range(p)]
+    ctes += [f"vp AS (SELECT {', '.join(scores)} FROM vm, vs)", f"vq AS (SELECT {', '.join(meat)} FROM vp)"]
+    rows = []
+    for q, y in enumerate(ys):
+        for i, term in enumerate(["one", *x]):
+            var = " + ".join(f"e{j}_{i} * m{q}_{j}{l} * e{l}_{i}" for j in range(p) for l in range(p))
+            rows.append(f"SELECT '{y}' AS outcome, '{term}' AS term, {r6(f'b{q}_{i}', 'estimate')}, n, {r6(f'sqrt({var})', 'se_cluster')} FROM vs, vq")
+    for q, u in enumerate(ys):
+        for r, v in enumerate(ys):
+            if r >= q:
+                fit = " + ".join(f"k{q}_{i} * b{r}_{i}" for i in range(p))
+                rows.append(f"SELECT '{u}', 'cov:{v}', {r6(f'(c{q}{r} - ({fit})) / (n - {p})', 'estimate')}, n, NULL FROM vs")
+    return ctes, " UNION ALL ".join(rows)
+
+
+def components_sql(src: str, sets: dict[str, list[str]], factors: list[str], occasion: int, item: int) -> str:
+    """Variance components and reliability by set of items: forms, then the k + 1 equations."""
+    k, parts = len(factors), []
+    for s, (name, members) in enumerate(sets.items()):
+        inn = ", ".join(f"'{c}'" for c in members)
+        ctes = [f"r{s} AS (SELECT * FROM {src} WHERE value IS NOT NULL AND item IN ({inn}))",
+                f"w{s} AS (SELECT CAST(count(*) AS DOUBLE) AS n, sum(value * value) AS t0, sum(value) * sum(value) / count(*) AS tm FROM r{s})"]
+        a, rhs = {}, {}
+        for i, f in enumerate(factors):
+            ctes.append(f"l{s}_{i} AS (SELECT sum(s * s / m) AS t, sum(m * m) AS q, CAST(count(*) AS DOUBLE) AS l FROM "
+                        f"(SELECT CAST(count(*) AS DOUBLE) AS m, sum(value) AS s FROM r{s} GROUP BY {f}))")
+            for j, g in enumerate(factors):
+                if i != j:
+                    ctes.append(f"x{s}_{i}{j} AS (SELECT sum(q / m) AS c FROM (SELECT {f}, sum(CAST(m AS DOUBLE) * m) AS q, sum(m) AS m FROM "
+                                f"(SELECT {f}, {g}, count(*) AS m FROM r{s} GROUP BY {f}, {g}) GROUP BY {f}))")
+        for i in range(k):
+            for j in range(k):
+                left = "n" if i == j else f"(SELECT c FROM x{s}_{i}{j})"
+                a[i, j] = f"{left} - (SELECT q FROM l{s}_{j}) / n"
+            a[i, k] = f"(SELECT l FROM l{s}_{i}) - 1"
+            rhs[i] = f"(SELECT t FROM l{s}_{i}) - tm"
+        for j in range(k):
+            a[k, j] = f"n - (SELECT q FROM l{s}_{j}) / n"
+        a[k, k], rhs[k] = "n - 1", "t0 - tm"
+        ctes.append(f"y{s} AS (SELECT " + ", ".join([f"{e} AS a{i}{j}" for (i, j), e in a.items()] + [f"{e} AS v{i}" for i, e in rhs.items()]) + f" FROM w{s})")
+        ctes += solved(f"y{s}", f"z{s}", k + 1, ["v"], [])
+        rows = [f"SELECT '{name}' AS items, '{f}' AS part, {r6(f'v{i}', 'value', 2)} FROM z{s}" for i, f in enumerate([*factors, "residual"])]
+        rows.append(f"SELECT '{name}', 'reliability', {r6(f'greatest(v{occasion}, 0) / (greatest(v{occasion}, 0) + greatest(v{item}, 0) / {len(members)})', 'value', 2)} FROM z{s}")
+        parts.append((ctes, rows))
+    return ", ".join(c for ctes, _ in parts for c in ctes) + " " + " UNION ALL ".join(r for _, rows in parts for r in rows)
+
+
 def local_regression_sql(src: str, x: str, y: str, by: list[str], grid: int = 80, span: float = 0.75, digits: int = 4) -> str:
     """Local quadratic fits by direct sums over all rows and grid points (a small table)."""
     k = ", ".join(by)
@@ -539,6 +619,10 @@ def _sql() -> dict[str, str]:
                           FROM (SELECT {f}, {g}, count(*) AS nfg FROM rv GROUP BY {f}, {g}) GROUP BY {f})""")
             sel.append(r6(f"(SELECT sum(q / nf) FROM cf_{f}_{g})", f"C_{f}_{g}", 2))
     q["m7_vc_quadratic_forms"] = with_(*SPARSE_BASE, *vc) + "SELECT " + ", ".join(sel)
+    q["m7_components"] = with_(*SPARSE_BASE, occ, rl)[:-1] + ", " + components_sql(
+        "rl", {"all": ITEMS, "anti": A_ITEMS, "pro": B_ITEMS}, facs, 1, 2)
+    full, shown_full = pooled_var_sql("c9", ["Y1_lag", "Y1_lag2", "Y2_lag", "Y2_lag2"], ["Y1", "Y2"], "ID")
+    q["m2_var_full"] = with_(*SPARSE_BASE, *VAR2, *full) + shown_full
     pooled = " UNION ALL ".join(f"SELECT l_suppkey, '{c}' AS item, CAST({c} AS DOUBLE) AS v FROM li" for c in LCOLS)
     aggs = []
     for s, cs in LSCALES.items():

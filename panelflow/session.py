@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -64,6 +65,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or path
 
 
+_written: list[str] = []        # folders of tables that this process wrote and has not deleted
+
+
 def write_through(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
@@ -72,16 +76,39 @@ def write_through(df: DataFrame) -> DataFrame:
     Column metadata is kept.
     """
     path = f"{ensure_checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables of ``write_through`` that nothing reads any more; other frames are left alone."""
     for df in tables:
-        spark = df.sparkSession
         for name in df.inputFiles()[:1]:
             at = name.rfind("/table-")
             if at > 0:
-                path = spark._jvm.org.apache.hadoop.fs.Path(name[:name.index("/", at + 1)])
-                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+                path = name[:name.index("/", at + 1)]
+                _delete(df.sparkSession, path)
+                _written[:] = [p for p in _written if not path.endswith(p[p.rfind("/table-"):])]
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Tables that are written inside are deleted at the end.
+
+    Sessions, series, ranks and fits write intermediate tables that their
+    lazy results still read; run the action that needs a result (write,
+    collect) inside, and nothing is left in the shared folder.
+    """
+    before = len(_written)
+    try:
+        yield
+    finally:
+        for path in _written[before:]:
+            _delete(spark, path)
+        del _written[before:]

@@ -150,3 +150,27 @@ def test_pooled_table_and_reliability(spark):
         for i, t in enumerate(["one", "Y1_lag", "Y2_lag"]):
             assert abs(tab[out, t].estimate - b[i, j]) < 1e-8 and abs(tab[out, t].se_cluster - se[i]) < 1e-8
     assert abs(tab["Y1", "cov:Y2"].estimate - cov[0, 1]) < 1e-8
+
+
+def test_response_curve_clustered_errors(spark):
+    """The sandwich over persons, computed from all rows at the fitted coefficients."""
+    from panelflow.models.curves import exact_knots, spline_columns
+    rng = np.random.default_rng(4)
+    n, persons = 1500, 50
+    who = rng.integers(0, persons, n)
+    x = rng.uniform(0, 10, n)
+    eta = 0.3 - 0.2 * x + rng.normal(0, 0.8, persons)[who]
+    y = (rng.random(n) < 1 / (1 + np.exp(-eta))).astype(int)
+    df = spark.createDataFrame(pd.DataFrame({"p": who, "x": x, "y": y}))
+    tab = fit_response_curve(df, "x", "y", n_knots=2, cluster="p").toPandas().set_index("term")
+    knots = exact_knots(df, "x", 2)
+    z, k = (x - x.min()) / (x.max() - x.min()), [(v - x.min()) / (x.max() - x.min()) for v in knots]
+    m = np.column_stack([np.ones(n), z, z ** 2, z ** 3, *[np.maximum(z - v, 0) ** 3 for v in k]])
+    assert len(spline_columns("x", knots)) == m.shape[1] - 1
+    beta = tab["estimate"].to_numpy()[:-1]
+    p = 1 / (1 + np.exp(-m @ beta))
+    assert np.abs(m.T @ (y - p)).max() < 1e-4           # at the maximum
+    bread = np.linalg.pinv((m * (p * (1 - p))[:, None]).T @ m, rcond=1e-12)
+    scores = np.array([m[who == i].T @ (y - p)[who == i] for i in range(persons)])
+    se = np.sqrt(np.diag(bread @ scores.T @ scores @ bread))
+    assert np.allclose(tab["std_error"].to_numpy()[:-1].astype(float), se, rtol=1e-4)
