@@ -210,7 +210,7 @@ def alignments(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("do
 
 
 # --- corpus counts of linked id pairs ------------------------------------------------
-_DOCS = "id array<{id}>, n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, groups_sha256 array<string>"
+_DOCS = "id array<string>, n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, groups_sha256 array<string>"
 _PAIRS = "pair_a array<int>, pair_b array<int>, docs array<int>"
 
 
@@ -269,17 +269,17 @@ def link_digests(docs: DataFrame, text: str = "text", key: str = "doc_id", folde
     Null, empty and changed texts: zeros and an empty hash.  An empty table:
     no rows.  Columns other than ``key`` and ``text`` are not read.
     """
-    src = docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text"))
-    kind = src.schema["id"].dataType.simpleString()
-    gathered = cut(src.mapInPandas(_gathered(folder), f"batch long, {_DOCS.format(id=kind)}, {_PAIRS}, held binary"))
+    kind = docs.select(f"`{key}`").schema[0].dataType
+    src = docs.select(F.col(f"`{key}`").cast("string").alias("id"), F.col(f"`{text}`").alias("text"))   # pandas has no null long
+    gathered = cut(src.mapInPandas(_gathered(folder), f"batch long, {_DOCS}, {_PAIRS}, held binary"))
     counts = pair_counts(gathered)
     asked = gathered.select(F.col("batch").alias("of"), F.posexplode(F.arrays_zip("pair_a", "pair_b")).alias("pos", "p"))
     asked = asked.select("of", "pos", F.col("p.pair_a").alias("a"), F.col("p.pair_b").alias("b"))
     told = asked.join(counts, ["a", "b"]).select("of", "pos", "count", F.col("best").cast("int").alias("best"))
     figures = gathered.drop("pair_a", "pair_b", "docs")
-    schema = f"id {kind}, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
+    schema = "id string, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
     out = figures.groupBy("batch").cogroup(told.groupBy("of")).applyInPandas(_scored, schema)
-    return out.withColumnRenamed("id", key)
+    return out.withColumn("id", F.col("id").cast(kind)).withColumnRenamed("id", key)
 
 
 def op13_alignment(spark, sf_dir: str) -> DataFrame:

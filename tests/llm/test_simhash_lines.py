@@ -2,12 +2,14 @@
 
 import random
 
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
 from panelflow.llm import lines as L
 from panelflow.llm import simhash as S
+from tests.conftest import SF
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -88,11 +90,6 @@ def test_near_dedup_edges(spark):
     assert S.near_dedup(df.where("false")).count() == 0
 
 
-def slow_line_simhash(words, h):
-    hs = [h[w] for w in words]
-    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in hs) > len(hs))
-
-
 def edit(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
@@ -102,53 +99,92 @@ def edit(a, b):
     return row[-1]
 
 
-@pytest.mark.parametrize("n", [1, 2, 5, 254, 255, 256, 300])
-def test_line_simhash_lanes(spark, n):
-    words = [f"w{i}" for i in range(n)]
-    df = spark.createDataFrame([(words,)], "w array<string>").select(F.transform("w", lambda x: F.xxhash64(x)).alias("h"))
-    df = df.withColumn("s", L.simhash(F.col("h"))).withColumn("wide", L._planes(F.col("h"), F.lit(n).cast("long"), 63))
-    r = df.first()
-    want = sum(1 << b for b in range(64) if 2 * sum((x >> b) & 1 for x in r.h) > n)
-    assert r.s % (1 << 64) == want == r.wide % (1 << 64)
-
-
-@pytest.mark.parametrize("wide", [2, 128])
-def test_lines_against_all_pairs(spark, monkeypatch, wide):
-    monkeypatch.setattr(L, "WIDE", wide)
+@pytest.mark.parametrize("n", [0, 1, 2, 5, 254, 255, 256, 700])
+def test_line_simhashes(n):
+    rng = np.random.default_rng(n)
+    h = rng.integers(0, 2**64, n + 40, dtype=np.uint64)
+    got = L.simhashes(h, np.array([0, n, n, n + 3, n + 40]))
+    for g, (lo, hi) in zip(got.tolist(), [(0, n), (n, n), (n, n + 3), (n + 3, n + 40)], strict=True):
+        assert g == sum(1 << b for b in range(64) if 2 * sum(int(x) >> b & 1 for x in h[lo:hi]) > hi - lo)
+
+
+def test_within_is_the_edit_distance():
+    rnd = random.Random(1)
+    for _ in range(1500):
+        a = "".join(rnd.choice("abé") for _ in range(rnd.randrange(14)))
+        b = list(a if rnd.random() < 0.6 else "".join(rnd.choice("abé") for _ in range(rnd.randrange(14))))
+        for _ in range(rnd.randrange(4) if b else 0):
+            b[rnd.randrange(len(b))] = rnd.choice(["a", "x", "", "bb"])
+        b = "".join(b)
+        d = edit(a, b)
+        assert [L.within(a, b, m) for m in range(9)] == [d <= m for m in range(9)]
+
+
+def alike(a, b):
+    """The rule alone."""
+    return len(a) and 1 - edit(a, b) / max(len(a), len(b)) >= 0.8
+
+
+def reworded(rnd, words, vocab, least, most):
+    """A line of edit similarity in [least, most) to another, by replaced, dropped and added words."""
+    line = " ".join(words)
+    while True:
+        ws = list(words)
+        for _ in range(rnd.randint(1, max(1, len(ws) // 4))):
+            i, kind = rnd.randrange(len(ws)), rnd.random()
+            ws[i:i + 1] = [rnd.choice(vocab)] if kind < 0.7 else [] if kind < 0.85 and len(ws) > 1 else [ws[i], rnd.choice(vocab)]
+        s = 1 - edit(line, " ".join(ws)) / max(len(line), len(" ".join(ws)))
+        if least <= s < most:
+            return ws
+
+
+@pytest.mark.parametrize(("low", "high"), [(4, 10), (11, 20), (21, 40), (41, 80), (81, 120)])
+def test_recall_of_candidates_by_length(spark, low, high):
+    """At least 0.9 of the pairs of similarity 0.8 and more are compared, at each length, hard pairs (below 0.9) alone too."""
+    rnd = random.Random(low)
+    vocab = ["".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(2, 8))) for _ in range(400)]
+    found = {}
+    for least, most, n in ((0.8, 0.9, 60), (0.9, 1.0, 60)):
+        hit = 0
+        for _ in range(n):
+            a = [rnd.choice(vocab) for _ in range(rnd.randint(low, high))]
+            both = L._signatures([" ".join(a), " ".join(reworded(rnd, a, vocab, least, most))])
+            x = {c: both[c].to_numpy() for c in ("sh", "bits", "n_chars")}
+            x["sh"] = x["sh"].view(np.uint64)
+            hit += bool(set(both["blocks"][0]) & set(both["blocks"][1])) and bool(L._alike(x, x)[0, 1])
+        found[least] = hit / n
+    assert min(found.values()) >= 0.9, found
+
+
+@pytest.mark.parametrize("piece", [3, 50_000])
+def test_lines_against_all_pairs(spark, monkeypatch, piece):
+    """Groups by the similarity rule alone, all pairs of lines compared."""
+    monkeypatch.setattr(L, "PIECE", piece)
     rnd = random.Random(3)
     vocab = ["".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(2, 8))) for _ in range(200)]
-    base = [[rnd.choice(vocab) for _ in range(rnd.randint(20, 60))] for _ in range(8)]
+    base = [[rnd.choice(vocab) for _ in range(n)] for n in (3, 8, 15, 25, 40, 60)]
     docs = []
     for d in range(40):
         out = []
-        for _ in range(rnd.randint(1, 5)):
-            ws = list(rnd.choice(base))
-            for _ in range(rnd.randint(0, 2)):
-                ws[rnd.randrange(len(ws))] = rnd.choice(vocab)
+        for _ in range(rnd.randint(1, 4)):
+            ws = rnd.choice(base)
+            if rnd.random() < 0.7:
+                ws = reworded(rnd, ws, vocab, 0.7, 1.01)
             line = " ".join(ws)
             out.append(rnd.choice([line, line.upper(), "  " + line, "", line]))
         docs.append((d, "\n".join(out), "en", "s", 0))
-    df = spark.createDataFrame(docs, DOCS)
+    df = spark.createDataFrame(docs, DOCS).repartition(3)
     seen = {}
     for d, text, *_ in docs:
         for p, line in enumerate(text.split("\n")):
-            ws = line.lower().split()
-            if ws:
-                seen.setdefault(" ".join(ws), (d, p))
-    vocab_h = {r.w: r.h for r in spark.createDataFrame([(w,) for w in vocab], "w string").select("w", F.xxhash64("w").alias("h")).collect()}
-    items = {place: (norm, slow_line_simhash(norm.split(), vocab_h)) for norm, place in seen.items()}
-    like = lambda x, y: ((x[1] ^ y[1]).bit_count() <= 3
-                         and 1 - edit(x[0], y[0]) / max(len(x[0]), len(y[0])) >= 0.8)
-    roots = slow_components(dict(sorted(items.items())), like)
+            if line.split():
+                seen.setdefault(" ".join(line.lower().split()), (d, p))
+    items = {place: norm for norm, place in sorted(seen.items(), key=lambda x: x[1])}
+    roots = slow_components(items, alike)
     first = {norm: roots[place] for norm, place in seen.items()}
-    got = {(r.doc_id, r.pos): r.keep for r in L.line_groups(df).collect()}
-    want = {}
-    for d, text, *_ in docs:
-        for p, line in enumerate(text.split("\n")):
-            ws = line.lower().split()
-            if ws:
-                want[d, p] = first[" ".join(ws)] == (d, p)
-    assert got == want
+    want = {(d, p): first[" ".join(line.lower().split())] == (d, p) for d, text, *_ in docs
+            for p, line in enumerate(text.split("\n")) if line.split()}
+    assert {(r.doc_id, r.pos): r.keep for r in L.line_groups(df).collect()} == want
     out = {r.doc_id: r for r in L.dedup_lines(df).collect()}
     for d, text, *_ in docs:
         keep = [x for p, x in enumerate(text.split("\n")) if want.get((d, p), True)]
@@ -156,11 +192,46 @@ def test_lines_against_all_pairs(spark, monkeypatch, wide):
         assert out[d].n_removed == sum(not want.get((d, p), True) for p in range(len(text.split("\n"))))
 
 
+def test_recall_on_the_drivers_lines(spark):
+    """Of all pairs of lines of the documents that the rule links, at least 0.9 end in one group (all pairs tried)."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    norms = {}
+    for r in docs.select("doc_id", "text").collect():
+        for p, line in enumerate((r.text or "").split("\n")):
+            if line.split():
+                norms.setdefault(L.normal(line), (r.doc_id, p))
+    lines = sorted(norms, key=len)
+    grams = [{x[i:i + 3] for i in range(len(x) - 2)} for x in lines]
+    pairs = []
+    for i, a in enumerate(lines):
+        for j in range(i + 1, len(lines)):
+            n = len(lines[j])
+            if len(a) < 0.8 * n:
+                break
+            # an edit destroys at most three 3-grams: fewer in common can't be near
+            if len(grams[j]) - len(grams[j] & grams[i]) <= 3 * int(0.2 * n + 1e-9) and L.within(a, lines[j], int(0.2 * n + 1e-9)):
+                pairs.append((a, lines[j]))
+    occ = L.occurrences(docs)
+    node = {(r.doc_id, r.pos): (r.h1, r.h2) for r in occ.collect()}
+    sign = {(r.h1, r.h2): r for r in occ.where("blocks IS NOT NULL").collect()}
+    hit = 0
+    for a, b in pairs:
+        x, y = sign[node[norms[a]]], sign[node[norms[b]]]
+        hit += bool(set(x.blocks) & set(y.blocks)) and ((x.sh ^ y.sh) & (1 << 64) - 1).bit_count() <= max(x.bits, y.bits)
+    assert len(pairs) > 20 and hit >= 0.9 * len(pairs), (hit, len(pairs))
+
+
 def test_line_edges(spark):
     long = "\n".join(f"line number {i} of many {i * 7919 % 10007}" for i in range(3000))
     rows = [(1, "x y z\n\n\nx  Y z", "en", "s", 0), (2, None, None, None, None), (3, "", "en", "s", 0), (1, "x y z\n\n\nx  Y z", "en", "s", 0),
             (None, "x y z\nother", "en", "s", 0), (4, long, "en", "s", 0), (5, "X Y Z", "en", "s", 0)]
-    df = spark.createDataFrame(rows, DOCS).withColumn("n_lines", F.lit(0)).drop("n_lines").withColumn("node", F.lit(1)).withColumn("th", F.lit(1))
+    df = spark.createDataFrame(rows, DOCS).withColumns({c: F.lit(1) for c in ("node", "th", "_d", "_t", "_th", "_row", "_flags")})
     got = sorted(((r.doc_id, r.text if r.doc_id != 4 else r.n_lines, r.n_removed) for r in L.dedup_lines(df).collect()), key=repr)
     assert got == sorted([(1, "x y z\n\n", 1), (1, "x y z\n\n", 1), (2, None, 0), (3, "", 0), (None, "other", 1), (4, 3000, got[[g[0] for g in got].index(4)][2]), (5, "", 1)], key=repr)
     assert L.dedup_lines(df.where("false")).count() == 0
+
+
+def test_line_counts_of_the_documents_stay(spark):
+    df = spark.createDataFrame([(1, "a b c\nA b  c", "mine", 7.5)], "doc_id long, text string, n_lines string, n_removed double")
+    got = L.dedup_lines(df)
+    assert got.columns == df.columns and [tuple(r) for r in got.collect()] == [(1, "a b c", "mine", 7.5)]
