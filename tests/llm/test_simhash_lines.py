@@ -149,8 +149,8 @@ def test_recall_of_candidates_by_length(spark, low, high):
         for _ in range(n):
             a = [rnd.choice(vocab) for _ in range(rnd.randint(low, high))]
             both = L._signatures([" ".join(a), " ".join(reworded(rnd, a, vocab, least, most))])
-            x = {c: both[c].to_numpy() for c in ("sh", "bits", "n_chars")}
-            x["sh"] = x["sh"].view(np.uint64)
+            x = {c: both[c].to_numpy() for c in L._KNOWN}
+            x |= {c: x[c].view(np.uint64) for c in ("sh", "sg")}
             hit += bool(set(both["blocks"][0]) & set(both["blocks"][1])) and bool(L._alike(x, x)[0, 1])
         found[least] = hit / n
     assert min(found.values()) >= 0.9, found
@@ -217,7 +217,9 @@ def test_recall_on_the_drivers_lines(spark):
     hit = 0
     for a, b in pairs:
         x, y = sign[node[norms[a]]], sign[node[norms[b]]]
-        hit += bool(set(x.blocks) & set(y.blocks)) and ((x.sh ^ y.sh) & (1 << 64) - 1).bit_count() <= max(x.bits, y.bits)
+        u, v = ({c: np.array([r[c]], np.uint64 if c in ("sh", "sg") else int) for c in L._KNOWN}
+                for r in ({**r.asDict(), "sh": r.sh % 2**64, "sg": r.sg % 2**64} for r in (x, y)))
+        hit += bool(set(x.blocks) & set(y.blocks)) and bool(L._near(u, v)[0])
     assert len(pairs) > 20 and hit >= 0.9 * len(pairs), (hit, len(pairs))
 
 
