@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelflow.llm.prefix import prefix_sums
-from panelflow.llm.store import cut
+from panelflow.llm.store import cut, whole_row
 from panelflow.llm.words import n_words
 
 #: Weights of the sources by code point, repeating; share of all sizes; most copies.
@@ -81,15 +81,15 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     key = ["doc_id", "source", "size"]
     w = Window.partitionBy(*key).orderBy("copies")
     plan = mix(docs, **options).withColumn("_n", F.row_number().over(w))
-    rows = docs.withColumn("_size", n_words(F.col("text")))
+    rows = docs.select(whole_row(docs).alias("_row"), n_words(F.col("text")).alias("_size"))
     rows = rows.withColumn("_n", F.row_number().over(
-        Window.partitionBy("doc_id", "source", "_size").orderBy(F.xxhash64("text"))))
+        Window.partitionBy("_row.doc_id", "_row.source", "_size").orderBy(F.xxhash64("_row.text"))))
     p = plan.select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_z"),
                     F.col("_n").alias("_k"), "copies").where("copies > 0")
-    joined = rows.join(p, F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s"))
+    joined = rows.join(p, F.col("_row.doc_id").eqNullSafe(F.col("_d")) & F.col("_row.source").eqNullSafe(F.col("_s"))
                        & (F.col("_size") == F.col("_z")) & (F.col("_n") == F.col("_k")))
     return (joined.withColumn("_c", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-            .select(*docs.columns))
+            .select("_row.*"))
 
 
 def op2_mixing(spark, sf_dir: str) -> DataFrame:

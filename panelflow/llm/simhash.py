@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelflow.llm.graph import components
-from panelflow.llm.store import cut, discard
+from panelflow.llm.store import cut, discard, whole_row
 
 #: Words of a shingle, most differing bits of a link, hash seed.
 SHINGLE, MAX_BITS, SEED = 3, 3, 42
@@ -151,12 +151,14 @@ def representatives(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with one document per near-duplicate group: that of the smallest doc_id.
 
     Of rows alike in doc_id and text one stays; rows without doc_id stay,
-    as nothing tells which document they are.
+    as nothing tells which document they are.  All columns are kept,
+    whatever their names.
     """
-    found = near_dedup(docs, **options).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(found, "doc_id", "left_semi")
-    one = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("doc_id")
-    kept = kept.withColumn("_n", F.row_number().over(one)).where("_n = 1").select(*docs.columns)
+    found = near_dedup(docs.select("doc_id", "text"), **options).where("doc_id = component_id")
+    rows = docs.select(whole_row(docs).alias("_row"))
+    kept = rows.join(found.select(F.col("doc_id").alias("_id")).distinct(), F.col("_row.doc_id") == F.col("_id"), "left_semi")
+    one = Window.partitionBy("_row.doc_id", F.xxhash64("_row.text")).orderBy("_row.doc_id")
+    kept = kept.withColumn("_n", F.row_number().over(one)).where("_n = 1").select("_row.*")
     return kept.unionByName(docs.where("doc_id IS NULL"))
 
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -49,6 +50,11 @@ def discard(*tables: DataFrame) -> None:
                 path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def whole_row(df: DataFrame) -> Column:
+    """All columns of ``df`` as one struct, so that no name of theirs clashes with a column added beside it."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns])
+
+
 def partitions(spark: SparkSession) -> int:
     """Shuffle partitions of the session: the number of hash buckets operators deal into."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -37,7 +37,8 @@ def _key(labels: Column, path: Column) -> Column:
 
 def rule_table(spark: SparkSession, rules) -> DataFrame:
     """(verdict, host, path) rows from tuples."""
-    return spark.createDataFrame([tuple(r) for r in rules], "verdict string, host string, path string")
+    rows = [F.struct(*[F.lit(v).cast("string").alias(c) for v, c in zip(r, ("verdict", "host", "path"), strict=True)]) for r in rules]
+    return spark.range(1).select(F.inline(F.array(*rows))) if rows else spark.createDataFrame([], "verdict string, host string, path string")
 
 
 def judge(urls: DataFrame, rules: DataFrame, default: str = DEFAULT) -> DataFrame:

@@ -35,7 +35,8 @@ def archive(pages: DataFrame, file_ids: int = FILE_IDS, rotten: Column | None =
         rec = F.when(rotten, F.overlay(rec, F.lit("0").cast("binary"), F.lit(6))).otherwise(rec)
     rows = pages.select(F.floor(F.col("page_id") / file_ids).alias("file"), "page_id",
                         F.octet_length(rec).cast("long").alias("length"), F.sha2(rec, 256).alias("digest"))
-    rows = rows.withColumn("_tie", F.conv(F.substring("digest", 1, 8), 16, 10).cast("long") % TIES)
+    # rows of one page_id in order of digest: by its leading digits, then by itself
+    rows = rows.withColumn("_tie", F.floor(F.conv(F.substring("digest", 1, 4), 16, 10).cast("long") * TIES / 65536))
     return prefix_sums(rows, ["file"], ["page_id", "_tie"], ["digest", "length"], F.col("length"),
                        "record_offset").drop("_tie")
 

@@ -176,3 +176,20 @@ def test_second_replica_is_hashed_from_its_bytes(spark):
         assert (r.record_offset, r.length) == (left[i].record_offset, len(raw))
     got = {r.page_id: r.problem for r in R.audit(R.archive(pages), R.damaged(pages)).collect()}
     assert got == {7: "missing", 200: "missing", 5: "changed", 102: "changed", 199: "changed"}
+
+
+def test_records_of_one_page_stand_in_order_of_digest(spark):
+    """Repeated page_ids with different bytes: offsets follow the digests."""
+    df = spark.createDataFrame([(1, "http://a/", f"page {i}") for i in range(40)] + [(1, "http://a/", "page 3")], "page_id long, url string, html string")
+    rows = sorted(R.archive(df).collect(), key=lambda r: (r.record_offset, r.digest))
+    assert [r.digest for r in rows] == sorted(r.digest for r in rows)
+    end = 0
+    for r in rows:
+        assert r.record_offset == end
+        end += r.length
+
+
+def test_mixed_documents_keep_columns_of_any_name(spark):
+    df = spark.createDataFrame([(i, "a b c", "s", 7, 8, 9) for i in range(5)], "doc_id long, text string, source string, _n int, _size int, copies int")
+    got = M.mixed_documents(df)
+    assert got.columns == df.columns and {(r._n, r._size, r.copies) for r in got.collect()} == {(7, 8, 9)}

@@ -237,3 +237,9 @@ def test_line_counts_of_the_documents_stay(spark):
     df = spark.createDataFrame([(1, "a b c\nA b  c", "mine", 7.5)], "doc_id long, text string, n_lines string, n_removed double")
     got = L.dedup_lines(df)
     assert got.columns == df.columns and [tuple(r) for r in got.collect()] == [(1, "a b c", "mine", 7.5)]
+
+
+def test_representatives_keep_columns_of_any_name(spark):
+    df = spark.createDataFrame([(1, "a b c", 7, 3, "x"), (2, "a b c", 8, 4, "y")], "doc_id long, text string, _n int, _row int, component_id string")
+    got = S.representatives(df)
+    assert got.columns == df.columns and [tuple(r) for r in got.collect()] == [(1, "a b c", 7, 3, "x")]
