@@ -25,7 +25,7 @@ FILE_A, FILE_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Fixed value: how A's file splits a text before merging ("ByteLevel" with its own pattern).
 SPLIT_A = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Characters of text worked on together, and A tokens that one pointer pair passes.
-CHARS, LANE = 2_000_000, 64
+CHARS, LANE = 1_000_000, 64
 
 
 def _byte_letters() -> dict[str, int]:
