@@ -212,3 +212,28 @@ def test_pipeline(spark, tmp_path):
     last = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
     assert sorted(map(repr, last.collect())) == sorted(map(repr, corpus_pipeline.run(spark, sf).collect()))
     assert last.count() == n
+
+
+def test_pipeline_edges(spark, tmp_path):
+    """Every stage on nulls, repeated rows, columns of clashing names and an empty table."""
+    real = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").limit(40).collect()]
+    rnd = random.Random(6)
+    long = " ".join(f"{rnd.choice(['river', 'stone', 'the', 'of', 'walks', 'under'])}{rnd.randrange(90)}" for _ in range(60_000))
+    rows = [*real, real[0], (None, real[1][1], "en", "p", 0), (None, None, None, None, None), (9001, None, "en", "p", 0),
+            (9002, "", "en", None, 0), (9003, long, "en", "p", 0), (9003, long, "en", "p", 0)]
+    extra = ("n_lines", "n_removed", "_n", "_row", "_th", "_size", "copies", "component_id", "node", "kept", "n_words", "cosine")
+    sf = str(tmp_path)
+    for t in ("labels", "benchmark"):
+        spark.read.parquet(f"{SF}/{t}.parquet").write.parquet(f"{sf}/{t}.parquet")
+    docs = spark.createDataFrame(rows, DOCS).withColumns({c: F.lit(f"own {c}") for c in extra})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = corpus_pipeline.cut(stage(spark, docs, sf))
+        assert out.columns == docs.columns, name
+        got = out.collect()
+        assert all(r[c] == f"own {c}" for r in got for c in extra), name
+        assert any(r.doc_id == 9003 for r in got), name
+        none = stage(spark, docs.limit(0), sf)
+        assert none.columns == docs.columns and none.collect() == [], name
+        docs = out
+    last = corpus_pipeline.STAGES[-1][1]
+    assert last(spark, docs, sf).count() == docs.count() and last(spark, docs.limit(0), sf).collect() == []
