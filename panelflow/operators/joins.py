@@ -16,7 +16,10 @@ from pyspark.sql import functions as F
 
 
 def natural_join(a: DataFrame, b: DataFrame, how: str = "inner") -> DataFrame:
-    """Join on every shared column name (J1); error when none is shared."""
+    """Join on every shared column name (J1); error when none is shared.
+
+    Rows whose key is null meet nothing, as in SQL; ``attach`` has a null-safe form.
+    """
     shared = [c for c in a.columns if c in b.columns]
     if not shared:
         raise ValueError("natural_join: no shared columns")
