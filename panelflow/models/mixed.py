@@ -13,8 +13,9 @@ at the same occasion.  Maximum likelihood by EM:
   is the log-posterior.
 
 Each pass is one ``mapInPandas`` over the moments table (one row per
-person) with stacked linear algebra per batch; the batches' sums are summed
-by Spark and one vector reaches the driver.  A pass can carry several fits
+person) with stacked linear algebra on pieces of bounded size; a task adds up
+its pieces, the tasks' sums are summed by Spark and one vector reaches the
+driver.  A pass can carry several fits
 at once (``fits``), each leaving out the persons of a fold.
 
 EM steps are extrapolated (squared iterative steps on Cholesky factors).
@@ -35,7 +36,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelflow.models.moments import ONE, as_arrays, pooled_ols, stacked
+from panelflow.models.moments import ONE, as_arrays, pieces, pooled_ols, stacked, task_sums
 from panelflow.operators.ranks import null_safe
 from panelflow.session import discard, write_through
 
@@ -65,6 +66,7 @@ class Shape:
         self.zy = np.repeat(np.arange(self.k), np.diff(self.zo))
         self.sizes = [self.q * self.q, self.k * self.k, self.p * self.k, self.p * self.p, 3]
         self.width = sum(self.sizes)
+        self.held = (len(self.terms) + self.k + self.p + self.q) ** 2   # numbers a person's matrices take together, at most
 
     def split(self, v: np.ndarray):
         """Named blocks of a summed vector."""
@@ -195,15 +197,17 @@ def person_sums(s: Shape, moments: DataFrame, params: list, fold: str | None = N
     moments, names = as_arrays(moments)
 
     def run(batches):
-        for pdf in batches:
-            arrays, n = stacked(pdf, names, s.terms, s.ys), pdf["n"].to_numpy(float)
-            out = []
-            for j, (beta, sigma, psi) in enumerate(params):
-                rows = np.ones(len(pdf), bool) if fold is None else (pdf[fold].to_numpy() == j) == inside
-                got = e_step(s, *[a[rows] for a in arrays], n[rows], beta, sigma, psi)
-                out.append(got.sum(axis=0))
-            flat = np.concatenate(out)
-            yield pd.DataFrame({"i": np.arange(len(flat)), "x": flat})
+        def sums():
+            for pdf in pieces(batches, s.held):
+                arrays, n = stacked(pdf, names, s.terms, s.ys), pdf["n"].to_numpy(float)
+                out = []
+                for j, (beta, sigma, psi) in enumerate(params):
+                    rows = np.ones(len(pdf), bool) if fold is None else (pdf[fold].to_numpy() == j) == inside
+                    got = e_step(s, *[a[rows] for a in arrays], n[rows], beta, sigma, psi)
+                    out.append(got.sum(axis=0))
+                yield np.concatenate(out)
+
+        yield from task_sums(sums())
 
     sums = moments.mapInPandas(run, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).collect()
     flat = np.zeros(s.width * len(params))
@@ -286,14 +290,17 @@ def fixed_covariance(moments: DataFrame, fit: dict) -> np.ndarray:
 
     def run(batches):
         s_inv, psi_inv = np.linalg.inv(sigma), np.linalg.inv(psi)
-        for pdf in batches:
-            ww, _, _ = stacked(pdf, names, s.terms, s.ys)
-            zz, zx = ww[:, s.zcols][:, :, s.zcols], ww[:, s.zcols][:, :, s.xcols]
-            a = psi_inv + s_inv[np.ix_(s.zy, s.zy)] * zz
-            b = s_inv[np.ix_(s.zy, s.xy)] * zx
-            info = s_inv[np.ix_(s.xy, s.xy)] * ww[:, s.xcols][:, :, s.xcols] - np.swapaxes(b, 1, 2) @ np.linalg.solve(a, b)
-            flat = info.sum(axis=0).ravel()
-            yield pd.DataFrame({"i": np.arange(len(flat)), "x": flat})
+
+        def sums():
+            for pdf in pieces(batches, s.held):
+                ww, _, _ = stacked(pdf, names, s.terms, s.ys)
+                zz, zx = ww[:, s.zcols][:, :, s.zcols], ww[:, s.zcols][:, :, s.xcols]
+                a = psi_inv + s_inv[np.ix_(s.zy, s.zy)] * zz
+                b = s_inv[np.ix_(s.zy, s.xy)] * zx
+                info = s_inv[np.ix_(s.xy, s.xy)] * ww[:, s.xcols][:, :, s.xcols] - np.swapaxes(b, 1, 2) @ np.linalg.solve(a, b)
+                yield info.sum(axis=0).ravel()
+
+        yield from task_sums(sums())
 
     info = np.zeros(s.p * s.p)
     known = 0.0 if fit.get("prior") is None else np.diag(fit["prior"].precision)
@@ -352,7 +359,7 @@ def person_loglik(s: Shape, moments: DataFrame, key: str, params: list, fold: st
     moments, names = as_arrays(moments)
 
     def run(batches):
-        for pdf in batches:
+        for pdf in pieces(batches, s.held):
             arrays, n = stacked(pdf, names, s.terms, s.ys), pdf["n"].to_numpy(float)
             out = np.zeros(len(pdf))
             for j, (beta, sigma, psi) in enumerate(params):
@@ -400,7 +407,7 @@ def person_posteriors(s: Shape, moments: DataFrame, key: str, params, prefix: st
 
     def run(batches):
         s_inv, psi_inv = np.linalg.inv(sigma), np.linalg.inv(psi)
-        for pdf in batches:
+        for pdf in pieces(batches, s.held):
             ww, wy, _ = stacked(pdf, names, s.terms, s.ys)
             zz, zx = ww[:, s.zcols][:, :, s.zcols], ww[:, s.zcols][:, :, s.xcols]
             v = np.linalg.inv(psi_inv + s_inv[np.ix_(s.zy, s.zy)] * zz)
@@ -454,7 +461,7 @@ def leave_row_out(rows: DataFrame, moments: DataFrame, key: str, row_id: str, fi
     kinds = [f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in (key, row_id)]
 
     def run(batches):
-        for pdf in batches:
+        for pdf in pieces(batches, max(s.held for s in shapes.values())):
             out = {key: pdf[key], row_id: pdf[row_id]}
             for i, (m, s) in enumerate(shapes.items()):
                 w = np.stack([np.ones(len(pdf)) if t == ONE else pdf[t].to_numpy(float) for t in s.terms], axis=1)

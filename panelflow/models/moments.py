@@ -8,7 +8,7 @@ row (p x p numbers), person-level fits run batched in ``mapInPandas``.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -23,6 +23,7 @@ from panelflow.session import discard, write_through
 ONE = "one"
 SQL_SUMS = 100          # sums of one aggregate up to which Spark compiles it as one piece
 MOMENTS = "panelflow.moments"
+HELD = 1_000_000        # numbers of one stacked matrix that a task holds at a time
 
 
 def _terms(x: Sequence[str], intercept: bool) -> list[str]:
@@ -92,6 +93,23 @@ def stacked(pdf: pd.DataFrame, names: Sequence[str], terms: Sequence[str], ys: S
     return pick(terms, terms), pick(terms, ys), pick(ys, ys)
 
 
+def pieces(batches: Iterable[pd.DataFrame], width: int) -> Iterator[pd.DataFrame]:
+    """The batches' rows, so few at a time that matrices of ``width`` numbers a person stay within HELD numbers."""
+    step = max(1, HELD // max(1, width))
+    for pdf in batches:
+        for lo in range(0, len(pdf), step):
+            yield pdf.iloc[lo:lo + step]
+
+
+def task_sums(parts: Iterable[np.ndarray]) -> Iterator[pd.DataFrame]:
+    """(i, x): the sum of a task's vectors, one row for each place; a task without any gives no rows."""
+    total = None
+    for flat in parts:
+        total = flat if total is None else total + flat
+    if total is not None:
+        yield pd.DataFrame({"i": np.arange(len(total)), "x": total})
+
+
 def _summed(rows: DataFrame, size: int) -> np.ndarray:
     """The vector whose entries are the sums of ``x`` by place ``i``; ``size`` numbers reach the driver."""
     out = np.zeros(size)
@@ -105,10 +123,8 @@ def total_moments(moments: DataFrame) -> dict[str, float]:
     arrays, names = as_arrays(moments)
 
     def run(batches):
-        for pdf in batches:
-            if len(pdf):
-                flat = np.concatenate((np.stack(pdf["g"].to_list()).sum(axis=0), [pdf["n"].sum(), len(pdf)]))
-                yield pd.DataFrame({"i": np.arange(len(flat)), "x": flat})
+        yield from task_sums(np.concatenate((np.stack(pdf["g"].to_list()).sum(axis=0), [pdf["n"].sum(), len(pdf)]))
+                             for pdf in pieces(batches, len(names)))
 
     flat = _summed(arrays.select("n", "g").mapInPandas(run, "i int, x double"), len(names) + 2)
     return dict(zip([*names, "n", "persons"], map(float, flat), strict=True))
@@ -138,12 +154,13 @@ def pooled_ols(moments: DataFrame, x: Sequence[str], y: Sequence[str],
 
     def meat(batches):
         # person-clustered sandwich: s_j = X_j'Y_j - X_j'X_j B, per outcome
-        for pdf in batches:
-            if len(pdf):
+        def sums():
+            for pdf in pieces(batches, (p + q) ** 2):
                 wxx, wxy, _ = stacked(pdf, names, terms, y)
                 s = wxy - wxx @ b
-                flat = np.einsum("nik,njk->kij", s, s).ravel()
-                yield pd.DataFrame({"i": np.arange(len(flat)), "x": flat})
+                yield np.einsum("nik,njk->kij", s, s).ravel()
+
+        yield from task_sums(sums())
 
     inv = np.linalg.inv(xx)
     meats = _summed(arrays.select("g").mapInPandas(meat, "i int, x double"), q * p * p).reshape(q, p, p)
@@ -194,8 +211,8 @@ def fit_by_person(moments: DataFrame, key: str, x: Sequence[str], y: Sequence[st
     arrays, names = as_arrays(moments)
 
     def solve(batches):
-        for pdf in batches:
-            p = len(terms)
+        p = len(terms)
+        for pdf in pieces(batches, (p + len(y)) ** 2):
             xx, xy, _ = stacked(pdf, names, terms, y)
             xx = xx + ridge * np.eye(p)
             b = np.full(xy.shape, np.nan)

@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 HELD = 4_000_000        # sums (doubles) that a task holds before it emits them
+PIECE = 1_000_000       # sums of neighbouring rows that are added up at a time
 
 
 def _matrix(batch: pa.RecordBatch, first: int) -> np.ndarray:
@@ -63,12 +64,18 @@ def _per_key(batches: Iterator[pa.RecordBatch], schema: pa.Schema, one: bool) ->
         yield emit()
 
 
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Parts of the batches of (key, n, g) whose sums are about PIECE."""
+    for batch in batches:
+        step = max(1, PIECE // max(1, len(batch.column(2)[0]))) if batch.num_rows else 1
+        for lo in range(0, batch.num_rows, step):
+            yield batch.slice(lo, step)
+
+
 def _runs(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """Adds up neighbouring rows of one key; rows come sorted by key."""
+    """Adds up neighbouring rows of one key; rows come sorted by key, and are taken some PIECE sums at a time."""
     last = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
+    for batch in _pieces(batches):
         keys = batch.column(0).to_pylist()
         n = batch.column(1).to_numpy()
         lists = batch.column(2)

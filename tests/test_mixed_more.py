@@ -109,3 +109,48 @@ def test_flat_prior_changes_little(data):
     a = X.fit_many(mom, s, tol=1e-5, prior=weak)[0]
     b = X.fit_many(mom, s, tol=1e-5)[0]
     assert np.allclose(a["params"][0], b["params"][0], atol=1e-5) and a["logpost"] == pytest.approx(b["loglik"])
+
+
+@pytest.mark.parametrize("batches", [1, 3])
+def test_passes_hold_few_persons_at_a_time(spark, monkeypatch, batches):
+    """Sums in pieces are those of whole batches, and no stacked matrix outgrows the bound."""
+    s = X.shape(["one", "x", "z"], ["Y1", "Y2"], {y: ["one", "x", "z"] for y in ("Y1", "Y2")}, {y: ["one", "x"] for y in ("Y1", "Y2")})
+    names = M.moment_names(s.terms, s.ys)
+    rng = np.random.default_rng(3)
+    w = rng.normal(size=(90, 7, 5))
+    g = (np.swapaxes(w, 1, 2) @ w)[:, *np.triu_indices(5)]
+    frames = [pd.DataFrame({"n": 7, "g": list(part)}) for part in np.split(g, batches)]
+    seen = []
+    monkeypatch.setattr(X, "e_step", lambda *a, real=X.e_step: seen.append(a[1].size) or real(*a))
+    params = (np.full(s.p, 0.1), np.eye(2), np.eye(s.q))
+
+    class Table:
+        columns, schema = ["n", "g"], {"g": type("Field", (), {"metadata": {M.MOMENTS: names}})}
+
+        def mapInPandas(self, run, schema):
+            self.rows = list(run(iter(frames)))
+            return spark.createDataFrame(pd.concat(self.rows), schema)
+
+    whole, pieces = Table(), Table()
+    want = X.person_sums(s, whole, [params])[0]
+    monkeypatch.setattr(M, "HELD", 10 * s.held)
+    seen.clear()
+    got = X.person_sums(s, pieces, [params])[0]
+    assert len(seen) == 9 and max(seen) <= M.HELD
+    assert np.allclose(got, want, rtol=1e-12, atol=1e-9) and len(pieces.rows) == 1
+    assert list(M.pieces(iter([frames[0].iloc[:0]]), 5)) == [] and list(M.task_sums(iter([]))) == []
+
+
+def test_neighbouring_sums_in_pieces(spark, monkeypatch):
+    """Rows of a key are added up across pieces."""
+    import pyarrow as pa
+
+    from panelflow.operators import gram as G
+    kind = pa.schema([("k", pa.int64()), ("n", pa.int64()), ("g", pa.list_(pa.float64()))])
+    keys = [None, 1, 1, 1, 1, 2, 3, 3]
+    batch = pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([1] * 8), pa.array([[float(i), 1.0] for i in range(8)])], schema=kind)
+    monkeypatch.setattr(G, "PIECE", 4)
+    assert max(b.num_rows for b in G._pieces(iter([batch]))) == 2
+    got = [r for b in G._runs(iter([batch]), kind) for r in b.to_pylist()]
+    assert got == [{"k": None, "n": 1, "g": [0.0, 1.0]}, {"k": 1, "n": 4, "g": [10.0, 4.0]}, {"k": 2, "n": 1, "g": [5.0, 1.0]},
+                   {"k": 3, "n": 2, "g": [13.0, 2.0]}]
