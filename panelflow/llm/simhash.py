@@ -67,6 +67,7 @@ def links(fps: DataFrame) -> DataFrame:
     """(a, b): links between the distinct fingerprints ``fp`` that differ in at most MAX_BITS = 3 bits.
 
     Enough of them that the links' connected groups are those of all pairs.
+    Joins are merge joins: no table that grows with the input is broadcast.
 
     Multi-index hashing: a fingerprint has two segments of 32 bits, and one
     of them differs in at most 1 bit if all differ in at most 3.  Each
@@ -99,10 +100,10 @@ def links(fps: DataFrame) -> DataFrame:
     if wide.isEmpty():
         narrow = looks
     else:
-        looks = looks.join(wide, ["s", "key"], "left")
+        looks = looks.join(wide.hint("merge"), ["s", "key"], "left")
         narrow = looks.where("wide IS NULL")
     held = table.select("s", F.col("own").alias("key"), F.col("fp").alias("b"))
-    near = (narrow.withColumnRenamed("fp", "a").join(held, ["s", "key"])
+    near = (narrow.withColumnRenamed("fp", "a").join(held.hint("merge"), ["s", "key"])
             .where((F.col("flipped") | (F.col("a") < F.col("b"))) & far).select("a", "b"))
     if wide.isEmpty():
         return near
@@ -135,11 +136,11 @@ def near_dedup(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS
     fps = cut(fingerprints(docs, shingle, seed))
     groups = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = components(links(groups.select("fp")))
-    rooted = cut(groups.join(roots, F.col("fp") == F.col("node"), "left")
+    rooted = cut(groups.join(roots.hint("merge"), F.col("fp") == F.col("node"), "left")
                  .select("fp", "least", F.coalesce("root", "fp").alias("root")))
     discard(groups, roots)
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return (fps.join(rooted.select("fp", "root"), "fp").join(ids, "root")
+    return (fps.join(rooted.select("fp", "root").hint("merge"), "fp").join(ids.hint("merge"), "root")
             .select("doc_id", "fp", "component_id"))
 
 
@@ -156,7 +157,7 @@ def representatives(docs: DataFrame, **options) -> DataFrame:
     """
     found = near_dedup(docs.select("doc_id", "text"), **options).where("doc_id = component_id")
     rows = docs.select(whole_row(docs).alias("_row"))
-    kept = rows.join(found.select(F.col("doc_id").alias("_id")).distinct(), F.col("_row.doc_id") == F.col("_id"), "left_semi")
+    kept = rows.join(found.select(F.col("doc_id").alias("_id")).distinct().hint("merge"), F.col("_row.doc_id") == F.col("_id"), "left_semi")
     one = Window.partitionBy("_row.doc_id", F.xxhash64("_row.text")).orderBy("_row.doc_id")
     kept = kept.withColumn("_n", F.row_number().over(one)).where("_n = 1").select("_row.*")
     return kept.unionByName(docs.where("doc_id IS NULL"))

@@ -77,6 +77,19 @@ def test_links_give_the_components_of_all_pairs(spark, monkeypatch, wide):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, expect.values()))
 
 
+def test_no_table_of_fingerprints_is_broadcast(spark, monkeypatch):
+    """Tables that grow with the input stay out of the driver, however small Spark takes them to be."""
+    from panelflow.llm import graph as G
+    plans = []
+    for module in (S, G):
+        monkeypatch.setattr(module, "cut", lambda df, *a, real=module.cut: plans.append(df._jdf.queryExecution().toString()) or real(df, *a))
+    rows = [(i, f"w{i % 40} is one of {i % 40} words", "en", "s", 0) for i in range(400)]
+    out = S.representatives(spark.createDataFrame(rows, DOCS))
+    plans.append(out._jdf.queryExecution().toString())
+    assert out.count() and len(plans) > 5
+    assert any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)
+
+
 def test_near_dedup_edges(spark):
     rows = [(5, None, "en", "s", 0), (7, "", "en", "s", 0), (3, "a b c d", None, None, None), (9, "A b  C d", "x", "s", 1),
             (9, "A b  C d", "x", "s", 1), (None, "a b c d", "x", "s", 1), (None, "zzz", "x", "s", 1),
