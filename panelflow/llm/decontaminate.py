@@ -16,6 +16,8 @@ from panelflow.llm.words import Texts, batches
 TERM_BITS = 18
 #: Words of a passage window and of its step; latent dimensions, spare ones, power iterations.
 WINDOW, STEP, RANK, SPARE, POWER = 32, 16, 128, 16, 2
+#: Least cosine of a window and a passage in the latent space for the window to be retrieved.
+RETRIEVED = 0.85
 #: Least common-subsequence share of a leak, and the lower one that holds where the answer's words are there too.
 LEAK, LEAK_WITH_ANSWER = 0.8, 0.6
 #: An item's answer: its last words, of which this share must be found in order.
@@ -162,15 +164,17 @@ def common_subsequence(a: list, b: list) -> int:
     return len(a) - v.bit_count()
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, rank: int = RANK) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, rank: int = RANK, exact: bool = True) -> DataFrame:
     """(doc_id, item_id, cosine, lcs, answer): documents that hold a benchmark item or a paraphrase of it.
 
     Term weights come from all documents.  Items are cut into passages of up
     to 32 words and folded into the latent space of their SVD.  A window is
-    32 words of a document, 16 words apart from the next.  Every window that
-    may pass the rule below is compared: those with enough of an item's
-    rarest words around them (``_Rarest``, which loses none).  Foreign words
-    between an item's own lower its cosine, so no bar on the cosine decides.
+    32 words of a document, 16 words apart from the next.  Every window is
+    folded in as well and searched against all passages: those near one there
+    (``_Latent``) are retrieved.  Words replaced or put between an item's own
+    can lower any cosine, so with ``exact`` the windows that this leaves are
+    searched again by a bound that loses none which the rule below accepts
+    (``_Rarest``).
     An item's words and those around the window (as many as the item has, on
     either side) are compared in full: ``lcs`` is the longest common
     subsequence over the item's length, ``answer`` says whether the item's
@@ -194,12 +198,101 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rank: int = RANK) -> DataFrame:
     for b in range(blocks):
         part = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b) if blocks > 1 else benchmark
         items = part.collect()  # a block of the query set
-        state = spark.sparkContext.broadcast((weight, terms, vectors, [(r.item_id, r.text) for r in items]))
+        state = spark.sparkContext.broadcast((weight, terms, vectors, [(r.item_id, r.text) for r in items], exact))
         found = docs.select("doc_id", "text").mapInPandas(_matcher(state), schema)
         out = found if out is None else out.unionByName(found)
     return out
 
 
+class _Windows:
+    """The windows of a batch of texts: blocks of STEP words within each text; a window is a block and those after it."""
+
+    def __init__(self, t: Terms):
+        n_blocks = -(-(t.first[1:] - t.first[:-1]) // STEP)
+        self.first = np.concatenate(([0], np.cumsum(n_blocks)))
+        self.n = int(self.first[-1])
+        self.doc = np.repeat(np.arange(t.n), n_blocks)
+        self.at = t.first[self.doc] + (np.arange(self.n) - self.first[self.doc]) * STEP
+        self.until = np.minimum(self.at + WINDOW, t.first[self.doc + 1])
+
+
+class _Latent:
+    """Retrieval in the latent space: every window against every passage of the items.
+
+    A word's vector is its term's, weighted; a window's is the sum over its
+    words that the benchmark has.  Their cosine is taken within the latent
+    space, where words that no item has don't count.
+    """
+
+    def __init__(self, bench: Terms, weight: np.ndarray, terms: np.ndarray, vectors: np.ndarray):
+        self.row = np.full(1 << TERM_BITS, -1, np.int32)
+        self.row[terms] = np.arange(len(terms))
+        self.known = np.unique(bench.hash)
+        self.vectors = vectors * weight[terms][:, None]     # of a word, its weight included
+        owner, q = [], []
+        for i, u, x in _passages(bench, weight):
+            if not len(u):
+                continue
+            z, norm = x @ vectors[self.row[u]], float(np.linalg.norm(x))
+            own = float(z @ z)
+            if norm > 0 and own > 1e-6 * norm * norm:
+                owner.append(i)
+                q.append(z * (norm / own))  # a copy of the passage scores 1
+        self.owner = np.array(owner, np.int64)
+        self.q = np.array(q, np.float32).reshape(len(q), vectors.shape[1]).T
+        self.unit = self.q / np.maximum(np.linalg.norm(self.q, axis=0), 1e-30)
+        self.passages: dict[int, list[int]] = {}
+        for k, i in enumerate(owner):
+            self.passages.setdefault(i, []).append(k)
+
+    def rows(self, t: Terms) -> np.ndarray:
+        """The row of each word's vector; -1 for words that the benchmark hasn't."""
+        row = self.row[t.term]
+        shared = np.flatnonzero(row >= 0)   # by bucket; now by word
+        at = np.minimum(np.searchsorted(self.known, t.hash[shared]), len(self.known) - 1)
+        row[shared[self.known[at] != t.hash[shared]]] = -1
+        return row
+
+    def folded(self, row: np.ndarray, w: _Windows) -> np.ndarray:
+        """The vector of each window."""
+        hits = np.flatnonzero(row >= 0)
+        block = np.searchsorted(w.at, hits, side="right") - 1
+        out = np.zeros((w.n, self.vectors.shape[1]), np.float32)
+        edge = np.flatnonzero(np.diff(block, prepend=-1))
+        for lo in range(0, len(edge), 2048):    # some blocks at a time
+            mine = edge[lo:lo + 2048]
+            end = edge[lo + 2048] if lo + 2048 < len(edge) else len(hits)
+            out[block[mine]] = np.add.reduceat(self.vectors[row[hits[mine[0]:end]]], mine - mine[0], axis=0)
+        whole = out.copy()
+        for k in range(1, WINDOW // STEP):
+            here = np.flatnonzero(w.doc[k:] == w.doc[:-k])
+            whole[here] += out[here + k]
+        return whole
+
+    def windows(self, fold: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(window, item) where the window is near one of the item's passages."""
+        found = [np.zeros(0, np.int64)]
+        n, step = int(self.owner.max(initial=-1)) + 1, max(1, 4_000_000 // max(1, len(self.owner)))
+        for lo in range(0, len(fold) if n else 0, step):
+            some = fold[lo:lo + step]
+            size = np.linalg.norm(some, axis=1)
+            near = (some @ self.unit >= RETRIEVED * size[:, None]) & (size > 0)[:, None]
+            window, passage = np.nonzero(near)
+            found.append(np.unique((window + lo) * n + self.owner[passage]))
+        found = np.concatenate(found)
+        return found // max(n, 1), found % max(n, 1)
+
+    def cosine(self, fold: np.ndarray, norm2: np.ndarray, window: np.ndarray, item: np.ndarray) -> np.ndarray:
+        """Cosine of each window with the item's best passage, in units of an exact copy's."""
+        out = np.zeros(len(window))
+        for lo in range(0, len(window), 8192):
+            here, line = np.unique(window[lo:lo + 8192], return_inverse=True)
+            cos = fold[here] @ self.q / np.sqrt(np.maximum(norm2[here], 1e-12))[:, None]
+            out[lo:lo + 8192] = [max((float(cos[x, k]) for k in self.passages.get(i, [])), default=0.0)
+                                 for x, i in zip(line.tolist(), item[lo:lo + 8192].tolist(), strict=True)]
+        return out
+
+
 class _Rarest:
     """Exact candidates: where enough of an item's rarest words stand near each other.
 
@@ -270,6 +363,15 @@ class _Rarest:
             out.extend((d, begin + b * STEP, i) for b in range(low, high + 1))
         return tuple(np.array(x, np.int64) for x in zip(*sorted(set(out)), strict=True)) if out else none
 
+    def enough(self, t: Terms, w: _Windows, window: np.ndarray, item: np.ndarray) -> np.ndarray:
+        """Whether the words around each window share 0.6 of the item in order."""
+        out = np.zeros(len(window), bool)
+        for k, (x, i) in enumerate(zip(window.tolist(), item.tolist(), strict=True)):
+            d, long = w.doc[x], len(self.words[i])
+            around = t.hash[max(t.first[d], w.at[x] - long):min(t.first[d + 1], w.until[x] + long)]
+            out[k] = self._shared(i, around) >= self.least[i]
+        return out
+
     def _shared(self, i: int, around: np.ndarray) -> int:
         """Longest common subsequence of an item and the words ``around``."""
         where, full = self.where[i], (1 << len(self.words[i])) - 1
@@ -284,71 +386,29 @@ class _Rarest:
 
 def _matcher(state):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        weight, terms, vectors, items = state.value
+        weight, terms, vectors, items, exact = state.value
         bench = Terms([x[1] for x in items])
         words = [bench.hash[bench.first[i]:bench.first[i + 1]].tolist() for i in range(bench.n)]
-        passages = [p for p in _passages(bench, weight) if len(p[1])]
-        row_of = np.full(1 << TERM_BITS, -1, np.int32)
-        row_of[terms] = np.arange(len(terms))
-        known = np.unique(bench.hash)
+        latent = _Latent(bench, weight, terms, vectors)
         rarest = _Rarest(words, [weight[bench.term[bench.first[i]:bench.first[i + 1]]] for i in range(bench.n)])
-        owner, q = [], []
-        for i, u, x in passages:
-            z, size = x @ vectors[row_of[u]], float(np.linalg.norm(x))
-            own = float(z @ z)
-            if size > 0 and own > 1e-6 * size * size:
-                owner.append(i)
-                q.append(z * (size / own))  # a copy of the passage scores 1
-        q = np.array(q, np.float32).reshape(len(q), vectors.shape[1]).T
-        passages_of: dict[int, list[int]] = {}
-        for k, i in enumerate(owner):
-            passages_of.setdefault(i, []).append(k)
         for pdf in batches(frames):
             t = Terms(pdf["text"])
-            w = weight[t.term]
-            row = row_of[t.term]
-            shared = np.flatnonzero(row >= 0)   # by bucket; now by word
-            at_word = np.minimum(np.searchsorted(known, t.hash[shared]), len(known) - 1)
-            row[shared[known[at_word] != t.hash[shared]]] = -1
-            # blocks of STEP words within each text; a window is a block and those after it
-            n_words = t.first[1:] - t.first[:-1]
-            n_blocks = -(-n_words // STEP)
-            first_block = np.concatenate(([0], np.cumsum(n_blocks)))
-            total = int(first_block[-1])
-            if not total:
+            w = _Windows(t)
+            if not w.n or not len(latent.known):
                 continue
-            doc_of = np.repeat(np.arange(t.n), n_blocks)
-            at = t.first[doc_of] + (np.arange(total) - first_block[doc_of]) * STEP
-            until = np.minimum(at + WINDOW, t.first[doc_of + 1])
-            norm2 = np.concatenate(([0], np.cumsum(w * w, dtype=np.float64)))
-            all2 = norm2[until] - norm2[at]
-            hits = np.flatnonzero(row >= 0)
-
-            def cosines(g):
-                """The windows of ``g`` that have words of the benchmark, and their cosine with every passage."""
-                a, z = np.searchsorted(hits, at[g]), np.searchsorted(hits, until[g])
-                size = z - a
-                some = size > 0
-                g, a, size = g[some], a[some], size[some]
-                if not len(g):
-                    return g, np.zeros((0, q.shape[1]), np.float32)
-                start = np.cumsum(size) - size
-                take = hits[np.arange(int(size.sum())) - np.repeat(start - a, size)]
-                fold = np.add.reduceat(vectors[row[take]] * w[take][:, None], start, axis=0)
-                return g, (fold @ q) / np.sqrt(np.maximum(all2[g], 1e-12))[:, None]
-
-            doc, first, item = rarest.windows(t)
-            window = first_block[doc] + (first - t.first[doc]) // STEP
-            found: dict[tuple[int, int], float] = {}  # (window, item): cosine
-            for lo in range(0, len(window), 8192):
-                some = window[lo:lo + 8192]
-                g, cos = cosines(np.unique(some))
-                line = {x: k for k, x in enumerate(g.tolist())}
-                for x, i in zip(some.tolist(), item[lo:lo + 8192].tolist(), strict=True):
-                    found[x, i] = max((float(cos[line[x], k]) for k in passages_of.get(i, [])), default=0.0) if x in line else 0.0
-            if found:
-                b, i = (np.array(x) for x in zip(*found, strict=True))
-                yield from _verified(pdf, t, at[b], until[b], doc_of[b], i, np.array(list(found.values())), items, words)
+            norm2 = np.concatenate(([0], np.cumsum(weight[t.term] ** 2, dtype=np.float64)))
+            fold = latent.folded(latent.rows(t), w)
+            window, item = latent.windows(fold)
+            near = rarest.enough(t, w, window, item)
+            window, item = window[near], item[near]
+            if exact:   # what the retrieval has left
+                doc, first, other = rarest.windows(t)
+                rest = (w.first[doc] + (first - t.first[doc]) // STEP) * bench.n + other
+                rest = np.setdiff1d(rest, window * bench.n + item)
+                window, item = np.append(window, rest // bench.n), np.append(item, rest % bench.n)
+            if len(window):
+                cos = latent.cosine(fold, norm2[w.until] - norm2[w.at], window, item)
+                yield from _verified(pdf, t, w.at[window], w.until[window], w.doc[window], item, cos, items, words)
 
     def _verified(pdf, t, at, until, doc, item, cos, items, words) -> Iterator[pd.DataFrame]:
         best: dict[tuple[int, int], tuple] = {}
