@@ -18,9 +18,13 @@ from panelflow.llm.words import Texts, batches, mix, prefix_hash, span_hash
 LEAST, ANCHOR = 50, 20
 _LAST = (1 << 63) - 1
 #: Characters of text after which a task passes on the anchors, or the surroundings, that it has gathered.
-_GATHER, _GATHER_CONTEXTS = 16_000_000, 5_000_000
+_GATHER, _GATHER_CONTEXTS = 16_000_000, 8_000_000
 #: Parts in which a task works off a hash bucket, one after the other.
 SLICES = 8
+#: Bytes of text whose anchors make a hash bucket.
+BUCKET = 16_000_000
+#: Bytes of an anchor's hash by which documents that share it are found; its surroundings are compared in full.
+SHORT = 5
 
 
 def anchors(t: Texts) -> tuple[np.ndarray, np.ndarray]:
@@ -51,9 +55,35 @@ def anchors(t: Texts) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """(id, th, text): a greatest id for null ones, a hash of the text."""
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("id"),
-                       F.xxhash64("text").alias("th"), "text")
+    """(id, th, key, text): a greatest id for null ones, a hash of the text, one of both."""
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("id"), F.xxhash64("text").alias("th"), "text")
+    return rows.select("id", "th", F.xxhash64("id", "th").alias("key"), "text")
+
+
+def shorten(h: np.ndarray) -> np.ndarray:
+    """The leading SHORT bytes of hashes, as numbers."""
+    return h >> np.uint64(64 - 8 * SHORT)
+
+
+def packed(short: np.ndarray) -> np.ndarray:
+    """Short hashes as rows of SHORT bytes."""
+    return np.ascontiguousarray(short.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :SHORT])
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // SHORT, 8), np.uint8)
+    out[:, :SHORT] = np.frombuffer(raw, np.uint8).reshape(-1, SHORT)
+    return out.view("<u8").ravel().astype(np.uint64)
+
+
+def _within(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places of spans, one span after the other."""
+    return np.arange(int(size.sum())) + np.repeat(start - (np.cumsum(size) - size), size)
+
+
+def _surroundings(prefix: np.ndarray, begin: np.ndarray, at: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of what stands before and behind the starts of anchors."""
+    return mix(span_hash(prefix, begin, at) * np.uint64(0x9E3779B97F4A7C15) + span_hash(prefix, at, end))
 
 
 def _deal(parts: int, h: np.ndarray) -> np.ndarray:
@@ -61,17 +91,20 @@ def _deal(parts: int, h: np.ndarray) -> np.ndarray:
 
 
 def _repeated(rows: DataFrame, parts: int, within: bool = False) -> DataFrame:
-    """(id, th, hashes): per document the anchors that a document of another id holds too.
+    """(key, hashes): per document the short hashes of the anchors that another document holds too.
 
-    ``within``: also those that stand twice in one document.
+    ``within``: also those that stand twice in one document.  What a
+    document costs in each bucket decides how this grows with the buckets:
+    one key, as its step from the next smaller one.
     """
 
     def gather(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes, owners, ids, ths, base, size = [], [], [], [], 0, 0
+        hashes, owners, keys, base, size = [], [], [], 0, 0
 
         def out():
-            h, d = np.concatenate(hashes), np.concatenate(owners)
-            id_, th = np.concatenate(ids), np.concatenate(ths)
+            h, key = np.concatenate(hashes), np.concatenate(keys).view(np.uint64)
+            by_key, rank = np.unique(key, return_inverse=True)      # repeated rows are one document
+            d = rank[np.concatenate(owners)]
             p = _deal(parts, h)
             order = np.lexsort((d, h, p))
             h, d, p = h[order], d[order], p[order]
@@ -80,8 +113,7 @@ def _repeated(rows: DataFrame, parts: int, within: bool = False) -> DataFrame:
             edge = np.flatnonzero(np.concatenate(([True], p[1:] != p[:-1], [True]))) if len(p) else []
             for a, z in zip(edge[:-1], edge[1:], strict=True):
                 own, local = np.unique(d[a:z], return_inverse=True)
-                step = rises(h[a:z])
-                yield int(p[a]), pack(step, local.astype(np.uint32), id_[own], th[own])
+                yield int(p[a]), pack(rises(h[a:z]), local.astype(np.uint32), rises(by_key[own]))
 
         def flush():
             got = list(out())
@@ -91,43 +123,43 @@ def _repeated(rows: DataFrame, parts: int, within: bool = False) -> DataFrame:
         for pdf in batches(frames):
             t = Texts(pdf["text"], fold=False)
             at, h = anchors(t)
-            hashes.append(h)
+            hashes.append(shorten(h))
             owners.append(np.searchsorted(t.end, at, side="right") + base)
-            ids.append(pdf["id"].to_numpy(np.int64))
-            ths.append(pdf["th"].to_numpy(np.int64))
+            keys.append(pdf["key"].to_numpy(np.int64))
             base, size = base + t.n, size + len(t.buf)
             if size > _GATHER:
                 yield from flush()
-                hashes, owners, ids, ths, base, size = [], [], [], [], 0, 0
+                hashes, owners, keys, base, size = [], [], [], 0, 0
         if hashes:
             yield from flush()
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
-        h, d, ids, ths, base = [], [], [], [], 0
+        h, d, keys, base = [], [], [], 0
         for blob in pdf["blob"]:
-            step, local, id_, th = unpack(blob)
+            step, local, key = unpack(blob)
             h.append(falls(step))
             d.append(local.astype(np.int64) + base)
-            ids.append(id_)
-            ths.append(th)
-            base += len(id_)
-        h, d, ids, ths = map(np.concatenate, (h, d, ids, ths))
+            keys.append(falls(key))
+            base += len(key)
+        h, d, keys = map(np.concatenate, (h, d, keys))
         order = np.argsort(h, kind="stable")
         h, d = h[order], d[order]
         first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
-        own = ids[d]
         size = np.diff(np.append(first, len(h)))
+        own = keys[d]
         shared = size > 1 if within else np.minimum.reduceat(own, first) != np.maximum.reduceat(own, first)
         take = np.repeat(shared, size)
         h, d = h[take], d[take]
         order = np.argsort(d, kind="stable")
         h, d = h[order], d[order]
         first = np.flatnonzero(np.concatenate(([True], d[1:] != d[:-1]))) if len(d) else np.zeros(0, np.int64)
-        return pd.DataFrame({"id": ids[d[first]], "th": ths[d[first]],
-                             "hashes": [x.tobytes() for x in np.split(h, first[1:])] if len(first) else []})
+        raw = packed(h)
+        return pd.DataFrame({"key": keys[d[first]].view(np.int64),
+                             "hashes": [raw[a:z].tobytes() for a, z in zip(first, np.append(first, len(h))[1:], strict=True)]})
 
-    blobs = rows.select("id", "th", "text").mapInPandas(gather, "p int, blob binary")
-    return blobs.groupBy("p").applyInPandas(meet, "id long, th long, hashes binary")
+    # all columns, so that the texts' one shuffle serves this too
+    blobs = rows.select("id", "th", "key", "text").mapInPandas(gather, "p int, blob binary")
+    return blobs.groupBy("p").applyInPandas(meet, "key long, hashes binary")
 
 
 def common(a: bytes, b: bytes) -> int:
@@ -195,25 +227,34 @@ def _contexts(rows: DataFrame, parts: int, reach: int = LEAST) -> DataFrame:
     length = np.uint8 if reach < 256 else np.uint32
 
     def gather(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: dict[tuple[int, bytes, bytes], list[int]] = {}
-        ids, ths, size = [], [], 0
+        # distinct surroundings: (anchor, hash, bytes before, from the anchor on), bytes; occurrences: (surrounding, document, place)
+        held, texts, occurrences, ids, ths, base, seen, size = [], [], [], [], [], 0, 0, 0
 
         def flush():
-            keys = sorted(seen)
-            h = np.array([k[0] for k in keys], np.uint64)
-            p = _deal(parts, h)
-            id_, th = np.concatenate(ids), np.concatenate(ths)
-            held, part = [], []
-            for q in np.unique(p).tolist():
-                mine = [keys[i] for i in np.flatnonzero(p == q)]
-                occ = [seen.pop(k) for k in mine]
-                ctx = np.repeat(np.arange(len(mine)), [len(o) // 2 for o in occ]).astype(np.uint32)
-                flat = np.array([x for o in occ for x in o], np.int64)
-                own, local = np.unique(flat[0::2], return_inverse=True)
-                text = np.frombuffer(b"".join(k[1] + k[2] for k in mine), np.uint8)
-                part.append((q, pack(np.array([k[0] for k in mine], np.uint64), np.array([len(k[1]) for k in mine], length),
-                                      np.array([len(k[2]) for k in mine], length), text, ctx,
-                                      local.astype(np.uint32), flat[1::2].astype(np.uint32), id_[own], th[own])))
+            h, name, ll, rl = (np.concatenate(x) for x in zip(*held, strict=True))
+            text = np.concatenate(texts)
+            c, d, pos = (np.concatenate(x) for x in zip(*occurrences, strict=True))
+            begin = np.cumsum(ll + rl) - ll - rl
+            _, first, turn = np.unique(name, return_index=True, return_inverse=True)
+            order = np.lexsort((h[first], _deal(parts, h[first])))     # surroundings of an anchor stand together
+            first = first[order]
+            place = np.empty(len(first), np.int64)
+            place[order] = np.arange(len(first))
+            c = place[turn[c]]
+            by_id = np.lexsort((np.concatenate(ths), np.concatenate(ids).view(np.uint64)))
+            id_, th = np.concatenate(ids).view(np.uint64)[by_id], np.concatenate(ths)[by_id]
+            rank = np.empty(len(by_id), np.int64)
+            rank[by_id] = np.arange(len(by_id))
+            order = np.argsort(c, kind="stable")
+            c, d, pos = c[order], rank[d[order]], pos[order]
+            p, part = _deal(parts, h[first]), []
+            edge = np.flatnonzero(np.concatenate(([True], p[1:] != p[:-1], [True])))
+            for a, z in zip(edge[:-1], edge[1:], strict=True):
+                mine, (lo, hi) = first[a:z], np.searchsorted(c, (a, z))
+                own, local = np.unique(d[lo:hi], return_inverse=True)
+                part.append((int(p[a]), pack(ll[mine].astype(length), rl[mine].astype(length), text[_within(begin[mine], (ll + rl)[mine])],
+                                             (c[lo:hi] - a).astype(np.uint32), local.astype(np.uint32), pos[lo:hi].astype(np.uint32),
+                                             rises(id_[own]), th[own])))
             for lo in range(0, len(part), 64):
                 yield pd.DataFrame(part[lo:lo + 64], columns=["p", "blob"])
 
@@ -221,24 +262,26 @@ def _contexts(rows: DataFrame, parts: int, reach: int = LEAST) -> DataFrame:
             t = Texts(pdf["text"], fold=False)
             at, h = anchors(t)
             doc = np.searchsorted(t.end, at, side="right")
-            wanted = [np.frombuffer(b"".join(x), np.uint64) for x in pdf["hashes"]]
+            wanted = [unpacked(b"".join(x)) for x in pdf["hashes"]]
             keys = np.concatenate([np.zeros(0, np.uint64), *[mix(w ^ np.uint64(i * 2 + 1)) for i, w in enumerate(wanted)]])
-            take = np.isin(mix(h ^ (doc * 2 + 1).astype(np.uint64)), keys)
-            at, h, doc = at[take].tolist(), h[take].tolist(), doc[take]
-            raw, base = t.buf.tobytes(), sum(map(len, ids))
-            begin, end = t.begin[doc].tolist(), t.end[doc].tolist()
-            for a, x, d, lo, hi in zip(at, h, doc.tolist(), begin, end, strict=True):
-                key = (x, raw[max(lo, a - reach + ANCHOR):a][::-1], raw[a:min(hi, a + reach)])
-                seen.setdefault(key, []).extend((base + d, a - lo))
-                size += len(key[1]) + len(key[2]) if reach > LEAST else 0
+            take = np.isin(mix(shorten(h) ^ (doc * 2 + 1).astype(np.uint64)), keys)
+            at, h, doc = at[take], h[take], doc[take]
+            begin, end = np.maximum(t.begin[doc], at - reach + ANCHOR), np.minimum(t.end[doc], at + reach)
+            name, first, turn = np.unique(_surroundings(prefix_hash(t.buf), begin, at, end), return_index=True, return_inverse=True)
+            if len(at):
+                held.append((h[first], name, (at - begin)[first], (end - at)[first]))
+                texts.append(t.buf[_within(begin[first], (end - begin)[first])])
+                occurrences.append((turn + seen, doc + base, at - t.begin[doc]))
+            seen += len(name)
             ids.append(pdf["id"].to_numpy(np.int64))
             ths.append(pdf["th"].to_numpy(np.int64))
-            size += len(raw)
+            base += t.n
+            size += len(t.buf) + (int((end - begin)[first].sum()) if reach > LEAST else 0)
             if size > _GATHER_CONTEXTS:
-                yield from flush()
-                seen.clear()
-                ids, ths, size = [], [], 0
-        if seen:
+                if held:
+                    yield from flush()
+                held, texts, occurrences, ids, ths, base, seen, size = [], [], [], [], [], 0, 0, 0
+        if held:
             yield from flush()
 
     return rows.mapInPandas(gather, "p int, blob binary")
@@ -249,78 +292,93 @@ class _Bucket:
 
     def __init__(self, blobs, slice_: int, within: bool = False):
         self.within = within
-        self.left, self.right, self.hash = [], [], []
-        number: dict[tuple[int, bytes, bytes], int] = {}
-        ctx, doc, pos, ids, ths, base = [], [], [], [], [], 0
+        held, texts, ctx, doc, pos, ids, ths, base, seen = [], [], [], [], [], [], [], 0, 0
         for blob in blobs:
-            h, ll, rl, text, c, d, p, id_, th = unpack(blob)
+            ll, rl, text, c, d, p, id_, th = unpack(blob)
+            ll, rl, prefix = ll.astype(np.int64), rl.astype(np.int64), prefix_hash(text)
+            begin = np.cumsum(ll + rl) - ll - rl
+            h = span_hash(prefix, begin + ll, begin + ll + ANCHOR)
             mine = mix(h + np.uint64(1)) % np.uint64(SLICES) == slice_
-            raw, turn = text.tobytes(), np.full(len(h), -1)
-            at = np.cumsum(ll.astype(np.int64) + rl) - ll - rl
-            for i in np.flatnonzero(mine).tolist():
-                a, m, z = int(at[i]), int(at[i]) + int(ll[i]), int(at[i]) + int(ll[i]) + int(rl[i])
-                turn[i] = number.setdefault((int(h[i]), raw[a:m], raw[m:z]), len(number))
             here = mine[c]
-            ctx.append(turn[c[here]])
+            ctx.append((np.cumsum(mine) - 1)[c[here]] + seen)
             doc.append(d[here].astype(np.int64) + base)
             pos.append(p[here].astype(np.int64))
-            ids.append(id_)
+            ids.append(falls(id_).view(np.int64))
             ths.append(th)
-            base += len(id_)
-        self.ctx, self.doc, self.pos, self.ids, self.ths = map(np.concatenate, (ctx, doc, pos, ids, ths))
+            begin, ll, rl = begin[mine], ll[mine], rl[mine]
+            held.append((h[mine], _surroundings(prefix, begin, begin + ll, begin + ll + rl), ll, rl))
+            texts.append(text[_within(begin, ll + rl)])
+            base, seen = base + len(id_), seen + len(ll)
+        ctx, self.doc, self.pos, self.ids, self.ths = map(np.concatenate, (ctx, doc, pos, ids, ths))
+        h, name, ll, rl = (np.concatenate(x) for x in zip(*held, strict=True))
+        _, first, turn = np.unique(name, return_index=True, return_inverse=True)
+        self.text = np.concatenate(texts)
+        self.begin = (np.cumsum(ll + rl) - ll - rl)[first]
+        self.hash, self.ll, self.rl, self.ctx = h[first], ll[first], rl[first], turn[ctx]
         if within:  # repeated rows are one document
             once = np.unique(np.stack([self.ths[self.doc], self.pos, self.ctx]), axis=1, return_index=True)[1]
             self.ctx, self.doc, self.pos = self.ctx[once], self.doc[once], self.pos[once]
-        self.keys = list(number)
         own = self.ids[self.doc]
         order = np.argsort(self.ctx, kind="stable")
         self.ctx, self.doc, self.pos = self.ctx[order], self.doc[order], self.pos[order]
-        self.first = np.searchsorted(self.ctx, np.arange(len(self.keys) + 1))
+        self.first = np.searchsorted(self.ctx, np.arange(len(self.hash) + 1))
         own = own[order]
         self.low = np.minimum.reduceat(own, self.first[:-1]) if len(own) else own
         self.high = np.maximum.reduceat(own, self.first[:-1]) if len(own) else own
 
+    def sides(self, c: int) -> tuple[bytes, bytes]:
+        """What stands before the anchor of a surrounding, reversed, and what stands from it on."""
+        a, m = int(self.begin[c]), int(self.begin[c] + self.ll[c])
+        return self.text[a:m][::-1].tobytes(), self.text[m:m + int(self.rl[c])].tobytes()
+
+    def whole(self) -> np.ndarray:
+        """The surroundings that repeat as a whole: in documents of more than one id, or ``within`` one too."""
+        again = np.diff(self.first) > 1 if self.within else self.low != self.high
+        return np.flatnonzero(again & (self.ll + self.rl >= LEAST))
+
+    def shared(self) -> Iterator[tuple[int, int, list[int]]]:
+        """(l, r, surroundings) of the maximal repeats across the surroundings of an anchor."""
+        order = np.argsort(self.hash, kind="stable")
+        edge = np.flatnonzero(np.concatenate(([True], np.diff(self.hash[order]) != 0, [True]))) if len(order) else []
+        for a, z in zip(edge[:-1], edge[1:], strict=True):
+            if z - a > 1:
+                same = order[a:z].tolist()
+                left, right = zip(*[self.sides(i) for i in same], strict=True)
+                for l, r, members in maximal_repeats(left, right):  # noqa: E741
+                    mine = [same[m] for m in members]
+                    if self.within or self.low[mine].min() != self.high[mine].max():
+                        yield l, r, mine
+
     def groups(self) -> Iterator[tuple[int, int, list[int]]]:
-        """(l, r, contexts) of the maximal repeats in documents of more than one id, or ``within`` one too.
+        """(l, r, surroundings) of the maximal repeats in documents of more than one id, or ``within`` one too.
 
         A repeat that goes on beyond the surroundings is given as far as they go.
         """
-        by: dict[int, list[int]] = {}
-        for i, k in enumerate(self.keys):
-            by.setdefault(k[0], []).append(i)
-        low, high = self.low.tolist(), self.high.tolist()
-        for same in by.values():
-            left, right = [self.keys[i][1] for i in same], [self.keys[i][2] for i in same]
-            # what lies behind one context: the whole of it repeats
-            for i, a, b in zip(same, left, right, strict=True):
-                again = self.first[i + 1] - self.first[i] > 1 if self.within else low[i] != high[i]
-                if again and len(a) + len(b) >= LEAST:
-                    yield len(a), len(b), [i]
-            if len(same) > 1:
-                for l, r, members in maximal_repeats(left, right):  # noqa: E741
-                    mine = [same[m] for m in members]
-                    if self.within or min(low[i] for i in mine) != max(high[i] for i in mine):
-                        yield l, r, mine
+        for c in self.whole().tolist():
+            yield int(self.ll[c]), int(self.rl[c]), [c]
+        yield from self.shared()
 
 
 def _prepared(docs: DataFrame, within: bool = False) -> tuple[DataFrame, DataFrame, DataFrame, int]:
-    """(rows, copies, marked, parts): keyed rows, the (id, th) of later copies of a whole text, texts with their
+    """(rows, copies, marked, parts): keyed rows, the keys of later copies of a whole text, texts with their
     repeated anchors, hash buckets.
 
-    The rows are dealt by (id, th) once; every later use of the texts reads
-    that shuffle.  Whole copies are known from their hashes and need no
+    The rows are dealt by key once; every later use of the texts reads that
+    shuffle.  Buckets are as many as the texts' bytes fill.  Whole copies are known from their hashes and need no
     anchors: the text's first document stands for them.
     """
     spark = docs.sparkSession
-    parts = max(1, -(-partitions(spark) * 3 // 5))
-    keys = _keyed(docs).select("id", "th")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(1, -(-partitions(spark) * 3 // 5), -(-size // BUCKET))
+    keys = _keyed(docs).select("id", "th", "key")
     firsts = keys.groupBy("th").agg(F.min("id").alias("first"))
-    copies = cut(keys.join(firsts, "th").where("id > first").select("id", "th", F.lit(True).alias("copy")).distinct())
-    rows = _keyed(docs).repartition(partitions(spark), "id", "th")
+    copies = keys.join(firsts.hint("merge"), "th").where("id > first").select("key", F.lit(True).alias("copy")).distinct()
+    copies = cut(copies).hint("merge")     # no hash table in the driver
+    rows = _keyed(docs).repartition(partitions(spark), "key")
     # not an anti join, which would go below the shuffle and give the uses different ones
-    texts = rows.join(copies, ["id", "th"], "left").where("copy IS NULL").drop("copy")
-    found = _repeated(texts, parts, within).groupBy("id", "th").agg(F.collect_list("hashes").alias("hashes"))
-    marked = texts.join(found, ["id", "th"]).select("id", "th", "text", "hashes")
+    texts = rows.join(copies, "key", "left").where("copy IS NULL").drop("copy")
+    found = _repeated(texts, parts, within).groupBy("key").agg(F.collect_list("hashes").alias("hashes"))
+    marked = texts.join(found.hint("merge"), "key").select("id", "th", "text", "hashes")
     return rows, copies, marked, parts
 
 
@@ -343,20 +401,20 @@ def repeat_groups(docs: DataFrame) -> DataFrame:
             for b in (_Bucket(pdf["blob"], i, within=True) for i in range(SLICES)):
                 going_on: set[int] = set()
                 for l, r, members in b.groups():  # noqa: E741
-                    key = b.keys[members[0]]
+                    left, right = b.sides(members[0])
                     if l >= reach - ANCHOR or r >= reach:
-                        going_on.add(key[0])
+                        going_on.add(int(b.hash[members[0]]))
                         continue
-                    name = hashlib.sha256(key[1][:l][::-1] + key[2][:r]).hexdigest()
+                    name = hashlib.sha256(left[:l][::-1] + right[:r]).hexdigest()
                     for c in members:
                         for k in range(b.first[c], b.first[c + 1]):
                             rows.append((name, l + r, None, int(b.ths[b.doc[k]]), int(b.pos[k]) - l, None))
                 wider: dict[tuple[int, int], set[int]] = {}
-                for c, key in enumerate(b.keys):
-                    if key[0] in going_on:
+                for c, h in enumerate(b.hash.tolist()):
+                    if h in going_on:
                         for k in range(b.first[c], b.first[c + 1]):
-                            wider.setdefault((int(b.ids[b.doc[k]]), int(b.ths[b.doc[k]])), set()).add(key[0])
-                rows.extend((None, None, i, th, None, np.array(sorted(h), np.uint64).tobytes()) for (i, th), h in wider.items())
+                            wider.setdefault((int(b.ids[b.doc[k]]), int(b.ths[b.doc[k]])), set()).add(h)
+                rows.extend((None, None, i, th, None, packed(shorten(np.array(sorted(h), np.uint64))).tobytes()) for (i, th), h in wider.items())
             return pd.DataFrame(rows, columns=columns).astype({"length": "Int64", "id": "Int64", "th": "Int64", "position": "Int64"})
 
         return out
@@ -388,32 +446,39 @@ def _spans(blobs: DataFrame) -> DataFrame:
     """(id, th, spans): of each repeat's occurrences, those in documents behind its first one."""
 
     def out(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = [part for part in (spread(_Bucket(pdf["blob"], i)) for i in range(SLICES)) if part]
-        if not found:
-            return pd.DataFrame({"id": [], "th": [], "spans": []})
+        found = [spread(_Bucket(pdf["blob"], i)) for i in range(SLICES)]
         ids, ths, start, stop = (np.concatenate(x) for x in zip(*found, strict=True))
         order = np.lexsort((start, ths, ids))
         ids, ths, start, stop = ids[order], ths[order], start[order], stop[order]
         first = np.flatnonzero(np.concatenate(([True], (ids[1:] != ids[:-1]) | (ths[1:] != ths[:-1])))) if len(ids) else np.zeros(0, np.int64)
-        spans = [pack(*_union(start[a:z], stop[a:z])) for a, z in zip(first, np.append(first[1:], len(ids)), strict=True)]
-        return pd.DataFrame({"id": ids[first], "th": ths[first], "spans": spans})
-
-    def spread(b: _Bucket) -> tuple | None:
-        of: dict[int, dict[tuple[int, int], int]] = {}
-        for l, r, members in b.groups():  # noqa: E741
-            low = min(int(b.low[c]) for c in members)
-            for c in members:
-                mine = of.setdefault(c, {})
-                mine[l, r] = min(low, mine.get((l, r), low))
-        # one row per (surrounding, reach), then one per occurrence of it
-        rows = np.array([(c, l, r, low) for c, reach in of.items() for (l, r), low in reach.items()], np.int64).reshape(-1, 4)
-        size = b.first[rows[:, 0] + 1] - b.first[rows[:, 0]]
-        row = np.repeat(np.arange(len(rows)), size)
-        occ = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(b.first[rows[:, 0]], size)
-        doc, own = b.doc[occ], b.ids[b.doc[occ]]
-        gone = own > rows[row, 3]
-        doc, occ, row = doc[gone], occ[gone], row[gone]
-        return (own[gone], b.ths[doc], b.pos[occ] - rows[row, 1], b.pos[occ] + rows[row, 2]) if len(doc) else None
+        # documents far apart, so that their runs are found at once
+        doc = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(ids))))
+        start, stop = _union(start + (doc << 33), stop + (doc << 33))
+        doc = start >> 33
+        runs = np.stack([start - (doc << 33), stop - (doc << 33)], 1).astype("<u4")
+        edge = np.searchsorted(doc, np.arange(len(first) + 1))
+        return pd.DataFrame({"id": ids[first], "th": ths[first], "spans": [runs[a:z].tobytes() for a, z in zip(edge[:-1], edge[1:], strict=True)]})
+
+    def spread(b: _Bucket) -> tuple:
+        """(id, th, start, stop): of each occurrence what its repeats cover together; all of them hold its anchor."""
+        whole = b.whole()
+        found = [(whole, b.ll[whole], b.rl[whole], b.low[whole])]
+        for l, r, members in b.shared():  # noqa: E741
+            n = len(members)
+            found.append((np.array(members), np.full(n, l), np.full(n, r), np.full(n, b.low[members].min())))
+        c, l, r, low = (np.concatenate(x) for x in zip(*found, strict=True))  # noqa: E741
+        # a surrounding's repeats by their first document: what those up to there reach on either side
+        order = np.lexsort((low, c))
+        c, l, r, low = c[order], l[order], r[order], low[order]  # noqa: E741
+        l, r = (np.maximum.accumulate(x + (c << 33)) - (c << 33) for x in (l, r))  # noqa: E741
+        own = b.ids[b.doc]
+        known = np.unique(low)
+        rank = lambda x: np.searchsorted(known, x)
+        at = np.searchsorted(c * (len(known) + 1) + rank(low), b.ctx * (len(known) + 1) + rank(own)) - 1
+        gone = at >= 0
+        gone[gone] = c[at[gone]] == b.ctx[gone]
+        at, doc, pos = at[gone], b.doc[gone], b.pos[gone]
+        return own[gone], b.ths[doc], pos - l[at], pos + r[at]
 
     return blobs.groupBy("p").applyInPandas(out, "id long, th long, spans binary")
 
@@ -447,10 +512,10 @@ def dedup_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     greater than all.  Empty table: empty result.  Other columns are ignored.
     """
     rows, copies, marked, parts = _prepared(docs)
-    spans = _spans(_contexts(marked, parts)).groupBy("id", "th").agg(F.collect_list("spans").alias("spans"))
-    joined = rows.join(spans, ["id", "th"], "left").join(copies, ["id", "th"], "left")
+    spans = _spans(_contexts(marked, parts)).groupBy(F.xxhash64("id", "th").alias("key")).agg(F.collect_list("spans").alias("spans"))
+    joined = rows.join(spans.hint("merge"), "key", "left").join(copies, "key", "left")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    joined = joined.select(F.when(F.col("id") < _LAST, F.col("id")).cast(kind).alias("doc_id"), "text", "spans",
+    joined = joined.select(F.when(F.col("id") < _LAST, F.col("id")).cast(kind).alias("doc_id"), "th", "text", "spans",
                            F.coalesce("copy", F.lit(False)).alias("copy"))
 
     def apply(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -462,8 +527,7 @@ def dedup_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
                 if copy and len(raw) >= LEAST:
                     kept, gone, runs = b"", len(raw), 1
                 elif spans is not None and len(spans):
-                    got = [unpack(x) for x in spans]
-                    start, stop = np.concatenate([x[0] for x in got]), np.concatenate([x[1] for x in got])
+                    start, stop = np.frombuffer(b"".join(spans), "<u4").astype(np.int64).reshape(-1, 2).T
                     order = np.argsort(start, kind="stable")
                     start, stop = _union(start[order], stop[order])
                     edge = [0, *np.stack([start, stop], 1).ravel().tolist(), len(raw)]

@@ -188,3 +188,47 @@ def test_stack_scan_finds_every_maximal_repeat():
                 if l + r >= 4:
                     want.add((l, r, frozenset(k for k in range(len(ctx)) if X.common(left[k], left[i]) >= l and X.common(right[k], right[i]) >= r)))
         assert got == want
+
+
+@pytest.mark.parametrize("parts", [8, 400])
+def test_anchor_rows_cost_the_same_in_many_buckets(spark, parts):
+    """What a document costs per bucket: one key, not its id and its text's hash; short hashes come back as they were."""
+    rnd = random.Random(3)
+    text = lambda: " ".join(f"w{rnd.randrange(10**6)}" for _ in range(250))
+    docs = [(i, text()) for i in range(600)]
+    docs += [(1000 + i, docs[i][1][:700] + text()) for i in range(0, 600, 3)]
+    rows = X._keyed(spark.createDataFrame(docs, DOCS)).coalesce(1)
+    found = {r.key: X.unpacked(bytes(r.hashes)) for r in X._repeated(rows, 1).collect()}
+    key = {r.id: r.key for r in rows.collect()}
+    assert set(found) >= {key[i] for i in range(0, 600, 3)} | {key[1000 + i] for i in range(0, 600, 3)} and len(found) < 420
+    t = X.Texts([docs[0][1], docs[600][1]], fold=False)
+    at, h = X.anchors(t)
+    both = set(h[at < t.end[0]].tolist()) & set(h[at >= t.begin[1]].tolist())
+    assert both and set(X.shorten(np.array(sorted(both), np.uint64)).tolist()) <= set(found[key[0]].tolist())
+    n = sum(map(len, (X.anchors(X.Texts([d[1]], fold=False))[1] for d in docs)))
+    blobs = X._repeated(rows, parts)._jdf.queryExecution()   # what the shuffle carries
+    assert "th" not in blobs.analyzed().output().toString()
+    size = _gathered(rows, parts)
+    assert size < 14 * n
+
+
+def _gathered(rows, parts):
+    """Bytes that _repeated shuffles."""
+    kept = []
+
+    class Rows:
+        def select(self, *c):
+            return self
+
+        def mapInPandas(self, run, schema):
+            kept.extend(len(b) for out in run(iter([rows.toPandas()])) for b in out["blob"])
+            return self
+
+        def groupBy(self, *c):
+            return self
+
+        def applyInPandas(self, *a):
+            return self
+
+    X._repeated(Rows(), parts)
+    return sum(kept)
