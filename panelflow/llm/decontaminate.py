@@ -282,12 +282,19 @@ class _Latent:
         found = np.concatenate(found)
         return found // max(n, 1), found % max(n, 1)
 
-    def cosine(self, fold: np.ndarray, norm2: np.ndarray, window: np.ndarray, item: np.ndarray) -> np.ndarray:
+    def cosine(self, row: np.ndarray, w: _Windows, norm2: np.ndarray, window: np.ndarray, item: np.ndarray) -> np.ndarray:
         """Cosine of each window with the item's best passage, in units of an exact copy's."""
-        out = np.zeros(len(window))
+        out, hits = np.zeros(len(window)), np.flatnonzero(row >= 0)
         for lo in range(0, len(window), 8192):
             here, line = np.unique(window[lo:lo + 8192], return_inverse=True)
-            cos = fold[here] @ self.q / np.sqrt(np.maximum(norm2[here], 1e-12))[:, None]
+            a, z = np.searchsorted(hits, w.at[here]), np.searchsorted(hits, w.until[here])
+            some, size = z > a, (z - a)[z > a]
+            cos = np.zeros((len(here), self.q.shape[1]), np.float32)
+            if some.any():
+                start = np.cumsum(size) - size
+                take = hits[np.arange(int(size.sum())) - np.repeat(start - a[some], size)]
+                fold = np.add.reduceat(self.vectors[row[take]], start, axis=0)
+                cos[some] = (fold @ self.q) / np.sqrt(np.maximum(norm2[here[some]], 1e-12))[:, None]
             out[lo:lo + 8192] = [max((float(cos[x, k]) for k in self.passages.get(i, [])), default=0.0)
                                  for x, i in zip(line.tolist(), item[lo:lo + 8192].tolist(), strict=True)]
         return out
@@ -397,8 +404,8 @@ def _matcher(state):
             if not w.n or not len(latent.known):
                 continue
             norm2 = np.concatenate(([0], np.cumsum(weight[t.term] ** 2, dtype=np.float64)))
-            fold = latent.folded(latent.rows(t), w)
-            window, item = latent.windows(fold)
+            row = latent.rows(t)
+            window, item = latent.windows(latent.folded(row, w))
             near = rarest.enough(t, w, window, item)
             window, item = window[near], item[near]
             if exact:   # what the retrieval has left
@@ -407,7 +414,7 @@ def _matcher(state):
                 rest = np.setdiff1d(rest, window * bench.n + item)
                 window, item = np.append(window, rest // bench.n), np.append(item, rest % bench.n)
             if len(window):
-                cos = latent.cosine(fold, norm2[w.until] - norm2[w.at], window, item)
+                cos = latent.cosine(row, w, norm2[w.until] - norm2[w.at], window, item)
                 yield from _verified(pdf, t, w.at[window], w.until[window], w.doc[window], item, cos, items, words)
 
     def _verified(pdf, t, at, until, doc, item, cos, items, words) -> Iterator[pd.DataFrame]:
