@@ -232,3 +232,14 @@ def _gathered(rows, parts):
 
     X._repeated(Rows(), parts)
     return sum(kept)
+
+
+def test_katz_bucket_rows_do_not_grow_with_the_slices(spark):
+    """A bucket gives one row per kind and target bucket; the model's figures are held by the tests above."""
+    parts, rows = 6, K._keyed(spark.createDataFrame(corpus(), DOCS)).coalesce(1)
+    stats = K.unigrams(rows, parts)
+    blobs = rows.select("key", "train", "text").mapInPandas(K._gather(parts, stats["words"]), "p int, blob binary").toPandas()
+    for _, pdf in blobs.groupby("p"):
+        got = K._bucket(parts, stats, K.discounted(stats["types"]))(pdf)
+        assert len(got) <= 3 * parts + 1 and not got.duplicated(["kind", "q"]).any()
+        assert (got["kind"] == "types").sum() == parts and sum(map(len, got["blobs"])) > len(got)
