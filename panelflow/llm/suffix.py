@@ -443,21 +443,31 @@ def repeat_groups(docs: DataFrame) -> DataFrame:
 
 
 def _spans(blobs: DataFrame) -> DataFrame:
-    """(id, th, spans): of each repeat's occurrences, those in documents behind its first one."""
+    """(key, spans): of each repeat's occurrences, those in documents behind its first one; one row a document.
+
+    A hash bucket gives one row per bucket of documents, not one per
+    document that it has a repeat of.
+    """
+    to = partitions(blobs.sparkSession)
 
     def out(pdf: pd.DataFrame) -> pd.DataFrame:
         found = [spread(_Bucket(pdf["blob"], i)) for i in range(SLICES)]
         ids, ths, start, stop = (np.concatenate(x) for x in zip(*found, strict=True))
-        order = np.lexsort((start, ths, ids))
-        ids, ths, start, stop = ids[order], ths[order], start[order], stop[order]
-        first = np.flatnonzero(np.concatenate(([True], (ids[1:] != ids[:-1]) | (ths[1:] != ths[:-1])))) if len(ids) else np.zeros(0, np.int64)
-        # documents far apart, so that their runs are found at once
-        doc = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(ids))))
-        start, stop = _union(start + (doc << 33), stop + (doc << 33))
-        doc = start >> 33
-        runs = np.stack([start - (doc << 33), stop - (doc << 33)], 1).astype("<u4")
-        edge = np.searchsorted(doc, np.arange(len(first) + 1))
-        return pd.DataFrame({"id": ids[first], "th": ths[first], "spans": [runs[a:z].tobytes() for a, z in zip(edge[:-1], edge[1:], strict=True)]})
+        (ids, ths), first, size, start, stop = _runs((ids, ths), start, stop)
+        q = _deal(to, mix(ids.view(np.uint64)) ^ ths.view(np.uint64))
+        rows = []
+        for k in np.unique(q).tolist():
+            own = np.flatnonzero(q == k)
+            at = _within(first[own], size[own])
+            rows.append((k, pack(ids[own], ths[own], size[own].astype(np.uint32), start[at].astype(np.uint32), stop[at].astype(np.uint32))))
+        return pd.DataFrame(rows, columns=["q", "blob"])
+
+    def together(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids, ths, size, start, stop = (np.concatenate(x) for x in zip(*map(unpack, pdf["blob"]), strict=True))
+        ids, ths = np.repeat(ids, size), np.repeat(ths, size)
+        (ids, ths), first, size, start, stop = _runs((ids, ths), start.astype(np.int64), stop.astype(np.int64))
+        runs = np.stack([start, stop], 1).astype("<u4")
+        return pd.DataFrame({"id": ids, "th": ths, "spans": [runs[a:a + n].tobytes() for a, n in zip(first, size, strict=True)]})
 
     def spread(b: _Bucket) -> tuple:
         """(id, th, start, stop): of each occurrence what its repeats cover together; all of them hold its anchor."""
@@ -480,7 +490,22 @@ def _spans(blobs: DataFrame) -> DataFrame:
         at, doc, pos = at[gone], b.doc[gone], b.pos[gone]
         return own[gone], b.ths[doc], pos - l[at], pos + r[at]
 
-    return blobs.groupBy("p").applyInPandas(out, "id long, th long, spans binary")
+    dealt = blobs.groupBy("p").applyInPandas(out, "q int, blob binary")
+    spans = dealt.groupBy("q").applyInPandas(together, "id long, th long, spans binary")
+    return spans.select(F.xxhash64("id", "th").alias("key"), "spans")
+
+
+def _runs(of: tuple[np.ndarray, np.ndarray], start: np.ndarray, stop: np.ndarray) -> tuple:
+    """Maximal runs by document, the two columns ``of``: (documents, each one's first run, their number, start, stop)."""
+    order = np.lexsort((start, *of[::-1]))
+    (a, b), start, stop = (x[order] for x in of), start[order], stop[order]
+    first = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))) if len(a) else np.zeros(0, np.int64)
+    # documents far apart, so that their runs are found at once
+    doc = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(a))))
+    start, stop = _union(start + (doc << 33), stop + (doc << 33))
+    doc = start >> 33
+    edge = np.searchsorted(doc, np.arange(len(first) + 1))
+    return (a[first], b[first]), edge[:-1], np.diff(edge), start - (doc << 33), stop - (doc << 33)
 
 
 def _union(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -512,7 +537,7 @@ def dedup_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     greater than all.  Empty table: empty result.  Other columns are ignored.
     """
     rows, copies, marked, parts = _prepared(docs)
-    spans = _spans(_contexts(marked, parts)).groupBy(F.xxhash64("id", "th").alias("key")).agg(F.collect_list("spans").alias("spans"))
+    spans = _spans(_contexts(marked, parts))
     joined = rows.join(spans.hint("merge"), "key", "left").join(copies, "key", "left")
     kind = docs.schema["doc_id"].dataType.simpleString()
     joined = joined.select(F.when(F.col("id") < _LAST, F.col("id")).cast(kind).alias("doc_id"), "th", "text", "spans",
@@ -527,9 +552,7 @@ def dedup_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
                 if copy and len(raw) >= LEAST:
                     kept, gone, runs = b"", len(raw), 1
                 elif spans is not None and len(spans):
-                    start, stop = np.frombuffer(b"".join(spans), "<u4").astype(np.int64).reshape(-1, 2).T
-                    order = np.argsort(start, kind="stable")
-                    start, stop = _union(start[order], stop[order])
+                    start, stop = np.frombuffer(spans, "<u4").astype(np.int64).reshape(-1, 2).T
                     edge = [0, *np.stack([start, stop], 1).ravel().tolist(), len(raw)]
                     kept = b"".join(raw[a:z] for a, z in zip(edge[0::2], edge[1::2], strict=True))
                     gone, runs = len(raw) - len(kept), len(start)

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -243,3 +244,40 @@ def test_katz_bucket_rows_do_not_grow_with_the_slices(spark):
         got = K._bucket(parts, stats, K.discounted(stats["types"]))(pdf)
         assert len(got) <= 3 * parts + 1 and not got.duplicated(["kind", "q"]).any()
         assert (got["kind"] == "types").sum() == parts and sum(map(len, got["blobs"])) > len(got)
+
+
+def test_suffix_bucket_rows_do_not_grow_with_the_documents(spark):
+    """A bucket of anchors gives one row per bucket of documents; each document's runs come in one row."""
+    rnd = random.Random(7)
+    text = lambda n: " ".join(f"w{rnd.randrange(10**6)}" for _ in range(n))
+    shared = [text(12) for _ in range(40)]
+    docs = [(i, " ".join(rnd.choice([rnd.choice(shared), text(5)]) for _ in range(8))) for i in range(400)]
+    _, _, marked, _ = X._prepared(spark.createDataFrame(docs, DOCS))
+    blobs = X._contexts(marked, 3).toPandas()
+    steps = []
+
+    class Blobs:
+        sparkSession = spark
+
+        def groupBy(self, *c):
+            return self
+
+        def applyInPandas(self, run, schema):
+            steps.append(run)
+            return self
+
+        def select(self, *c):
+            return self
+
+    X._spans(Blobs())
+    dealt = [steps[0](pdf) for _, pdf in blobs.groupby("p")]
+    assert all(len(d) <= X.partitions(spark) and d["q"].is_unique for d in dealt)
+    spans = pd.concat([steps[1](pdf) for _, pdf in pd.concat(dealt).groupby("q")])
+    assert 300 < len(spans) < 400 and not spans.duplicated(["id", "th"]).any()
+    want = {d: (gone, n) for d, (_, gone, n, _) in slow_dedup(docs).items() if n}
+    got = {}
+    for i, raw in zip(spans["id"], spans["spans"], strict=True):
+        start, stop = np.frombuffer(raw, "<u4").astype(int).reshape(-1, 2).T
+        assert (start[1:] > stop[:-1]).all()
+        got[i] = (int((stop - start).sum()), len(start))
+    assert got == want
