@@ -133,6 +133,39 @@ def test_within_is_the_edit_distance():
         assert [L.within(a, b, m) for m in range(9)] == [d <= m for m in range(9)]
 
 
+@pytest.mark.parametrize(("letters", "longest"), [("ab ", 30), ("abcdé ", 90), ("ab\U0001f600漢 ", 60)])
+def test_tables_side_by_side_are_the_edit_distance(letters, longest):
+    rnd, pairs = random.Random(longest), []
+    for _ in range(700):
+        a = [rnd.choice(letters) for _ in range(rnd.randrange(longest))]
+        b = list(a) if rnd.random() < 0.8 else [rnd.choice(letters) for _ in range(rnd.randrange(longest))]
+        for _ in range(rnd.randrange(1 + len(b) // 3)):
+            b[rnd.randrange(len(b))] = rnd.choice(["a", "x", "", "bb"])
+        pairs.append(("".join(a), "".join(b)))
+    for least in (0.8, 0.5):
+        got = L.alike([a for a, _ in pairs], [b for _, b in pairs], least)
+        want = [edit(a, b) <= int(max(len(a), len(b)) * (1 - least) + 1e-9) for a, b in pairs]
+        assert got.tolist() == want and any(want) and not all(want)
+
+
+@pytest.mark.parametrize("pieces", [1, 2])
+def test_second_comparison_gives_no_more_links_than_lines(pieces):
+    """A block of lines that are all near and alike: a tree of links, not every pair; copies in another block give none."""
+    n = 120
+    x = {"block": np.repeat([16, 32], n), "piece": np.repeat([0, 0], n), "node": np.tile(np.arange(n), 2), "own": np.tile(np.arange(n) % pieces, 2),
+         "root": np.tile(np.arange(n), 2), "bits": np.full(2 * n, 64), "n_chars": np.full(2 * n, 30),
+         "sh": np.zeros(2 * n, np.uint64), "sg": np.zeros(2 * n, np.uint64)}
+    x["text"] = np.array([f"one line of many alike, nr {i:03}" for i in x["node"]], object)
+    x["blocks"] = np.empty(2 * n, object)
+    x["blocks"][:] = [[32, 16]] * (2 * n)
+    links = L._linked(0.8)(x, np.array([0, n]))
+    groups = {i: i for i in range(n)}
+    for _ in range(n):
+        for a, b in links:
+            groups[a] = groups[b] = min(groups[a], groups[b])
+    assert len(links) == n - 1 and set(groups.values()) == {0}
+
+
 def alike(a, b):
     """The rule alone."""
     return len(a) and 1 - edit(a, b) / max(len(a), len(b)) >= 0.8
