@@ -152,7 +152,7 @@ def test_tables_side_by_side_are_the_edit_distance(letters, longest):
 def test_second_comparison_gives_no_more_links_than_lines(pieces):
     """A block of lines that are all near and alike: a tree of links, not every pair; copies in another block give none."""
     n = 120
-    x = {"block": np.repeat([16, 32], n), "piece": np.repeat([0, 0], n), "node": np.tile(np.arange(n), 2), "own": np.tile(np.arange(n) % pieces, 2),
+    x = {"block": np.repeat([16, 32], n), "piece": np.repeat([0, 0], n), "node": np.tile(np.arange(n), 2), "own": np.tile(np.arange(n) % pieces, 2), "sub": np.zeros(2 * n, np.int64),
          "root": np.tile(np.arange(n), 2), "bits": np.full(2 * n, 64), "n_chars": np.full(2 * n, 30),
          "sh": np.zeros(2 * n, np.uint64), "sg": np.zeros(2 * n, np.uint64)}
     x["text"] = np.array([f"one line of many alike, nr {i:03}" for i in x["node"]], object)
@@ -238,6 +238,20 @@ def test_lines_against_all_pairs(spark, monkeypatch, piece):
         assert out[d].n_removed == sum(not want.get((d, p), True) for p in range(len(text.split("\n"))))
 
 
+@pytest.mark.parametrize("unit", [2, 500])
+def test_second_comparison_is_whole_in_small_units(spark, monkeypatch, unit):
+    """Lines around the bar, most of them not alike: the groups are those of all pairs, however a block is dealt."""
+    monkeypatch.setattr(L, "UNIT", unit)
+    rnd = random.Random(9)
+    vocab = ["".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(2, 8))) for _ in range(200)]
+    base = [[rnd.choice(vocab) for _ in range(n)] for n in (12, 20, 30)]
+    lines = sorted({" ".join(reworded(rnd, base[i % 3], vocab, 0.78, 0.9)) for i in range(45)})
+    roots = slow_components(dict(enumerate(lines)), alike)
+    df = spark.createDataFrame([(d, x, "en", "s", 0) for d, x in enumerate(lines)], DOCS)
+    got = {r.doc_id: r.keep for r in L.line_groups(df).collect()}
+    assert got == {d: roots[d] == d for d in range(len(lines))} and 0 < sum(got.values()) < len(lines)
+
+
 def test_recall_on_the_drivers_lines(spark):
     """Of all pairs of lines of the documents that the rule links, at least 0.9 end in one group (all pairs tried)."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")
