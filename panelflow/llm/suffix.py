@@ -90,12 +90,13 @@ def _deal(parts: int, h: np.ndarray) -> np.ndarray:
     return (mix(h) % np.uint64(parts)).astype(np.int64)
 
 
-def _repeated(rows: DataFrame, parts: int, within: bool = False) -> DataFrame:
-    """(key, hashes): per document the short hashes of the anchors that another document holds too.
+def _repeated(rows: DataFrame, parts: int, within: bool = False, to: int = 1) -> DataFrame:
+    """(key, hashes): per document the short hashes of the anchors that another document holds too; one row a document.
 
     ``within``: also those that stand twice in one document.  What a
     document costs in each bucket decides how this grows with the buckets:
-    one key, as its step from the next smaller one.
+    one key, as its step from the next smaller one.  A hash bucket gives one
+    row to each of the ``to`` buckets of documents, not one per document that it has an anchor of.
     """
 
     def gather(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -149,17 +150,33 @@ def _repeated(rows: DataFrame, parts: int, within: bool = False) -> DataFrame:
         own = keys[d]
         shared = size > 1 if within else np.minimum.reduceat(own, first) != np.maximum.reduceat(own, first)
         take = np.repeat(shared, size)
-        h, d = h[take], d[take]
-        order = np.argsort(d, kind="stable")
-        h, d = h[order], d[order]
-        first = np.flatnonzero(np.concatenate(([True], d[1:] != d[:-1]))) if len(d) else np.zeros(0, np.int64)
-        raw = packed(h)
-        return pd.DataFrame({"key": keys[d[first]].view(np.int64),
-                             "hashes": [raw[a:z].tobytes() for a, z in zip(first, np.append(first, len(h))[1:], strict=True)]})
+        h, key = h[take], own[take]
+        q, out = _deal(to, key), []
+        order = np.lexsort((key, q))
+        h, key, q = h[order], key[order], q[order]
+        edge = np.flatnonzero(np.concatenate(([True], q[1:] != q[:-1], [True]))) if len(q) else []
+        for a, z in zip(edge[:-1], edge[1:], strict=True):
+            mine, size = np.unique(key[a:z], return_counts=True)
+            out.append((int(q[a]), pack(rises(mine), size.astype(np.uint32), packed(h[a:z]).ravel())))
+        return pd.DataFrame(out, columns=["q", "blob"])
+
+    def together(pdf: pd.DataFrame) -> pd.DataFrame:
+        key, raw = [], []
+        for blob in pdf["blob"]:
+            step, size, short = unpack(blob)
+            key.append(np.repeat(falls(step), size))
+            raw.append(short.reshape(-1, SHORT))
+        key = np.concatenate(key)
+        order = np.argsort(key, kind="stable")
+        key, raw = key[order], np.concatenate(raw)[order]
+        first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        return pd.DataFrame({"key": key[first].view(np.int64),
+                             "hashes": [raw[a:z].tobytes() for a, z in zip(first, np.append(first[1:], len(key)), strict=True)]})
 
     # all columns, so that the texts' one shuffle serves this too
     blobs = rows.select("id", "th", "key", "text").mapInPandas(gather, "p int, blob binary")
-    return blobs.groupBy("p").applyInPandas(meet, "key long, hashes binary")
+    dealt = blobs.groupBy("p").applyInPandas(meet, "q int, blob binary")
+    return dealt.groupBy("q").applyInPandas(together, "key long, hashes binary")
 
 
 def common(a: bytes, b: bytes) -> int:
@@ -377,7 +394,7 @@ def _prepared(docs: DataFrame, within: bool = False) -> tuple[DataFrame, DataFra
     rows = _keyed(docs).repartition(partitions(spark), "key")
     # not an anti join, which would go below the shuffle and give the uses different ones
     texts = rows.join(copies, "key", "left").where("copy IS NULL").drop("copy")
-    found = _repeated(texts, parts, within).groupBy("key").agg(F.collect_list("hashes").alias("hashes"))
+    found = _repeated(texts, parts, within, partitions(spark)).select("key", F.array("hashes").alias("hashes"))
     marked = texts.join(found.hint("merge"), "key").select("id", "th", "text", "hashes")
     return rows, copies, marked, parts
 

@@ -281,3 +281,25 @@ def test_suffix_bucket_rows_do_not_grow_with_the_documents(spark):
         assert (start[1:] > stop[:-1]).all()
         got[i] = (int((stop - start).sum()), len(start))
     assert got == want
+
+
+def test_suffix_repeated_anchors_come_in_one_row_a_document(spark):
+    """However many hash buckets a document's anchors lie in; a bucket gives one row per bucket of documents."""
+    rnd = random.Random(8)
+    text = lambda n: " ".join(f"w{rnd.randrange(10**6)}" for _ in range(n))
+    shared = [text(12) for _ in range(40)]
+    docs = [(i, " ".join(rnd.choice([rnd.choice(shared), text(5)]) for _ in range(8))) for i in range(300)] + [(300, text(30)), (301, None)]
+    rows = X._keyed(spark.createDataFrame(docs, DOCS)).repartition(2, "key")
+    held = defaultdict(set)
+    for key, t in rows.select("key", "text").collect():
+        for h in X.shorten(X.anchors(X.Texts([t], fold=False))[1]).tolist():
+            held[h].add(key)
+    want = defaultdict(set)
+    for h, keys in held.items():
+        if len(keys) > 1:
+            for key in keys:
+                want[key].add(h)
+    found = X._repeated(rows, 7, to=3)
+    got = [(r.key, X.unpacked(bytes(r.hashes)).tolist()) for r in found.collect()]
+    assert len({k for k, _ in got}) == len(got) > 200
+    assert {k: set(v) for k, v in got} == dict(want) and all(len(set(v)) == len(v) for _, v in got)
