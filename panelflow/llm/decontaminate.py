@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from panelflow.llm.store import cut, whole_row
 from panelflow.llm.words import Texts, batches
 
-#: Hash bits of a term.
-TERM_BITS = 18
+#: Hash bits of a term, and of a word's place where items' words are looked up before texts are compared.
+TERM_BITS, SLOT_BITS = 18, 20
 #: Words of a passage window and of its step; latent dimensions, spare ones, power iterations.
 WINDOW, STEP, RANK, SPARE, POWER = 32, 16, 128, 16, 2
 #: Least cosine of a window and a passage in the latent space for the window to be retrieved.
@@ -259,10 +259,16 @@ class _Latent:
         block = np.searchsorted(w.at, hits, side="right") - 1
         out = np.zeros((w.n, self.vectors.shape[1]), np.float32)
         edge = np.flatnonzero(np.diff(block, prepend=-1))
-        for lo in range(0, len(edge), 2048):    # some blocks at a time
-            mine = edge[lo:lo + 2048]
-            end = edge[lo + 2048] if lo + 2048 < len(edge) else len(hits)
-            out[block[mine]] = np.add.reduceat(self.vectors[row[hits[mine[0]:end]]], mine - mine[0], axis=0)
+        size, row = np.diff(np.append(edge, len(hits))), row[hits]
+        order = np.argsort(-size, kind="stable")    # those of most words first: what still has a k-th one stands in front
+        edge, size = edge[order], size[order]
+        for lo in range(0, len(edge), 1024):    # some blocks at a time
+            mine, many = edge[lo:lo + 1024], size[lo:lo + 1024]
+            total = self.vectors[row[mine]]
+            for k in range(1, many[0]):
+                n = int(np.searchsorted(-many, -k))
+                total[:n] += self.vectors[row[mine[:n] + k]]
+            out[block[mine]] = total
         whole = out.copy()
         for k in range(1, WINDOW // STEP):
             here = np.flatnonzero(w.doc[k:] == w.doc[:-k])
@@ -300,6 +306,12 @@ class _Latent:
         return out
 
 
+def _slot(h: np.ndarray, item: np.ndarray | None = None) -> np.ndarray:
+    """A word's place, or a word's and an item's, in a table of bits."""
+    h = h if item is None else h ^ (item.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    return (h >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+
 class _Rarest:
     """Exact candidates: where enough of an item's rarest words stand near each other.
 
@@ -311,12 +323,12 @@ class _Rarest:
 
     def __init__(self, words: list[list[int]], rarity: list[np.ndarray]):
         self.words = words
-        self.least = [next((c for c in range(1, len(w) + 1) if c / len(w) >= LEAK_WITH_ANSWER), 1) for w in words]
-        self.need = np.array([max(1, t // 3) for t in self.least], np.int64)
+        self.least = np.array([next((c for c in range(1, len(w) + 1) if c / len(w) >= LEAK_WITH_ANSWER), 1) for w in words], np.int64)
+        self.need = np.maximum(1, self.least // 3)
         self.span = np.array([WINDOW + 2 * len(w) for w in words], np.int64)
         posted: dict[tuple[int, int], int] = {}
         for i, w in enumerate(words):
-            rare = np.argsort(-rarity[i], kind="stable")[:len(w) - self.least[i] + int(self.need[i])]
+            rare = np.argsort(-rarity[i], kind="stable")[:len(w) - int(self.least[i]) + int(self.need[i])]
             for j in rare.tolist():
                 posted[w[j], i] = posted.get((w[j], i), 0) + 1
         keys = sorted(posted)
@@ -329,15 +341,33 @@ class _Rarest:
             for j, h in enumerate(w):
                 bits[h] = bits.get(h, 0) | 1 << j
             self.where.append(bits)
-
-    def windows(self, t: Terms) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        # the items' words; by slot: words of any item, and words of an item; bits of an item's word, for items of up to 64
+        self.known = np.unique(np.array([h for w in words for h in w], np.uint64))
+        self.rare = np.full(len(self.known), -1, np.int64)
+        self.rare[np.searchsorted(self.known, self.word)] = np.arange(len(self.word))
+        self.any, self.held = np.zeros(1 << SLOT_BITS, bool), np.zeros(1 << SLOT_BITS, bool)
+        pairs = sorted((i * len(self.known) + k, b) for i, bits in enumerate(self.where) if len(words[i]) <= 64
+                       for k, b in zip(np.searchsorted(self.known, np.array(list(bits), np.uint64)).tolist(), bits.values(), strict=True))
+        self.pair, self.bits = np.array([k for k, _ in pairs], np.int64), np.array([b for _, b in pairs], np.uint64)
+        own = self.known[self.pair % max(1, len(self.known))]
+        self.any[_slot(self.known)] = True
+        self.held[_slot(own, self.pair // max(1, len(self.known)))] = True
+        self.long = np.array([len(w) for w in words], np.int64)
+
+    def places(self, t: Terms) -> tuple[np.ndarray, np.ndarray]:
+        """(place, number) of the words that some item has."""
+        at = np.flatnonzero(self.any[_slot(t.hash)])
+        number = np.minimum(np.searchsorted(self.known, t.hash[at]), max(0, len(self.known) - 1))
+        same = self.known[number] == t.hash[at] if len(at) else np.zeros(0, bool)
+        return at[same], number[same]
+
+    def windows(self, t: Terms, places: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(document, first word, item) of the windows that may hold 0.6 of an item."""
         none = (np.zeros(0, np.int64),) * 3
         if not len(self.word) or not len(t.hash):
             return none
-        near = np.minimum(np.searchsorted(self.word, t.hash), len(self.word) - 1)
-        at = np.flatnonzero(self.word[near] == t.hash)
-        near = near[at]
+        near = self.rare[places[1]]
+        at, near = places[0][near >= 0], near[near >= 0]
         size = self.first[near + 1] - self.first[near]
         row = np.arange(int(size.sum())) + np.repeat(self.first[near] - (np.cumsum(size) - size), size)
         gap = int(self.span.max()) + 1
@@ -355,28 +385,61 @@ class _Rarest:
         new[1:] |= item[1:] != item[:-1]
         edge = np.flatnonzero(np.append(new, True))
         out: list[tuple[int, int, int]] = []
-        places = t.doc[at] * gap + at
-        for a, z in zip(edge[:-1].tolist(), (edge[1:] - 1).tolist(), strict=True):
-            i, s = int(item[a]), int(span[a])
-            d = int(t.doc[at[np.searchsorted(places, place[a])]])
-            lo, hi = int(place[a]) - d * gap, int(place[z]) - d * gap  # first words of dense spans
-            begin, end = int(t.first[d]), int(t.first[d + 1])
-            # every window whose surroundings begin up to s before lo and hold one of these words
-            if self._shared(i, t.hash[max(begin, lo - s):min(end, hi + s)]) < self.least[i]:
-                continue
+        first, last = edge[:-1], edge[1:] - 1
+        doc = t.doc[at[np.searchsorted(t.doc[at] * gap + at, place[first])]]
+        item, span, low, high = item[first], span[first], place[first] - doc * gap, place[last] - doc * gap  # first words of dense spans
+        begin, end = t.first[doc], t.first[doc + 1]
+        # every window whose surroundings begin up to its span before low and hold one of these words
+        shared = self.shared(t, places, np.maximum(begin, low - span), np.minimum(end, high + span), item)
+        for k in np.flatnonzero(shared >= self.least[item]).tolist():
+            i, d, lo, hi, a, z = (int(x[k]) for x in (item, doc, low, high, begin, end))
             long = len(self.words[i])
-            low = max(0, -(-(lo - WINDOW - long - begin) // STEP))
-            high = min(-(-(end - begin) // STEP) - 1, (hi + long - begin) // STEP)
-            out.extend((d, begin + b * STEP, i) for b in range(low, high + 1))
+            from_ = max(0, -(-(lo - WINDOW - long - a) // STEP))
+            to = min(-(-(z - a) // STEP) - 1, (hi + long - a) // STEP)
+            out.extend((d, a + b * STEP, i) for b in range(from_, to + 1))
         return tuple(np.array(x, np.int64) for x in zip(*sorted(set(out)), strict=True)) if out else none
 
-    def enough(self, t: Terms, w: _Windows, window: np.ndarray, item: np.ndarray) -> np.ndarray:
+    def enough(self, t: Terms, places: tuple[np.ndarray, np.ndarray], w: _Windows, window: np.ndarray, item: np.ndarray) -> np.ndarray:
         """Whether the words around each window share 0.6 of the item in order."""
-        out = np.zeros(len(window), bool)
-        for k, (x, i) in enumerate(zip(window.tolist(), item.tolist(), strict=True)):
-            d, long = w.doc[x], len(self.words[i])
-            around = t.hash[max(t.first[d], w.at[x] - long):min(t.first[d + 1], w.until[x] + long)]
-            out[k] = self._shared(i, around) >= self.least[i]
+        doc, long = w.doc[window], self.long[item]
+        first, last = np.maximum(t.first[doc], w.at[window] - long), np.minimum(t.first[doc + 1], w.until[window] + long)
+        return self.shared(t, places, first, last, item) >= self.least[item]
+
+    def shared(self, t: Terms, places: tuple[np.ndarray, np.ndarray], first: np.ndarray, last: np.ndarray, item: np.ndarray) -> np.ndarray:
+        """Longest common subsequence of each item and the words from ``first`` to ``last``.
+
+        Over bit sets, the k-th words of many windows at once; items of more than 64 words one by one.
+        """
+        out, (hits, number) = np.zeros(len(item), np.int64), places
+        words = t.hash[hits]
+        for k in np.flatnonzero(self.long[item] > 64).tolist():
+            out[k] = self._shared(int(item[k]), t.hash[first[k]:last[k]])
+        short = np.flatnonzero(self.long[item] <= 64)
+        begin, size = np.searchsorted(hits, first[short]), np.searchsorted(hits, last[short])
+        size -= begin
+        upto, lo = np.cumsum(size), 0
+        while lo < len(short):
+            hi = max(lo + 1, int(np.searchsorted(upto, upto[lo] - size[lo] + 500_000, side="right")))
+            n, own = size[lo:hi], item[short[lo:hi]]
+            line = np.repeat(np.arange(hi - lo), n)
+            at = np.arange(len(line)) + np.repeat(begin[lo:hi] - (np.cumsum(n) - n), n)
+            some = np.flatnonzero(self.held[_slot(words[at], own[line])])
+            line, at = line[some], at[some]
+            key = own[line] * len(self.known) + number[at]
+            place = np.minimum(np.searchsorted(self.pair, key), max(0, len(self.pair) - 1))
+            same = self.pair[place] == key if len(key) else np.zeros(0, bool)
+            line, bits = line[same], self.bits[place[same]]
+            n = np.bincount(line, minlength=hi - lo)
+            order = np.argsort(-n, kind="stable")   # what still has a k-th word stands in front
+            start, n = (np.cumsum(n) - n)[order], n[order]
+            rest = np.uint64((1 << 64) - 1) >> (64 - self.long[own[order]]).astype(np.uint64)
+            full = rest.copy()
+            for k in range(int(n[0])):
+                c = int(np.searchsorted(-n, -k))
+                u = rest[:c] & bits[start[:c] + k]
+                rest[:c] = ((rest[:c] + u) | (rest[:c] - u)) & full[:c]
+            out[short[lo:hi][order]] = self.long[own[order]] - np.bitwise_count(rest)
+            lo = hi
         return out
 
     def _shared(self, i: int, around: np.ndarray) -> int:
@@ -406,10 +469,11 @@ def _matcher(state):
             norm2 = np.concatenate(([0], np.cumsum(weight[t.term] ** 2, dtype=np.float64)))
             row = latent.rows(t)
             window, item = latent.windows(latent.folded(row, w))
-            near = rarest.enough(t, w, window, item)
+            places = rarest.places(t)
+            near = rarest.enough(t, places, w, window, item)
             window, item = window[near], item[near]
             if exact:   # what the retrieval has left
-                doc, first, other = rarest.windows(t)
+                doc, first, other = rarest.windows(t, places)
                 rest = (w.first[doc] + (first - t.first[doc]) // STEP) * bench.n + other
                 rest = np.setdiff1d(rest, window * bench.n + item)
                 window, item = np.append(window, rest // bench.n), np.append(item, rest % bench.n)

@@ -259,3 +259,31 @@ def test_pipeline_edges(spark, tmp_path):
         docs = out
     last = corpus_pipeline.STAGES[-1][1]
     assert last(spark, docs, sf).count() == docs.count() and last(spark, docs.limit(0), sf).collect() == []
+
+
+def test_common_words_of_many_windows_are_counted_at_once(monkeypatch):
+    """Lengths as of the plain common subsequence; only items of more than 64 words are taken one by one."""
+    rnd = random.Random(11)
+    words = lambda n, of=60: " ".join(f"w{rnd.randrange(of)}" for _ in range(n))
+    bench = D.Terms([words(n, of) for n, of in [(1, 60), (5, 3), (40, 60), (64, 60), (64, 5), (65, 60), (130, 60), (0, 1)]])
+    items = [bench.hash[bench.first[i]:bench.first[i + 1]].tolist() for i in range(bench.n)]
+    rarest = D._Rarest(items, [np.ones(len(x), np.float32) for x in items])
+    t = D.Terms([words(300, 80), None, "", words(7), f"{words(90)} {words(50, 4)}"])
+    first = np.array([rnd.randrange(len(t.hash)) for _ in range(400)])
+    last = np.minimum(first + np.array([rnd.choice([0, 1, 30, 160]) for _ in range(400)]), len(t.hash))
+    item, singly = np.arange(400) % (len(items) - 1), []
+    plain = D._Rarest._shared
+    monkeypatch.setattr(D._Rarest, "_shared", lambda self, i, around: singly.append(i) or plain(self, i, around))
+    got = rarest.shared(t, rarest.places(t), first, last, item)
+    assert got.tolist() == [D.common_subsequence(items[i], t.hash[a:z].tolist()) for i, a, z in zip(item, first, last, strict=True)]
+    assert set(singly) == {5, 6} and got.max() > 25
+
+
+def test_folded_windows_are_sums_of_word_vectors():
+    t = D.Terms([" ".join(f"w{(i * i + k) % 50}" for i in range(n)) for k, n in enumerate([1, 15, 16, 17, 100, 0, 33])])
+    bench = D.Terms([" ".join(f"w{i}" for i in range(30))])
+    terms, weight = np.unique(bench.term), np.ones(1 << D.TERM_BITS, np.float32)
+    latent = D._Latent(bench, weight, terms, np.random.default_rng(3).normal(size=(len(terms), 4)).astype(np.float32))
+    w, row = D._Windows(t), latent.rows(t)
+    want = [sum((latent.vectors[r] for r in row[a:z] if r >= 0), np.zeros(4)) for a, z in zip(w.at, w.until, strict=True)]
+    assert np.allclose(latent.folded(row, w), want, atol=1e-4) and len(want) == 15
