@@ -303,3 +303,29 @@ def test_representatives_keep_columns_of_any_name(spark):
     df = spark.createDataFrame([(1, "a b c", 7, 3, "x"), (2, "a b c", 8, 4, "y")], "doc_id long, text string, _n int, _row int, component_id string")
     got = S.representatives(df)
     assert got.columns == df.columns and [tuple(r) for r in got.collect()] == [(1, "a b c", 7, 3, "x")]
+
+
+def test_blocks_are_shuffled_without_signatures(spark, monkeypatch):
+    """Most blocks are one line's; signatures are joined to the others."""
+    monkeypatch.setattr(L, "cut", lambda df: df)
+    lines = spark.createDataFrame([(n, [1, 10 + n] if n < 3 else [100 + n], n, -n, 3, 20) for n in range(6)],
+                                  "node long, blocks array<long>, sh long, sg long, bits int, n_chars int")
+    rows = L.shared_blocks(lines)
+    assert sorted(tuple(r) for r in rows.select("block", "piece", "node", "sh", "sg").collect()) == [(1, 0, n, n, -n) for n in range(3)]
+
+    def nodes(plan):
+        yield plan
+        for i in range(plan.children().size()):
+            yield from nodes(plan.children().apply(i))
+
+    windows = [p for p in nodes(rows._jdf.queryExecution().optimizedPlan()) if p.nodeName() == "Window"]
+    assert windows and not any("sh#" in p.output().toString() for p in windows)
+
+
+def test_lines_of_one_hash_are_numbered_apart(spark):
+    rows = [(8, 1), (8, 2), (32, 3), (64, 4)]
+    table = lambda some: L.cut(spark.createDataFrame(some, "h1 long, h2 long"))
+    assert sorted((r.h1, r.h2, r.node) for r in L._numbered(table(rows)).collect()) == [(8, 1, 8), (8, 2, 9), (32, 3, 32), (64, 4, 64)]
+    alone = L._numbered(table(rows[1:]))
+    assert sorted((r.h2, r.node) for r in alone.collect()) == [(2, 8), (3, 32), (4, 64)]
+    assert "Exchange" not in alone._jdf.queryExecution().executedPlan().toString()
