@@ -7,6 +7,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from panelflow.llm import graph as G
 from panelflow.llm import lines as L
 from panelflow.llm import simhash as S
 from tests.conftest import SF
@@ -305,6 +306,35 @@ def test_representatives_keep_columns_of_any_name(spark):
     assert got.columns == df.columns and [tuple(r) for r in got.collect()] == [(1, "a b c", 7, 3, "x")]
 
 
+def test_component_tables_shrink_from_round_to_round(spark, monkeypatch):
+    """A path in order, a star and scattered pairs: right roots, and all rounds' tables together in proportion to the nodes."""
+    rnd = random.Random(5)
+    links = [(i, i + 1) for i in range(1000)] + [(5000, 5001 + i) for i in range(300)]
+    links += [(rnd.getrandbits(62), -rnd.getrandbits(62)) for _ in range(300)] + [(7, 7), (9000, 9000), (None, 3)]
+    up = {}
+
+    def top(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for a, b in links[:-1]:
+        a, b = sorted((top(a), top(b)))
+        up[b] = a
+    made, real = [], G.cut
+
+    def counted(df):
+        out = real(df)
+        made.append(out.count())
+        return out
+
+    monkeypatch.setattr(G, "cut", counted)
+    got = G.components(spark.createDataFrame(links, "a long, b long"))
+    assert {r.node: r.root for r in got.collect()} == {x: top(x) for x in list(up)} and got.count() == len(up)
+    assert sum(made) < 7 * len(up)
+    assert G.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_blocks_are_shuffled_without_signatures(spark, monkeypatch):
     """Most blocks are one line's; signatures are joined to the others."""
     monkeypatch.setattr(L, "cut", lambda df: df)
