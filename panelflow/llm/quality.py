@@ -18,6 +18,8 @@ BITS, GRAM = 17, 4
 #: Fixed thresholds: least probability of good quality, fewest words, most repeated words in percent.
 LEAST_QUALITY, LEAST_WORDS, MOST_REPEATED = 0.5, 50, 50
 EPOCHS, RATE, RIDGE, SCALE = 120, 0.05, 1e-4, 30.0
+#: Entries of texts' features that a step of the fit works on at once.
+PART = 200_000
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 
@@ -82,6 +84,26 @@ def logits(t: Texts, weights: np.ndarray) -> np.ndarray:
     return out
 
 
+def _packed(texts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(feature, count, ends of the runs) of some texts at a time: each text's words and then its grams, eight bytes an entry.
+
+    The fit goes through these parts once a step, so what it holds beside them is for PART entries, not for all texts.
+    """
+    index, count, ends, size = [], [], [], 0
+    for text in texts:
+        for idx, at, until in _features(Texts([text], fold=False)):
+            u, n = np.unique(idx[at[0]:until[0]], return_counts=True)
+            index.append(u.astype(np.int32))
+            count.append(n.astype(np.int32))
+            size += len(u)
+            ends.append(size)
+        if size >= PART:
+            yield np.concatenate(index), np.concatenate(count), np.array(ends)
+            index, count, ends, size = [], [], [], 0
+    if ends:
+        yield np.concatenate(index), np.concatenate(count), np.array(ends)
+
+
 def fit(texts: list[str | None], good: np.ndarray) -> tuple[np.ndarray, float, float] | None:
     """Weights and the two calibration terms, or None unless both classes are there to learn and to calibrate.
 
@@ -93,22 +115,24 @@ def fit(texts: list[str | None], good: np.ndarray) -> tuple[np.ndarray, float, f
     if len(texts) == 0 or len(set(good[held])) < 2 or len(set(good[~held])) < 2:
         return None
     size = 2 * (1 << BITS) + 1
-    rows, index, value = [], [], []
     y = good[~held].astype(np.float64)
-    for i, text in enumerate(np.array(texts, object)[~held]):
-        t = Texts([text], fold=False)
-        for idx, at, until in _features(t):
-            u, n = np.unique(idx[at[0]:until[0]], return_counts=True)
-            index.append(u)
-            value.append(SCALE * n / max(1, n.sum()))
-            rows.append(np.full(len(u), i))
-    rows, index, value = map(np.concatenate, (rows, index, value))
+    parts = list(_packed(np.array(texts, object)[~held]))
     share = np.where(y > 0, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum()))
     w, m, v = np.zeros(size), np.zeros(size), np.zeros(size)
     for step in range(1, EPOCHS + 1):
-        z = np.bincount(rows, value * w[index], len(y)) + w[-1]
-        err = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * share
-        grad = np.bincount(index, value * err[rows], size) + RIDGE * w
+        grad, lead, constant = np.zeros(size), 0, w[-1]
+        err = np.zeros(len(y))
+        for index, n, ends in parts:
+            k = len(ends) // 2
+            runs = np.diff(ends, prepend=0)
+            row = np.repeat(np.arange(2 * k) // 2, runs)
+            value = SCALE * n / np.repeat(np.maximum(1, np.add.reduceat(np.append(n, 0), np.append(0, ends[:-1])) * (runs > 0)), runs)
+            own = slice(lead, lead + k)
+            z = np.bincount(row, value * w[index], k) + constant
+            err[own] = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[own]) * share[own]
+            np.add.at(grad, index, value * err[own][row])
+            lead += k
+        grad += RIDGE * w
         grad[-1] = err.sum()
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         w -= RATE * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.999 ** step)) + 1e-8)
