@@ -359,3 +359,29 @@ def test_lines_of_one_hash_are_numbered_apart(spark):
     alone = L._numbered(table(rows[1:]))
     assert sorted((r.h2, r.node) for r in alone.collect()) == [(2, 8), (3, 32), (4, 64)]
     assert "Exchange" not in alone._jdf.queryExecution().executedPlan().toString()
+
+
+def test_hashes_added_as_words_give_the_same_bits():
+    rnd = np.random.default_rng(5)
+    for sizes in ([0, 1, 14, 15, 16, 0, 253, 254, 255, 256, 270, 3900, 0], [1, 2, 3, 0, 4], [300], []):
+        first = np.concatenate(([0], np.cumsum(sizes))).astype(np.int64)
+        h = rnd.integers(0, 2**63, first[-1], dtype=np.uint64) * np.uint64(2) + rnd.integers(0, 2, first[-1], dtype=np.uint64)
+        slow = [sum(1 << b for b in range(64) if 2 * sum(int(x) >> b & 1 for x in h[i:j]) > j - i) for i, j in zip(first[:-1], first[1:], strict=True)]
+        assert L.simhashes(h, first).tolist() == slow
+
+
+def test_forests_of_small_runs_are_those_of_one_run():
+    rnd = np.random.default_rng(6)
+    size = np.array([3, 64, 5, 40, 3, 17, 64, 9])
+    start = np.concatenate(([0], np.cumsum(size)[:-1]))
+    n = size.sum()
+    word = rnd.integers(0, 2**64, 4, dtype=np.uint64)[rnd.integers(0, 4, n)]
+    flip = lambda bits: np.bitwise_or.reduce(np.uint64(1) << rnd.integers(0, 64, (n, bits), dtype=np.uint64), axis=1)
+    x = {"node": np.sort(rnd.integers(-2**62, 2**62, n)), "sh": word ^ flip(12), "sg": word ^ flip(11), "bits": np.full(n, 18, np.int32), "n_chars": rnd.integers(80, 110, n).astype(np.int32)}
+    for small in (1, 5000, 1 << 30):
+        L.SMALL, was = small, L.SMALL
+        got = L._small_forests(x, start, size)
+        L.SMALL = was
+        assert len(got) > n // 4
+        assert sorted(got) == sorted(e for i, k in zip(start, size, strict=True) for e in L._forest({c: v[i:i + k] for c, v in x.items()}))
+    assert L._small_forests(x, start[:0], size[:0]) == []
