@@ -137,7 +137,7 @@ def e_step(s: Shape, ww, wy, yy, n, beta, sigma, psi) -> np.ndarray:
     czz = np.einsum("zo,nzw,wk->nok", pick_z, zz * vbb, pick_z)
     c = yy - yzb - np.swapaxes(yzb, 1, 2) + czz       # residual cross-products before the fixed part
     g = xy - np.einsum("nxz,nzk->nxk", np.swapaxes(zx, 1, 2), zb)
-    flat = [x.reshape(len(n), -1) for x in (vbb, c, g, xx)]
+    flat = [x.reshape(len(n), x.shape[1] * x.shape[2]) for x in (vbb, c, g, xx)]
     return np.concatenate([*flat, np.stack([ll, n, np.ones(len(n))], 1)], axis=1)
 
 

@@ -80,6 +80,20 @@ def test_compare_models_against_refits(spark, data):
     assert got.converged and got.elpd == pytest.approx(total, abs=0.2) and got.persons == 40
 
 
+def test_pieces_of_one_fold(spark, data):
+    """A piece all of whose persons a fit leaves out adds nothing to that fit's sums; the others' sums stay."""
+    from pyspark.sql import functions as F
+    _, _, s, mom = data
+    params = (np.array([0.2, 0.4, 0.1, -0.1, 0.2]), np.array([[1.1, 0.3], [0.3, 0.9]]), np.eye(3) * 0.2)
+    folded = mom.withColumn("_fold", F.pmod(F.xxhash64("ID"), F.lit(2)).cast("int"))
+    want = X.person_sums(s, folded, [params] * 2, "_fold")
+    apart = folded.repartitionByRange(2, "_fold")         # each task has one fold
+    for got, w in zip(X.person_sums(s, apart, [params] * 2, "_fold"), want, strict=True):
+        assert np.allclose(got, w)
+    for got, w, left in zip(X.person_sums(s, apart, [params] * 2, "_fold", inside=True), want, want[::-1], strict=True):
+        assert np.allclose(got, left) and not np.allclose(got, w)
+
+
 def test_prior_climbs_the_posterior(data):
     _, _, s, mom = data
     known = X.prior(s, slope_sd=0.05, psi_sd=0.2, df=30, mean={"x": 0.0})
