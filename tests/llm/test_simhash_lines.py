@@ -1,5 +1,6 @@
 """SimHash near-dedup and fuzzy line dedup against brute force."""
 
+import os
 import random
 
 import numpy as np
@@ -385,3 +386,55 @@ def test_forests_of_small_runs_are_those_of_one_run():
         assert len(got) > n // 4
         assert sorted(got) == sorted(e for i, k in zip(start, size, strict=True) for e in L._forest({c: v[i:i + k] for c, v in x.items()}))
     assert L._small_forests(x, start[:0], size[:0]) == []
+
+
+def signed(rnd, n, words=4):
+    """``n`` lines in two pieces whose signatures are near one of ``words`` others, in four components."""
+    word = rnd.integers(0, 2**64, words, dtype=np.uint64)[rnd.integers(0, words, n)]
+    flip = lambda bits: np.bitwise_or.reduce(np.uint64(1) << rnd.integers(0, 64, (n, bits), dtype=np.uint64), axis=1)
+    return {"block": np.full(n, 32), "piece": np.repeat(np.arange(3), -(-n // 3))[:n], "own": rnd.integers(0, 2, n).astype(np.int32),
+            "node": np.arange(n), "root": rnd.integers(0, 4, n), "sh": word ^ flip(9), "sg": word ^ flip(10),
+            "bits": np.full(n, 18, np.int32), "n_chars": rnd.integers(80, 140, n).astype(np.int32)}
+
+
+@pytest.mark.parametrize("words", [60, 150])
+def test_open_lines_are_those_of_all_pairs(words):
+    """Taken in order of length, no line near one of another component is missed and none is kept beside these."""
+    rnd = np.random.default_rng(words)
+    x = signed(rnd, 300, words)
+    x["own"][:100] = 1                  # the first unit is one piece: its lines are compared with each other
+    got = L._open_lines(x, np.array([0, 100, 200]))
+    want = []
+    for lo in (0, 100, 200):
+        y = {c: v[lo:lo + 100] for c, v in x.items()}
+        near = L._alike(y, y) & (y["root"][:, None] != y["root"][None, :])
+        if lo:
+            near &= y["own"][:, None] != y["own"][None, :]
+        want += y["node"][near.any(axis=1)].tolist()
+    assert sorted(got["node"]) == want and 20 < len(want) < 300
+    assert got["sh"].tolist() == x["sh"].view(np.int64)[got["node"].to_numpy()].tolist()
+
+
+def test_second_comparison_shuffles_texts_of_near_lines_alone(spark):
+    """Lines that share a block with a thousand lines far from them are not dealt again, whatever the block's size."""
+    rnd = np.random.default_rng(9)
+    x = signed(rnd, 1200)
+    x["piece"][:], x["own"][:], x["root"] = 0, 0, x["node"]
+    x["sh"], x["sg"] = rnd.integers(0, 2**64, (2, 1200), dtype=np.uint64)
+    for c in ("sh", "sg", "n_chars"):
+        x[c][7] = x[c][900]             # the only two lines near each other
+    rows = [(32, 0, 0, i, i, int(a), int(b), 18, int(n)) for i, a, b, n in
+            zip(range(1200), x["sh"].view(np.int64), x["sg"].view(np.int64), x["n_chars"], strict=True)]
+    far = spark.createDataFrame(rows, "block long, piece int, own int, node long, root long, sh long, sg long, bits int, n_chars int")
+    assert sorted(r.node for r in L._compared(far).collect()) == [7, 900]
+
+
+def test_texts_in_turn_are_those_at_once(spark):
+    docs = spark.createDataFrame([(i if i % 5 else None, f"first  Line {i}\n\nthird of {i % 3}", None, None, None) for i in range(30)], DOCS)
+    places = docs.select("doc_id", F.xxhash64("text").alias("th"), F.explode(F.array(F.lit(0), F.lit(2))).alias("pos")).withColumn("node", F.monotonically_increasing_id())
+    places = L.cut(places)
+    once = sorted(map(tuple, L._line_texts(docs, places).collect()))
+    parts = L.cut_in_turn(spark, (L._line_texts(docs, places, i, 3) for i in range(3)))
+    assert sorted(map(tuple, parts.collect())) == once and len(once) == 60
+    L.discard(parts, places)
+    assert not parts.inputFiles() or not any(map(os.path.exists, (f.removeprefix("file://") for f in parts.inputFiles())))
